@@ -7,6 +7,7 @@ equal pre-tokens are encoded once. Texts with characters outside the fast classe
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
-from eventweave.llm.textbuf import text_buffer
+from eventweave.llm.textbuf import text_buffer, words
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -89,6 +90,15 @@ def split_fast(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def word_slices(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of slices that hold one word and the white space around it, without gaps."""
+    starts, _, bounds = words(data, offsets)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    keep = np.ones(len(starts), bool)
+    keep[bounds[:-1][bounds[:-1] < bounds[1:]]] = False
+    return np.sort(np.concatenate([first, starts[keep]]))
+
+
 _splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
 
@@ -127,31 +137,29 @@ class BatchEncoder:
     """Token ids of whole texts, each distinct pre-token encoded once.
 
     ``encode_words`` turns a list of distinct byte strings into a list of uint32 arrays; its results are kept
-    in a table of at most ``capacity`` pre-tokens, which starts afresh when it is full.
+    in a table of at most ``capacity`` pre-tokens, and the first ones stay.
+    ``by_words``: cut at ASCII white space instead, for vocabularies that never join text across it.
     """
 
-    def __init__(self, tokenizer_path: str, encode_words, capacity: int = 400_000):
-        self.path, self.encode_words, self.capacity = tokenizer_path, encode_words, capacity
+    def __init__(self, tokenizer_path: str, encode_words, capacity: int = 1_000_000, by_words: bool = False):
+        self.path, self.encode_words, self.capacity, self.by_words = tokenizer_path, encode_words, capacity, by_words
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
         missing = [w for w in contents if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.capacity:
-                missing = contents
-                known.clear()
-            for w, ids in zip(missing, self.encode_words(missing), strict=True):
-                known[w] = ids
-        parts = [known[w] for w in contents]
+        fresh = dict(zip(missing, self.encode_words(missing), strict=True)) if missing else {}
+        parts = [known.get(w) or fresh.get(w, b"") for w in contents]
+        if len(known) + len(fresh) <= self.capacity:
+            known.update(fresh)
         offsets = np.zeros(len(parts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, out=offsets[1:])
-        if len(known) > self.capacity:
-            known.clear()
         return np.frombuffer(b"".join(parts), np.uint32), offsets
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end as uint32, and n + 1 bounds."""
+        if self.by_words:
+            return self._encode_fast(column)
         fast = plain_rows(column, special_strings(self.path))
         if fast.all():
             return self._encode_fast(column)
@@ -182,7 +190,7 @@ class BatchEncoder:
 
     def _encode_fast(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_buffer(column)
-        starts = split_fast(data, offsets)
+        starts = word_slices(data, offsets) if self.by_words else split_fast(data, offsets)
         index, contents = distinct_slices(data, starts, len(data))
         if not contents:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -198,3 +206,26 @@ def library_words(tokenizer_path: str):
         return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in contents], add_special_tokens=False)]
 
     return encode
+
+
+@lru_cache(maxsize=4)
+def library_encoder(tokenizer_path: str) -> BatchEncoder:
+    """The library's ids of whole texts; one encoder for all tasks of a Python worker.
+
+    Byte-level vocabularies without a normaliser work on pre-tokens. Others work on words if their splitter drops
+    white space, so that no token and no normalised character spans it.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec["pre_tokenizer"] or {}
+    parts = split.get("pretokenizers", [split])
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec["normalizer"]
+    apart = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and not any(p.get("add_prefix_space") for p in parts)
+    if not plain and not apart:
+        raise ValueError(f"{tokenizer_path}: texts of this tokenizer can't be encoded by parts")
+    return BatchEncoder(tokenizer_path, library_words(tokenizer_path), by_words=not plain)
+
+
+def id_width(tokenizer_path: str) -> int:
+    """Bytes that hold any id: 2 or 4."""
+    return 2 if load(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4

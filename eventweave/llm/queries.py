@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm import bpe
+from eventweave.llm import bpe, elias_fano, packing
+from eventweave.llm.scratch import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,3 +35,17 @@ def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as token files and read every document back from them."""
+    manifest = elias_fano.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"), WORD_BPE)
+    return elias_fano.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 tokens, each with the corpus's mixture of sources."""
+    queues = packing.queue_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return packing.pack(queues, BYTE_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
