@@ -141,7 +141,7 @@ def write_token_file(uri: str, parts: Iterator[tuple[np.ndarray, np.ndarray, lis
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     lengths, docs, nulls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         for ids, sizes, numbers in parts:
             out.write(np.ascontiguousarray(ids, f"<u{width}").tobytes())
             lengths.append(sizes)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm import bpe, elias_fano, packing
+from eventweave.llm import ann, bpe, elias_fano, packing, sharding, warc
 from eventweave.llm.scratch import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +49,32 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens, each with the corpus's mixture of sources."""
     queues = packing.queue_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
     return packing.pack(queues, BYTE_BPE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vec_id that 50 divides, among all vectors."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal bytes."""
+    sharded = sharding.shard_by_splitters(table(spark, sf_dir, "documents"), 40)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return sharded.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC bundles and read every record back."""
+    index = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_warc(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

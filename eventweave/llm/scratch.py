@@ -66,7 +66,7 @@ def write_file(uri: str, chunks) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     size = 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
