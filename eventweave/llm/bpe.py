@@ -21,7 +21,7 @@ from eventweave.llm.pretokens import BatchEncoder
 from eventweave.llm.textbuf import text_chunks
 
 #: Text bytes of which the distinct pre-tokens are indexed together.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -154,29 +154,33 @@ def check_supported(tokenizer_path: str) -> None:
         raise ValueError(f"{tokenizer_path} is not a plain byte-level BPE vocabulary")
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(doc_id, ids binary: little-endian unsigned 32-bit) for every row of docs, whole texts.
 
-    Null and empty texts have no ids; repeated rows are encoded each; other columns are ignored; rows with a null id are
-    kept. Nothing is shuffled: a partition's rows are encoded where they are read.
+    With ``decode``, the ids are decoded again in the same task, and the text is a third column. Null and empty texts have no ids;
+    repeated rows are encoded each; other columns are ignored; rows with a null id are kept. Nothing is shuffled: a partition's rows are
+    encoded where they are read.
     """
     check_supported(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = own_encoder(tokenizer_path)
+        encoder, vocab = own_encoder(tokenizer_path), vocabulary(tokenizer_path)
         for batch in batches:
             for part in text_chunks(batch, "text", INDEX_BYTES):
                 ids, bounds = encoder.encode(part.column("text"))
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                bounds = (4 * bounds).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "ids"])
+                cells = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [part.column("doc_id"), pa.array(cells, pa.binary())]
+                if decode:
+                    columns.append(pa.array([vocab.decode(np.frombuffer(c, "<u4").tolist()) for c in cells], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids binary")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids binary" + ", text string" * decode)
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """encoded (doc_id, ids) with the decoded text as a third column; special tokens are kept."""
+    """encoded (doc_id, ids) with the decoded text as a third column; special tokens are kept; null ids have a null text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer_path)
@@ -188,5 +192,3 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids binary, text string")
-
-

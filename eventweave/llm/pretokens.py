@@ -34,8 +34,9 @@ def _fast_char(c: str) -> bool:
 
 
 @lru_cache(maxsize=8)
-def special_strings(tokenizer_path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in load(tokenizer_path).get_added_tokens_decoder().values())
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
 @lru_cache(maxsize=8)
@@ -104,7 +105,7 @@ _splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
 def split_slow(text: str, tokenizer_path: str) -> list[bytes | int]:
     """Pre-tokens of one text by the library; added tokens come as their ids."""
-    added = {t.content: i for i, t in load(tokenizer_path).get_added_tokens_decoder().items()}
+    added = added_tokens(tokenizer_path)
     if not added:
         return [text[a:b].encode() for _, (a, b) in _splitter.pre_tokenize_str(text)]
     pieces = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
@@ -141,7 +142,7 @@ class BatchEncoder:
     ``by_words``: cut at ASCII white space instead, for vocabularies that never join text across it.
     """
 
-    def __init__(self, tokenizer_path: str, encode_words, capacity: int = 1_000_000, by_words: bool = False):
+    def __init__(self, tokenizer_path: str, encode_words, capacity: int = 150_000, by_words: bool = False):
         self.path, self.encode_words, self.capacity, self.by_words = tokenizer_path, encode_words, capacity, by_words
         self.known: dict[bytes, bytes] = {}
 
@@ -160,7 +161,7 @@ class BatchEncoder:
         """Ids of all texts end to end as uint32, and n + 1 bounds."""
         if self.by_words:
             return self._encode_fast(column)
-        fast = plain_rows(column, special_strings(self.path))
+        fast = plain_rows(column, tuple(added_tokens(self.path)))
         if fast.all():
             return self._encode_fast(column)
         ids, sizes = [], np.zeros(len(column) + 1, np.int64)

@@ -28,8 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op6_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text, decode it again, and return digests of both."""
-    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), BYTE_BPE)
-    return bpe.decode_ids(encoded, BYTE_BPE).select(
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), BYTE_BPE, decode=True).select(
         "doc_id",
         F.expr("length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
