@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm import ann, bpe, elias_fano, packing, sharding, warc
+from eventweave.llm import ann, bpe, cover_tree, elias_fano, line_dedup, minhash, packing, quality, sharding, warc
 from eventweave.llm.scratch import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,3 +77,47 @@ def op10_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC bundles and read every record back."""
     index = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return warc.read_warc(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of all documents, by a model fitted on labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "tail_1", "tail_2", "selected")
+
+
+@query
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label that are at least 0.93 alike, and their components."""
+    return cover_tree.threshold_links(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op8_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents and their components."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 75, 5)
+
+
+@query
+def op9_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that stand on 10 sites or more."""
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), 10, 0.5).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLE["op9_site_spread"] = r"""
+WITH numbered AS (SELECT doc_id, text, source, row_number() OVER () AS row FROM documents),
+split AS (SELECT row, source, string_split(text, chr(10)) AS lines FROM numbered),
+placed AS (SELECT row, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+common AS (SELECT trim(line, ' ') AS line FROM placed WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT p.row, p.pos, p.line, c.line IS NOT NULL AS common FROM placed p LEFT JOIN common c ON trim(p.line, ' ') = c.line),
+rebuilt AS (
+  SELECT row, count(*) AS n_lines, count(*) FILTER (common) AS n_removed, coalesce(sum(length(line)) FILTER (common), 0) AS gone,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT common), '') AS kept
+  FROM marked GROUP BY row)
+SELECT n.doc_id,
+       CASE WHEN r.n_removed > 0 AND r.gone <= 0.5 * length(n.text) THEN r.kept ELSE n.text END AS text,
+       CAST(coalesce(r.n_lines, 0) AS INTEGER) AS n_lines,
+       CAST(CASE WHEN r.gone <= 0.5 * length(n.text) THEN r.n_removed ELSE 0 END AS INTEGER) AS n_removed
+FROM numbered n LEFT JOIN rebuilt r USING (row)
+"""
