@@ -1,4 +1,60 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to packed training sequences.
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+Stages, in order: documents of low quality or with toxic text go; boilerplate lines go; of each group of near
+duplicates the smallest doc_id stays; what is left is packed. Each stage's rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventweave.llm import line_dedup, minhash, packing, quality
+from eventweave.llm.scratch import materialize
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely than not of the highest grade, by a model fitted on labelled documents among docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, quality.grades_of(labels))
+    return quality.score(docs, model).where("selected").select(docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand on 10 sites or more."""
+    cleaned = line_dedup.remove_boilerplate(docs, 10, 0.5)
+    counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", counted).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates. Rows without a doc_id stay."""
+    found = minhash.near_duplicates(docs, 75, 5)
+    gone = found.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, with the token ids of each piece."""
+    return packing.pack(packing.queue_tokens(docs, BYTE_BPE), BYTE_BPE)
+
+
+STAGES = [("quality classifier", keep_good), ("line dedup", drop_boilerplate), ("MinHash near-dedup", drop_near_copies), ("packing", pack)]
+
+#: The classifier's fit has no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
