@@ -53,19 +53,19 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float =
     text, lines = docs[text_col].cast("string"), split_lines(docs[text_col].cast("string"))
     # all that is decided about a row follows from its text, so rows are known by their id and text hashes
     keys = [docs[id_col].cast("string").alias("k0"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
-    exploded = docs.where(text.isNotNull()).select(*keys, docs[site_col].cast("string").alias("site"), F.posexplode(F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), F.length(F.trim(x)).alias("size")))).alias("pos", "line"))
-    rows = exploded.where("line.size > 0").select("k0", "k1", "k2", "site", "pos", F.col("line.h.h1").alias("h1"), F.col("line.h.h2").alias("h2"))
+    exploded = docs.where(text.isNotNull()).select(*keys, docs[site_col].cast("string").alias("site"), F.posexplode(F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), (F.trim(x) != "").alias("full"), F.length(x).alias("size")))).alias("pos", "line"))
+    rows = exploded.where("line.full").select("k0", "k1", "k2", "site", F.struct("pos", "line.size").alias("place"), F.col("line.h.h1").alias("h1"), F.col("line.h.h2").alias("h2"))
     found = materialize(boilerplate_lines(rows.select("h1", "h2", "site"), min_sites), "boilerplate")
-    hits = rows.join(found, ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("pos").alias("removed"))
+    hits = rows.join(found, ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("place").alias("removed"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*[docs[c] for c in names], *keys).alias("d")
     on = F.col("d.k0").eqNullSafe(F.col("h.k0")) & (F.col("d.k1") == F.col("h.k1")) & (F.col("d.k2") == F.col("h.k2"))
     joined = keyed.join(hits.alias("h"), on, "left").select("d.*", "removed")
     split = split_lines(F.col(text_col).cast("string"))
-    gone = F.aggregate(F.col("removed"), F.lit(0), lambda n, p: n + F.length(F.element_at(split, p + 1)))
+    gone = F.aggregate("removed", F.lit(0), lambda n, place: n + place["size"])
     act = F.col("removed").isNotNull() & (gone <= F.lit(max_share) * F.length(F.col(text_col).cast("string")))
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("removed.pos"), i)), "\n")
     return joined.select(
         *[F.when(act, kept).otherwise(F.col(c).cast("string")).alias(c) if c == text_col else F.col(c) for c in names],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
