@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from eventweave.llm.pretokens import BatchEncoder
+from eventweave.llm.pretokens import BatchEncoder, split_fast, split_slow
 from eventweave.llm.textbuf import text_chunks
 
 #: Text bytes of which the distinct pre-tokens are indexed together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 2 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -35,6 +35,7 @@ class PairIndexBpe:
     """Merge ranks and token bytes of a byte-level vocabulary file."""
 
     def __init__(self, tokenizer_path: str):
+        self.path = tokenizer_path
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -62,8 +63,8 @@ class PairIndexBpe:
         for token in spec["added_tokens"]:
             self.bytes_of[token["id"]] = token["content"].encode()
 
-    def encode_words(self, contents: list[bytes]) -> list[bytes]:
-        """The ids of each pre-token, as the bytes of little-endian unsigned 32-bit integers."""
+    def encode_words(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens end to end, and n + 1 bounds."""
         lengths = np.fromiter(map(len, contents), np.int64, len(contents))
         ends = np.cumsum(lengths)
         symbols = self.first[np.frombuffer(b"".join(contents), np.uint8)]
@@ -123,10 +124,14 @@ class PairIndexBpe:
                             heappush(active, k)
         final = np.array(sym, np.int64)
         alive = final >= 0
-        kept = final[alive].astype("<u4").tobytes()
-        upto = np.append(0, np.cumsum(alive))
-        cut = np.append(0, upto[ends]).tolist() if len(ends) else [0]
-        return [kept[4 * x : 4 * y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        return final[alive].astype(np.uint32), np.append(0, np.cumsum(alive))[np.append(0, ends)]
+
+    def encode_text(self, text: str) -> np.ndarray:
+        """The ids of one text, cut by the library's splitter."""
+        parts = split_slow(text, self.path)
+        ids, bounds = self.encode_words([p for p in parts if isinstance(p, bytes)])
+        pieces = iter(np.split(ids, bounds[1:-1]))
+        return np.concatenate([np.zeros(0, np.uint32), *(next(pieces) if isinstance(p, bytes) else np.array([p], np.uint32) for p in parts)])
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are not UTF-8 become the replacement character."""
@@ -141,7 +146,8 @@ def vocabulary(tokenizer_path: str) -> PairIndexBpe:
 @lru_cache(maxsize=2)
 def own_encoder(tokenizer_path: str) -> BatchEncoder:
     """One encoder for all tasks of a Python worker."""
-    return BatchEncoder(tokenizer_path, vocabulary(tokenizer_path).encode_words)
+    vocab = vocabulary(tokenizer_path)
+    return BatchEncoder(tokenizer_path, split_fast, vocab.encode_words, vocab.encode_text)
 
 
 def check_supported(tokenizer_path: str) -> None:

@@ -175,7 +175,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
 
         def parts(first: pa.RecordBatch):
             for batch in chain([first], batches):
-                for part in text_chunks(batch, "text", 4 << 20):
+                for part in text_chunks(batch, "text", 2 << 20):
                     ids, bounds = encoder.encode(part.column("text"))
                     yield np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1, part.column("doc_id").to_pylist()
 

@@ -96,7 +96,7 @@ def queue_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, source_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part_no, given = library_encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part in text_chunks(batch, "text", 4 << 20):
+            for part in text_chunks(batch, "text", 2 << 20):
                 ids, bounds = encoder.encode(part.column("text"))
                 sizes = np.diff(bounds) + 1
                 raw = memoryview(np.insert(ids, bounds[1:], end_id).astype(f"<u{width}")).cast("B")

@@ -14,10 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from eventweave.llm.textbuf import text_buffer, words
+from eventweave.llm.textbuf import lowered, text_buffer
 
+# Fixed value: the splitter of public lower-casing vocabularies with word ends.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
@@ -54,11 +57,9 @@ def plain_rows(column: pa.Array, specials: tuple[str, ...]) -> np.ndarray:
     return np.array([t.isascii() or all(map(_fast_char, set(t))) for t in texts], bool) & np.array([not any(s in t for s in specials) for t in texts], bool) if texts else np.zeros(0, bool)
 
 
-def split_fast(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of all pre-tokens in texts that lie end to end."""
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each byte, whether a text starts there (and after the end), and whether a run of a class or a text does."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.int64)
     kind = _CLASS[data]
     text_start = np.zeros(n + 1, bool)
     text_start[offsets] = True
@@ -66,6 +67,15 @@ def split_fast(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     change[0] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:])
     change |= text_start[:n]
+    return kind, text_start, change
+
+
+def split_fast(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of all pre-tokens in texts that lie end to end."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    kind, text_start, change = _runs(data, offsets)
     cut = change.copy()
     # a run of white space before a visible character gives up its last character
     visible = np.flatnonzero(change & (kind != SPACE) & ~text_start[:n])
@@ -91,13 +101,24 @@ def split_fast(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def word_slices(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of slices that hold one word and the white space around it, without gaps."""
-    starts, _, bounds = words(data, offsets)
-    first = offsets[:-1][np.diff(offsets) > 0]
-    keep = np.ones(len(starts), bool)
-    keep[bounds[:-1][bounds[:-1] < bounds[1:]]] = False
-    return np.sort(np.concatenate([first, starts[keep]]))
+def split_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of runs of one class, each with a space before it, for vocabularies that drop white space.
+
+    An apostrophe alone stays with the letters after it, so that the library itself finds contractions.
+    """
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    kind, text_start, change = _runs(data, offsets)
+    cut = change.copy()
+    visible = np.flatnonzero(change & (kind != SPACE) & ~text_start[:n])
+    visible = visible[data[visible - 1] == 0x20]
+    cut[visible - 1] = True
+    cut[visible] = False
+    quote = np.flatnonzero((data[:-1] == 0x27) & change[:-1])
+    quote = quote[change[quote + 1] & (kind[quote + 1] == LETTER) & ~text_start[quote + 1]]
+    cut[quote + 1] = False
+    return np.flatnonzero(cut)
 
 
 _splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
@@ -115,14 +136,12 @@ def split_slow(text: str, tokenizer_path: str) -> list[bytes | int]:
     return out
 
 
-def distinct_slices(data: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, list[bytes]]:
+def distinct_slices(data: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, pa.Array]:
     """For slices that cover data from starts[0] to end: the number of each one's content, and the contents."""
-    if len(starts) == 0:
-        return np.zeros(0, np.int32), []
     bounds = np.append(starts, end).astype(np.int32)
     array = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
     coded = array.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
 def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,33 +154,38 @@ def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> t
 
 
 class BatchEncoder:
-    """Token ids of whole texts, each distinct pre-token encoded once.
+    """Token ids of whole texts, each distinct slice of a batch encoded once.
 
-    ``encode_words`` turns a list of distinct byte strings into a list of uint32 arrays; its results are kept
-    in a table of at most ``capacity`` pre-tokens, and the first ones stay.
-    ``by_words``: cut at ASCII white space instead, for vocabularies that never join text across it.
+    ``encode_words`` turns a list of distinct byte strings into their ids end to end and n + 1 bounds; ``encode_text`` gives the ids of a text
+    with characters or added tokens that the fast splitters leave out. Ids of up to ``capacity`` slices are kept in flat arrays for later
+    batches, those that came first.
     """
 
-    def __init__(self, tokenizer_path: str, encode_words, capacity: int = 150_000, by_words: bool = False):
-        self.path, self.encode_words, self.capacity, self.by_words = tokenizer_path, encode_words, capacity, by_words
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        missing = [w for w in contents if w not in known]
-        fresh = dict(zip(missing, self.encode_words(missing), strict=True)) if missing else {}
-        parts = [known.get(w) or fresh.get(w, b"") for w in contents]
-        if len(known) + len(fresh) <= self.capacity:
-            known.update(fresh)
-        offsets = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, out=offsets[1:])
-        return np.frombuffer(b"".join(parts), np.uint32), offsets
+    def __init__(self, tokenizer_path: str, split, encode_words, encode_text, lower: bool = False, capacity: int = 200_000):
+        self.added = tuple(added_tokens(tokenizer_path))
+        self.split, self.encode_words, self.encode_text, self.lower, self.capacity = split, encode_words, encode_text, lower, capacity
+        self.known, self.ids, self.bounds = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, contents: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct slices end to end, and bounds."""
+        place = pc.index_in(contents, value_set=self.known)
+        missing = contents.filter(place.is_null())
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, bounds = self.ids, self.bounds
+        if len(missing):
+            fresh, cuts = self.encode_words(missing.to_pylist())
+            at[at < 0] = len(self.known) + np.arange(len(missing))
+            ids, bounds = np.concatenate([ids, fresh]), np.concatenate([bounds, bounds[-1] + cuts[1:]])
+            room = min(len(missing), self.capacity - len(self.known))
+            if room > 0:
+                self.known = pa.concat_arrays([self.known, missing.slice(0, room)])
+                self.bounds = bounds[: len(self.known) + 1].copy()
+                self.ids = ids[: self.bounds[-1]].copy()
+        return ragged_take(ids, bounds, at)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end as uint32, and n + 1 bounds."""
-        if self.by_words:
-            return self._encode_fast(column)
-        fast = plain_rows(column, tuple(added_tokens(self.path)))
+        fast = plain_rows(column, self.added)
         if fast.all():
             return self._encode_fast(column)
         ids, sizes = [], np.zeros(len(column) + 1, np.int64)
@@ -176,35 +200,44 @@ class BatchEncoder:
                 sizes[lo + 1 : hi + 1] = np.diff(bounds)
             else:
                 for row in range(lo, hi):
-                    part = self._encode_slow(column[row].as_py())
-                    ids.append(part)
-                    sizes[row + 1] = len(part)
+                    ids.append(np.asarray(self.encode_text(column[row].as_py()), np.uint32))
+                    sizes[row + 1] = len(ids[-1])
             lo = hi
         return np.concatenate(ids), np.cumsum(sizes)
 
-    def _encode_slow(self, text: str) -> np.ndarray:
-        parts = split_slow(text, self.path)
-        contents = list({p: None for p in parts if isinstance(p, bytes)})
-        values, offsets = self._ids(contents)
-        place = {w: k for k, w in enumerate(contents)}
-        return np.concatenate([np.zeros(0, np.uint32), *(values[offsets[place[p]] : offsets[place[p] + 1]] if isinstance(p, bytes) else np.array([p], np.uint32) for p in parts)])
-
     def _encode_fast(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_buffer(column)
-        starts = word_slices(data, offsets) if self.by_words else split_fast(data, offsets)
-        index, contents = distinct_slices(data, starts, len(data))
-        if not contents:
+        if self.lower:
+            data = lowered(data)
+        starts = self.split(data, offsets)
+        if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        index, contents = distinct_slices(data, starts, len(data))
         ids, bounds = ragged_take(*self._ids(contents), index)
         return ids, bounds[np.searchsorted(starts, offsets)]
 
 
 def library_words(tokenizer_path: str):
-    """encode_words by the tokenizers library."""
-    tokenizer = load(tokenizer_path)
-
-    def encode(contents: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in contents], add_special_tokens=False)]
+    """encode_words by the tokenizers library: many slices in one call, apart by an added token."""
+    tokenizer, added = load(tokenizer_path), added_tokens(tokenizer_path)
+    apart, mark = next(iter(added.items()), (None, None))
+
+    def encode(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes = [], [np.zeros(1, np.int64)]
+        for lo in range(0, len(contents), 512):  # the library's results are large
+            words_ = [w.decode() for w in contents[lo : lo + 512]]
+            if apart is None:
+                found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(words_, add_special_tokens=False)]
+                parts.extend(found)
+                sizes.append(np.array([len(x) for x in found], np.int64))
+            else:
+                ids = np.array(tokenizer.encode_batch_fast([apart.join(words_)], add_special_tokens=False)[0].ids, np.uint32)
+                marks = np.flatnonzero(ids == mark)
+                if len(marks) != len(words_) - 1:
+                    raise ValueError("a slice holds an added token")
+                parts.append(ids[ids != mark])
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum(np.concatenate(sizes))
 
     return encode
 
@@ -213,18 +246,20 @@ def library_words(tokenizer_path: str):
 def library_encoder(tokenizer_path: str) -> BatchEncoder:
     """The library's ids of whole texts; one encoder for all tasks of a Python worker.
 
-    Byte-level vocabularies without a normaliser work on pre-tokens. Others work on words if their splitter drops
-    white space, so that no token and no normalised character spans it.
+    Byte-level vocabularies without a normaliser work on pre-tokens; lower-casing ones with the pattern below, whose matches never join two classes of
+    characters but for contractions, work on runs of a class.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)
     split = spec["pre_tokenizer"] or {}
     parts = split.get("pretokenizers", [split])
     plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec["normalizer"]
-    apart = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and not any(p.get("add_prefix_space") for p in parts)
-    if not plain and not apart:
+    classes = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and parts[0].get("pattern") == {"Regex": WORD_PATTERN}
+    lowers = any(x.get("type") == "Lowercase" for x in (spec["normalizer"] or {}).get("normalizers", []))
+    if not plain and not (classes and lowers and not any(p.get("add_prefix_space") for p in parts)):
         raise ValueError(f"{tokenizer_path}: texts of this tokenizer can't be encoded by parts")
-    return BatchEncoder(tokenizer_path, library_words(tokenizer_path), by_words=not plain)
+    whole = load(tokenizer_path)
+    return BatchEncoder(tokenizer_path, split_fast if plain else split_words, library_words(tokenizer_path), lambda text: whole.encode(text, add_special_tokens=False).ids, lower=not plain)
 
 
 def id_width(tokenizer_path: str) -> int:
