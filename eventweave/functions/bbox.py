@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventweave.functions.text import let
+
 
 def normalize_bbox(box: Column) -> Column:
     """Four numbers as doubles (numeric strings too), else null."""
     cast = F.transform(box, lambda v: v.cast("string").try_cast("double"))
-    return F.when((F.size(box) == 4) & ~F.exists(cast, lambda v: v.isNull()), cast)
+    return let(cast, lambda c: F.when((F.size(c) == 4) & ~F.exists(c, lambda v: v.isNull()), c))
 
 
 def area(box: Column) -> Column:
@@ -24,9 +26,12 @@ def intersection(a: Column, b: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union with exclusive corners; 0 without overlap or area."""
-    both = intersection(a, b)
-    union = area(a) + area(b) - both
-    return F.when((both > 0) & (union > 0), both / F.when(union > 0, union)).otherwise(0.0)
+    def ratio(x: Column) -> Column:
+        union = area(x["a"]) + area(x["b"]) - x["both"]
+        return F.when(x["both"] > 0, F.coalesce(F.try_divide(x["both"], F.greatest(union, F.lit(0.0))), F.lit(0.0))).otherwise(0.0)
+
+    boxes = F.struct(a.alias("a"), b.alias("b"))
+    return let(let(boxes, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), intersection(x["a"], x["b"]).alias("both"))), ratio)
 
 
 def pixel_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
@@ -40,24 +45,32 @@ def pixel_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
 
 def box_quality(pred: Column, gold: Column, matched: float = 0.5, low: float = 0.1, cover_high: float = 0.9, purity_low: float = 0.5) -> Column:
     """How a predicted box misses: no or weak overlap, too large, too small, or shifted; ``matched`` at the threshold or above."""
-    overlap, both = iou(pred, gold), intersection(pred, gold)
-    coverage = F.coalesce(F.try_divide(both, area(gold)), F.lit(0.0))
-    purity = F.coalesce(F.try_divide(both, area(pred)), F.lit(0.0))
-    return (
-        F.when(overlap >= matched, "matched")
-        .when(overlap <= 0, "no_overlap")
-        .when(overlap < low, "weak_overlap")
-        .when((coverage >= cover_high) & (purity < purity_low), "box_not_precise_enough_oversized")
-        .when((purity >= cover_high) & (coverage < purity_low), "box_not_precise_enough_undersized")
-        .otherwise("box_not_precise_enough_shifted")
-    )
+    def judge(x: Column) -> Column:
+        return (
+            F.when(x["iou"] >= matched, "matched")
+            .when(x["iou"] <= 0, "no_overlap")
+            .when(x["iou"] < low, "weak_overlap")
+            .when((x["cover"] >= cover_high) & (x["pure"] < purity_low), "box_not_precise_enough_oversized")
+            .when((x["pure"] >= cover_high) & (x["cover"] < purity_low), "box_not_precise_enough_undersized")
+            .otherwise("box_not_precise_enough_shifted")
+        )
+
+    def measure(x: Column) -> Column:
+        share = lambda own: F.coalesce(F.try_divide(intersection(x["p"], x["g"]), area(own)), F.lit(0.0))
+        return F.struct(iou(x["p"], x["g"]).alias("iou"), share(x["g"]).alias("cover"), share(x["p"]).alias("pure"))
+
+    return let(let(F.struct(pred.alias("p"), gold.alias("g")), measure), judge)
 
 
 def quality_bucket(quality: Column, side: str) -> Column:
     """The counter of an unmatched box: ``side`` is fp or fn. A quality without a counter of its own counts as spurious or missing."""
     rest = "image.fp_spurious_argument" if side == "fp" else "image.fn_missing_argument"
-    suffix = F.when(quality.isin("weak_overlap", "no_overlap"), F.concat(quality, F.lit("_same_role"))).when(quality.startswith("box_"), quality)
-    return F.coalesce(F.concat(F.lit(f"image.{side}_"), suffix), F.lit(rest))
+
+    def name(q: Column) -> Column:
+        suffix = F.when(q.isin("weak_overlap", "no_overlap"), F.concat(q, F.lit("_same_role"))).when(q.startswith("box_"), q)
+        return F.coalesce(F.concat(F.lit(f"image.{side}_"), suffix), F.lit(rest))
+
+    return let(quality, name)
 
 
 def rescale(value: Column, shift: Column, scale: Column) -> Column:

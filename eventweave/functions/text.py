@@ -11,6 +11,11 @@ WS = r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]"
 TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?|[^\p{L}\p{N}_\p{Z}\x09-\x0d\x1c-\x1f\x85]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once and written once in the plan, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def truthy(col: Column) -> Column:
     """A value as trimmed text; null is the empty string."""
     return trim_ws(F.coalesce(col.cast("string"), F.lit("")))

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.functions.text import squeeze_key, trim_ws
+from eventweave.functions.text import let, squeeze_key, trim_ws
 
 # Event types, their roles, and how visible a role is in images. Text and image roles are the same.
 ROLES = {
@@ -61,24 +61,25 @@ def allowed_roles(event_type: Column) -> Column:
 
 def canonical_type(value: Column) -> Column:
     """An event type by its name, an alias, or either without punctuation and case; else as it is. Null is empty."""
-    raw = trim_ws(F.coalesce(value, F.lit("")))
     loose = {_squeezed(t): t for t in ROLES} | {_squeezed(a): t for a, t in TYPE_ALIASES.items()}
-    return F.coalesce(_look_up(TYPE_ALIASES, raw), F.when(is_supported(raw), raw), _look_up(loose, squeeze_key(raw)), raw)
+    return let(trim_ws(F.coalesce(value, F.lit(""))), lambda raw: F.coalesce(_look_up(TYPE_ALIASES, raw), F.when(is_supported(raw), raw), _look_up(loose, squeeze_key(raw)), raw))
 
 
 def canonical_role(value: Column) -> Column:
-    raw = trim_ws(F.coalesce(value, F.lit("")))
-    return F.coalesce(_look_up(ROLE_ALIASES, raw), _look_up({_squeezed(a): r for a, r in ROLE_ALIASES.items()}, squeeze_key(raw)), raw)
+    loose = {_squeezed(a): r for a, r in ROLE_ALIASES.items()}
+    return let(trim_ws(F.coalesce(value, F.lit(""))), lambda raw: F.coalesce(_look_up(ROLE_ALIASES, raw), _look_up(loose, squeeze_key(raw)), raw))
 
 
 def canonical_role_for(event_type: Column, value: Column) -> Column:
     """A role by global aliases and then those of its (canonical) event type."""
-    role = canonical_role(value)
-    out = role
-    for name, aliases in EVENT_ROLE_ALIASES.items():
-        own = F.coalesce(_look_up(aliases, role), _look_up({_squeezed(a): r for a, r in aliases.items()}, squeeze_key(role)), role)
-        out = F.when(event_type == name, own).otherwise(out)
-    return out
+    def own(role: Column) -> Column:
+        out = role
+        for name, aliases in EVENT_ROLE_ALIASES.items():
+            loose = {_squeezed(a): r for a, r in aliases.items()}
+            out = F.when(event_type == name, F.coalesce(_look_up(aliases, role), _look_up(loose, squeeze_key(role)), role)).otherwise(out)
+        return out
+
+    return let(canonical_role(value), own)
 
 
 def visibility(event_type: Column, role: Column) -> Column:

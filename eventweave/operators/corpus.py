@@ -46,9 +46,11 @@ def flatten_maven(documents: DataFrame) -> DataFrame:
     entity's first mention; arguments with neither are dropped. Roles end at the first underscore."""
     entities = F.filter(F.coalesce(F.col("entities"), F.array()), lambda e: F.size(e["mention"]) > 0)
     named = F.transform(entities, lambda e: F.struct(e["id"].alias("key"), e["mention"][0]["mention"].alias("value")))
+    documents = documents.withColumn("__named", named)
+    pairs = F.col("__named")
     # of equal ids the last counts
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
-    rows = documents.select(truthy(F.col("id")).alias("doc_id"), clean_text(F.col("document")).alias("text"), F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias("known"), F.posexplode("events").alias("i", "e"))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
+    rows = documents.withColumn("__last", last).select(truthy(F.col("id")).alias("doc_id"), clean_text(F.col("document")).alias("text"), F.map_from_entries("__last").alias("known"), F.posexplode("events").alias("i", "e"))
     mention = F.try_element_at("e.mention", F.lit(1))
     pairs = F.flatten(F.transform(F.map_entries(F.coalesce(F.col("e.argument"), F.create_map().cast("map<string,array<struct<content:string,entity_id:string,offset:array<int>>>>"))), lambda kv: F.transform(kv["value"], lambda a: F.struct(F.substring_index(kv["key"], "_", 1).alias("role"), clean_text(F.coalesce(F.nullif(truthy(a["content"]), F.lit("")), F.try_element_at("known", a["entity_id"]))).alias("text")))))
     return rows.select(

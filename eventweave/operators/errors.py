@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventweave.functions.bbox import box_quality, iou, quality_bucket
+from eventweave.functions.text import let
 from eventweave.ontology import allowed_roles, canonical_role, mentions_weak_place
 from eventweave.operators import matching as m
+from eventweave.operators.scoring import settle
 
 # Counters of the breakdown and categories of the summary.
 TEXT_COUNTERS = (
@@ -44,7 +46,8 @@ def breakdown_events(scored: DataFrame, threshold: float = 0.5, low: float = 0.2
     differ = (F.col("gold_type") != "") & (F.col("pred_type") != "") & (F.col("gold_type") != F.col("pred_type"))
     untyped = (F.col("gold_type") != "") & (F.col("pred_type") == "")
     one = lambda c, n=None, g=None, p=None: F.struct(c.alias("counter"), (F.lit(1) if n is None else n).cast("int").alias("n"), (F.lit(None) if g is None else g).cast("string").alias("gold_role"), (F.lit(None) if p is None else p).cast("string").alias("pred_role"))
-    base = scored.withColumns(
+    base = settle(
+        scored,
         {
             "spare_gold": m.leftovers(F.col("gold_text"), F.col("pred_text"), _whole),
             "spare_pred": m.leftovers(F.col("pred_text"), F.col("gold_text"), _whole),
@@ -52,7 +55,7 @@ def breakdown_events(scored: DataFrame, threshold: float = 0.5, low: float = 0.2
             "loose_gold": m.not_chosen(F.col("gold_image"), F.col("partners")),
             "gold_roles": allowed_roles(F.col("gold_type")),
             "pred_roles": allowed_roles(F.col("pred_type")),
-        }
+        },
     )
     outside = lambda p: (F.size("gold_roles") > 0) & ~F.array_contains("gold_roles", p["role"])
 
@@ -65,12 +68,14 @@ def breakdown_events(scored: DataFrame, threshold: float = 0.5, low: float = 0.2
         return one(F.when(untyped, "text.fn_due_to_missing_event_type").otherwise(bucket), g=g["role"])
 
     def image(item: Column, others: str, side: str) -> Column:
-        wrong = m.best_box(item, F.col(others), same_role=False, threshold=threshold)
-        same = m.best_box(item, F.col(others), same_role=True)
-        pred, gold = (item["bbox"], same["bbox"]) if side == "fp" else (same["bbox"], item["bbox"])
-        quality = box_quality(pred, gold, threshold, low, cover_high, purity_low)
         none = "image.fp_spurious_argument" if side == "fp" else "image.fn_missing_argument"
-        bucket = F.when(wrong.isNotNull(), f"image.{side}_wrong_role_correct_box").when(same.isNull(), none).otherwise(quality_bucket(quality, side))
+
+        def bucket_of(same: Column) -> Column:
+            pred, gold = (item["bbox"], same["bbox"]) if side == "fp" else (same["bbox"], item["bbox"])
+            return F.when(same.isNull(), none).otherwise(quality_bucket(box_quality(pred, gold, threshold, low, cover_high, purity_low), side))
+
+        wrong = m.best_box(item, F.col(others), same_role=False, threshold=threshold)
+        bucket = F.when(wrong.isNotNull(), f"image.{side}_wrong_role_correct_box").otherwise(let(m.best_box(item, F.col(others), same_role=True), bucket_of))
         if side == "fp":
             return one(F.when(differ, "image.fp_due_to_wrong_event_type").otherwise(bucket), p=item["role"])
         return one(F.when(untyped, "image.fn_due_to_missing_event_type").otherwise(bucket), g=item["role"])
@@ -111,14 +116,15 @@ def error_categories(scored: DataFrame, traces: DataFrame | None = None, image_i
         rows = rows.join(traces.select("sample_id", F.transform("stage_c_output.image_arguments", lambda a: F.struct(canonical_role(a["role"]).alias("role"), a["label"].alias("label"))).alias("candidates"), F.col("grounding_results").alias("grounded"), F.col("verifier_output.verified").alias("verified")), "sample_id", "left")
     else:
         rows = rows.withColumns({"candidates": F.lit(None).cast("array<struct<role:string,label:string>>"), "grounded": F.lit(None).cast("array<struct<role:string,grounding_status:string>>"), "verified": F.lit(None).cast("boolean")})
-    rows = rows.withColumns(
+    rows = settle(
+        rows,
         {
             "spare_gold": m.leftovers(F.col("gold_text"), F.col("pred_text"), _whole),
             "spare_pred": m.leftovers(F.col("pred_text"), F.col("gold_text"), _whole),
             "loose_pred": m.unmatched(F.col("pred_image"), F.col("partners")),
             "loose_gold": m.not_chosen(F.col("gold_image"), F.col("partners")),
             "gold_box_roles": F.array_distinct(F.transform("gold_image", lambda a: a["role"])),
-        }
+        },
     )
     swapped = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), lambda g, p: m.same_trigger(g, p) & m.same_span(g, p) & (g["role"] != p["role"]))
     longer = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), lambda g, p: m.same_trigger(g, p) & (g["role"] == p["role"]) & (p["start"] <= g["start"]) & (p["end"] >= g["end"]) & ((p["start"] < g["start"]) | (p["end"] > g["end"])))
@@ -131,6 +137,8 @@ def error_categories(scored: DataFrame, traces: DataFrame | None = None, image_i
     ground_n = lambda r: F.coalesce(F.size(F.filter("grounded", lambda a: (canonical_role(a["role"]) == r) & (a["grounding_status"] == "grounded"))), F.lit(0))
     missed = F.filter("gold_box_roles", lambda r: traced & (pred_n(r) < gold_n(r)) & (cand_n(r) < gold_n(r)))
     lost = F.filter("gold_box_roles", lambda r: traced & (pred_n(r) < gold_n(r)) & (cand_n(r) >= gold_n(r)) & (ground_n(r) < F.least(cand_n(r), gold_n(r))))
+    rows = settle(rows, {"swapped": swapped, "longer": longer, "low": low, "short": short, "missed": missed, "lost": lost})
+    longer, swapped, low, short, missed, lost = (F.col(c) for c in ("longer", "swapped", "low", "short", "missed", "lost"))
     place = F.lit("Place")
     weak = F.exists("candidates", lambda c: (c["role"] == place) & mentions_weak_place(c["label"])) & (pred_n(place) > gold_n(place))
     right = (F.size("spare_gold") == 0) & (F.size("spare_pred") == 0) & (F.col("image_tp") == F.size("gold_image")) & (F.col("image_tp") == F.size("pred_image")) & F.col("gate")

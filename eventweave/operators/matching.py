@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventweave.functions.bbox import iou
+from eventweave.functions.text import let
 
 TEXT_ARG = "struct<event_type:string,trigger_start:int,trigger_end:int,role:string,raw_role:string,start:int,end:int>"
 IMAGE_ARG = "struct<event_type:string,role:string,raw_role:string,bbox:array<double>>"
@@ -124,7 +125,7 @@ def best_box(item: Column, candidates: Column, same_role: bool, threshold: float
         return out if threshold is None else out & (iou(c["x"]["bbox"], item["bbox"]) >= threshold)
 
     best = F.array_max(F.transform(F.filter(_indexed(candidates), fits), lambda c: F.struct(iou(c["x"]["bbox"], item["bbox"]).alias("o"), (-c["i"]).alias("n"))))
-    return F.when(best.isNotNull(), F.try_element_at(candidates, -best["n"] + 1))
+    return let(best, lambda b: F.when(b.isNotNull(), F.try_element_at(candidates, -b["n"] + 1)))
 
 
 def rescues(gold: Column, pred: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.functions.bbox import iou, normalize_bbox
-from eventweave.functions.text import trim_ws
+from eventweave.functions.text import let, trim_ws
 from eventweave.ontology import canonical_role_for, canonical_type
 from eventweave.operators import matching as m
 
@@ -30,30 +30,33 @@ def gold_type(s: str = "") -> Column:
 
 def gold_arguments(gold: DataFrame) -> DataFrame:
     """(sample_id, gold_type, gold_text, gold_image) of gold samples. Boxes come from the flat list, or from the role map if that yields none."""
-    base = gold.withColumn("__type", gold_type())
+    base = settle(gold, {"__type": gold_type()})
 
     def text(mention: Column) -> Column:
-        own = F.when(canonical_type(mention["event_type"]) != "", canonical_type(mention["event_type"])).otherwise(F.col("__type"))
-        return F.transform(F.coalesce(mention["arguments"], F.array()), lambda a: F.struct(own.alias("event_type"), mention["trigger"]["start"].alias("trigger_start"), mention["trigger"]["end"].alias("trigger_end"), canonical_role_for(own, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
+        kind = let(canonical_type(mention["event_type"]), lambda t: F.when(t != "", t).otherwise(F.col("__type")))
+        return let(kind, lambda own: F.transform(F.coalesce(mention["arguments"], F.array()), lambda a: F.struct(own.alias("event_type"), mention["trigger"]["start"].alias("trigger_start"), mention["trigger"]["end"].alias("trigger_end"), canonical_role_for(own, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end"))))
 
     def box(type_: Column, role: Column, bbox: Column) -> Column:
-        own = F.when(canonical_type(type_) != "", canonical_type(type_)).otherwise(F.col("__type"))
-        return F.struct(own.alias("event_type"), canonical_role_for(own, role).alias("role"), trim_ws(F.coalesce(role, F.lit(""))).alias("raw_role"), normalize_bbox(bbox).alias("bbox"))
+        kind = let(canonical_type(type_), lambda t: F.when(t != "", t).otherwise(F.col("__type")))
+        return let(kind, lambda own: F.struct(own.alias("event_type"), canonical_role_for(own, role).alias("role"), trim_ws(F.coalesce(role, F.lit(""))).alias("raw_role"), normalize_bbox(bbox).alias("bbox")))
 
     texts = F.filter(F.flatten(F.transform(F.coalesce("text_event_mentions", F.array()), text)), lambda a: (a["role"] != "") & a["start"].isNotNull() & a["end"].isNotNull())
     flat = F.filter(F.transform(F.coalesce("image_arguments_flat", F.array()), lambda a: box(a["event_type"], a["role"], a["bbox"])), lambda a: (a["role"] != "") & a["bbox"].isNotNull())
     pairs = F.map_entries(F.coalesce(F.col("image_event.role"), F.create_map().cast("map<string,array<struct<image_ref:string,bbox:array<double>>>>")))
     mapped = F.filter(F.flatten(F.transform(pairs, lambda kv: F.transform(F.coalesce(kv["value"], F.array()), lambda b: box(F.col("image_event.event_type"), kv["key"], b["bbox"])))), lambda a: a["bbox"].isNotNull())
-    return base.select(F.col("id").alias("sample_id"), F.col("__type").alias("gold_type"), texts.alias("gold_text"), F.when(F.size(flat) > 0, flat).otherwise(mapped).alias("gold_image"))
+    made = settle(base.withColumns({"sample_id": F.col("id"), "gold_type": F.col("__type")}), {"gold_text": texts, "flat": flat, "mapped": mapped})
+    return made.select("sample_id", "gold_type", "gold_text", F.when(F.size("flat") > 0, F.col("flat")).otherwise(F.col("mapped")).alias("gold_image"))
 
 
 def predicted_arguments(pred: DataFrame) -> DataFrame:
     """(sample_id, pred_type, pred_text, pred_image, invalid_image) of prediction records; of records with one id the last counts (``_pos``)."""
     one = m.last_wins(pred, "id") if "_pos" in pred.columns else pred
-    base = one.withColumn("__type", canonical_type(F.col("prediction.event_type")))
+    base = settle(one, {"__type": canonical_type(F.col("prediction.event_type"))})
     t = F.col("__type")
     text = F.transform(F.coalesce("prediction.text_arguments", F.array()), lambda a: F.struct(t.alias("event_type"), F.col("prediction.trigger.start").alias("trigger_start"), F.col("prediction.trigger.end").alias("trigger_end"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
     image = F.transform(F.coalesce("prediction.image_arguments", F.array()), lambda a: F.struct(t.alias("event_type"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), normalize_bbox(a["bbox"]).alias("bbox")))
+    base = settle(base, {"__text": text, "__image": image})
+    text, image = F.col("__text"), F.col("__image")
     return base.select(
         F.col("id").alias("sample_id"),
         t.alias("pred_type"),
@@ -63,18 +66,24 @@ def predicted_arguments(pred: DataFrame) -> DataFrame:
     )
 
 
+def settle(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with new columns, computed once: a one-row explode keeps the optimiser from writing them out wherever they are used."""
+    made = rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("__made"))
+    return made.select(*[made[c] for c in rows.columns if c not in columns], *[F.col(f"__made.{k}").alias(k) for k in columns])
+
+
 def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Every gold sample with its prediction, or with an empty one."""
     joined = gold_arguments(gold).join(predicted_arguments(pred), "sample_id", "left")
     empty = {"pred_type": F.lit(""), "pred_text": F.array().cast(f"array<{m.TEXT_ARG}>"), "pred_image": F.array().cast(f"array<{m.IMAGE_ARG}>"), "invalid_image": F.lit(0)}
-    return joined.withColumns({c: F.coalesce(F.col(c), v) for c, v in empty.items()})
+    return settle(joined, {c: F.coalesce(F.col(c), v) for c, v in empty.items()})
 
 
 def score_samples(pairs: DataFrame, image_iou: float = 0.5, ignore_trigger: bool = False) -> DataFrame:
     """pairs with event_tp, gate, text_tp, partners (of predicted boxes) and image_tp."""
     tuples = lambda c: F.transform(c, lambda a: m.text_tuple(a, ignore_trigger))
     gate = (F.col("gold_type") != "") & (F.col("gold_type") == F.col("pred_type"))
-    out = pairs.withColumns({"gate": gate, "event_tp": gate.cast("int"), "text_tp": m.multiset_tp(tuples("gold_text"), tuples("pred_text")), "partners": m.greedy_iou(F.col("pred_image"), F.col("gold_image"), image_iou)})
+    out = settle(pairs, {"gate": gate, "event_tp": gate.cast("int"), "text_tp": m.multiset_tp(tuples("gold_text"), tuples("pred_text")), "partners": m.greedy_iou(F.col("pred_image"), F.col("gold_image"), image_iou)})
     return out.withColumn("image_tp", F.size(F.filter("partners", lambda g: g >= 0)))
 
 

@@ -171,7 +171,7 @@ def grounding_requests(args: Column) -> Column:
 
 def candidate_queries(query: Column) -> Column:
     """Up to three phrases for a detector: parts between pipes, and what follows a colon; each once whatever its case."""
-    parts = F.filter(F.transform(F.split(query, r"\|{1,2}"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(query, r"\|{1,2}"), lambda x: F.trim(x)), lambda x: x != "")
     every = F.flatten(F.transform(parts, lambda x: F.array(x, F.trim(F.substring_index(x, ":", -1)))))
     first = F.filter(every, lambda x, i: (x != "") & ~F.exists(F.slice(every, 1, i), lambda y: F.lower(y) == F.lower(x)))
     return F.slice(first, 1, 3)

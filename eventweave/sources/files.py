@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,13 @@ def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("value", (start + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("_pos"))
 
 
+def _is_lines(text: Column) -> Column:
+    """Whether a text is several lines of which the first is an object by itself."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    first = F.try_element_at(lines, F.lit(1))
+    return (F.size(lines) > 1) & first.startswith("{") & first.endswith("}") & F.try_parse_json(first).isNotNull()
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: Schema, kind: str = "samples") -> DataFrame:
     """Records of a JSON file: an array, an object that wraps an array, or one record. A ``.jsonl`` path is read by lines; so is, for corpora,
     a file that isn't one JSON value."""
@@ -46,12 +53,12 @@ def read_json_documents(spark: SparkSession, path: str, schema: Schema, kind: st
     text = F.trim("value")
     row = (schema if isinstance(schema, str) else schema.simpleString()).strip()
     item = row if row.startswith("struct<") else f"struct<{', '.join(row.split(', '))}>"
-    head = whole.select(F.substring(text, 1, 1).alias("c"), F.from_json("value", "map<string,string>").alias("m"), F.try_parse_json(F.col("value")).isNull().alias("bad")).first()
+    head = whole.select(F.substring(text, 1, 1).alias("c"), F.from_json("value", "map<string,string>").alias("m"), F.try_parse_json(F.col("value")).isNull().alias("bad"), _is_lines(text).alias("lines")).first()
     if head is None:
         return spark.createDataFrame([], schema)
-    if head["bad"] and kind == "corpus":
+    if (head["bad"] or head["lines"]) and kind == "corpus":
         return read_jsonl(spark, path, schema)
-    if head["bad"]:
+    if head["bad"] or head["lines"]:
         raise ValueError(f"{path} is not JSON")
     if head["c"] == "[":
         return whole.select(F.explode(F.from_json("value", f"array<{item}>")).alias("r")).where("r is not null").select("r.*")
