@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventweave.llm.pretokens import BatchEncoder, split_fast, split_slow
-from eventweave.llm.textbuf import text_chunks
+from eventweave.llm.scratch import small_batches
+from eventweave.llm.textbuf import binary_cells, text_chunks
 
 #: Text bytes of which the distinct pre-tokens are indexed together.
 INDEX_BYTES = 2 << 20
@@ -167,6 +168,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     repeated rows are encoded each; other columns are ignored; rows with a null id are kept. Nothing is shuffled: a partition's rows are
     encoded where they are read.
     """
+    small_batches(docs.sparkSession)
     check_supported(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +176,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for part in text_chunks(batch, "text", INDEX_BYTES):
                 ids, bounds = encoder.encode(part.column("text"))
-                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-                cells = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                columns = [part.column("doc_id"), pa.array(cells, pa.binary())]
+                columns = [part.column("doc_id"), binary_cells(ids.astype("<u4"), bounds)]
                 if decode:
-                    columns.append(pa.array([vocab.decode(np.frombuffer(c, "<u4").tolist()) for c in cells], pa.string()))
+                    columns.append(pa.array([vocab.decode(x.tolist()) for x in np.split(ids, bounds[1:-1])] if part.num_rows else [], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()

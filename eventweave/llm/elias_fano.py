@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventweave.llm.pretokens import id_width, library_encoder
-from eventweave.llm.scratch import filesystem, materialize
-from eventweave.llm.textbuf import text_chunks
+from eventweave.llm.scratch import filesystem, materialize, small_batches
+from eventweave.llm.textbuf import binary_cells, text_chunks
 
 SELECT_STEP = 512
 _MAGIC = b"EFTOKEN1"
@@ -167,6 +167,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     (shard, path, n_docs, n_ids, start): ``start`` counts the ids in all files before. A task writes under a name of its own
     and only the manifest, committed by Spark, says which files count, so repeated and lost tasks do no harm.
     """
+    small_batches(docs.sparkSession)
     width = id_width(tokenizer_path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +205,10 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     while lo < file.n_docs:
                         begin = int(ends[lo - 1]) if lo else 0
                         hi = max(lo + 1, int(np.searchsorted(ends, begin + READ_IDS, side="right")))
-                        raw = memoryview(file.ids(begin, int(ends[hi - 1]))).cast("B")
+                        ids = file.ids(begin, int(ends[hi - 1]))
                         stops = ends[lo:hi]
                         starts = np.append(begin, stops[:-1])
-                        cells = [raw[4 * (a - begin) : 4 * (b - begin)] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi], pa.int64()), pa.array(base + starts), pa.array(stops - starts), pa.array(cells, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi], pa.int64()), pa.array(base + starts), pa.array(stops - starts), binary_cells(ids, np.append(begin, stops) - begin)], ["doc_id", "start", "n_tokens", "ids"])
                         lo = hi
 
     files = max(1, manifest.count())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.llm.graph import components
-from eventweave.llm.scratch import materialize
+from eventweave.llm.scratch import materialize, small_batches
 from eventweave.llm.textbuf import U64, mix, shingle_sets, text_chunks
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
@@ -108,6 +108,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     smallest doc_id reached by links. Texts without words, null texts among them, link with nothing. Rows with a null doc_id link with
     nothing, have a null component_id and are kept. Rows that repeat a doc_id with other texts count as one document in links. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = materialize(signatures(docs, id_col, text_col, width), "signatures")
     usable = signed.where("digest is not null and doc_id is not null")

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventweave.llm.pretokens import id_width, library_encoder
-from eventweave.llm.scratch import scratch_path
-from eventweave.llm.textbuf import text_chunks
+from eventweave.llm.scratch import materialize, small_batches
+from eventweave.llm.textbuf import binary_cells, text_chunks
 
 #: Shares are multiples of about 1 / 2**18; products with window numbers then fit 64 bits at 25e12 tokens.
 SHARE_UNITS = 1 << 18
@@ -87,7 +87,7 @@ def queue_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, source_c
     Rows are range-partitioned on (queue, id, text hash): a hot source is spread over many partitions. Every document ends with ``end_id``;
     null and empty texts hold only that. A null source is a queue of its own. More than ``max_queues`` sources share that many queues by hash.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     width = id_width(tokenizer_path)
     source = docs[source_col].cast("string")
     many = docs.select(source.alias("q")).distinct().limit(max_queues + 1).count() > max_queues
@@ -99,20 +99,16 @@ def queue_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, source_c
             for part in text_chunks(batch, "text", 2 << 20):
                 ids, bounds = encoder.encode(part.column("text"))
                 sizes = np.diff(bounds) + 1
-                raw = memoryview(np.insert(ids, bounds[1:], end_id).astype(f"<u{width}")).cast("B")
-                ends = np.cumsum(sizes)
+                full = np.insert(ids, bounds[1:], end_id).astype(f"<u{width}")
                 queues, starts = part.column("queue").to_pylist(), []
                 for q, n in zip(queues, sizes.tolist(), strict=True):
                     starts.append(given.get(q, 0))
                     given[q] = starts[-1] + n
-                cells = [raw[width * (b - n) : width * b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), pa.array(cells, pa.binary()), pa.array(sizes), pa.array(starts, pa.int64()), pa.array([part_no] * len(starts), pa.int64())], ["doc_id", "queue", "ids", "n_tokens", "local_start", "part"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), binary_cells(full, np.append(0, np.cumsum(sizes))), pa.array(sizes), pa.array(starts, pa.int64()), pa.array([part_no] * len(starts), pa.int64())], ["doc_id", "queue", "ids", "n_tokens", "local_start", "part"])
 
     keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), queue.alias("queue"), docs[text_col].cast("string").alias("text"))
     ordered = keyed.repartitionByRange("queue", "doc_id", F.xxhash64("text")).sortWithinPartitions("queue", "doc_id", "text")
-    path = scratch_path(spark, "queues")
-    ordered.mapInArrow(encode, _TOKENS).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(_TOKENS).parquet(path)
+    return materialize(ordered.mapInArrow(encode, _TOKENS), "queues")
 
 
 def pack(tokens: DataFrame, tokenizer_path: str, window: int = 2048, grain: int = 16, targets: dict | None = None) -> DataFrame:
@@ -121,6 +117,7 @@ def pack(tokens: DataFrame, tokenizer_path: str, window: int = 2048, grain: int
     ``targets`` gives token weights by source; without it each window has the corpus's own proportions, and all queues end together. With it,
     queues that run dry leave their turns to the others, and every token is still packed. ``ids`` are little-endian unsigned 32-bit.
     """
+    small_batches(tokens.sparkSession)
     width = id_width(tokenizer_path)
     # a row for each partition and queue that meet: at most their numbers together, since partitions are ranges of queues
     by_part = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
@@ -140,12 +137,10 @@ def pack(tokens: DataFrame, tokenizer_path: str, window: int = 2048, grain: int
         doc, at, size, position = schedule.pieces(queue, start, length)
         raw = b"".join(part.column("ids").to_pylist())
         ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-        begin = (np.cumsum(length) - length)[doc] + at
-        view = memoryview(ids).cast("B")
-        cells = [view[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+        cells = binary_cells(ids, np.append(0, np.cumsum(size)))  # pieces come in the order of documents and places
         index = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(index), part.column("queue").take(index), pa.array(at), pa.array(size), pa.array(cells, pa.binary()), pa.array(length[doc]), pa.array(position // window), pa.array(position % window)],
+            [part.column("doc_id").take(index), part.column("queue").take(index), pa.array(at), pa.array(size), cells, pa.array(length[doc]), pa.array(position // window), pa.array(position % window)],
             ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 

@@ -7,6 +7,7 @@ equal pre-tokens are encoded once. Texts with characters outside the fast classe
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import unicodedata
@@ -153,6 +154,15 @@ def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> t
     return values[at], bounds
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release_freed_memory() -> None:
+    """Give memory that was freed back to the system, where the C library can: many small results of native code leave it in pieces."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 class BatchEncoder:
     """Token ids of whole texts, each distinct slice of a batch encoded once.
 
@@ -185,6 +195,7 @@ class BatchEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end as uint32, and n + 1 bounds."""
+        release_freed_memory()
         fast = plain_rows(column, self.added)
         if fast.all():
             return self._encode_fast(column)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.llm.scratch import small_batches
 from eventweave.llm.textbuf import U64, lowered, slice_hashes, text_buffer, text_chunks, words
 
 #: Hashed dimensions, and the most labelled documents that are drawn for a fit.
@@ -147,6 +148,7 @@ def training_rows(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     ``ratings`` has (doc_id, grade). Only drawn ratings (12 bytes each, about max_rows of them) are joined with the documents, and only
     features come to the driver.
     """
+    small_batches(docs.sparkSession)
     rated = ratings.where("doc_id is not null and grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
     n = rated.count()
     if n > max_rows:
@@ -176,6 +178,7 @@ def score(docs: DataFrame, model: CumulativeLink, min_tail: float = 0.5, text_co
     A null or empty text has no features and gets the model's base rates; it isn't selected. All rows are kept, repeated ones with
     equal scores; columns named like the new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     n_tails = len(model.thresholds)
     new = ["expected_grade", *(f"tail_{j}" for j in range(1, n_tails + 1)), "selected"]
     names = [c for c in docs.columns if c not in new]

@@ -54,6 +54,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound the Arrow batches that this session sends to Python: Spark counts their rows only, and rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI and the path in it; ``file:/x`` and ``file:///x`` are both accepted."""
     if uri.startswith("file:") and not uri.startswith("file://"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventweave.llm.scratch import materialize
+from eventweave.llm.scratch import materialize, small_batches
 
 #: Ranges for each shard, sampled keys for each range, and how often overfull ranges are subdivided at most.
 RANGES_PER_SHARD, KEYS_PER_RANGE, ROUNDS = 16, 16, 4
@@ -96,6 +96,7 @@ def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", t
     sort first; rows that are equal in key are cut like others, since places and not keys decide. No rows: an empty result. Columns of
     docs that are named like the three new ones are replaced.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("shard", "slot", "shard_bytes_at")]
     size = (F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)) + F.lit(overhead)).cast("long")
     id_key = docs[id_col].cast("long") if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(docs[id_col])

@@ -46,6 +46,15 @@ def text_chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> I
         lo = min(hi, n)
 
 
+def binary_cells(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column whose cells are values[bounds[i]:bounds[i + 1]], which cover values end to end; nothing is copied by cell."""
+    values = np.ascontiguousarray(values)
+    offsets = np.asarray(bounds, np.int64) * values.itemsize
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("more than 2 GB in one batch")
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x ^ (x >> U64(33))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm.scratch import filesystem, materialize
+from eventweave.llm.scratch import filesystem, materialize, small_batches
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Record bytes after which a frame ends, and a bundle.
@@ -188,6 +188,7 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", text_col
         if bundle is not None:
             bundle.close()
 
+    small_batches(pages.sparkSession)
     linked = first_copies(pages, id_col, text_col, min_bytes)
     return materialize(linked.mapInArrow(write, "page_id long, path string, frame long, offset long, length long"), "warc-index")
 
