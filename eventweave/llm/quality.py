@@ -86,11 +86,12 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = 300, rate: float = 0.1, decay: float = 1e-5, min_rows: int = 5, min_z: float = 3.5) -> CumulativeLink:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = 300, rate: float = 0.1, decay: float = 1e-5, min_rows: int = 5, min_z: float | None = None) -> CumulativeLink:
     """Maximum likelihood by full-batch Adam, with a penalty on squared weights.
 
     Features of fewer than min_rows texts keep the weight 0, and so do those with which the mean grade moves by less than min_z standard
-    errors, for each cut between grades: words that tell nothing about the grade can't add up to noise in long texts. Thresholds are a first one and positive steps, so they stay ordered.
+    errors, for each cut between grades: words that tell nothing about the grade can't add up to noise in long texts. By default
+    min_z is what the largest of a sixtieth of these features would reach by chance, 2.5 at least. Thresholds are a first one and positive steps, so they stay ordered.
     """
     grades = np.asarray(grades, np.int64)
     sizes = np.array([len(x) for x in rows], np.int64)
@@ -98,6 +99,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = B
     used, flat = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(rows)), sizes)
     count = np.bincount(flat, minlength=len(used))
+    if min_z is None:
+        min_z = max(2.5, float(np.sqrt(2 * np.log(max(1.0, (count >= min_rows).sum() / 60)))))
     telling = np.zeros(len(used), bool)
     for j in range(1, n_grades):
         off = (grades >= j) - (grades >= j).mean() if len(grades) else np.zeros(0)

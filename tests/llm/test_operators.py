@@ -1,0 +1,412 @@
+"""Operators against plain versions of their contracts, on the small tables and on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import sys
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import brute  # noqa: E402
+
+from eventweave.llm import ann, bpe, cover_tree, elias_fano, graph, line_dedup, minhash, packing, pretokens, quality, queries, sharding, textbuf, warc  # noqa: E402
+from eventweave.llm.scratch import materialize, scratch_path  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+LONG = "".join(random.Random(1).choice(["word ", "Stone, ", "l'eau\n", "12 ", "naïve "]) for _ in range(60_000))
+#: Texts that are null, empty, blank, of one word, very long, repeated, or full of rare characters.
+TEXTS = [None, "", " \n\t", "one", "a b c d", "a b c d e", "A B C D E", "a b c d e", LONG, "x <|endoftext|> y", "don't WE'LL 's\n\n  é ½ 中文 \x1c 😀", "tail  "]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, ids string, selected int"
+
+
+def awkward(spark):
+    rows = [(i, t, None, None if i % 3 else f"s{i % 2}", None, "clash", "clash", None) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, (None, "a b c d e f", "en", "s1", 1, "clash", "clash", 0), (5, "a b c d e", "en", "s1", 1, "clash", "clash", 0)], DOCS)
+
+
+def documents(name="documents", columns="doc_id, text"):
+    return duckdb.sql(f"select {columns} from '{SF}/{name}.parquet'").fetchall()
+
+
+# tokens ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoders_agree_with_the_library(name):
+    path = queries.BYTE_BPE.replace("byte_bpe_50k.json", name)
+    rng = random.Random(2)
+    letters = "ab's tlvermdSD  \n\t.,1é<'’É½"
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(32, 0x3000), rng.randrange(0x1F000, 0x1FAFF)])) for _ in range(30)) for _ in range(500)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encoders = [pretokens.library_encoder(path)] + ([bpe.own_encoder(path)] if name.startswith("byte") else [])
+    for encoder in encoders:
+        for _ in range(2):  # the second time from the kept ids
+            ids, bounds = encoder.encode(pa.array(texts))
+            assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == want
+
+
+def test_overlapping_pairs_merge_from_the_left():
+    own, library = bpe.vocabulary(queries.BYTE_BPE), Tokenizer.from_file(queries.BYTE_BPE)
+    words = [b"aaaaaaa", b"!!!!!!!!!!!", b"", b"=====", b"ababababa", "ééééé".encode()]
+    ids, bounds = own.encode_words(words)
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [library.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
+def test_bpe_round_trip(spark):
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    got = sorted(map(tuple, queries.op6_bpe_pair_index(spark, SF).collect()))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = sorted((i, len(e.ids), sha(brute.le(e.ids)), sha(library.decode(e.ids, skip_special_tokens=False).encode())) for (i, _), e in zip(documents(), library.encode_batch([t or "" for _, t in documents()], add_special_tokens=False), strict=True))
+    assert got == want
+    rows = bpe.encode_texts(awkward(spark), queries.BYTE_BPE, decode=True).collect()
+    assert sorted((r.text for r in rows), key=str) == sorted([t or "" for t in TEXTS] + ["a b c d e f", "a b c d e"], key=str)
+    assert bpe.decode_ids(bpe.encode_texts(awkward(spark).limit(0), queries.BYTE_BPE), queries.BYTE_BPE).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode_texts(awkward(spark), queries.WORD_BPE)
+
+
+def test_elias_fano_sequences():
+    rng = random.Random(3)
+    for n, top in ((0, 1), (1, 0), (5, 3), (700, 50), (3000, 10**6), (40, 2**50)):
+        values = sorted(rng.randrange(top + 1) for _ in range(n))
+        code = elias_fano.EliasFano.frombytes(elias_fano.EliasFano.encode(np.array(values, np.uint64)).tobytes())
+        assert code.values().tolist() == values and [code[i] for i in range(n)] == values
+    many = np.cumsum(np.full(100_000, 512, np.uint64))
+    assert elias_fano.EliasFano.encode(many).nbytes() * 8 / 100_000 < 12
+    with pytest.raises(ValueError):
+        elias_fano.EliasFano.encode(np.array([2, 1], np.uint64))
+
+
+def test_token_files(spark):
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    at, want = 0, []
+    for i, t in sorted(documents()):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), brute.crc(brute.le(ids))))
+        at += len(ids)
+    assert sorted(map(tuple, queries.op2_elias_fano_tokens(spark, SF).collect())) == want
+    manifest = elias_fano.write_tokens(awkward(spark), scratch_path(spark, "t"), queries.WORD_BPE)
+    rows = elias_fano.read_tokens(spark, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, 0, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, 11]
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    one = manifest.orderBy("start").first()
+    with elias_fano.TokenFile(one.path) as file:
+        assert file.document(0).tolist() == np.frombuffer(rows[0].ids, "<u4").tolist()
+        with pytest.raises(IndexError):
+            file.bounds(file.n_docs)
+    assert elias_fano.read_tokens(spark, elias_fano.write_tokens(awkward(spark).limit(0), scratch_path(spark, "t"), queries.WORD_BPE)).count() == 0
+
+
+# packing and sharding ----------------------------------------------------------------------------------------------
+
+
+def check_pieces(rows, window):
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    for k, parts in by_seq.items():
+        at = 0
+        for a, n in sorted(parts):
+            assert a == at and n > 0
+            at += n
+        assert at == window or k == len(by_seq) - 1
+    return by_doc
+
+
+def test_packing_covers_every_id_once(spark):
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in documents()}
+    rows = queries.op4_mixture_packing(spark, SF).collect()
+    for (i, total), parts in check_pieces(rows, 2048).items():
+        assert total == len(want[i]) and [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()]
+        assert sum(n for _, n in parts) == total
+    assert all(r.ids_crc32 == brute.crc(brute.le(want[r.doc_id][r.start : r.start + r.length])) for r in rows)
+    assert {r.doc_id for r in rows} == set(want)
+
+
+def test_windows_have_the_target_mixture(spark):
+    docs = spark.createDataFrame([(i, "word " * 300, "abc"[i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    tokens = packing.queue_tokens(docs, queries.BYTE_BPE)
+    rows = packing.pack(tokens, queries.BYTE_BPE, window=512, grain=8, targets={"a": 2, "b": 1, "c": 1}).collect()
+    check_pieces(rows, 512)
+    share = {}
+    for r in rows:
+        share.setdefault(r.sequence_id, {}).setdefault(r.source, []).append(r.length)
+    for k in range(30):
+        mix = {s: sum(v) for s, v in share[k].items()}
+        assert abs(mix["a"] - 256) <= 16 and abs(mix["b"] - 128) <= 16 and abs(mix["c"] - 128) <= 16
+
+
+def test_packing_of_awkward_rows(spark):
+    rows = packing.pack(packing.queue_tokens(awkward(spark), queries.BYTE_BPE), queries.BYTE_BPE, window=64).collect()
+    check_pieces(rows, 64)
+    few = packing.pack(packing.queue_tokens(awkward(spark), queries.BYTE_BPE, max_queues=1), queries.BYTE_BPE, window=64).collect()
+    assert sum(r.length for r in few) == sum(r.length for r in rows) and len({r.source for r in few}) <= 2
+    assert packing.pack(packing.queue_tokens(awkward(spark).limit(0), queries.BYTE_BPE), queries.BYTE_BPE).count() == 0
+
+
+def test_shards_are_even_and_gapless(spark):
+    texts = dict(documents())
+    rows = queries.op5_sampled_splitters(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all(r["size"] == len((texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == brute.crc((texts[r.doc_id] or "").encode()) for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_hot_groups_are_cut_and_overfull_ranges_subdivided(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}", None) for i in range(4000)], "doc_id long, text string, shard string")
+    monkeypatch.setattr(sharding, "KEYS_PER_RANGE", 1)
+    rows = sharding.shard_by_splitters(docs, 8).collect()
+    sizes = [sum(len(r.text) + 16 for r in rows if r.shard == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 50 and len(rows) == 4000
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(8))
+    odd = sharding.shard_by_splitters(awkward(spark), 3)
+    assert odd.count() == len(TEXTS) + 2 and odd.columns.count("shard") == 1
+    assert sharding.shard_by_splitters(awkward(spark).limit(0), 3).count() == 0
+
+
+# vectors -----------------------------------------------------------------------------------------------------------
+
+BAD = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan")] * 4, [float("inf"), 0.0, 0.0, 0.0]]
+
+
+def test_nearest_neighbours(spark):
+    want = brute.nearest(documents("embeddings", "vec_id, embedding"), lambda i: i % 50 == 0)
+    got = {}
+    for r in sorted(queries.op3_one_bit_codes(spark, SF).collect()):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    exact = {(q, i): s for q, found in want.items() for i, s in found}
+    assert all(abs(exact[q, i] - s) < 1e-12 for q, found in got.items() for i, s in found if (q, i) in exact)
+
+
+def test_nearest_of_awkward_vectors(spark):
+    vecs = [(i, v) for i, v in enumerate(BAD)] + [(10, [1.0, 0.0, 0.0, 0.0]), (11, [2.0, 0.0, 0.0, 0.0]), (12, [2.0, 0.0, 0.0, 0.0]), (13, [0.0, 1.0, 0.0, 0.0]), (14, [1.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vecs], "vec_id long, embedding array<double>, code string")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 10, 2).collect()]
+    assert sorted(got) == [(10, 1, 11), (10, 2, 12)]
+    assert [r.vec_id for r in ann.nearest(df, F.col("vec_id") == 10, 9).orderBy("rank").collect()] == [11, 12, 13]
+    assert ann.nearest(df, F.col("vec_id") == 14, 3).count() == 0
+    assert ann.nearest(df.limit(0), F.col("vec_id") == 10).count() == 0
+
+
+def test_cover_tree_traversal():
+    rng = np.random.default_rng(0)
+    for _ in range(25):
+        d, n, k = int(rng.integers(2, 6)), int(rng.integers(1, 50)), int(rng.integers(1, 50))
+        base = rng.standard_normal((4, d))
+        x, y = base[rng.integers(0, 4, n)] + rng.choice([0, 0.05, 0.5]) * rng.standard_normal((n, d)), base[rng.integers(0, 4, k)] + rng.choice([0, 0.1]) * rng.standard_normal((k, d))
+        unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+        near = unit(x) @ unit(y).T >= 0.93
+        a, b = cover_tree.CoverTree(x), cover_tree.CoverTree(y)
+        left, right, _ = cover_tree.dual_traversal(a, b, 0.93, False)
+        assert (left == near.sum(1)).all() and (right == near.sum(0)).all()
+        own, _, names = cover_tree.dual_traversal(a, a, 0.93, True)
+        alike = unit(x) @ unit(x).T >= 0.93
+        np.fill_diagonal(alike, True)
+        assert (own == alike.sum(1) - 1).all()
+
+
+def test_threshold_links(spark):
+    want = brute.threshold_links(documents("embeddings", "vec_id, embedding, label"), 0.93)
+    assert sorted(map(tuple, queries.op7_cover_tree(spark, SF).collect())) == want
+
+
+def test_links_of_awkward_vectors_and_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v, 1) for i, v in enumerate(BAD)]
+    rows += [(100 + i, (np.eye(4)[i % 4] + 0.02 * rng.standard_normal(4)).tolist() if i % 5 else [1.0, 0.0, 0.0, 0.0], None if i % 11 == 0 else i % 2) for i in range(160)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, n_links string")
+    assert sorted(map(tuple, cover_tree.threshold_links(df, 0.93, rows=16).collect())) == brute.threshold_links(rows, 0.93)
+    null = spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, cover_tree.threshold_links(null).collect()), key=str) == [(1, 0, 1, True), (None, 0, None, True)]
+    assert cover_tree.threshold_links(df.limit(0)).count() == 0
+
+
+# documents ---------------------------------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5100)]
+    want = {k: v for k, v in brute.components({x for e in edges for x in e}, edges).items() if k != v}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(spark):
+    want = brute.near_duplicates(documents())
+    assert sorted(map(tuple, queries.op8_min_max_hashing(spark, SF).collect())) == want
+
+
+def test_chains_and_thresholds_of_near_duplicates(spark):
+    rng = random.Random(9)
+    rows, text = [], [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(60):  # each differs a little from the one before, the ends not alike at all
+        rows.append((i, " ".join(text)))
+        text = text[2:] + [f"w{rng.randrange(10**6)}" for _ in range(2)]
+    base = [f"v{k}" for k in range(60)]
+    for i in range(40):
+        copy = list(base)
+        for _ in range(i // 8):
+            copy[rng.randrange(60)] = f"u{rng.randrange(10**6)}"
+        rows.append((200 + i, " ".join(copy).upper() if i % 2 else "\n".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute.near_duplicates(rows)
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(awkward(spark)).collect()}
+    assert {(0, 0, 0, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 2, None, True)} <= rows
+    assert minhash.near_duplicates(awkward(spark).limit(0)).count() == 0
+
+
+def test_min_max_estimates_similarity():
+    rng = np.random.default_rng(1)
+    both, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (600, 200, 200))
+    x, y = minhash.min_max(np.concatenate([both, a])), minhash.min_max(np.concatenate([both, b]))
+    assert abs((x == y).mean() - 0.6) < 0.12
+
+
+def test_shingles_follow_the_contract():
+    texts = [t for t in TEXTS if t is not None] + ["Ab\x0bcd É é  x\ty z", "a\xa0b c d e f"]
+    assert [len(s) for s in textbuf.shingle_sets(pa.array(texts))] == [len(brute.shingle_set(t)) for t in texts]
+
+
+def test_boilerplate_lines_go(spark):
+    rows = [(i, f"own line {i}\n menu \nmore own words {i}", f"site{i}") for i in range(12)] + [(50, "menu", "site1"), (51, None, "site1"), (52, "", None), (53, "menu\n\nfour five six seven", None), (None, "menu\nnull id and its own line", "site2"), (60, "rare\nwords of its own", "a"), (61, "rare\nother words", "a")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, n_removed string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_boilerplate(df, 10).collect()}
+    assert got[3] == ("own line 3\nmore own words 3", 3, 1)
+    assert got[50] == ("menu", 1, 0) and got[51] == (None, 0, 0) and got[52] == ("", 1, 0)
+    assert got[53] == ("\nfour five six seven", 3, 1) and got[None] == ("null id and its own line", 2, 1)
+    assert got[60] == ("rare\nwords of its own", 2, 0)
+    assert line_dedup.remove_boilerplate(df.limit(0), 10).count() == 0
+
+
+def test_spread_is_exact_at_the_threshold(spark):
+    lines = spark.createDataFrame([(n, 0, f"s{k}") for n in (99, 100, 101, 150, 60) for k in range(n)] * 2, "h1 long, h2 long, site string")
+    assert sorted(r.h1 for r in line_dedup.boilerplate_lines(lines, 100).collect()) == [100, 101, 150]
+
+
+# quality -----------------------------------------------------------------------------------------------------------
+
+
+def plain_features(text):
+    words, shapes, prev, same = set(), set(), None, 0
+    found = brute.WORD.findall(text)
+    for w in found:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+        solid = lambda c: c.isascii() and c.isalnum() or not c.isascii()
+        while low and not solid(low[0]):
+            low = low[1:]
+        while low and not solid(low[-1]):
+            low = low[:-1]
+        words.add(low)
+        kinds = ["a" if not c.isascii() or c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in w]
+        shapes.add("".join(k for n, k in enumerate(kinds) if n == 0 or kinds[n - 1] != k))
+        same += low == prev
+        prev = low
+    return len(words), len(shapes), math.ceil(same / (len(found) - 1) * 5) + 1 if len(found) > 1 else 1
+
+
+def test_features_count_words_shapes_and_repeats():
+    texts = ["Hello, hello WORLD!! x1", "a a a a", "%%% ***", "naïve Élan\nends.", "word " * 2000 + "other"]
+    assert [len(x) for x in quality.features(pa.array(texts), bits=40)] == [sum(plain_features(t)) for t in texts]
+    assert [len(x) for x in quality.features(pa.array(["", None, " \n"]))] == [0, 0, 0]
+    one = quality.features(pa.array(["b c", texts[0], "d"]))[1]
+    assert one.tolist() == quality.features(pa.array([texts[0]]))[0].tolist()
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rows = [np.array([0, 1]), np.array([1]), np.array([0, 2]), np.array([2]), np.array([0, 1, 2]), np.array([1, 2])] * 20
+    grades = np.array([2, 1, 0, 0, 2, 1] * 20)
+    model = quality.fit(rows, grades, 3, bits=2, epochs=400, min_rows=1, min_z=0, decay=0)
+    assert (np.diff(model.thresholds) > 0).all()
+    tails = model.tails(rows[:6])
+    assert (tails[:, 0] >= tails[:, 1]).all() and tails[0, 1] > 0.8 and tails[3, 0] < 0.2
+
+
+def test_held_out_grades():
+    found = duckdb.sql("select text, quality, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by doc_id").fetchall()
+    rows = quality.features(pa.array([t for t, _, _ in found]))
+    grades = np.array([0 if q == 0 else 1 if x else 2 for _, q, x in found])
+    model = quality.fit(rows[::2], grades[::2], 3)
+    keep, held = model.tails(rows[1::2])[:, 1] >= 0.5, grades[1::2]
+    assert keep[held == 2].mean() > 0.97 and keep[held == 0].mean() < 0.1
+
+
+def test_scores_of_awkward_rows(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1), (8, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, quality.grades_of(labels))
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(0 <= r.tail_2 <= r.tail_1 <= 1 for r in rows)
+    assert {r.selected for r in rows if not (r.text or "").strip()} == {False}
+    assert quality.score(docs.limit(0), quality.train(docs.limit(0), quality.grades_of(labels))).count() == 0
+
+
+# archives ----------------------------------------------------------------------------------------------------------
+
+
+def test_warc_query(spark):
+    assert sorted(map(tuple, queries.op10_seekable_warc(spark, SF).collect())) == brute.warc_rows(documents("pages", "page_id, html"))
+
+
+def test_warc_of_awkward_pages(spark):
+    rows = [(1, "http://a\r\nX: y", "same"), (0, None, "same"), (2, "u", None), (3, "u", ""), (4, "u", LONG), (5, "u", "WARC/1.1\r\n\r\nbody"), (6, "u", "same")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, frame string")
+    index = warc.write_warc(df, scratch_path(spark, "w"))
+    got = sorted(tuple(r)[:5] for r in warc.read_warc(spark, index).collect())
+    assert got == brute.warc_rows([(i, t) for i, _, t in rows])
+    place = index.where("page_id = 4").first()
+    with warc.BundleReader(place.path) as bundle:
+        record = next(warc.parse_records(bundle.record(place.frame, place.offset, place.length)))
+    assert record["payload"].decode() == LONG
+    late = warc.read_warc(spark, warc.write_warc(df, scratch_path(spark, "w"), min_bytes=5))
+    assert {r.record_type for r in late.collect()} == {"response"}
+    nulls = warc.write_warc(spark.createDataFrame([(None, "u", "same"), (7, "u", "same")], "page_id long, url string, html string"), scratch_path(spark, "w"))
+    assert sorted(((r.page_id, r.refers_to) for r in warc.read_warc(spark, nulls).collect()), key=str) == [(7, None), (None, 7)]
+    assert warc.read_warc(spark, warc.write_warc(df.limit(0), scratch_path(spark, "w"))).count() == 0
+
+
+# pipeline ----------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages_take_effect(spark):
+    import corpus_pipeline
+
+    mid = "/root/testdata/sf0.01"  # with enough labels to learn from
+
+    docs = spark.read.parquet(f"{mid}/documents.parquet")
+    kept = materialize(corpus_pipeline.keep_good(spark, docs, mid), "p")
+    labels = {i: (q, x) for i, q, x in duckdb.sql(f"select doc_id, quality, toxic from '{mid}/labels.parquet'").fetchall()}
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    clean, junk = [i for i, v in labels.items() if v == (1, 0)], [i for i, v in labels.items() if v[0] == 0]
+    assert kept.columns == docs.columns and sum(i in ids for i in clean) >= 0.97 * len(clean) and sum(i in ids for i in junk) <= 0.1 * len(junk)
+    lines = materialize(corpus_pipeline.drop_boilerplate(spark, kept, mid), "p")
+    assert lines.columns == docs.columns and {r.doc_id for r in lines.collect()} == ids
+    near = materialize(corpus_pipeline.drop_near_copies(spark, lines, mid), "p")
+    want = {i for i, _, _, keep in brute.near_duplicates([(r.doc_id, r.text) for r in lines.collect()]) if keep}
+    assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == sorted(want)
+    rows = corpus_pipeline.run(spark, mid).collect()
+    check_pieces(rows, 2048)
+    assert {r.doc_id for r in rows} == want
