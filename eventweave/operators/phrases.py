@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.functions.text import tokenize
+from eventweave.operators.scoring import settle
 
 
 def _grams(tokens: Column, width: int) -> Column:
@@ -25,7 +26,7 @@ def containing(docs: DataFrame, phrases: DataFrame, doc_id: str = "doc_id", text
     lengths = sorted(r[0] for r in keyed.select("n").distinct().collect())  # at most width + 1 numbers
     if 0 in lengths:
         raise ValueError("phrases need three tokens or more")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text).alias("__text"), tokenize(F.col(text)).alias("t"))
+    rows = settle(docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text).alias("__text")), {"t": tokenize(F.col("__text"))})
     grams = F.flatten(F.array(*[_grams(F.col("t"), w) for w in lengths])) if lengths else F.array().cast("array<struct<n:int,key:bigint>>")
     hits = rows.select(doc_id, F.explode(grams).alias("g")).select(doc_id, "g.n", "g.key")
     pairs = hits.join(keyed, ["n", "key"]).select(doc_id, phrase_id, "__phrase")

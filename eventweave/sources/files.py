@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -125,3 +129,19 @@ def inline_image(reference):
 def read_class_list(spark: SparkSession, path: str) -> DataFrame:
     """(name, index) of a class list in CSV."""
     return spark.read.schema("name string, index int").csv(path)
+
+
+def read_npy_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, row, embedding) of ``.npy`` files with one matrix each; empty ones give no rows, other shapes are an error."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                matrix = np.load(io.BytesIO(content), allow_pickle=False)
+                if matrix.ndim != 2:
+                    raise ValueError(f"{name} holds no matrix")
+                for k in range(0, len(matrix), 4096):
+                    part = matrix[k : k + 4096].astype(np.float32)
+                    yield pd.DataFrame({"shard": name, "row": np.arange(k, k + len(part)), "embedding": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "shard string, row long, embedding array<float>")
