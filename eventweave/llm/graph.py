@@ -16,7 +16,7 @@ def _nearer(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _nearer(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _nearer(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,24 +27,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own).where("u != v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to its component's smallest node: no node has two edges up, or edges up and down."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) for every node of edges (a, b) but the components' smallest ones; component is the smallest node reached.
 
     Every round aggregates minima before it joins them, so a hub's edges are never gathered; rounds are
-    written to the shared folder, and the number of rounds grows with the logarithm of the graph's size.
+    written to the shared folder, and the number of rounds grows with the logarithm of the graph's size. Edges that already lead to the smallest
+    nodes take no round.
     """
-    now = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), tag)
-    state = _state(now)
-    while state[0]:
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), tag)
+    while not _settled(now):
         then = materialize(_small_star(_large_star(now)), tag)
-        after = _state(then)
         discard(now)
         now = then
-        if after == state:
-            break
-        state = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -273,6 +273,16 @@ def test_chains_and_thresholds_of_near_duplicates(spark):
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute.near_duplicates(rows)
 
 
+def test_a_passage_in_all_documents_is_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(i, passage + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(12 if i % 7 else 40))) for i in range(150)]
+    rows += [(1000 + i, rows[i * 9][1] + (" tail" if i % 2 else "")) for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute.near_duplicates(rows)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(awkward(spark)).collect()}
     assert {(0, 0, 0, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 2, None, True)} <= rows
