@@ -95,9 +95,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = B
     """
     grades = np.asarray(grades, np.int64)
     sizes = np.array([len(x) for x in rows], np.int64)
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)])
+    flat = np.concatenate([*rows, np.zeros(0, np.int32)])
     used, flat = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), sizes)
+    flat = flat.astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     count = np.bincount(flat, minlength=len(used))
     if min_z is None:
         min_z = max(2.5, float(np.sqrt(2 * np.log(max(1.0, (count >= min_rows).sum() / 60)))))
@@ -110,7 +111,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = B
     keep = frequent[flat]
     place = np.cumsum(frequent) - 1
     row = row[keep]
-    flat, used = place[flat[keep]], used[frequent]
+    flat, used = place[flat[keep]].astype(np.int32), used[frequent]
+    del keep
     share = np.array([(grades >= j).mean() for j in range(1, n_grades)]) if len(grades) else np.full(n_grades - 1, 0.5)
     share = np.clip(share, 1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(-np.log(share / (1 - share)))
@@ -167,7 +169,7 @@ def training_rows(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     kind = dict(texts.dtypes)["doc_id"]
     rows = texts.join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text").mapInArrow(extract, f"doc_id {kind}, grade int, features binary")
     table = rows.toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    return [np.frombuffer(x, "<i4").astype(np.int64) for x in table["features"].to_pylist()], table["grade"].to_numpy()
+    return [np.frombuffer(x, "<i4") for x in table["features"].to_pylist()], table["grade"].to_numpy()
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, **columns) -> CumulativeLink:
