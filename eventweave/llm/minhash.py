@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from eventweave.llm.scratch import materialize, small_batches
 from eventweave.llm.textbuf import U64, mix, shingle_sets, text_chunks
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
+#: Rows of a block of a bucket, on average.
+BLOCK = 512
 _rng = np.random.default_rng(8675309)
 _SCALE = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64) | U64(1)
 _SHIFT = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64)
@@ -67,10 +70,78 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch binary")
 
 
+def _floor(percent: int) -> float:
+    """Agreeing values of which a pair at the threshold has fewer with a chance of 3e-7."""
+    n, p = 2 * PERMUTATIONS, percent / 100
+    return n * p - 5 * math.sqrt(n * p * (1 - p))
+
+
+def _near_in_cell(cell: pa.Table, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell to confirm: in different components, one of them apart, with sketches that agree enough."""
+    ids, comp, apart = (cell[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "c", "apart"))
+    block, lo, hi = (cell[c].to_numpy() for c in ("block", "lo", "hi"))
+    band = int(cell["band"][0].as_py())
+    bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    same = lo[0] == hi[0]
+    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+    found_a, found_b = [], []
+    for k in range(0, len(left), 64):
+        rows = left[k : k + 64]
+        open_ = (comp[rows][:, None] != comp[right][None, :]) & (apart[rows][:, None] | apart[right][None, :])
+        if same:
+            open_ &= ids[rows][:, None] < ids[right][None, :]
+        i, j = np.nonzero(open_)
+        for m in range(0, len(i), 1 << 14):
+            x, y = rows[i[m : m + (1 << 14)]], right[j[m : m + (1 << 14)]]
+            hit = (sketch[x] == sketch[y]).sum(axis=1) >= floor
+            # a pair that shares several buckets counts in the one of its first common band; if that bucket's lead is one of
+            # the pair, they have been compared already
+            x, y = x[hit], y[hit]
+            hit = (bands[x] == bands[y]).argmax(axis=1) == band
+            found_a.append(ids[x[hit]])
+            found_b.append(ids[y[hit]])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (found_a, found_b))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def likely_in_buckets(at: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose sketches agree enough, from rows (key, band, doc_id, lead, n, c, apart).
+
+    Buckets are cut into blocks of about BLOCK rows, and a task compares two blocks at a time by arrays; only pairs worth confirming are emitted.
+    """
+    floor = _floor(percent)
+    open_keys = at.where("apart").select("key").distinct()
+    rows = at.where("doc_id != lead").join(open_keys, "key", "left_semi").join(heads.select("doc_id", "sketch", "bands"), "doc_id")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "doc_id", "c", "apart", "sketch", "bands")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None:
+                return
+            keys = np.stack([held[c].to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *cuts.tolist(), *([len(held)] if batch is None else [])]
+            held = held.combine_chunks()
+            found = [_near_in_cell(held.slice(x, y - x), floor) for x, y in zip(bounds[:-1], bounds[1:], strict=True) if y - x > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+            held = held.slice(bounds[-1])
+
+    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long")
+
+
 def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches agree in as many bytes as a pair at the threshold does but for a chance of 3e-7."""
-    n, p = 2 * PERMUTATIONS, percent / 100
-    floor = n * p - 5 * math.sqrt(n * p * (1 - p))
+    n, floor = 2 * PERMUTATIONS, _floor(percent)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,21 +186,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
     heads = materialize(usable.join(classes, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "bands", "sketch"), "heads")
 
-    in_bands = heads.select("doc_id", F.explode("bands").alias("key"))
+    in_bands = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = in_bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(in_bands.join(buckets, "key").select("key", "doc_id", "lead", "n"), "members")
+    members = materialize(in_bands.join(buckets, "key").select("key", "band", "doc_id", "lead", "n"), "members")
     first = members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialize(confirmed(likely(first, heads, percent), texts, percent, width), "links")
     reached = components(links)
 
     # members that are not in the component of their bucket's lead, against all members in another component
     at = members.where("n > 2").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    at = at.join(reached.withColumnRenamed("node", "lead"), "lead", "left").withColumn("apart", F.col("c") != F.coalesce("component", "lead")).select("key", "doc_id", "lead", "c", "apart")
-    at = materialize(at, "apart")
-    apart = at.where("apart").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    other = at.where("doc_id != lead").select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "apart")
-    rest = apart.join(other, "key").where("cx != cy and (x < y or not apart)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = materialize(likely(rest, heads, percent), "rest")
+    at = at.join(reached.withColumnRenamed("node", "lead"), "lead", "left").withColumn("apart", F.col("c") != F.coalesce("component", "lead"))
+    at = materialize(at.select("key", "band", "doc_id", "lead", "n", "c", "apart"), "apart")
+    rest = materialize(likely_in_buckets(at, heads, percent), "rest")
     if not rest.isEmpty():
         more = materialize(confirmed(rest, texts, percent, width), "links")
         if not more.isEmpty():
