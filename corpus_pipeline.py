@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on 10 sites or more."""
-    cleaned = line_dedup.remove_boilerplate(docs, 10, 0.5)
+    """All documents, without lines that stand on 10 sites or more; copies that hold no other lines are left to the next stage."""
+    cleaned = line_dedup.remove_boilerplate(docs, 10, spare="copies")
     counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", counted).select(docs.columns)
 

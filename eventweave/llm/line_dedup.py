@@ -41,30 +41,45 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.where(clear).select("h1", "h2").unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare: str = "share") -> DataFrame:
     """docs with ``text`` rid of boilerplate lines, and ``n_lines`` and ``n_removed``.
 
     A line (its text up to line feeds, without spaces at its ends) is boilerplate when it stands in documents of at least min_sites distinct sites;
-    blank lines never are. A document of which boilerplate makes up more than max_share of the characters is left whole: it is a copy of other
-    documents or nothing but boilerplate, and removing its lines would only hide it from deduplication. Null texts stay null with no
+    blank lines never are. ``spare`` says which documents are left whole all the same. "share": those of which boilerplate makes up more than max_share
+    of the characters, copies or not. "copies": those whose lines, but for blank ones, are all boilerplate and whose whole text another document has too
+    (another id, or another row without an id), so that deduplication still sees them; max_share then counts for nothing, and every
+    other boilerplate line goes. Null texts stay null with no
     lines; rows with a null id or site are treated like others, though a null site adds to no line's spread. Repeated rows get equal results.
     Columns named like the new ones are replaced.
     """
+    if spare not in ("share", "copies"):
+        raise ValueError(f"spare must be 'share' or 'copies', not {spare!r}")
     text, lines = docs[text_col].cast("string"), split_lines(docs[text_col].cast("string"))
     # all that is decided about a row follows from its text, so rows are known by their id and text hashes
     keys = [docs[id_col].cast("string").alias("k0"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
     exploded = docs.where(text.isNotNull()).select(*keys, docs[site_col].cast("string").alias("site"), F.posexplode(F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), (F.trim(x) != "").alias("full"), F.length(x).alias("size")))).alias("pos", "line"))
     rows = exploded.where("line.full").select("k0", "k1", "k2", "site", F.struct("pos", "line.size").alias("place"), F.col("line.h.h1").alias("h1"), F.col("line.h.h2").alias("h2"))
     found = materialize(boilerplate_lines(rows.select("h1", "h2", "site"), min_sites), "boilerplate")
-    hits = rows.join(found, ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("place").alias("removed"))
+    hits = rows.join(found, ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("place").alias("removed"), F.count("*").alias("n"))
+    if spare == "copies":
+        # rows without an id share a group here but are documents of their own
+        hits = materialize(hits.withColumn("n", F.when(F.col("k0").isNull(), F.expr("n div size(removed)")).otherwise(1)), "boilerplate-hits")
+        copied = hits.groupBy("k1", "k2").agg(F.sum("n").alias("documents")).where("documents > 1").select("k1", "k2", F.lit(True).alias("copied"))
+        hits = hits.join(copied, ["k1", "k2"], "left")
+    else:
+        hits = hits.withColumn("copied", F.lit(None).cast("boolean"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*[docs[c] for c in names], *keys).alias("d")
     on = F.col("d.k0").eqNullSafe(F.col("h.k0")) & (F.col("d.k1") == F.col("h.k1")) & (F.col("d.k2") == F.col("h.k2"))
-    joined = keyed.join(hits.alias("h"), on, "left").select("d.*", "removed")
+    joined = keyed.join(hits.alias("h"), on, "left").select("d.*", "removed", "copied")
     split = split_lines(F.col(text_col).cast("string"))
     gone = F.aggregate("removed", F.lit(0), lambda n, place: n + place["size"])
-    act = F.col("removed").isNotNull() & (gone <= F.lit(max_share) * F.length(F.col(text_col).cast("string")))
+    if spare == "copies":
+        whole = F.coalesce("copied", F.lit(False)) & (F.size("removed") == F.size(F.filter(split, lambda x: F.trim(x) != "")))
+    else:
+        whole = gone > F.lit(max_share) * F.length(F.col(text_col).cast("string"))
+    act = F.col("removed").isNotNull() & ~whole
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("removed.pos"), i)), "\n")
     return joined.select(
         *[F.when(act, kept).otherwise(F.col(c).cast("string")).alias(c) if c == text_col else F.col(c) for c in names],

@@ -312,6 +312,21 @@ def test_boilerplate_lines_go(spark):
     assert line_dedup.remove_boilerplate(df.limit(0), 10).count() == 0
 
 
+def test_pipeline_removes_boilerplate_whatever_its_share(spark):
+    import corpus_pipeline
+
+    menu = "\n".join(f"menu entry number {k} of the site" for k in range(4))
+    rows = [(i, f"{menu}\nown {i}", f"site{i}", 0) for i in range(12)]  # nearly all boilerplate, but no copies
+    rows += [(20, menu + "\n", "site1", 0), (21, menu + "\n", "site2", 0), (22, menu + "\n\n", "site3", 0)]  # a copied pair, and no copy
+    rows += [(30, menu, "a", 0), (30, menu, "a", 0), (None, menu + " ", "a", 0), (None, menu + " ", "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_boilerplate(spark, df, SF).collect()]
+    want = [(i, f"own {i}") for i in range(12)] + [(20, menu + "\n"), (21, menu + "\n"), (22, "\n"), (30, ""), (30, ""), (None, menu + " "), (None, menu + " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        line_dedup.remove_boilerplate(df, spare="none")
+
+
 def test_spread_is_exact_at_the_threshold(spark):
     lines = spark.createDataFrame([(n, 0, f"s{k}") for n in (99, 100, 101, 150, 60) for k in range(n)] * 2, "h1 long, h2 long, site string")
     assert sorted(r.h1 for r in line_dedup.boilerplate_lines(lines, 100).collect()) == [100, 101, 150]
