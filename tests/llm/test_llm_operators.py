@@ -158,6 +158,43 @@ def test_packing_of_awkward_rows(spark):
     assert packing.pack(packing.queue_tokens(awkward(spark).limit(0), queries.BYTE_BPE), queries.BYTE_BPE).count() == 0
 
 
+def test_sources_keep_names_and_shares_at_any_number(spark):
+    rows = [(i, "word " * 11, f"site{i % 4199}" if i % 4199 else None) for i in range(4300)] + [(10_000 + i, "word " * 299, "big") for i in range(120)]
+    source = {i: s for i, _, s in rows}
+    tokens = packing.queue_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"), queries.BYTE_BPE)
+    for targets in (None, {"big": 1}):
+        out = packing.pack(tokens, queries.BYTE_BPE, window=1024, grain=8, targets=targets).collect()
+        by_doc, big = check_pieces(out, 1024), {}
+        assert all(r.source == source[r.doc_id] for r in out) and {i for i, _ in by_doc} == set(source)
+        assert all(sum(n for _, n in parts) == total for (_, total), parts in by_doc.items())
+        for r in out:
+            big[r.sequence_id] = big.get(r.sequence_id, 0) + r.length * (r.source == "big")
+        assert targets is None or all(big[k] > 0.9 * 1024 for k in range(30))
+    with pytest.raises(ValueError):
+        packing.pack(tokens, queries.BYTE_BPE, targets={"none of them": 1})
+
+
+def test_sources_of_one_group_have_their_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUPS", 3)
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    rows = [(i, f"number {i} " + "word " * (i % 400), f"s{i * i % 11}" if i % 13 else None) for i in range(600)]
+    texts, source = {i: t for i, t, _ in rows}, {i: s for i, _, s in rows}
+    tokens = packing.queue_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), queries.BYTE_BPE)
+    assert tokens.select("queue").distinct().count() <= 3
+    out = packing.pack(tokens, queries.BYTE_BPE, window=1024, grain=8).collect()
+    full, mix = {}, {}
+    for r in out:
+        assert r.source == source[r.doc_id]
+        full.setdefault(r.doc_id, []).append((r.start, r.ids))
+        mix.setdefault(r.sequence_id, {}).setdefault(r.source, []).append(r.length)
+    check_pieces(out, 1024)
+    assert {i: b"".join(b for _, b in sorted(v)) for i, v in full.items()} == {i: brute.le([*library.encode(t, add_special_tokens=False).ids, 1]) for i, t in texts.items()}
+    total = {s: sum(sum(m.get(s, [])) for m in mix.values()) for s in set(source.values())}
+    whole = sum(total.values())
+    for k in range(len(mix) - 2):
+        assert all(abs(sum(mix[k].get(s, [])) - 1024 * n / whole) <= 64 for s, n in total.items())
+
+
 def test_shards_are_even_and_gapless(spark):
     texts = dict(documents())
     rows = queries.op5_sampled_splitters(spark, SF).collect()
