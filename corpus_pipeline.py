@@ -31,10 +31,16 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates. Rows without a doc_id stay."""
-    found = minhash.near_duplicates(docs, 75, 5)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """The document with the smallest doc_id of each group of near duplicates. Rows without a doc_id stay, all of them.
+
+    Texts are judged one by one: rows of one doc_id with several texts are documents of their own, and equal rows are one.
+    """
+    named = docs.where("doc_id is not null").withColumn("__h", F.xxhash64("text")).repartitionByRange("doc_id", "__h")
+    distinct = named.dropDuplicates(["doc_id", "__h", "text"]).sortWithinPartitions("doc_id", "__h")
+    # partitions are ranges of doc_id, so numbers of rows are in the order of doc_id
+    rows = materialize(distinct.select(*docs.columns, F.monotonically_increasing_id().alias("__row")), "rows")
+    gone = minhash.near_duplicates(rows, 75, 5, id_col="__row").where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
 
     Documents link when the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent`` / 100; component_id is the
     smallest doc_id reached by links. Texts without words, null texts among them, link with nothing. Rows with a null doc_id link with
-    nothing, have a null component_id and are kept. Rows that repeat a doc_id with other texts count as one document in links. Other columns are ignored.
+    nothing, have a null component_id and are kept. Rows that repeat a doc_id with other texts count as one document in links,
+    but a text with the shingles of a smaller doc_id's counts as that one's. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -472,3 +472,16 @@ def test_pipeline_stages_take_effect(spark):
     rows = corpus_pipeline.run(spark, mid).collect()
     check_pieces(rows, 2048)
     assert {r.doc_id for r in rows} == want
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    a, b, c, d, e = (" ".join(words()) for _ in range(5))
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, d), (6, d + " tail"), (8, e), (8, e), (None, e), (None, e), (9, None), (9, None), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_copies(spark, df, SF)
+    want = [(5, a), (3, b), (7, c), (6, d + " tail"), (8, e), (None, e), (None, e), (9, None), (None, None)]
+    assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
