@@ -89,6 +89,24 @@ class EliasFano:
             out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """Values number lo up to hi, decoded between the selects of the first and the last."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, np.uint64)
+        first, last = self.select(lo), self.select(hi - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[first >> 3 : (last >> 3) + 1], bitorder="little")) + (first >> 3 << 3)
+        ones = ones[(ones >= first) & (ones <= last)]
+        if len(ones) != hi - lo:
+            raise ValueError("select samples don't fit the upper bits")
+        out = (ones - np.arange(lo, hi)).astype(np.uint64) << np.uint64(self.low_bits)
+        bit = lo * self.low_bits
+        bits = np.unpackbits(self.low[bit >> 3 : (hi * self.low_bits + 7) >> 3], bitorder="little")[bit & 7 :][: len(ones) * self.low_bits].reshape(len(ones), self.low_bits)
+        for k in range(self.low_bits):
+            out |= bits[:, k].astype(np.uint64) << np.uint64(k)
+        return out
+
     def nbytes(self) -> int:
         return len(self.low) + len(self.high) + 4 * len(self.samples)
 
@@ -126,8 +144,21 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids(*self.bounds(i))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.docs.values().astype(np.int64) + self.first_doc).tolist()
+    def doc_ids(self, lo: int, hi: int) -> list[int | None]:
+        """The numbers of documents lo up to hi."""
+        known = self.docs.span(max(0, lo - self.nulls), max(0, hi - self.nulls)).astype(np.int64) + self.first_doc
+        return [None] * (hi - lo - len(known)) + known.tolist()
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first document, bounds of documents from there) of blocks between two select samples, cut at about READ_IDS ids."""
+        for at in range(0, self.n_docs, SELECT_STEP):
+            stop = min(at + SELECT_STEP, self.n_docs)
+            bounds = np.append(self.bounds(at)[0], self.ends.span(at, stop).astype(np.int64))
+            lo = 0
+            while lo < stop - at:
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + READ_IDS, side="right")) - 1)
+                yield at + lo, bounds[lo : hi + 1]
+                lo = hi
 
     def __enter__(self) -> TokenFile:
         return self
@@ -200,16 +231,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with TokenFile(path) as file:
-                    numbers, ends = file.doc_ids(), file.ends.values().astype(np.int64)
-                    lo = 0
-                    while lo < file.n_docs:
-                        begin = int(ends[lo - 1]) if lo else 0
-                        hi = max(lo + 1, int(np.searchsorted(ends, begin + READ_IDS, side="right")))
-                        ids = file.ids(begin, int(ends[hi - 1]))
-                        stops = ends[lo:hi]
-                        starts = np.append(begin, stops[:-1])
-                        yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi], pa.int64()), pa.array(base + starts), pa.array(stops - starts), binary_cells(ids, np.append(begin, stops) - begin)], ["doc_id", "start", "n_tokens", "ids"])
-                        lo = hi
+                    for lo, bounds in file.blocks():
+                        numbers, ids = file.doc_ids(lo, lo + len(bounds) - 1), file.ids(int(bounds[0]), int(bounds[-1]))
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), binary_cells(ids, bounds - bounds[0])], ["doc_id", "start", "n_tokens", "ids"])
 
     files = max(1, manifest.count())
     return manifest.select("path", "start").repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -108,6 +108,29 @@ def test_token_files(spark):
     assert elias_fano.read_tokens(spark, elias_fano.write_tokens(awkward(spark).limit(0), scratch_path(spark, "t"), queries.WORD_BPE)).count() == 0
 
 
+def test_token_files_are_read_through_select(spark):
+    rng = random.Random(17)
+    for n, top in ((1, 0), (700, 50), (3000, 10**6), (1500, 2**50)):
+        values = sorted(rng.randrange(top + 1) for _ in range(n))
+        code = elias_fano.EliasFano.encode(np.array(values, np.uint64))
+        for lo, hi in [(0, n), (0, 0), (n, n), (n - 1, n)] + [sorted((rng.randrange(n + 1), rng.randrange(n + 1))) for _ in range(20)]:
+            assert code.span(lo, hi).tolist() == values[lo:hi]
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(3000)] + [(None, "no id")], "doc_id long, text string")
+    manifest = elias_fano.write_tokens(docs, scratch_path(spark, "t"), queries.WORD_BPE)
+    rows = sorted(map(tuple, elias_fano.read_tokens(spark, manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in rows] == [None, *range(3000)]
+    path = Path(manifest.orderBy("start").first().path.removeprefix("file://"))
+    raw = bytearray(path.read_bytes())
+    ids, ends = elias_fano._FOOTER.unpack(raw[-elias_fano._FOOTER.size :])[5:7]
+    raw[ids + ends - 4 : ids + ends] = (int.from_bytes(raw[ids + ends - 4 : ids + ends], "little") + 9).to_bytes(4, "little")  # the last sample
+    path.write_bytes(raw)
+    try:
+        wrong = sorted(map(tuple, elias_fano.read_tokens(spark, manifest).collect()), key=lambda r: r[1])
+    except Exception:  # noqa: BLE001
+        wrong = None
+    assert wrong != rows
+
+
 # packing and sharding ----------------------------------------------------------------------------------------------
 
 
