@@ -13,6 +13,8 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import zstandard
@@ -194,26 +196,51 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", text_col
 
 
 def read_warc(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that an index names: (page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload).
+    """Every record that an index names: (page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload).
 
-    ``payload`` is null for revisits. A response whose payload doesn't have its digest and length is an error.
+    Records are cut out of frames at the places in the index. ``payload`` is null for revisits. It is an error when a response's payload doesn't
+    have its digest and length, when a record isn't that of its entry, and when a bundle holds bytes that no entry names.
     """
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+
+    def row(path: str, page_id: int | None, raw: bytes) -> tuple:
+        try:
+            (record,) = parse_records(raw)
+        except ValueError as e:
+            raise ValueError(f"{path}: the entry of page {page_id} names no single record") from e
+        h, kind = record["headers"], record["headers"]["warc-type"]
+        size, digest = int(record["http"]["content-length"]), h["warc-payload-digest"].removeprefix("sha1:")
+        if kind == "response" and (len(record["payload"]) != size or base32_sha1(record["payload"]) != digest):
+            raise ValueError(f"{path}: a payload doesn't match its header")
+        if _page(h["warc-record-id"]) != page_id:
+            raise ValueError(f"{path}: the entry of page {page_id} names another page's record")
+        return page_id, size, digest, kind, _page(h.get("warc-refers-to")), h.get("warc-target-uri"), record["payload"] if kind == "response" else None
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "offset", "length", "page_id")), strict=True)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                with BundleReader(path) as bundle:
-                    for k in range(len(bundle.sizes)):
-                        rows = []
-                        for record in parse_records(bundle.frame(k)):
-                            h, kind = record["headers"], record["headers"]["warc-type"]
-                            size, digest = int(record["http"]["content-length"]), h["warc-payload-digest"].removeprefix("sha1:")
-                            if kind == "response" and (len(record["payload"]) != size or base32_sha1(record["payload"]) != digest):
-                                raise ValueError(f"{path}: a payload doesn't match its header")
-                            rows.append((_page(h["warc-record-id"]), size, digest, kind, _page(h.get("warc-refers-to")), h.get("warc-target-uri"), record["payload"] if kind == "response" else None))
-                        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
-
-    bundles = materialize(index.select("path").distinct(), "warc-bundles")
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return bundles.repartition(max(1, bundles.count())).mapInArrow(read, schema)
+        for path, own in groupby(entries(batches), itemgetter(0)):
+            with BundleReader(path) as bundle:
+                seen = 0
+                for k, places in groupby(own, itemgetter(1)):
+                    if k != seen or k >= len(bundle.sizes):
+                        raise ValueError(f"{path}: the index has frame {k} where {seen} of {len(bundle.sizes)} follows")
+                    raw, at, rows = bundle.frame(k), 0, []
+                    for _, _, offset, length, page_id in places:
+                        if offset != at:
+                            raise ValueError(f"{path}: the index doesn't fit the records of frame {k}")
+                        rows.append(row(path, page_id, raw[offset : offset + length]))
+                        at = offset + length
+                    if at != len(raw):
+                        raise ValueError(f"{path}: the index doesn't fit the records of frame {k}")
+                    seen += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if seen != len(bundle.sizes):
+                    raise ValueError(f"{path}: the index has {seen} of {len(bundle.sizes)} frames")
+
+    bundles = max(1, index.select("path").distinct().count())
+    places = index.select("path", "frame", "offset", "length", "page_id").repartitionByRange(bundles, "path").sortWithinPartitions("path", "frame", "offset")
+    return places.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")

@@ -473,6 +473,18 @@ def test_warc_of_awkward_pages(spark):
     assert warc.read_warc(spark, warc.write_warc(df.limit(0), scratch_path(spark, "w"))).count() == 0
 
 
+def test_warc_records_are_read_through_the_index(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    index = warc.write_warc(df, scratch_path(spark, "w"))
+    assert sorted(r.page_id for r in warc.read_warc(spark, index).collect()) == list(range(20))
+    one = F.col("page_id") == 7
+    wrong = [index.where(~one), index.withColumn("page_id", F.when(one, 99).otherwise(F.col("page_id"))), index.withColumn("length", F.when(one, F.col("length") - 1).otherwise(F.col("length")))]
+    wrong.append(index.withColumn("frame", F.when(one, 5).otherwise(F.col("frame"))))
+    for bad in wrong:
+        with pytest.raises(Exception, match="index|entry"):
+            warc.read_warc(spark, bad).collect()
+
+
 # pipeline ----------------------------------------------------------------------------------------------------------
 
 
