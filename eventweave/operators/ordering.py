@@ -17,9 +17,14 @@ def dense_positions(rows: DataFrame, *order: str, name: str = "position") -> Dat
     return local.join(starts, F.col("__p") == F.col("__q")).withColumn(name, (F.col("__s") + F.col("__n") - 1).cast("long")).drop("__p", "__q", "__n", "__s")
 
 
-def batches(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """rows with the number of their batch of ``size`` neighbours in the order; the last batch may be short."""
-    return dense_positions(rows, *order, name="__at").withColumn("batch", F.expr(f"__at div {size}")).drop("__at")
+def batches(rows: DataFrame, size: int, *order: str, wrap: bool = False) -> DataFrame:
+    """rows with the number of their batch of ``size`` neighbours in the order. The last batch may be short, or with ``wrap``
+    is filled with the first rows again, in the order, as often as it takes."""
+    placed = dense_positions(rows, *order, name="__at")
+    if wrap:
+        placed = placed.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))
+        placed = placed.withColumn("__at", F.explode(F.expr(f"sequence(__at, (__all + {size - 1}) div {size} * {size} - 1, __all)"))).drop("__all")
+    return placed.withColumn("batch", F.expr(f"__at div {size}")).drop("__at")
 
 
 def ordered_distinct(values, pos):

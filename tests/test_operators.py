@@ -204,3 +204,11 @@ def test_phrases(spark):
     docs = spark.createDataFrame([(1, "before one two three four after"), (2, "one two"), (3, None), (4, "(one two three four)")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "one two three four"), (8, "two three four after")], "item_id long, text string")
     assert sorted(map(tuple, phrases.containing(docs, items).collect())) == [(1, 7), (1, 8), (4, 7)]
+
+
+def test_last_batch_wraps_around(spark):
+    for n, size in ((7, 3), (6, 3), (2, 5), (0, 4)):
+        rows = spark.createDataFrame([(i, -i) for i in range(n)], "id long, ratio long")
+        got = sorted((r.batch, r.id) for r in ordering.batches(rows, size, "ratio", wrap=True).collect())
+        order = list(range(n))[::-1]
+        assert got == sorted((i // size, order[x % n]) for i in range(0, n, size) for x in range(i, i + size))
