@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.llm.ann import matrix, usable
-from eventweave.llm.graph import components
+from eventweave.llm.graph import components, smallest_reached
 from eventweave.llm.scratch import materialize
 
 #: Vectors in a block at most about, and pivots in all at most.
@@ -175,28 +175,12 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float, itself: bool) -> t
     count_a, count_b = np.cumsum(gain_a)[:-1], np.cumsum(gain_b)[:-1]
     if itself:
         count_a = count_a - 1  # every point links with itself
-    names = _smallest_reached(shift + len(b.order), np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right]))
+    names = smallest_reached(shift + len(b.order), np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right]))
     back_a, back_b = np.empty(len(a.order), np.int64), np.empty(len(b.order), np.int64)
     back_a[a.order], back_b[b.order] = np.arange(len(a.order)), np.arange(len(b.order))
     return count_a[back_a], count_b[back_b], np.concatenate([names[back_a], names[shift + back_b]]) if not itself else names[back_a]
 
 
-def _smallest_reached(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches by the edges."""
-    name = np.arange(n)
-    while True:
-        least = np.minimum(name[left], name[right])
-        after = name.copy()
-        np.minimum.at(after, left, least)
-        np.minimum.at(after, right, least)
-        np.minimum.at(after, name[left], least)
-        np.minimum.at(after, name[right], least)
-        after = after[after]
-        if (after == name).all():
-            return name
-        name = after
-
-
 def _pivots(kept: DataFrame, rows: int) -> dict[tuple, np.ndarray]:
     """Sampled vectors by (label, dims): about one for each block, MAX_PIVOTS at most."""
     n = kept.count()

@@ -3,30 +3,34 @@
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so 100 permutations
 make 200 values with half the hash evaluations. 40 bands of 5 values propose candidates: a pair at the
 threshold of 0.75 shares no band with a chance of 2e-5. Documents with equal shingle sets are one class from the start, and only its smallest
-doc_id goes on. In each bucket all members are compared with the smallest one; members that don't end up in its
-component are then compared with every member of the bucket in another component. So no link that the bands
-propose is lost, and a bucket of mutual copies costs one comparison a member. Links are confirmed on full sets.
+doc_id goes on.
+
+Pairs of a bucket are never listed. First each member is compared with the bucket's smallest one, then in rounds those outside the
+bucket's largest component with one of its members, the likeliest for each, while that links a tenth of them: work in proportion to
+members, which gathers a bucket of mutual copies. Members that are still in another component than the bucket's largest are compared with all
+others by blocks: by sketches first, and where these agree enough, on full sets within one task, which emits links between components only. So
+no link that the bands propose is lost, and a bucket of n with few strays costs about n.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweave.llm.graph import components
-from eventweave.llm.scratch import materialize, small_batches
+from eventweave.llm.graph import components, smallest_reached
+from eventweave.llm.scratch import discard, materialize, small_batches
 from eventweave.llm.textbuf import U64, mix, shingle_sets, text_chunks
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
-#: Rows of a block of a bucket, on average.
-BLOCK = 512
+#: Rows of a block of a bucket and members that share a copy of their lead's text, on average; rows and shingles of a block of texts.
+BLOCK, CELL, TEXTS, SHINGLES = 512, 256, 256, 1 << 20
 _rng = np.random.default_rng(8675309)
 _SCALE = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64) | U64(1)
 _SHIFT = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64)
@@ -76,100 +80,200 @@ def _floor(percent: int) -> float:
     return n * p - 5 * math.sqrt(n * p * (1 - p))
 
 
-def _near_in_cell(cell: pa.Table, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one cell to confirm: in different components, one of them apart, with sketches that agree enough."""
-    ids, comp, apart = (cell[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "c", "apart"))
-    block, lo, hi = (cell[c].to_numpy() for c in ("block", "lo", "hi"))
-    band = int(cell["band"][0].as_py())
-    bands = cell["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in as many bytes as a pair at the threshold does but for a chance of 3e-7, with that number as ``alike``."""
+    n, floor, names = 2 * PERMUTATIONS, _floor(percent), pairs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in ("x", "y"))
+                alike = (x == y).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(alike, pa.int64())], [*names, "alike"]).filter(pa.array(alike >= floor))
+
+    x, y = (signed.select(F.col("doc_id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.join(y, "b").join(x, "a").select(*names, "x", "y").mapInArrow(keep, f"{kinds}, alike long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets reach the threshold, from rows (a, b, n): about n of them at most have that a.
+
+    The members b of an a are dealt into cells of about CELL, and each cell gets the text of a once, before its members' texts.
+    """
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leads = None, []
+        for batch in batches:
+            for part in text_chunks(batch, "text"):
+                sets, found_a, found_b = shingle_sets(part.column("text"), width), [], []
+                for a, cell, member, b, own in zip(*(part.column(c).to_pylist() for c in ("a", "cell", "member", "b")), sets, strict=True):
+                    if at != (a, cell):
+                        at, leads = (a, cell), []
+                    if not member:
+                        leads.append(own)
+                    elif any(_reaches(lead, own, percent) for lead in leads):
+                        found_a.append(a)
+                        found_b.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    cells = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / F.lit(CELL), F.lit(1.0))))).cast("long")
+    dealt = pairs.select("a", "b", (F.shiftleft(cells, 32) + F.pmod(F.xxhash64("b"), cells)).alias("cell"))
+    leads = dealt.select("a", "cell").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "cell", F.lit(False).alias("member"), F.col("a").alias("b"), "text")
+    members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "cell", F.lit(True).alias("member"), "b", "text")
+    rows = leads.unionByName(members).repartition("a", "cell").sortWithinPartitions("a", "cell", "member")
+    return rows.mapInArrow(test, "a long, b long")
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the similarity of two sorted sets is at least percent / 100. Sizes alone may rule that out."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _by_cell(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
+    """A mapInArrow function that gathers the rows of each cell, which follow each other, and gives them to work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in chain(batches, [None]):
+            cuts = []
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                names = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], axis=1)
+                cuts = (np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()
+                if at is not None and (names[0] != at).any():
+                    cuts = [0, *cuts]
+                at = names[-1]
+            lo = 0
+            for cut in cuts if batch is not None else [0]:
+                if batch is not None and cut > lo:
+                    held.append(batch.slice(lo, cut - lo))
+                if held and (found := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+                    yield found
+                held, lo = [], cut
+            if batch is not None:
+                held.append(batch.slice(lo))
+
+    return run
+
+
+def _cells(rows: DataFrame, group: str, blocks: str, strays: str, stray: str) -> DataFrame:
+    """rows dealt into blocks of their group, repeated for each cell (lo, hi) of two blocks that has a block of strays: blocks 0 to ``strays`` - 1.
+
+    ``blocks`` and ``strays`` name columns with the group's numbers of blocks of both kinds; ``stray`` says of which kind a row is.
+    """
+    own = F.when(F.col(stray), F.pmod(F.xxhash64("doc_id"), F.col(strays))).otherwise(F.col(strays) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.col(blocks), F.lit(1))))
+    dealt = rows.withColumn("block", own.cast("int"))
+    last = F.when(F.col(stray), F.col(strays) + F.col(blocks) - 1).otherwise(F.col(strays) - 1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+
+def _likely_rows(cell: pa.Table, floor: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Pairs of rows of a cell that are in different components and whose sketches agree enough, as (row, row, agreeing bytes); and components and ids."""
+    ids, comp, block = (cell[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "c", "block"))
+    lo, hi = cell["lo"][0].as_py(), cell["hi"][0].as_py()
     sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    same = lo[0] == hi[0]
-    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
-    found_a, found_b = [], []
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    found = []
     for k in range(0, len(left), 64):
         rows = left[k : k + 64]
-        open_ = (comp[rows][:, None] != comp[right][None, :]) & (apart[rows][:, None] | apart[right][None, :])
-        if same:
-            open_ &= ids[rows][:, None] < ids[right][None, :]
+        open_ = comp[rows][:, None] != comp[right][None, :]
+        if lo == hi:
+            open_ &= rows[:, None] < right[None, :]
         i, j = np.nonzero(open_)
         for m in range(0, len(i), 1 << 14):
             x, y = rows[i[m : m + (1 << 14)]], right[j[m : m + (1 << 14)]]
-            hit = (sketch[x] == sketch[y]).sum(axis=1) >= floor
-            # a pair that shares several buckets counts in the one of its first common band; if that bucket's lead is one of
-            # the pair, they have been compared already
-            x, y = x[hit], y[hit]
-            hit = (bands[x] == bands[y]).argmax(axis=1) == band
-            found_a.append(ids[x[hit]])
-            found_b.append(ids[y[hit]])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (found_a, found_b))
-    return np.minimum(a, b), np.maximum(a, b)
+            alike = (sketch[x] == sketch[y]).sum(axis=1)
+            hit = alike >= floor
+            found.append((x[hit], y[hit], alike[hit]))
+    return found, comp, ids
 
 
-def likely_in_buckets(at: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose sketches agree enough, from rows (key, band, doc_id, lead, n, c, apart).
+def likely_strays(at: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, c, label) of the members of buckets whose sketches agree enough with those of a member in another component.
 
-    Buckets are cut into blocks of about BLOCK rows, and a task compares two blocks at a time by arrays; only pairs worth confirming are emitted.
+    From rows (key, doc_id, c, stray, n_stray, n_main). Components that such pairs join, directly or through others of the same cell, have one label.
     """
     floor = _floor(percent)
-    open_keys = at.where("apart").select("key").distinct()
-    rows = at.where("doc_id != lead").join(open_keys, "key", "left_semi").join(heads.select("doc_id", "sketch", "bands"), "doc_id")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "doc_id", "c", "apart", "sketch", "bands")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                if not batch.num_rows:
-                    continue
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table])
-            if held is None:
-                return
-            keys = np.stack([held[c].to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist(), *([len(held)] if batch is None else [])]
-            held = held.combine_chunks()
-            found = [_near_in_cell(held.slice(x, y - x), floor) for x, y in zip(bounds[:-1], bounds[1:], strict=True) if y - x > 1]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
-            held = held.slice(bounds[-1])
-
-    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long")
-
-
-def likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in as many bytes as a pair at the threshold does but for a chance of 3e-7."""
-    n, floor = 2 * PERMUTATIONS, _floor(percent)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= floor))
+    def compare(cell: pa.Table) -> pa.RecordBatch:
+        found, comp, ids = _likely_rows(cell, floor)
+        x, y = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+        names, number = np.unique(comp, return_inverse=True)
+        label = names[smallest_reached(len(names), number[x], number[y])]
+        rows = np.unique(np.concatenate([x, y]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(comp[rows]), pa.array(label[number[rows]])], ["doc_id", "c", "label"])
 
-    x, y = (signed.select(F.col("doc_id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+    blocks, strays = (F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") for n in ("n_main", "n_stray"))
+    rows = at.withColumn("blocks", blocks).withColumn("strays", strays).join(heads.select("doc_id", "sketch"), "doc_id")
+    cells = _cells(rows, "key", "blocks", "strays", "stray").select("key", "lo", "hi", "block", "doc_id", "c", "sketch")
+    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_by_cell(["key", "lo", "hi"], compare), "doc_id long, c long, label long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold. Both joins read one shuffle of the texts."""
+def confirmed_in_groups(members: DataFrame, heads: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that join the components of each group as all links between its members would, from rows (g, doc_id, c).
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_text, last_set = None, None
-        for batch in batches:
-            for part in text_chunks(batch, "y"):
-                sets, keep = shingle_sets(part.column("y"), width), []
-                for text, other in zip(part.column("x").to_pylist(), sets, strict=True):
-                    if text != last_text or last_set is None:
-                        last_text, last_set = text, shingle_sets(pa.array([text], pa.string()), width)[0]
-                    both = len(np.intersect1d(last_set, other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(last_set) + len(other) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    A group's texts are dealt into blocks of bounded rows and shingles, and a task compares two blocks: the likeliest pairs first, on full
+    sets, and only pairs whose components are not joined yet in that cell. All but the members of the largest component meet everyone.
+    """
+    floor = _floor(percent)
 
-    x, y = (texts.select(F.col("doc_id").alias(i), F.col("text").alias(t)) for i, t in (("a", "x"), ("b", "y")))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    def compare(cell: pa.Table) -> pa.RecordBatch:
+        found, comp, ids = _likely_rows(cell, floor)
+        x, y, alike = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1, 2))
+        rows = np.unique(np.concatenate([x, y]))
+        sets: dict[int, np.ndarray] = {}
+        for part in text_chunks(pa.RecordBatch.from_arrays([cell["text"].combine_chunks().take(pa.array(rows)) if len(rows) else pa.array([], pa.string()), pa.array(rows)], ["text", "row"]), "text"):
+            sets |= zip(part.column("row").to_pylist(), shingle_sets(part.column("text"), width), strict=True)
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := above.get(c, c)) != c:
+                above[c] = above.get(up, up)
+                c = up
+            return c
+
+        order = np.argsort(-alike, kind="stable")
+        found_a, found_b = [], []
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            p, q = top(int(comp[i])), top(int(comp[j]))
+            if p != q and _reaches(sets[i], sets[j], percent):
+                above[q] = p
+                found_a.append(int(ids[i]))
+                found_b.append(int(ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    sized = members.join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    sums = sized.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    main = sums.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max(F.struct("n", "c"))["n"].alias("n_main"), F.max_by("s", F.struct("n", "c")).alias("s_main"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+    def blocks(n: F.Column, s: F.Column) -> F.Column:
+        return F.greatest(F.ceil(n / F.lit(TEXTS)), F.ceil(s / F.lit(SHINGLES))).cast("int")
+
+    main = main.select("g", "main", blocks(F.col("n_main"), F.col("s_main")).alias("blocks"), blocks(F.col("n") - F.col("n_main"), F.col("s") - F.col("s_main")).alias("strays"))
+    rows = sized.join(main, "g").withColumn("stray", F.col("c") != F.col("main"))
+    cells = _cells(rows, "g", "blocks", "strays", "stray").select("g", "lo", "hi", "block", "doc_id", "c", "sketch")
+    full = cells.join(texts, "doc_id").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    return full.mapInArrow(_by_cell(["g", "lo", "hi"], compare), "a long, b long")
+
+
+def _open_buckets(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """Members (key, doc_id, c) of the buckets that hold several components."""
+    at = members.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    several = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
+    return materialize(at.join(several, "key", "left_semi"), "open-buckets")
+
+
+def _leaders(at: DataFrame, turn: int) -> DataFrame:
+    """(key, main, anchor, n_main, n) of each bucket: its largest component, a member of it drawn by a hash, and the numbers of both's members."""
+    sums = at.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id"))["doc_id"].alias("anchor"))
+    return sums.groupBy("key").agg(F.max(F.struct("n", "c", "anchor")).alias("x"), F.sum("n").alias("n")).select("key", F.col("x.c").alias("main"), F.col("x.anchor").alias("anchor"), F.col("x.n").alias("n_main"), "n")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,33 +282,57 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     Documents link when the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent`` / 100; component_id is the
     smallest doc_id reached by links. Texts without words, null texts among them, link with nothing. Rows with a null doc_id link with
     nothing, have a null component_id and are kept. Rows that repeat a doc_id with other texts count as one document in links,
-    but a text with the shingles of a smaller doc_id's counts as that one's. Other columns are ignored.
+    but a text with the shingles of a smaller doc_id's counts as that one's. Very long texts are hashed whole, a block of shingles at a time. An empty table
+    gives no rows. Other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed = materialize(signatures(docs, id_col, text_col, width), "signatures")
     usable = signed.where("digest is not null and doc_id is not null")
-    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
-    heads = materialize(usable.join(classes, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select("doc_id", "bands", "sketch"), "heads")
+    # rows of one digest have one shingle set, so one sketch and the same bands
+    heads = materialize(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("digest", "x.*"), "heads")
 
-    in_bands = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    in_bands = heads.select("doc_id", F.explode("bands").alias("key"))
     buckets = in_bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(in_bands.join(buckets, "key").select("key", "band", "doc_id", "lead", "n"), "members")
-    first = members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    members = materialize(in_bands.join(buckets, "key").select("key", "doc_id", "lead", "n"), "members")
+    # a lead has at most BANDS buckets of n members
+    first = members.where("doc_id != lead").groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
     links = materialize(confirmed(likely(first, heads, percent), texts, percent, width), "links")
     reached = components(links)
-
-    # members that are not in the component of their bucket's lead, against all members in another component
-    at = members.where("n > 2").join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    at = at.join(reached.withColumnRenamed("node", "lead"), "lead", "left").withColumn("apart", F.col("c") != F.coalesce("component", "lead"))
-    at = materialize(at.select("key", "band", "doc_id", "lead", "n", "c", "apart"), "apart")
-    rest = materialize(likely_in_buckets(at, heads, percent), "rest")
+    at = _open_buckets(members.where("n > 2").select("key", "doc_id"), reached)
+    discard(members)
+
+    def join_up(links: DataFrame) -> None:
+        nonlocal reached, at
+        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        before, at = at, _open_buckets(at.select("key", "doc_id"), reached)
+        discard(before)
+
+    for turn in count():
+        # strays with a member of their bucket's largest component, each with the likeliest of its buckets'
+        lead = _leaders(at, turn)
+        pairs = at.join(lead, "key").where("c != main").groupBy(F.col("anchor").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
+        best = likely(pairs, heads, percent).groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("alike", "a")).alias("x")).select("x.a", "b", "x.n")
+        best = materialize(best, "strays")
+        tried = best.count()
+        links = materialize(confirmed(best, texts, percent, width), "links") if tried else best.select("a", "b")
+        linked = links.count() if tried else 0
+        if linked:
+            join_up(links)
+        if linked * 10 < tried or not linked:
+            break
+
+    lead = _leaders(at, 0).select("key", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_stray"))
+    rest = materialize(likely_strays(at.join(lead, "key").withColumn("stray", F.col("c") != F.col("main")), heads, percent), "likely-strays")
     if not rest.isEmpty():
-        more = materialize(confirmed(rest, texts, percent, width), "links")
+        groups = components(rest.select(F.col("c").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "c")
+        grouped = rest.select("doc_id", "c").distinct().join(groups, "c", "left").select(F.coalesce("component", "c").alias("g"), "doc_id", "c")
+        more = materialize(confirmed_in_groups(materialize(grouped, "stray-groups"), heads, texts, percent, width), "links")
         if not more.isEmpty():
             reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    discard(at)
 
-    named = classes.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
+    named = heads.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))

@@ -54,11 +54,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the Arrow batches that this session sends to Python: Spark counts their rows only, and rows here are whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes of the Arrow batches that this session sends to Python; a row of more bytes is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
