@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm.scratch import filesystem, materialize, small_batches
+from eventweave.llm.scratch import discard, filesystem, materialize, small_batches
+from eventweave.llm.textbuf import release_freed_memory
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Record bytes after which a frame ends, and a bundle.
@@ -109,15 +110,15 @@ def header_value(value: object) -> str:
     return " ".join(str(value).splitlines())
 
 
-def format_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit record without payload when it refers to another page."""
+def format_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, copy: str = "") -> bytes:
+    """A response record, or a revisit record without payload when it refers to another page. ``copy`` tells records of one page_id apart."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}{copy and ':' + copy}>",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {header_value(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
@@ -148,39 +149,48 @@ def parse_records(raw: bytes) -> Iterator[dict]:
 
 
 def _page(urn: str | None) -> int | None:
-    name = urn[1:-1].removeprefix(_URN) if urn else ""
+    name = urn[1:-1].removeprefix(_URN).partition(":")[0] if urn else ""
     return int(name) if name else None
 
 
 def first_copies(pages: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """pages as (page_id, url, html, refers_to): a page whose payload a smaller page_id has refers to the smallest.
+    """pages as (page_id, url, html, refers_to, repeated): a page whose payload a smaller page_id has refers to the smallest; ``repeated`` ones share their id.
 
-    Payloads are equal when their SHA-256 is. Only (id, digest) rows are grouped and joined; page texts take part in the last join alone,
-    on page_id, and only if some payload occurs twice. Payloads under ``min_bytes`` refer to nothing.
+    Payloads are equal when their SHA-256 is. Only rows of id and digest are grouped and joined by digest; what is found, a row for each page that is a copy,
+    is stored and joined with the pages by id, which shuffles no page where that is small enough to be broadcast. Payloads under ``min_bytes`` refer to nothing.
     """
-    named = pages.select(pages[id_col].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages[text_col].cast("string").alias("html"))
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
-    keys = materialize(named.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes).select("page_id", digest.alias("digest")), "warc-keys")
-    shared = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    return named.withColumn("digest", digest).join(shared, "digest", "left").select("page_id", "url", "html", F.when((F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    named = pages.select(pages[id_col].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages[text_col].cast("string").alias("html"))
+    keys = materialize(named.select("page_id", F.unhex(digest).alias("digest"), (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes).alias("counts")), "warc-keys")
+    shared = keys.where("counts").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    copies = keys.where("counts").join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first", F.lit(False).alias("repeated"))
+    ids = keys.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id")
+    again = keys.join(ids, keys["page_id"].eqNullSafe(ids["page_id"]), "left_semi").select("page_id", "digest", F.lit(None).cast("long").alias("first"), F.lit(True).alias("repeated"))
+    found = materialize(copies.unionByName(again).groupBy("page_id", "digest").agg(F.max("first").alias("refers_to"), F.max("repeated").alias("repeated")), "warc-copies")
+    discard(keys)
+    p, c = named.withColumn("digest", F.unhex(digest)).alias("p"), found.alias("c")
+    joined = p.join(c, F.col("p.page_id").eqNullSafe(F.col("c.page_id")) & (F.col("p.digest") == F.col("c.digest")), "left")
+    return joined.select("p.page_id", "url", "html", "refers_to", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
 
 def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", text_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each page into bundles below out_dir; returns the stored index (page_id, path, frame, offset, length).
 
     A null text has an empty payload; a null url gives no target header. Of equal payloads the smallest page_id is the response; rows that repeat that id are
-    responses too. A null page_id is written with an empty identifier and refers to the first copy, if that has one. Other
-    columns are ignored. Each task writes bundles under names of its own, and the index says which count.
+    responses too. A null page_id refers to the first copy, if that has one. Records have identifiers of their own: those of pages that share an id, or have none, end
+    in a random part. A very long page is a frame of its own. No pages: an empty index. Other
+    columns are ignored, whatever their names. Each task writes bundles under names of its own, and the index says which count.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bundle = TaskContext.get().partitionId(), None
         for batch in batches:
             rows = []
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            release_freed_memory()
+            for page_id, url, html, refers_to, repeated in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "repeated")), strict=True):
                 if bundle is None:
                     bundle = BundleWriter(f"{out_dir}/pages-{part:06d}-{uuid.uuid4().hex}.warc.zst")
-                place = bundle.add(format_record(page_id, url, (html or "").encode(), refers_to, date))
+                place = bundle.add(format_record(page_id, url, (html or "").encode(), refers_to, date, uuid.uuid4().hex if repeated or page_id is None else ""))
                 rows.append((page_id, bundle.uri, *place))
                 if bundle.written >= BUNDLE_BYTES:
                     bundle.close()
@@ -195,34 +205,45 @@ def write_warc(pages: DataFrame, out_dir: str, id_col: str = "page_id", text_col
     return materialize(linked.mapInArrow(write, "page_id long, path string, frame long, offset long, length long"), "warc-index")
 
 
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+_NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+
+
+def _row(path: str, page_id: int | None, raw: bytes) -> tuple:
+    """The record of an index entry; an error if it isn't a whole record of that page."""
+    try:
+        (record,) = parse_records(raw)
+    except ValueError as e:
+        raise ValueError(f"{path}: the entry of page {page_id} names no single record") from e
+    h, kind = record["headers"], record["headers"]["warc-type"]
+    size, digest = int(record["http"]["content-length"]), h["warc-payload-digest"].removeprefix("sha1:")
+    if kind == "response" and (len(record["payload"]) != size or base32_sha1(record["payload"]) != digest):
+        raise ValueError(f"{path}: a payload doesn't match its header")
+    if _page(h["warc-record-id"]) != page_id:
+        raise ValueError(f"{path}: the entry of page {page_id} names another page's record")
+    return page_id, size, digest, kind, _page(h.get("warc-refers-to")), h.get("warc-target-uri"), record["payload"] if kind == "response" else None
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "offset", "length", "page_id")), strict=True)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+
+
 def read_warc(spark: SparkSession, index: DataFrame) -> DataFrame:
     """Every record that an index names: (page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload).
 
     Records are cut out of frames at the places in the index. ``payload`` is null for revisits. It is an error when a response's payload doesn't
     have its digest and length, when a record isn't that of its entry, and when a bundle holds bytes that no entry names.
     """
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
-
-    def row(path: str, page_id: int | None, raw: bytes) -> tuple:
-        try:
-            (record,) = parse_records(raw)
-        except ValueError as e:
-            raise ValueError(f"{path}: the entry of page {page_id} names no single record") from e
-        h, kind = record["headers"], record["headers"]["warc-type"]
-        size, digest = int(record["http"]["content-length"]), h["warc-payload-digest"].removeprefix("sha1:")
-        if kind == "response" and (len(record["payload"]) != size or base32_sha1(record["payload"]) != digest):
-            raise ValueError(f"{path}: a payload doesn't match its header")
-        if _page(h["warc-record-id"]) != page_id:
-            raise ValueError(f"{path}: the entry of page {page_id} names another page's record")
-        return page_id, size, digest, kind, _page(h.get("warc-refers-to")), h.get("warc-target-uri"), record["payload"] if kind == "response" else None
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "offset", "length", "page_id")), strict=True)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, own in groupby(entries(batches), itemgetter(0)):
+        for path, own in groupby(_entries(batches), itemgetter(0)):
+            release_freed_memory()
             with BundleReader(path) as bundle:
                 seen = 0
                 for k, places in groupby(own, itemgetter(1)):
@@ -232,15 +253,30 @@ def read_warc(spark: SparkSession, index: DataFrame) -> DataFrame:
                     for _, _, offset, length, page_id in places:
                         if offset != at:
                             raise ValueError(f"{path}: the index doesn't fit the records of frame {k}")
-                        rows.append(row(path, page_id, raw[offset : offset + length]))
+                        rows.append(_row(path, page_id, raw[offset : offset + length]))
                         at = offset + length
                     if at != len(raw):
                         raise ValueError(f"{path}: the index doesn't fit the records of frame {k}")
                     seen += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield _batch(rows)
                 if seen != len(bundle.sizes):
                     raise ValueError(f"{path}: the index has {seen} of {len(bundle.sizes)} frames")
 
     bundles = max(1, index.select("path").distinct().count())
     places = index.select("path", "frame", "offset", "length", "page_id").repartitionByRange(bundles, "path").sortWithinPartitions("path", "frame", "offset")
-    return places.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return places.mapInArrow(read, _READ)
+
+
+def fetch(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records, as read_warc() gives them, of the page_ids in ids: only their frames are read. Unknown and null ids give nothing."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, own in groupby(_entries(batches), itemgetter(0)):
+            with BundleReader(path) as bundle:
+                for k, places in groupby(own, itemgetter(1)):
+                    raw = bundle.frame(k)
+                    yield _batch([_row(path, page_id, raw[offset : offset + length]) for _, _, offset, length, page_id in places])
+
+    asked = index.join(ids.select(ids["page_id"].cast("long").alias("page_id")), "page_id", "left_semi")
+    places = asked.select("path", "frame", "offset", "length", "page_id").repartition("path", "frame").sortWithinPartitions("path", "frame", "offset")
+    return places.mapInArrow(read, _READ)
