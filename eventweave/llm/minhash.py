@@ -29,8 +29,8 @@ from eventweave.llm.scratch import discard, materialize, small_batches
 from eventweave.llm.textbuf import U64, mix, shingle_sets, text_chunks
 
 PERMUTATIONS, BANDS, ROWS = 100, 40, 5
-#: Rows of a block of a bucket and members that share a copy of their lead's text, on average; rows and shingles of a block of texts.
-BLOCK, CELL, TEXTS, SHINGLES = 512, 256, 256, 1 << 20
+#: Rows of a block of a bucket, members that share a copy of their lead's text, and members of a part of a bucket, on average; rows and shingles of a block of texts.
+BLOCK, CELL, SPREAD, TEXTS, SHINGLES = 512, 256, 1024, 256, 1 << 20
 _rng = np.random.default_rng(8675309)
 _SCALE = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64) | U64(1)
 _SHIFT = _rng.integers(0, 2**64, PERMUTATIONS, dtype=U64)
@@ -263,17 +263,29 @@ def confirmed_in_groups(members: DataFrame, heads: DataFrame, texts: DataFrame,
     return full.mapInArrow(_by_cell(["g", "lo", "hi"], compare), "a long, b long")
 
 
+def _salted(members: DataFrame) -> DataFrame:
+    """Members (key, doc_id, n) with ``salt``, which deals a bucket's into parts of about SPREAD."""
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.ceil(F.col("n") / F.lit(SPREAD)).cast("long")))
+
+
+def _for_each_salt(buckets: DataFrame) -> DataFrame:
+    """Rows (key, n) of buckets, one for each part."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(SPREAD)).cast("long") - 1)))
+
+
 def _open_buckets(members: DataFrame, reached: DataFrame) -> DataFrame:
-    """Members (key, doc_id, c) of the buckets that hold several components."""
-    at = members.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    several = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-    return materialize(at.join(several, "key", "left_semi"), "open-buckets")
+    """Members (key, doc_id, n, c) of the buckets that hold several components."""
+    at = members.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    several = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("n").alias("n")).where("x != y").select("key", "n")
+    return materialize(_salted(at).join(_for_each_salt(several).drop("n"), ["key", "salt"], "left_semi").drop("salt"), "open-buckets")
 
 
 def _leaders(at: DataFrame, turn: int) -> DataFrame:
-    """(key, main, anchor, n_main, n) of each bucket: its largest component, a member of it drawn by a hash, and the numbers of both's members."""
-    sums = at.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id"))["doc_id"].alias("anchor"))
-    return sums.groupBy("key").agg(F.max(F.struct("n", "c", "anchor")).alias("x"), F.sum("n").alias("n")).select("key", F.col("x.c").alias("main"), F.col("x.anchor").alias("anchor"), F.col("x.n").alias("n_main"), "n")
+    """at with its buckets' largest component ``main``, a member of it drawn by a hash, ``anchor``, and its number of members ``n_main``."""
+    sums = at.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id"))["doc_id"].alias("anchor"), F.max("n").alias("n"))
+    lead = sums.groupBy("key").agg(F.max(F.struct("m", "c", "anchor")).alias("x"), F.max("n").alias("n"))
+    lead = _for_each_salt(lead.select("key", "n", F.col("x.c").alias("main"), F.col("x.anchor").alias("anchor"), F.col("x.m").alias("n_main"))).drop("n")
+    return _salted(at).join(lead, ["key", "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,19 +311,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
     first = members.where("doc_id != lead").groupBy(F.col("lead").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
     links = materialize(confirmed(likely(first, heads, percent), texts, percent, width), "links")
     reached = components(links)
-    at = _open_buckets(members.where("n > 2").select("key", "doc_id"), reached)
+    at = _open_buckets(members.where("n > 2").select("key", "doc_id", "n"), reached)
     discard(members)
 
     def join_up(links: DataFrame) -> None:
         nonlocal reached, at
         reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-        before, at = at, _open_buckets(at.select("key", "doc_id"), reached)
+        before, at = at, _open_buckets(at.select("key", "doc_id", "n"), reached)
         discard(before)
 
     for turn in count():
         # strays with a member of their bucket's largest component, each with the likeliest of its buckets'
-        lead = _leaders(at, turn)
-        pairs = at.join(lead, "key").where("c != main").groupBy(F.col("anchor").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
+        pairs = _leaders(at, turn).where("c != main").groupBy(F.col("anchor").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
         best = likely(pairs, heads, percent).groupBy("b").agg(F.max_by(F.struct("a", "n"), F.struct("alike", "a")).alias("x")).select("x.a", "b", "x.n")
         best = materialize(best, "strays")
         tried = best.count()
@@ -322,8 +333,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, id_col:
         if linked * 10 < tried or not linked:
             break
 
-    lead = _leaders(at, 0).select("key", "main", "n_main", (F.col("n") - F.col("n_main")).alias("n_stray"))
-    rest = materialize(likely_strays(at.join(lead, "key").withColumn("stray", F.col("c") != F.col("main")), heads, percent), "likely-strays")
+    led = _leaders(at, 0).withColumns({"n_stray": F.col("n") - F.col("n_main"), "stray": F.col("c") != F.col("main")})
+    rest = materialize(likely_strays(led, heads, percent), "likely-strays")
     if not rest.isEmpty():
         groups = components(rest.select(F.col("c").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "c")
         grouped = rest.select("doc_id", "c").distinct().join(groups, "c", "left").select(F.coalesce("component", "c").alias("g"), "doc_id", "c")
