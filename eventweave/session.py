@@ -1,14 +1,77 @@
-"""Session helpers."""
+"""Session helpers: packages on workers, and shared intermediate storage.
+
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, which the driver and every executor can reach, so a lost executor never takes intermediate
+rows with it.
+"""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_dir: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master without that setting."""
+    global _local_dir
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _local_dir is None:
+        _local_dir = "file://" + tempfile.mkdtemp(prefix="eventweave-")
+    return _local_dir
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: later stages restart from the files."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a materialized frame that nothing reads any more."""
+    if path := getattr(df, "_scratch_path", None):
+        remove(df.sparkSession, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one go, replacing one of that name; readers see the old or the new one."""
+    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(target, True)
+    files.rename(aside, target)
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from the place where the driver found it."""

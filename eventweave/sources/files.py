@@ -8,37 +8,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventweave.session import exists
+
 Schema = StructType | str
 _WRAPPERS = {"samples": ("samples", "data", "items"), "corpus": ("records", "data", "examples")}
 
 
+def _row_type(schema: Schema) -> str:
+    row = (schema if isinstance(schema, str) else schema.simpleString()).strip()
+    return row if row.startswith("struct<") else f"struct<{', '.join(row.split(', '))}>"
+
+
+def _is_object(text: Column) -> Column:
+    """Whether a text is one JSON object."""
+    return F.coalesce(F.trim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
-    """One object a line. Blank lines are skipped; a malformed line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One object a line. Blank lines and lines that hold another JSON value are dropped; a malformed line fails the read."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    bad = F.try_parse_json(F.col("value")).isNull()
+    sound = lines.where(F.when(bad, F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 80))).cast("boolean")).otherwise(_is_object(F.col("value"))))
+    return sound.select(F.from_json("value", _row_type(schema)).alias("r")).select("r.*")
 
 
 def read_jsonl_lenient(spark: SparkSession, path: str, schema: Schema, limit: int | None = None) -> DataFrame:
-    """Lines that parse; others are dropped. ``limit`` counts lines of the file, blank ones too."""
+    """Lines that hold an object; others, malformed ones too, are dropped. ``limit`` counts lines of the file, blank ones too."""
     lines = with_line_numbers(spark, path)
     rows = lines if limit is None else lines.where(F.col("_pos") < limit)
-    return rows.select(F.from_json("value", schema).alias("r"), "_pos").where("r is not null and trim(value) != ''").select("r.*", "_pos")
+    return rows.where(_is_object(F.col("value"))).select(F.from_json("value", _row_type(schema)).alias("r"), "_pos").select("r.*", "_pos")
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(value, _pos): lines with their 0-based numbers. Numbers continue over a file's splits: lines before a split are counted first."""
     lines = spark.read.text(path).select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = {r["p"]: r["n"] for r in lines.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row for each split
-    starts, total = {}, 0
-    for p in sorted(counts):
-        starts[p], total = total, total + counts[p]
-    if not starts:
-        return lines.select("value", F.lit(0).cast("long").alias("_pos"))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("p"))
-    return lines.select("value", (start + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("_pos"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = lines.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return lines.join(F.broadcast(starts), "p").select("value", (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("_pos"))
 
 
 def _is_lines(text: Column) -> Column:
@@ -48,28 +58,25 @@ def _is_lines(text: Column) -> Column:
     return (F.size(lines) > 1) & first.startswith("{") & first.endswith("}") & F.try_parse_json(first).isNotNull()
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: Schema, kind: str = "samples") -> DataFrame:
-    """Records of a JSON file: an array, an object that wraps an array, or one record. A ``.jsonl`` path is read by lines; so is, for corpora,
-    a file that isn't one JSON value."""
+def read_json_documents(spark: SparkSession, path: str, schema: Schema, kind: str = "samples", fall_back: bool = True) -> DataFrame:
+    """Records of JSON files: an array, an object that wraps an array, or one record; each file by itself. Elements that are no objects are dropped.
+
+    A ``.jsonl`` path is read by lines. So is, for corpora and unless ``fall_back`` is off, a path of which a file isn't one JSON value."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    whole = spark.read.text(path, wholetext=True)
-    text = F.trim("value")
-    row = (schema if isinstance(schema, str) else schema.simpleString()).strip()
-    item = row if row.startswith("struct<") else f"struct<{', '.join(row.split(', '))}>"
-    head = whole.select(F.substring(text, 1, 1).alias("c"), F.from_json("value", "map<string,string>").alias("m"), F.try_parse_json(F.col("value")).isNull().alias("bad"), _is_lines(text).alias("lines")).first()
-    if head is None:
-        return spark.createDataFrame([], schema)
-    if (head["bad"] or head["lines"]) and kind == "corpus":
-        return read_jsonl(spark, path, schema)
-    if head["bad"] or head["lines"]:
+    whole, item = spark.read.text(path, wholetext=True), _row_type(schema)
+    broken = F.try_parse_json(F.col("value")).isNull() | _is_lines(F.trim("value"))
+    if not whole.where(broken).isEmpty():
+        if kind == "corpus" and fall_back:
+            return read_jsonl(spark, path, schema)
         raise ValueError(f"{path} is not JSON")
-    if head["c"] == "[":
-        return whole.select(F.explode(F.from_json("value", f"array<{item}>")).alias("r")).where("r is not null").select("r.*")
-    for key in _WRAPPERS[kind]:
-        if (head["m"] or {}).get(key, "").startswith("["):
-            return whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{key}"), f"array<{item}>")).alias("r")).where("r is not null").select("r.*")
-    return whole.select(F.from_json("value", schema).alias("r")).select("r.*")
+    text = F.col("value")
+    # an element that is no string is its JSON text
+    elements = lambda array: F.from_json(array, "array<string>")
+    fields = F.from_json(text, "map<string,string>")
+    wrapped = F.coalesce(*[F.when(F.trim(F.try_element_at(fields, F.lit(key))).startswith("["), elements(F.try_element_at(fields, F.lit(key)))) for key in _WRAPPERS[kind]], F.array(text))
+    rows = whole.select(F.explode(F.when(F.trim(text).startswith("["), elements(text)).otherwise(wrapped)).alias("x"))
+    return rows.where(_is_object(F.col("x"))).select(F.from_json("x", item).alias("r")).select("r.*")
 
 
 def read_keyed_objects(spark: SparkSession, path: str, record: str, key: str = "image_id") -> DataFrame:
@@ -79,12 +86,13 @@ def read_keyed_objects(spark: SparkSession, path: str, record: str, key: str = "
 
 
 def read_mapping(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """(dataset, raw_type, event_type) and (dataset, event_type, raw_role, role) of an ontology mapping file; keys in lower case, empty pairs dropped."""
+    """(dataset, raw_type, event_type) and (dataset, event_type, raw_role, role) of an ontology mapping file; keys in lower case, empty pairs dropped.
+    Of keys that differ in case only the last counts."""
     rows = spark.read.text(path, wholetext=True).collect()  # one small file
     if not rows:
         raise ValueError(f"no mapping for {dataset}")
     spec = json.loads(rows[0][0])
-    clean = lambda pairs: [(k.strip().lower(), str(v).strip()) for k, v in (pairs or {}).items() if k.strip() and str(v or "").strip()]
+    clean = lambda pairs: {k.strip().lower(): str(v).strip() for k, v in (pairs or {}).items() if k.strip() and str(v or "").strip()}.items()
     types = [(dataset, k, v) for k, v in clean(spec.get("event_type_map"))]
     roles = [(dataset, t.strip(), k, v) for t, pairs in (spec.get("role_map") or {}).items() for k, v in clean(pairs)]
     return spark.createDataFrame(types, "dataset string, raw_type string, event_type string"), spark.createDataFrame(roles, "dataset string, event_type string, raw_role string, role string")
@@ -98,17 +106,27 @@ def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def existing_indexes(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """The indexes whose folders exist; others are left out."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))
-    return {name: spark.read.parquet(p) for name, p in paths.items() if there(p)}
+def existing_indexes(spark: SparkSession, roots: dict[str, str]) -> dict[str, DataFrame]:
+    """The saved indexes that exist, by name; others are left out."""
+    return {name: load_index(spark, root) for name, root in roots.items() if exists(spark, f"{root}/build_info.json")}
+
+
+def index_name(path: str) -> str:
+    """The name of the index that a corpus file is for."""
+    stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
+    # Corpora and their indexes.
+    return {"ace2005.text": "ace_text", "maven_arg.text": "maven_text", "swig.text": "swig_text", "bridge": "bridge"}.get(stem, stem.replace(".", "_"))
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    """A saved index's manifest."""
+    return json.loads(spark.read.text(f"{root}/build_info.json", wholetext=True).first()[0])
 
 
 def load_index(spark: SparkSession, root: str) -> DataFrame:
     """A saved index; an error unless its rows are as many as its manifest says."""
-    manifest = spark.read.json(f"{root}/build_info.json").first()
-    vectors = spark.read.parquet(f"{root}/vectors")
+    manifest = read_manifest(spark, root)
+    vectors = spark.read.parquet(*[f"{root}/{part}" for part in manifest["parts"]])
     if (n := vectors.count()) != manifest["record_count"]:
         raise ValueError(f"{root}: {n} rows, {manifest['record_count']} in the manifest")
     return vectors
@@ -116,21 +134,48 @@ def load_index(spark: SparkSession, root: str) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, mime) of image files."""
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    mime = F.when(kind.isin("jpg", "jpeg"), "image/jpeg").when(kind == "", "application/octet-stream").otherwise(F.concat(F.lit("image/"), kind))
-    return spark.read.format("binaryFile").load(path).select("path", "content", mime.alias("mime"))
+    return spark.read.format("binaryFile").load(path).select("path", "content", mime_of_path(F.col("path")).alias("mime"))
+
 
+def mime_of_path(path: Column) -> Column:
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(kind.isin("jpg", "jpeg"), "image/jpeg").when(kind == "", "application/octet-stream").otherwise(F.concat(F.lit("image/"), kind))
 
-def inline_image(reference):
+
+def inline_image(reference: Column) -> Column:
     """Bytes of a ``data:`` URL column; null for other references."""
     return F.when(reference.startswith("data:") & reference.contains(";base64,"), F.unbase64(F.substring_index(reference, ";base64,", -1)))
 
 
+def inline_mime(reference: Column) -> Column:
+    """The kind that a ``data:`` URL names; null for other references."""
+    return F.when(reference.startswith("data:"), F.coalesce(F.nullif(F.regexp_extract(reference, r"^data:([^;,]*)", 1), F.lit("")), F.lit("text/plain")))
+
+
+def with_image_bytes(rows: DataFrame, reference: str, files: DataFrame | None = None, fetched: DataFrame | None = None) -> DataFrame:
+    """rows with ``content`` and ``mime`` of their references: inline data, files from read_images(), or what a provider has fetched, as
+    (reference, content, mime). Null where a reference is none of these."""
+    ref = F.col(reference)
+    out = rows.withColumns({"content": inline_image(ref), "mime": F.when(inline_image(ref).isNotNull(), inline_mime(ref))})
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    for known, key in ((files, "path"), (fetched, "reference")):
+        if known is not None:
+            own = known.select(plain(F.col(key)).alias("__key"), F.col("content").alias("__content"), F.col("mime").alias("__mime"))
+            out = out.join(own, plain(ref) == F.col("__key"), "left")
+            out = out.withColumns({"content": F.coalesce("content", "__content"), "mime": F.coalesce("mime", "__mime")}).drop("__key", "__content", "__mime")
+    return out
+
+
 def read_class_list(spark: SparkSession, path: str) -> DataFrame:
     """(name, index) of a class list in CSV."""
     return spark.read.schema("name string, index int").csv(path)
 
 
+def read_image_list(spark: SparkSession, path: str) -> DataFrame:
+    """(image) of a list with a file name a line; blank lines are dropped."""
+    return spark.read.text(path).select(F.trim("value").alias("image")).where("image != ''")
+
+
 def read_npy_shards(spark: SparkSession, path: str) -> DataFrame:
     """(shard, row, embedding) of ``.npy`` files with one matrix each; empty ones give no rows, other shapes are an error."""
 
@@ -144,4 +189,22 @@ def read_npy_shards(spark: SparkSession, path: str) -> DataFrame:
                     part = matrix[k : k + 4096].astype(np.float32)
                     yield pd.DataFrame({"shard": name, "row": np.arange(k, k + len(part)), "embedding": list(part)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "shard string, row long, embedding array<float>")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInPandas(rows, "shard string, row long, embedding array<float>")
+
+
+def read_embedding_shards(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
+    """Vectors of ``NAME.emb.npy`` files with the metadata lines of ``NAME.meta.jsonl`` beside them, row by row: the columns of schema, ``shard``, ``row`` and
+    ``embedding``. Shards without rows are skipped; an error if a shard's vectors and lines differ in number, or if there are no vectors at all."""
+    vectors = read_npy_shards(spark, path).withColumn("shard", F.regexp_replace("shard", r"\.emb\.npy$", ""))
+    texts = spark.read.option("pathGlobFilter", "*.meta.jsonl").text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), r"\.meta\.jsonl$", "").alias("s"), "value")
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "file:/")
+    lines = texts.select(plain("s").alias("shard"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
+    vectors = vectors.withColumn("shard", plain("shard"))
+    sizes = [x.groupBy("shard").agg(F.count("*").alias(n)) for x, n in ((vectors, "vectors"), (lines, "lines"))]
+    both = sizes[0].join(sizes[1], "shard", "full").fillna(0)
+    if wrong := both.where("vectors != lines").first():
+        raise ValueError(f"{wrong['shard']}: {wrong['vectors']} vectors, {wrong['lines']} lines of metadata")
+    if both.isEmpty():
+        raise ValueError("all shards are empty")
+    meta = lines.select("shard", F.col("row").cast("long").alias("row"), F.from_json("line", _row_type(schema)).alias("r"))
+    return vectors.join(meta, ["shard", "row"]).select("r.*", "shard", "row", "embedding")

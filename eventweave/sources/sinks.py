@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from eventweave.session import exists, put_text, remove
+from eventweave.sources.files import read_manifest
+
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
@@ -17,16 +23,37 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
 
 
-def save_index(vectors: DataFrame, root: str, dims: int, **info: object) -> None:
-    """vectors and a manifest row; refuses an empty index, vectors of another length and components that aren't finite."""
+def _checked(vectors: DataFrame, root: str, dims: int | None) -> tuple[str, int, int]:
+    """Write vectors to a folder of their own below root; its name, rows and dims. Refused ones leave nothing behind."""
+    spark, part = vectors.sparkSession, f"vectors-{uuid.uuid4().hex}"
+    vectors.write.parquet(f"{root}/{part}")
     v = F.col("embedding")
-    bad = v.isNull() | (F.size(v) != dims) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    vectors.write.mode("overwrite").parquet(f"{root}/vectors")
-    n, wrong = vectors.sparkSession.read.parquet(f"{root}/vectors").agg(F.count("*"), F.count_if(bad)).first()
-    if not n or wrong:
-        raise ValueError(f"{root}: {n} rows, {wrong} of them not {dims} finite numbers")
-    manifest = {"record_count": n, "embedding_dim": dims} | info
-    vectors.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/build_info.json")
+    odd = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    n, wrong, low, high = spark.read.parquet(f"{root}/{part}").agg(F.count("*"), F.count_if(odd), F.min(F.size(v)), F.max(F.size(v))).first()
+    if not n or wrong or low != high or dims not in (None, low):
+        remove(spark, f"{root}/{part}")
+        raise ValueError(f"{root}: {n} rows, {wrong} of them not finite, lengths {low} to {high} where {dims or 'one'} is wanted")
+    return part, n, low
+
+
+def save_index(vectors: DataFrame, root: str, dims: int | None = None, **info: object) -> None:
+    """A new index: vectors and a manifest. Refuses an empty index, vectors of another length than dims (or each other) and components that aren't finite.
+
+    The vectors are written aside and checked; only then the manifest names them, and those of an older index go."""
+    spark = vectors.sparkSession
+    old = read_manifest(spark, root) if exists(spark, f"{root}/build_info.json") else {}
+    part, n, dims = _checked(vectors, root, dims)
+    put_text(spark, f"{root}/build_info.json", json.dumps({"record_count": n, "embedding_dim": dims} | info | {"parts": [part]}))
+    for gone in old.get("parts", []):
+        remove(spark, f"{root}/{gone}")
+
+
+def add_to_index(vectors: DataFrame, root: str) -> None:
+    """More vectors for a saved index, of its length; those that are there stay as they are."""
+    spark = vectors.sparkSession
+    manifest = read_manifest(spark, root)
+    part, n, _ = _checked(vectors, root, manifest["embedding_dim"])
+    put_text(spark, f"{root}/build_info.json", json.dumps(manifest | {"record_count": manifest["record_count"] + n, "parts": [*manifest["parts"], part]}))
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -48,10 +75,18 @@ def write_results(results: DataFrame, root: str) -> None:
         results.unpersist()
 
 
-def progress(results: DataFrame) -> DataFrame:
-    return results.agg(F.count("*").alias("samples"), F.count_if("verified").alias("verified"), F.count_if(F.size("issues") > 0).alias("with_issues"))
+def progress(results: DataFrame, skipped: int = 0) -> DataFrame:
+    """Counts of samples, verified ones, those with issues, and those that a resumed run skipped."""
+    return results.agg(F.count("*").alias("samples"), F.count_if("verified").alias("verified"), F.count_if(F.size("issues") > 0).alias("with_issues")).withColumn("skipped", F.lit(skipped).cast("long"))
+
+
+def write_analysis(summary: DataFrame, cases: DataFrame, root: str) -> None:
+    """An error summary as one JSON file, and its cases a line each."""
+    write_report(summary, f"{root}/error_summary")
+    write_jsonl(cases, f"{root}/error_cases")
 
 
-def observed(rows: DataFrame, node: str) -> DataFrame:
-    """rows whose count is reported under a node's name when they are used."""
-    return rows.observe(node, F.count(F.lit(1)).alias("rows"))
+def observed(rows: DataFrame, node: str) -> tuple[DataFrame, Callable[[], dict]]:
+    """rows, and a function that, once they have been used, gives the node's event: its name, rows and milliseconds since this call."""
+    seen, began = Observation(node), time.monotonic()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), lambda: {"node": node, "rows": seen.get["rows"], "latency_ms": round(1000 * (time.monotonic() - began))}
