@@ -34,6 +34,13 @@ def iou(a: Column, b: Column) -> Column:
     return let(let(boxes, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), intersection(x["a"], x["b"]).alias("both"))), ratio)
 
 
+def clamped_iou(a: Column, b: Column, least: float = 1e-8) -> Column:
+    """Intersection over union with the union at least ``least``: never null or undefined, 0 for boxes without area."""
+    both = area(F.array(F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / F.greatest(union, F.lit(least))
+
+
 def pixel_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
     """Whether pixel boxes (inclusive corners) overlap by more than threshold; two missing boxes match, one doesn't."""
     wide = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]) + 1)
@@ -43,7 +50,7 @@ def pixel_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.try_divide(both, union) > threshold)
 
 
-def box_quality(pred: Column, gold: Column, matched: float = 0.5, low: float = 0.1, cover_high: float = 0.9, purity_low: float = 0.5) -> Column:
+def box_quality(pred: Column, gold: Column, matched: float = 0.5, low: float = 0.2, cover_high: float = 0.8, purity_low: float = 0.6) -> Column:
     """How a predicted box misses: no or weak overlap, too large, too small, or shifted; ``matched`` at the threshold or above."""
     def judge(x: Column) -> Column:
         return (

@@ -77,7 +77,7 @@ def skip_reason(reason: str, detail: Column | None = None) -> Column:
     """``reason`` or ``reason:detail`` in lower case with underscores for spaces."""
     if detail is None:
         return F.lit(reason)
-    key = F.regexp_replace(F.lower(truthy(detail)), " ", "_")
+    key = F.regexp_replace(F.lower(clean_text(detail)), " ", "_")
     return F.when(key == "", F.lit(reason)).otherwise(F.concat(F.lit(reason + ":"), key))
 
 
@@ -118,6 +118,11 @@ def identity(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
+def file_identity(path: Column, modified: Column, size: Column) -> Column:
+    """An identity of a file that changes when it is written again: path, time of the last change and size."""
+    return F.sha2(F.concat_ws("|", path, F.unix_micros(modified).cast("string"), size.cast("string")), 256)
+
+
 def recency_score(published: Column, as_of: Column) -> Column:
     """1.0 up to 3 days of age, 0.7 up to 14, 0.3 up to 60, else 0.1; 0 without a readable date. Times without a zone are UTC; future ones have age 0."""
     value = truthy(published)
