@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.functions.text import clean_text, mapping_key, retrieval_text, skip_reason, text_part, truthy
-from eventweave.ontology import allowed_roles, is_supported
+from eventweave.ontology import allowed_roles, is_supported, literal_map
+from eventweave.operators.scoring import settle
 
 _SPAN = "struct<start:int,end:int>"
+# Names of the corpora.
+SOURCE_NAMES = {"ace2005": "ACE2005", "maven_arg": "MAVEN-ARG", "swig": "SWiG"}
 
 
 def first_present(df: DataFrame, *names: str) -> Column:
@@ -71,12 +74,18 @@ def flatten_swig(images: DataFrame) -> DataFrame:
     return images.select("image_id", truthy(F.col("verb")).alias("verb"), frame.alias("frame"), F.transform(pairs, lambda kv: F.struct(kv["key"].alias("role"), kv["value"].alias("label"))).alias("arguments"))
 
 
+def _last(pairs: DataFrame, key: Column, value: str) -> DataFrame:
+    """(key, value) with the last value of each key, in the order of ``_pos`` or else of the rows."""
+    pos = F.col("_pos") if "_pos" in pairs.columns else F.monotonically_increasing_id()
+    return pairs.select(key.alias("__key"), value, pos.alias("__at")).groupBy("__key").agg(F.max_by(value, "__at").alias(value))
+
+
 def map_event_types(rows: DataFrame, type_map: DataFrame, dataset: str, raw: str = "raw_type") -> DataFrame:
     """rows with ``event_type`` by (dataset, lower-case raw type); null without a mapping, an error if a mapping leaves the ontology.
 
-    ``type_map`` is (dataset, raw_type, event_type), the size of an ontology mapping; Spark broadcasts it by its own threshold."""
-    own = type_map.where(F.col("dataset") == dataset).select(mapping_key(F.col("raw_type")).alias("__key"), "event_type")
-    out = rows.withColumn("__key", mapping_key(F.col(raw))).join(own, "__key", "left").drop("__key")
+    ``type_map`` is (dataset, raw_type, event_type), the size of an ontology mapping; of equal keys the last counts, and Spark broadcasts it by its own threshold."""
+    own = _last(type_map.where(F.col("dataset") == dataset), mapping_key(F.col("raw_type")), "event_type")
+    out = rows.drop("event_type").withColumn("__key", mapping_key(F.col(raw))).join(own, "__key", "left").drop("__key")
     bad = F.col("event_type").isNotNull() & ~is_supported(F.col("event_type"))
     return out.withColumn("event_type", F.when(bad, F.raise_error(F.concat(F.lit("mapping to an unsupported event type: "), F.col("event_type"))).cast("string")).otherwise(F.col("event_type")))
 
@@ -84,46 +93,158 @@ def map_event_types(rows: DataFrame, type_map: DataFrame, dataset: str, raw: str
 def map_roles(rows: DataFrame, role_map: DataFrame, dataset: str, value: str = "text") -> DataFrame:
     """rows with ``arguments`` reduced to those whose role maps to an allowed one, in their order, and whose ``value`` isn't empty.
 
-    ``role_map`` (dataset, event_type, raw_role, role) becomes one map value, so arguments are rewritten in place without a shuffle.
-    """
-    own = role_map.where(F.col("dataset") == dataset).select(F.concat_ws("|", "event_type", mapping_key(F.col("raw_role"))).alias("k"), "role")
-    lookup = own.agg(F.map_from_entries(F.collect_list(F.struct("k", "role"))).alias("__roles"))
-    role = lambda a: F.try_element_at("__roles", F.concat_ws("|", F.col("event_type"), mapping_key(a["role"])))
-    kept = F.filter("arguments", lambda a: F.array_contains(allowed_roles(F.col("event_type")), role(a)) & (truthy(a[value]) != ""))
-    return rows.join(lookup).withColumn("arguments", F.transform(kept, lambda a: a.withField("role", role(a)))).drop("__roles")
+    ``role_map`` (dataset, event_type, raw_role, role), the size of an ontology mapping, becomes a literal map, so arguments are rewritten in place without a join;
+    of equal keys the last counts."""
+    key = F.concat_ws("|", "event_type", mapping_key(F.col("raw_role")))
+    pairs = {r[0]: r[1] for r in _last(role_map.where(F.col("dataset") == dataset), key, "role").collect()}
+    known = literal_map(pairs) if pairs else F.create_map().cast("map<string,string>")
+    role = lambda a: F.try_element_at(known, F.concat_ws("|", F.col("event_type"), mapping_key(a["role"])))
+    named = F.transform(F.coalesce("arguments", F.array()), lambda a: a.withField("role", role(a)))
+    return rows.withColumn("arguments", F.filter(named, lambda a: F.coalesce(F.array_contains(allowed_roles(F.col("event_type")), a["role"]), F.lit(False)) & (truthy(a[value]) != "")))
+
+
+def text_of(rows: DataFrame, *names: str) -> Column:
+    """The clean text of the first of these columns that is there; a list's elements are joined by spaces."""
+    found = [F.array_join(F.col(n).cast("array<string>"), " ", "None") if rows.schema[n].dataType.typeName() == "array" else F.col(n).cast("string") for n in names if n in rows.columns]
+    return clean_text(F.coalesce(*found)) if found else F.lit("")
+
+
+def trigger_of(rows: DataFrame) -> Column:
+    """{text, span} of a ``trigger`` object, or of flat fields; null without a text. A span needs two whole numbers."""
+    whole = lambda c: F.when(c.cast("double") == F.floor(c.cast("double")), c.cast("int"))
+    span = lambda a, b: F.when(whole(a).isNotNull() & whole(b).isNotNull(), F.struct(whole(a).alias("start"), whole(b).alias("end")))
+    made = lambda t, s: F.when(t != "", F.struct(t.alias("text"), s.cast(_SPAN).alias("span")))
+    none = F.lit(None).cast("int")
+    flat_at = span(F.col("trigger_start"), F.col("trigger_end")) if {"trigger_start", "trigger_end"} <= set(rows.columns) else span(none, none)
+    kind = rows.schema["trigger"].dataType if "trigger" in rows.columns else None
+    names = [n for n in ("trigger_text", "trigger", "mention") if n in rows.columns and rows.schema[n].dataType.typeName() == "string"]
+    flat = made(clean_text(F.coalesce(*[F.col(n) for n in names])) if names else F.lit(""), flat_at)
+    if kind is None or kind.typeName() != "struct":
+        return flat
+    field = lambda n: F.col(f"trigger.{n}") if n in kind.names else none
+    own = span(field("start"), field("end"))
+    own = F.coalesce(F.col("trigger.span").cast(_SPAN), own) if "span" in kind.names else own
+    return F.coalesce(made(clean_text(field("text")), own), flat)
 
 
 def normalize_text_events(flat: DataFrame, type_map: DataFrame, role_map: DataFrame, dataset: str) -> DataFrame:
     """Text examples from flattened events. Skipped, in this order: types without a mapping, no text, no trigger."""
     typed = map_roles(map_event_types(flat, type_map, dataset), role_map, dataset)
-    reason = F.when(F.col("event_type").isNull(), skip_reason("unmapped_event_type", F.col("raw_type"))).when(F.col("text") == "", skip_reason("missing_raw_text")).when(F.col("trigger_text") == "", skip_reason("missing_trigger"))
-    summary = F.array_join(F.transform("arguments", lambda a: F.concat_ws("=", a["role"], a["text"])), "; ")
+    typed = settle(typed, {"__trigger": trigger_of(typed)})
+    reason = F.when(F.col("event_type").isNull(), skip_reason("unmapped_event_type", F.coalesce(F.nullif(truthy(F.col("raw_type")), F.lit("")), F.lit("missing")))).when(F.col("text") == "", skip_reason("missing_raw_text")).when(F.col("__trigger").isNull(), skip_reason("missing_trigger"))
+    pairs = F.transform("arguments", lambda a: F.concat_ws(" ", a["role"], a["text"]))
+    kind, trigger = text_part(F.col("event_type")), text_part(F.col("__trigger.text"))
+    summary = retrieval_text(kind, trigger, pairs)
+    each = lambda n: F.transform("arguments", lambda a: a[n])
     return typed.select(
         "id",
-        F.lit(dataset).alias("source_dataset"),
+        F.lit(SOURCE_NAMES.get(dataset, dataset)).alias("source_dataset"),
         "doc_id",
         F.lit("text").alias("modality"),
         "event_type",
-        F.struct(F.col("trigger_text").alias("text"), F.lit(None).cast(_SPAN).alias("span")).alias("trigger"),
+        F.col("__trigger").alias("trigger"),
         F.col("text").alias("raw_text"),
         F.col("arguments").alias("text_arguments"),
         summary.alias("pattern_summary"),
-        retrieval_text(text_part(F.col("event_type")), text_part(F.col("trigger_text")), text_part(F.col("text")), text_part(summary)).alias("retrieval_text"),
+        retrieval_text(kind, trigger, text_part(F.col("text")), text_part(summary), each("role"), each("text")).alias("retrieval_text"),
         reason.alias("skip_reason"),
     )
 
 
-def normalize_images(flat: DataFrame, type_map: DataFrame, role_map: DataFrame, path: Column, dataset: str = "swig") -> tuple[DataFrame, DataFrame]:
-    """Image examples and the manifest (id, image_id, path, event_type). Skipped: types without a mapping, no image_id, no path."""
-    typed = map_roles(map_event_types(flat, type_map, dataset, "verb"), role_map, dataset, "label").withColumn("path", path)
-    reason = F.when(F.col("event_type").isNull(), skip_reason("unmapped_event_type", F.col("verb"))).when(truthy(F.col("image_id")) == "", skip_reason("missing_image_id")).when(truthy(F.col("path")) == "", skip_reason("missing_path"))
-    situation = F.concat_ws(": ", "verb", F.nullif(F.col("frame"), F.lit("")))
-    rows = typed.select(
-        F.concat_ws("::", F.lit(dataset), "image_id").alias("id"), F.lit(dataset).alias("source_dataset"), "image_id", F.lit("image").alias("modality"), "event_type", F.col("verb").alias("swig_verb"),
-        F.col("frame").alias("swig_frame"), situation.alias("visual_situation"), F.col("arguments").alias("image_arguments"),
-        retrieval_text(text_part(F.col("event_type")), text_part(F.col("verb")), text_part(situation)).alias("retrieval_text"), "path", reason.alias("skip_reason"),
+def normalize_images(flat: DataFrame, type_map: DataFrame, role_map: DataFrame, path: Column, dataset: str = "swig", image_desc: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Image examples, with ``skip_reason``, and the manifest of those that are kept. Skipped: types without a mapping, no image_id, no path.
+
+    The visual situation is what flat's ``visual_situation`` says, or else the verb."""
+    given = lambda n: clean_text(F.col(n)) if n in flat.columns else F.lit("")
+    desc = clean_text(image_desc) if image_desc is not None else given("image_desc")
+    typed = map_roles(map_event_types(flat, type_map, dataset, "verb"), role_map, dataset, "label")
+    typed = settle(typed, {"path": path.cast("string"), "__desc": desc, "__situation": F.coalesce(F.nullif(given("visual_situation"), F.lit("")), F.col("verb"))})
+    reason = F.when(F.col("event_type").isNull(), skip_reason("unmapped_event_type", F.coalesce(F.nullif(truthy(F.col("verb")), F.lit("")), F.lit("missing")))).when(truthy(F.col("image_id")) == "", skip_reason("missing_image_id")).when(truthy(F.col("path")) == "", skip_reason("missing_path"))
+    kind, verb, frame, seen, situation = (text_part(F.col(c)) for c in ("event_type", "verb", "frame", "__desc", "__situation"))
+    each = lambda n: F.transform("arguments", lambda a: a[n])
+    summary = retrieval_text(kind, verb, situation, F.transform("arguments", lambda a: F.concat_ws(" ", a["role"], a["label"])))
+    name = F.lit(SOURCE_NAMES.get(dataset, dataset))
+    examples = typed.select(
+        F.concat(F.lit(f"{dataset}-text::"), "image_id").alias("id"), name.alias("source_dataset"), "image_id", F.lit("image_semantics").alias("modality"), "event_type", F.col("verb").alias("swig_verb"),
+        F.col("frame").alias("swig_frame"), F.col("__desc").alias("image_desc"), F.col("__situation").alias("visual_situation"), F.col("arguments").alias("image_arguments"), summary.alias("visual_pattern_summary"),
+        retrieval_text(kind, verb, frame, seen, situation, text_part(summary), each("role"), each("label")).alias("retrieval_text"), reason.alias("skip_reason"),
     )
-    return rows.drop("path"), rows.where("skip_reason is null").select("id", "image_id", "path", "event_type")
+    manifest = typed.where(reason.isNull()).select(
+        F.concat(F.lit(f"{dataset}-image::"), "image_id").alias("id"), name.alias("source_dataset"), "image_id", "path", "event_type", F.col("verb").alias("swig_verb"), F.col("frame").alias("swig_frame"),
+        F.col("arguments").alias("image_arguments"), retrieval_text(kind, verb, frame, each("role"), each("label")).alias("retrieval_text"),
+    )
+    return examples, manifest
+
+
+def with_retrieval_text(records: DataFrame) -> DataFrame:
+    """records with ``skip_reason``: those without a retrieval text can't be indexed."""
+    return records.withColumn("skip_reason", F.when(truthy(F.col("retrieval_text")) == "", skip_reason("missing_retrieval_text")))
+
+
+def checked_manifest(manifest: DataFrame, images: DataFrame) -> DataFrame:
+    """manifest rows with ``error``: NO_PATH, NOT_FOUND, or BAD_IMAGE:... ; null for an image that can be read.
+
+    ``images`` (path, content) are the files that were found, as of read_images(); a file is an image if it begins like one and is whole enough to tell its size."""
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    head = F.hex(F.substring("content", 1, 12))
+    kind = F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head.startswith("424D"), "bmp").when(head.startswith("52494646") & head.endswith("57454250"), "webp")
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in {"png": 33, "jpeg": 20, "gif": 14, "bmp": 26, "webp": 30}.items() for x in kv]), kind)
+    fault = F.when(kind.isNull(), "BAD_IMAGE:UnidentifiedImage").when(F.octet_length("content") < least, "BAD_IMAGE:Truncated")
+    found = images.select(plain(F.col("path")).alias("__path"), fault.alias("__fault"), F.lit(True).alias("__there")).dropDuplicates(["__path"])
+    rows = manifest.withColumn("path", truthy(F.col("path"))).join(found, plain(F.col("path")) == F.col("__path"), "left")
+    error = F.when(F.col("path") == "", "NO_PATH").when(F.col("__there").isNull(), "NOT_FOUND").otherwise(F.col("__fault"))
+    return rows.withColumn("error", error).drop("__path", "__fault", "__there")
+
+
+def _text(rows: DataFrame, name: str) -> Column:
+    return truthy(F.col(name)) if name in rows.columns else F.lit("")
+
+
+def _joined(*parts: Column) -> Column:
+    flat = F.flatten(F.array(*parts))
+    return F.array_join(F.filter(flat, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), " ")
+
+
+def _example(rows: DataFrame, modality: str, fields: list[str], extra: dict[str, Column], parts: list[Column]) -> DataFrame:
+    made = rows.select(*[_text(rows, c).alias(c) for c in ("id", "source_dataset", *fields)], F.lit(modality).alias("modality"), _text(rows, "retrieval_text").alias("retrieval_text"), *[v.alias(k) for k, v in extra.items()])
+    return made.withColumn("retrieval_text", F.when(F.col("retrieval_text") != "", F.col("retrieval_text")).otherwise(_joined(*parts)))
+
+
+def text_examples(rows: DataFrame) -> DataFrame:
+    """Rows as examples of the text layer: missing fields are empty, a plain trigger becomes {text, span}, and a missing retrieval text is put together."""
+    kind = rows.schema["trigger"].dataType if "trigger" in rows.columns else None
+    if kind is not None and kind.typeName() == "struct":
+        trigger = F.struct(truthy(F.col("trigger.text")).alias("text"), (F.col("trigger.span") if "span" in kind.names else F.lit(None)).cast(_SPAN).alias("span"))
+    else:
+        trigger = F.struct(_text(rows, "trigger").alias("text"), F.lit(None).cast(_SPAN).alias("span"))
+    args = F.coalesce(F.col("text_arguments"), F.array()) if "text_arguments" in rows.columns else F.array().cast("array<struct<role:string,text:string>>")
+    words = F.flatten(F.transform("text_arguments", lambda a: F.array(a["role"], a["text"])))
+    parts = [F.array("event_type", "raw_text", "pattern_summary", "trigger.text"), words]
+    return _example(rows, "text", ["event_type", "raw_text", "pattern_summary"], {"trigger": trigger, "text_arguments": args}, parts)
+
+
+def image_examples(rows: DataFrame) -> DataFrame:
+    """Rows as examples of the image layer; arguments are ``image_arguments`` or else ``image_roles``."""
+    given = [F.when(F.size(c) > 0, F.col(c)) for c in ("image_arguments", "image_roles") if c in rows.columns]
+    kind = "array<struct<role:string,label:string>>"
+    args = F.coalesce(*[g.cast(kind) for g in given], F.array().cast(kind))
+    words = F.flatten(F.transform("image_arguments", lambda a: F.array(a["role"], a["label"])))
+    parts = [F.array("event_type", "visual_situation", "image_desc", "visual_pattern_summary"), words]
+    return _example(rows, "image_semantics", ["event_type", "image_desc", "visual_situation", "visual_pattern_summary"], {"image_arguments": args}, parts)
+
+
+def bridge_examples(rows: DataFrame) -> DataFrame:
+    """Rows as examples of the bridge layer between text and image cues of a role."""
+    cues = {c: (F.transform(F.coalesce(F.col(c), F.array()), lambda x: x.cast("string")) if c in rows.columns else F.array().cast("array<string>")) for c in ("text_cues", "visual_cues")}
+    return _example(rows, "bridge", ["event_type", "role", "note"], cues, [F.array("event_type", "role", "note"), F.col("text_cues"), F.col("visual_cues")])
+
+
+def select_sample(samples: DataFrame, sample_id: str | None = None) -> DataFrame:
+    """The first sample, or the one with an id; an error if there is none."""
+    found = samples.limit(1) if sample_id is None else samples.where(F.col("id") == sample_id).limit(1)
+    if found.isEmpty():
+        raise ValueError("no samples" if sample_id is None else f"no sample {sample_id}")
+    return found
 
 
 def kept(rows: DataFrame) -> DataFrame:

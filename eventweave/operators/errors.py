@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,13 @@ CATEGORIES = (
     "event_type_mismatch", "text_arg_missing", "text_arg_extra", "text_arg_boundary_overlong", "text_arg_role_mismatch", "image_arg_missing", "image_arg_extra", "image_arg_iou_low",
     "image_arg_generic_weak_place", "image_arg_same_role_instance_shortfall", "grounding_failed_after_stage_c_candidate", "stage_c_missing_candidate", "verifier_false_reject", "verifier_false_accept",
 )
+# The stage that each category points to.
+CAUSES = {
+    "event_type_mismatch": "stage_a_event_type_selection", "text_arg_missing": "stage_b_argument_recall", "text_arg_extra": "stage_b_argument_precision", "text_arg_boundary_overlong": "stage_b_text_boundary",
+    "text_arg_role_mismatch": "stage_b_role_assignment", "image_arg_missing": "image_argument_recall", "image_arg_extra": "image_argument_precision", "image_arg_iou_low": "grounding_box_quality",
+    "image_arg_generic_weak_place": "stage_c_weak_place_proposal", "image_arg_same_role_instance_shortfall": "image_multi_instance_recall",
+    "grounding_failed_after_stage_c_candidate": "grounding_failed_after_stage_c_candidate", "stage_c_missing_candidate": "stage_c_missing_candidate", "verifier_false_reject": "verifier", "verifier_false_accept": "verifier",
+}
 
 
 def _whole(a: Column) -> Column:
@@ -109,13 +118,53 @@ def examples(events: DataFrame, limit: int = 5, order: str = "sample_id") -> Dat
     return kept.groupBy("counter").agg(packed.alias("samples"))
 
 
-def error_categories(scored: DataFrame, traces: DataFrame | None = None, image_iou: float = 0.5) -> DataFrame:
-    """(sample_id, gold_type, categories, roles) of every sample; traces (sample_id, stage_c_output, grounding_results, verifier_output) add stage causes."""
-    rows = scored
-    if traces is not None:
-        rows = rows.join(traces.select("sample_id", F.transform("stage_c_output.image_arguments", lambda a: F.struct(canonical_role(a["role"]).alias("role"), a["label"].alias("label"))).alias("candidates"), F.col("grounding_results").alias("grounded"), F.col("verifier_output.verified").alias("verified")), "sample_id", "left")
-    else:
-        rows = rows.withColumns({"candidates": F.lit(None).cast("array<struct<role:string,label:string>>"), "grounded": F.lit(None).cast("array<struct<role:string,grounding_status:string>>"), "verified": F.lit(None).cast("boolean")})
+_CANDIDATES = "array<struct<role:string,label:string>>"
+_GROUNDED = "array<struct<role:string,grounding_status:string>>"
+
+
+def last_by_id(rows: DataFrame, *names: str) -> DataFrame:
+    """The last row of each sample (by ``_pos``, or else as the rows come), whose id is the first of these columns that is there and not empty, as ``sample_id``."""
+    found = [F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in rows.columns]
+    named = rows.withColumn("sample_id", F.coalesce(*found))
+    if "_pos" not in rows.columns:
+        named = named.withColumn("_pos", F.monotonically_increasing_id())
+    return m.last_wins(named, "sample_id").drop("_pos")
+
+
+def _traced(rows: DataFrame, traces: DataFrame | None) -> DataFrame:
+    """rows with what their traces say: traced, candidates, grounded, verified (null without a verifier's answer) and proposed."""
+    none = {"candidates": _CANDIDATES, "grounded": _GROUNDED, "verified": "boolean", "proposed": "array<struct<role:string,text:string>>"}
+    if traces is None:
+        return rows.withColumns({"traced": F.lit(False)} | {k: F.lit(None).cast(v) for k, v in none.items()})
+    own = last_by_id(traces, "sample_id", "id")
+    has = lambda c: c in own.columns
+    made = {
+        "candidates": F.transform("stage_c_output.image_arguments", lambda a: F.struct(canonical_role(a["role"]).alias("role"), a["label"].alias("label"))) if has("stage_c_output") else F.lit(None),
+        "grounded": F.transform("grounding_results", lambda a: F.struct(canonical_role(a["role"]).alias("role"), a["grounding_status"].alias("grounding_status"))) if has("grounding_results") else F.lit(None),
+        "verified": F.when(F.col("verifier_output").isNotNull(), F.coalesce(F.col("verifier_output.verified"), F.lit(False))) if has("verifier_output") else F.lit(None),
+        "proposed": F.transform("stage_b_output.text_arguments", lambda a: F.struct(F.coalesce(a["role"], F.lit("")).alias("role"), F.trim(F.coalesce(a["text"], F.lit(""))).alias("text"))) if has("stage_b_output") else F.lit(None),
+    }
+    own = own.select("sample_id", F.lit(True).alias("traced"), *[v.cast(none[k]).alias(k) for k, v in made.items()])
+    return rows.join(own, "sample_id", "left").withColumn("traced", F.coalesce("traced", F.lit(False)))
+
+
+def _with_words(rows: DataFrame, samples: DataFrame | None) -> DataFrame:
+    """rows with the words of their samples, and the first text of each gold role."""
+    if samples is None:
+        return rows.withColumns({"words": F.array().cast("array<string>"), "gold_values": F.array().cast("array<struct<role:string,text:string>>")})
+    every = F.flatten(F.transform(F.coalesce("text_event_mentions", F.array()), lambda x: F.transform(F.coalesce(x["arguments"], F.array()), lambda a: F.struct(canonical_role(a["role"]).alias("role"), F.trim(F.coalesce(a["text"], F.lit(""))).alias("text")))))
+    own = settle(samples.select(F.col("id").alias("sample_id"), F.coalesce("words", F.array()).alias("words"), F.filter(every, lambda a: (a["role"] != "") & (a["text"] != "")).alias("every")), {"every": F.col("every")})
+    first = F.filter("every", lambda a, i: ~F.exists(F.slice("every", 1, i), lambda b: b["role"] == a["role"]))
+    return rows.join(own.select("sample_id", "words", first.alias("gold_values")), "sample_id", "left")
+
+
+def error_categories(scored: DataFrame, traces: DataFrame | None = None, image_iou: float = 0.5, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, gold_type, categories, causes, roles, notes) of every sample.
+
+    Traces (sample_id, stage_b_output, stage_c_output, grounding_results, verifier_output) tell causes by stage; of several traces of a sample the last counts.
+    ``causes`` are the stages that categories point to. ``notes`` name two things that are no errors: a broader text that a stage proposed and the prediction
+    narrowed to the gold span (``broader_text:ROLE``; needs the gold samples), and a weak place that was proposed and dropped (``weak_place_dropped``)."""
+    rows = _with_words(_traced(scored, traces), samples)
     rows = settle(
         rows,
         {
@@ -124,47 +173,77 @@ def error_categories(scored: DataFrame, traces: DataFrame | None = None, image_i
             "loose_pred": m.unmatched(F.col("pred_image"), F.col("partners")),
             "loose_gold": m.not_chosen(F.col("gold_image"), F.col("partners")),
             "gold_box_roles": F.array_distinct(F.transform("gold_image", lambda a: a["role"])),
+            "candidates": F.coalesce("candidates", F.array().cast(_CANDIDATES)),
+            "grounded": F.coalesce("grounded", F.array().cast(_GROUNDED)),
         },
     )
     swapped = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), lambda g, p: m.same_trigger(g, p) & m.same_span(g, p) & (g["role"] != p["role"]))
-    longer = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), lambda g, p: m.same_trigger(g, p) & (g["role"] == p["role"]) & (p["start"] <= g["start"]) & (p["end"] >= g["end"]) & ((p["start"] < g["start"]) | (p["end"] > g["end"])))
+    longer = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), m.overlong)
     low = F.filter("loose_gold", lambda g: F.exists("loose_pred", lambda p: (g["event_type"] == p["event_type"]) & (g["role"] == p["role"]) & (iou(g["bbox"], p["bbox"]) > 0) & (iou(g["bbox"], p["bbox"]) < image_iou)))
     count = lambda arr, role: F.size(F.filter(arr, lambda a: a["role"] == role))
     gold_n, pred_n = (lambda r: count(F.col("gold_image"), r)), (lambda r: count(F.col("pred_image"), r))
     short = F.filter("gold_box_roles", lambda r: (gold_n(r) > 1) & (pred_n(r) < gold_n(r)))
-    traced = F.col("candidates").isNotNull()
-    cand_n = lambda r: F.coalesce(count(F.col("candidates"), r), F.lit(0))
-    ground_n = lambda r: F.coalesce(F.size(F.filter("grounded", lambda a: (canonical_role(a["role"]) == r) & (a["grounding_status"] == "grounded"))), F.lit(0))
-    missed = F.filter("gold_box_roles", lambda r: traced & (pred_n(r) < gold_n(r)) & (cand_n(r) < gold_n(r)))
-    lost = F.filter("gold_box_roles", lambda r: traced & (pred_n(r) < gold_n(r)) & (cand_n(r) >= gold_n(r)) & (ground_n(r) < F.least(cand_n(r), gold_n(r))))
-    rows = settle(rows, {"swapped": swapped, "longer": longer, "low": low, "short": short, "missed": missed, "lost": lost})
-    longer, swapped, low, short, missed, lost = (F.col(c) for c in ("longer", "swapped", "low", "short", "missed", "lost"))
+    cand_n = lambda r: count(F.col("candidates"), r)
+    ground_n = lambda r: F.size(F.filter("grounded", lambda a: (a["role"] == r) & (a["grounding_status"] == "grounded")))
+    missed = F.filter("gold_box_roles", lambda r: F.col("traced") & (pred_n(r) < gold_n(r)) & (cand_n(r) < gold_n(r)))
+    lost = F.filter("gold_box_roles", lambda r: F.col("traced") & (pred_n(r) < gold_n(r)) & (cand_n(r) >= gold_n(r)) & (ground_n(r) < F.least(cand_n(r), gold_n(r))))
     place = F.lit("Place")
-    weak = F.exists("candidates", lambda c: (c["role"] == place) & mentions_weak_place(c["label"])) & (pred_n(place) > gold_n(place))
+    proposed_weak = F.exists("candidates", lambda c: (c["role"] == place) & mentions_weak_place(c["label"]))
     right = (F.size("spare_gold") == 0) & (F.size("spare_pred") == 0) & (F.col("image_tp") == F.size("gold_image")) & (F.col("image_tp") == F.size("pred_image")) & F.col("gate")
-    roles_of = lambda arr: F.transform(arr, lambda a: a["role"])
-    picked = lambda idx: F.filter(F.col("spare_gold"), lambda g, i: F.element_at(idx, i + 1) >= 0)
+    rows = settle(rows, {"swapped": swapped, "longer": longer, "low": low, "short": short, "missed": missed, "lost": lost, "weak": proposed_weak, "more_places": pred_n(place) > gold_n(place), "right": right})
+    weak = F.col("weak") & F.col("more_places")
     flags = {
-        "event_type_mismatch": F.col("gold_type") != F.col("pred_type"),
+        "event_type_mismatch": (F.col("gold_type") != "") & (F.col("gold_type") != F.col("pred_type")),
         "text_arg_missing": F.size("spare_gold") > 0,
         "text_arg_extra": F.size("spare_pred") > 0,
-        "text_arg_boundary_overlong": F.exists(longer, lambda k: k >= 0),
-        "text_arg_role_mismatch": F.exists(swapped, lambda k: k >= 0),
+        "text_arg_boundary_overlong": F.exists("longer", lambda k: k >= 0),
+        "text_arg_role_mismatch": F.exists("swapped", lambda k: k >= 0),
         "image_arg_missing": F.size("loose_gold") > 0,
         "image_arg_extra": F.size("loose_pred") > 0,
-        "image_arg_iou_low": F.size(low) > 0,
-        "image_arg_generic_weak_place": F.coalesce(weak, F.lit(False)),
-        "image_arg_same_role_instance_shortfall": F.size(short) > 0,
-        "grounding_failed_after_stage_c_candidate": F.size(lost) > 0,
-        "stage_c_missing_candidate": F.size(missed) > 0,
-        "verifier_false_reject": F.coalesce(~F.col("verified"), F.lit(False)) & right,
-        "verifier_false_accept": F.coalesce(F.col("verified"), F.lit(False)) & ~right,
+        "image_arg_iou_low": F.size("low") > 0,
+        "image_arg_generic_weak_place": weak,
+        "image_arg_same_role_instance_shortfall": F.size("short") > 0,
+        "grounding_failed_after_stage_c_candidate": F.size("lost") > 0,
+        "stage_c_missing_candidate": F.size("missed") > 0,
+        "verifier_false_reject": F.coalesce(~F.col("verified"), F.lit(False)) & F.col("right"),
+        "verifier_false_accept": F.coalesce(F.col("verified"), F.lit(False)) & ~F.col("right"),
     }
-    roles = F.concat(roles_of(F.col("spare_gold")), roles_of(F.col("spare_pred")), roles_of(picked(longer)), roles_of(F.col("loose_gold")), roles_of(F.col("loose_pred")), short, missed, lost, F.when(F.coalesce(weak, F.lit(False)), F.array(place)).otherwise(F.array().cast("array<string>")))
+    roles_of = lambda arr: F.transform(arr, lambda a: a["role"])
+    roles = F.concat(roles_of("spare_gold"), roles_of("spare_pred"), roles_of("loose_gold"), roles_of("loose_pred"), F.col("short"), F.col("missed"), F.col("lost"), F.when(weak, F.array(place)).otherwise(F.array().cast("array<string>")))
+    given = F.transform("pred_text", lambda a: F.when((a["start"] >= 0) & (a["start"] < a["end"]) & (a["end"] <= F.size("words")), F.array_join(F.slice("words", a["start"] + 1, a["end"] - a["start"]), " ")))
+    broader = F.filter("gold_values", lambda g: F.array_contains(F.array_compact(given), g["text"]) & F.exists("proposed", lambda p: (p["role"] == g["role"]) & (p["text"] != g["text"]) & p["text"].contains(g["text"])))
+    dropped = F.col("traced") & F.col("weak") & ~F.col("more_places")
+    notes = F.concat(F.transform(F.coalesce(broader, F.array().cast("array<struct<role:string,text:string>>")), lambda g: F.concat(F.lit("broader_text:"), g["role"])), F.when(dropped, F.array(F.lit("weak_place_dropped"))).otherwise(F.array().cast("array<string>")))
     named = F.array_compact(F.array(*[F.when(flags[c], c) for c in CATEGORIES]))
-    return rows.select("sample_id", "gold_type", named.alias("categories"), F.array_sort(F.array_distinct(roles)).alias("roles"))
+    causes = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(flags[c], CAUSES[c]) for c in CATEGORIES]))))
+    return rows.select("sample_id", "gold_type", named.alias("categories"), causes.alias("causes"), F.array_sort(F.filter(F.array_distinct(roles), lambda r: r != "")).alias("roles"), notes.alias("notes"))
 
 
 def category_counts(found: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Samples of each category, one column a category: overall, or by columns of found."""
     return found.groupBy(*(by or [])).agg(*[F.count_if(F.array_contains("categories", c)).alias(c) for c in CATEGORIES])
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """(kind, name, category, n) of samples: all of them (``samples``) and those with a category (``cases``), by category (0 where there is none), by category of each gold
+    type and of each role involved, and by cause."""
+    problem = found.where(F.size("categories") > 0)
+    one = lambda kind, name, category: F.struct(F.lit(kind).alias("kind"), name.alias("name"), category.alias("category"))
+    none = F.lit("")
+    gold = F.coalesce(F.nullif(F.col("gold_type"), F.lit("")), F.lit("(missing)"))
+    rows = F.concat(
+        F.array(one("samples", none, none)),
+        F.when(F.size("categories") > 0, F.array(one("cases", none, none))).otherwise(F.array().cast("array<struct<kind:string,name:string,category:string>>")),
+        F.transform("categories", lambda c: one("category", none, c)),
+        F.transform("categories", lambda c: one("type", gold, c)),
+        F.flatten(F.transform("roles", lambda r: F.transform("categories", lambda c: one("role", r, c)))),
+        F.transform("causes", lambda c: one("cause", c, none)),
+    )
+    counted = found.select(F.explode(rows).alias("r")).select("r.*").groupBy("kind", "name", "category").agg(F.count("*").alias("n"))
+    spark = found.sparkSession
+    dims = {"category": spark.createDataFrame([("category", "")], "kind string, name string")}
+    dims["type"] = problem.select(F.lit("type").alias("kind"), gold.alias("name")).distinct()
+    dims["role"] = problem.select(F.lit("role").alias("kind"), F.explode("roles").alias("name")).distinct()
+    dense = reduce(DataFrame.unionByName, dims.values()).crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in CATEGORIES], "category string")))
+    filled = dense.join(counted, ["kind", "name", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return filled.unionByName(counted.where(~F.col("kind").isin("category", "type", "role")))

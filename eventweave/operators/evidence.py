@@ -12,9 +12,25 @@ QUERY, SOURCE, TITLE, SCORE, RECENCY = 0.35, 0.25, 0.15, 0.15, 0.10
 
 
 def valid_evidence(items: DataFrame) -> DataFrame:
-    """Rows with a title or snippet and a url, their scores within 0 and 1."""
+    """Rows with a title, a snippet, a url and a source type, trimmed; scores within 0 and 1, 0 where there is none. A score that is no number is invalid."""
     clean = items.withColumns({c: truthy(F.col(c)) for c in ("title", "snippet", "url", "source_type")})
-    return clean.where("url != '' and (title != '' or snippet != '') and score is not null").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
+    if "published_at" in items.columns:
+        clean = clean.withColumn("published_at", F.nullif(truthy(F.col("published_at")), F.lit("")))
+    given = F.coalesce(F.col("score").cast("string"), F.lit("0")) if "score" in items.columns else F.lit("0")
+    score = given.try_cast("double")
+    return clean.withColumn("score", F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))).where("url != '' and title != '' and snippet != '' and source_type != '' and score is not null")
+
+
+def search_hits(responses: DataFrame, response: str = "response") -> DataFrame:
+    """Valid evidence items, one a row with its place ``_pos``, of the JSON answers of a news search; an answer that can't be read gives none.
+
+    The snippet is a result's ``content`` or else its ``snippet``; the date its ``published_date`` or else its ``published_at``."""
+    kinds = "results array<struct<title:string,content:string,snippet:string,url:string,published_date:string,published_at:string,score:string>>"
+    other = [c for c in responses.columns if c != response]
+    rows = responses.select(*other, F.posexplode(F.from_json(response, kinds)["results"]).alias("_pos", "r")).where("r is not null")
+    either = lambda a, b: F.coalesce(F.nullif(truthy(F.col(f"r.{a}")), F.lit("")), F.nullif(truthy(F.col(f"r.{b}")), F.lit("")))
+    items = rows.select(*other, "_pos", "r.title", either("content", "snippet").alias("snippet"), "r.url", F.lit("search").alias("source_type"), either("published_date", "published_at").alias("published_at"), "r.score")
+    return valid_evidence(items)
 
 
 def rank_score(query: Column, source: Column, title: Column, snippet: Column, score: Column, recency: Column) -> Column:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventweave.functions.bbox import iou
-from eventweave.functions.text import let
+from eventweave.functions.bbox import iou, normalize_bbox
+from eventweave.functions.text import let, truthy
 
 TEXT_ARG = "struct<event_type:string,trigger_start:int,trigger_end:int,role:string,raw_role:string,start:int,end:int>"
 IMAGE_ARG = "struct<event_type:string,role:string,raw_role:string,bbox:array<double>>"
@@ -56,6 +56,11 @@ def spans_overlap(g: Column, p: Column) -> Column:
     return F.greatest(g["start"], p["start"]) < F.least(g["end"], p["end"])
 
 
+def overlong(g: Column, p: Column) -> Column:
+    """Whether a prediction holds a gold span of its role and more."""
+    return same_trigger(g, p) & (g["role"] == p["role"]) & (p["start"] <= g["start"]) & (p["end"] >= g["end"]) & ((p["start"] < g["start"]) | (p["end"] > g["end"]))
+
+
 def multiset_tp(gold: Column, pred: Column) -> Column:
     """The size of the multiset intersection of two arrays."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y.eqNullSafe(x)))
@@ -158,6 +163,17 @@ def attach_grounding(args: Column, results: Column) -> Column:
     return F.transform(args, one)
 
 
+def grounded_boxes(results: Column) -> Column:
+    """{role, label} to box of grounding results, whatever their status; of equal keys the last counts. Results without a role, label or box are left out."""
+    made = F.transform(F.coalesce(results, F.array()), lambda r: F.struct(F.struct(truthy(r["role"]).alias("role"), truthy(r["label"]).alias("label")).alias("key"), normalize_bbox(r["bbox"]).alias("value")))
+
+    def last(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
+
+    whole = F.filter(made, lambda e: (e["key"]["role"] != "") & (e["key"]["label"] != "") & e["value"].isNotNull())
+    return F.map_from_entries(let(whole, last))
+
+
 def phrase_starts(tokens: Column, phrase: Column) -> Column:
     """All places where an array of tokens occurs in another, overlaps included."""
     n = F.size(tokens) - F.size(phrase)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventweave.session import materialize
+
 
 def dense_positions(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
     """rows with their 0-based place in a total order: range partitions, their sizes, and places within each.
 
-    Only the sizes (a row for each partition) are summed in one place."""
-    dealt = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    Rows are dealt once and stored, so that sizes and places are of the same partitions. Only the sizes (a row for each partition) are summed in one place."""
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "positions")
     local = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("n"))
     starts = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.session import materialize
+
 
 class Provider(Protocol):
     """A model. ``open`` runs once a task; ``apply`` maps a batch to one with the columns of ``schema``."""
@@ -41,13 +43,15 @@ def run_provider(rows: DataFrame, provider: Provider, batch_rows: int = 8, fallb
 def verify_and_repair(events: DataFrame, verify: Callable[[DataFrame], DataFrame], repair: Callable[[DataFrame], DataFrame], attempts: int = 3) -> DataFrame:
     """events through verify (adds ``verified``) and, as long as a row isn't verified, repair, at most ``attempts`` times.
 
-    Verified rows aren't touched again; the rounds are unrolled into one plan."""
+    Every round is stored before the next reads it, so a model sees a row once a round; verified rows aren't touched again."""
     columns = events.columns
     out, open_rows = None, events
     for n in range(attempts + 1):
-        checked = verify(open_rows.select(*columns)).withColumn("repair_attempts", F.lit(n))
+        checked = materialize(verify(open_rows.select(*columns)).withColumn("repair_attempts", F.lit(n)), f"round-{n}")
         done = checked if n == attempts else checked.where("verified")
         out = done if out is None else out.unionByName(done)
-        if n < attempts:
-            open_rows = repair(checked.where("not verified"))
+        open_rows = checked.where("not verified")
+        if n == attempts or open_rows.isEmpty():
+            return out
+        open_rows = repair(open_rows)
     return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweave.functions.text import content_tokens, let, redact_reference, truthy
+from eventweave.functions.text import content_tokens, json_object, let, redact_reference, truthy
+from eventweave.ontology import ROLES
 from eventweave.operators.evidence import has_external_support
 from eventweave.operators.verify import event_surface
 
@@ -81,3 +82,57 @@ def situation_truth(images: DataFrame, roles: int = 6) -> DataFrame:
     nouns = F.transform(F.coalesce(names, F.array()), lambda r: F.array_distinct(F.transform("frames", lambda f: F.coalesce(F.nullif(F.try_element_at(f, r), F.lit("")), F.lit("blank")))))
     padded = F.slice(F.concat(nouns, F.array_repeat(F.array().cast("array<string>"), roles)), 1, roles)
     return images.select("image_id", F.substring_index(F.substring_index("image_id", "/", -1), "_", 1).alias("verb"), padded.alias("nouns"))
+
+
+def fusion_context(states: DataFrame) -> DataFrame:
+    """(id, fusion_context {raw_text, raw_image_desc, perception_summary, patterns {text, image, bridge}, evidence}) of states; what a state lacks is empty. Words of the text aren't carried on."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")) if name in states.columns else F.lit("")
+    field = lambda name, none: F.coalesce(F.col(name), F.array().cast(states.schema[name].dataType)) if name in states.columns else F.array().cast(none)
+    patterns = F.struct(*[field(f"{k}_examples", "array<string>").alias(k) for k in ("text", "image", "bridge")])
+    return states.select("id", F.struct(text("text").alias("raw_text"), text("image_desc").alias("raw_image_desc"), text("perception_summary").alias("perception_summary"), patterns.alias("patterns"), field("evidence", "array<string>").alias("evidence")).alias("fusion_context"))
+
+
+def memory_entry(text: Column, image: Column) -> Column:
+    """[{text, image_desc}]: what a run remembers of a sample."""
+    none = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.array(F.struct(none(text).alias("text"), none(image).alias("image_desc")))
+
+
+def appended(history: Column, entry: Column) -> Column:
+    """A trace or a repair history with one more entry at its end; a missing one begins with it."""
+    return F.when(history.isNull(), F.array(entry)).otherwise(F.array_append(history, entry))
+
+
+def merged_outputs(outputs: Column, updates: dict[str, Column]) -> Column:
+    """A map of stage outputs as JSON, with those of updates put in or replaced; inline image data is cut out of them."""
+    new = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), F.regexp_replace(v.cast("string"), r"(data:[^;,\"]*);base64,[A-Za-z0-9+/=]*", "$1;<redacted>"))])
+    old = F.coalesce(outputs, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(old, lambda k, v: ~k.isin(*updates)), new)
+
+
+def image_query_paths(states: DataFrame, images: DataFrame, image: str = "raw_image") -> DataFrame:
+    """(id, path) of states whose image is a path among those of ``images`` (path); inline data and other references ask nothing."""
+    plain = lambda c: F.regexp_replace(F.trim(c), r"^file:/+", "/")
+    found = images.select(plain(F.col("path")).alias("__path")).distinct()
+    return states.where(F.trim(F.coalesce(F.col(image).cast("string"), F.lit(""))) != "").select("id", plain(F.col(image).cast("string")).alias("path")).join(found, F.col("path") == F.col("__path"), "left_semi")
+
+
+def ontology_block(event_type: str) -> str:
+    """The roles of a type for a prompt: a line each for those that images show well and for the others."""
+    roles = ROLES.get(event_type, {})
+    named = lambda kind: ", ".join(r for r, v in roles.items() if v == kind) or "(none)"
+    return f"event type: {event_type}\nroles: {', '.join(roles) or '(none)'}\nclearly visible: {named('strong')}\nseldom visible: {named('weak')}"
+
+
+def perception_record(answer: Column, image_desc: Column, text: Column) -> Column:
+    """{image_desc, perception_summary} of a vision model's answer (text with a JSON object); what is missing or empty comes from what was known before."""
+    def made(r: Column) -> Column:
+        desc = F.coalesce(F.nullif(truthy(r["image_desc"]), F.lit("")), truthy(image_desc))
+        return F.struct(desc.alias("image_desc"), F.coalesce(F.nullif(truthy(r["perception_summary"]), F.lit("")), perception_summary(text, desc)).alias("perception_summary"))
+
+    return let(F.from_json(json_object(answer), "image_desc string, perception_summary string"), made)
+
+
+def first_rows(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first n rows in an order, for previews and trial runs; all of them without n."""
+    return rows if n is None else rows.orderBy(*order).limit(max(0, n))

@@ -48,17 +48,33 @@ def gold_arguments(gold: DataFrame) -> DataFrame:
     return made.select("sample_id", "gold_type", "gold_text", F.when(F.size("flat") > 0, F.col("flat")).otherwise(F.col("mapped")).alias("gold_image"))
 
 
+def _prediction(pred: DataFrame, field: str, kind: str) -> Column:
+    """A field of a record's ``prediction``, or of the record itself where it has none."""
+    nested, own = None, F.col(field) if field in pred.columns else F.lit(None).cast(kind)
+    if "prediction" in pred.columns:
+        inner = pred.schema["prediction"].dataType
+        nested = F.col(f"prediction.{field}") if field in getattr(inner, "names", []) else F.lit(None).cast(kind)
+    return own if nested is None else F.when(F.col("prediction").isNotNull(), nested).otherwise(own)
+
+
 def predicted_arguments(pred: DataFrame) -> DataFrame:
-    """(sample_id, pred_type, pred_text, pred_image, invalid_image) of prediction records; of records with one id the last counts (``_pos``)."""
+    """(sample_id, pred_type, pred_text, pred_image, invalid_image) of prediction records, their fields in ``prediction`` or in the record itself;
+    of records with one id the last counts (``_pos``)."""
     one = m.last_wins(pred, "id") if "_pos" in pred.columns else pred
-    base = settle(one, {"__type": canonical_type(F.col("prediction.event_type"))})
+    fields = {
+        "__kind": _prediction(pred, "event_type", "string"),
+        "__trigger": _prediction(pred, "trigger", "struct<text:string,start:int,end:int>"),
+        "__texts": _prediction(pred, "text_arguments", "array<struct<role:string,text:string,start:int,end:int>>"),
+        "__images": _prediction(pred, "image_arguments", "array<struct<role:string,bbox:array<double>>>"),
+    }
+    base = settle(one.select(F.col("id").alias("sample_id"), *[v.alias(k) for k, v in fields.items()]), {"__type": canonical_type(F.col("__kind"))})
     t = F.col("__type")
-    text = F.transform(F.coalesce("prediction.text_arguments", F.array()), lambda a: F.struct(t.alias("event_type"), F.col("prediction.trigger.start").alias("trigger_start"), F.col("prediction.trigger.end").alias("trigger_end"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
-    image = F.transform(F.coalesce("prediction.image_arguments", F.array()), lambda a: F.struct(t.alias("event_type"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), normalize_bbox(a["bbox"]).alias("bbox")))
+    text = F.transform(F.coalesce("__texts", F.array()), lambda a: F.struct(t.alias("event_type"), F.col("__trigger.start").alias("trigger_start"), F.col("__trigger.end").alias("trigger_end"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
+    image = F.transform(F.coalesce("__images", F.array()), lambda a: F.struct(t.alias("event_type"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), normalize_bbox(a["bbox"]).alias("bbox")))
     base = settle(base, {"__text": text, "__image": image})
     text, image = F.col("__text"), F.col("__image")
     return base.select(
-        F.col("id").alias("sample_id"),
+        "sample_id",
         t.alias("pred_type"),
         F.filter(text, lambda a: (a["role"] != "") & a["start"].isNotNull() & a["end"].isNotNull()).alias("pred_text"),
         F.filter(image, lambda a: (a["role"] != "") & a["bbox"].isNotNull()).alias("pred_image"),
@@ -66,6 +82,12 @@ def predicted_arguments(pred: DataFrame) -> DataFrame:
     )
 
 
+def invalid_boxes(pred: DataFrame) -> DataFrame:
+    """(sample_id, index, role, bbox) of predicted image arguments whose box isn't four numbers."""
+    rows = pred.select(F.col("id").alias("sample_id"), F.posexplode(F.coalesce(_prediction(pred, "image_arguments", "array<struct<role:string,bbox:array<double>>>"), F.array())).alias("index", "a"))
+    return rows.where(normalize_bbox(F.col("a.bbox")).isNull()).select("sample_id", "index", "a.role", "a.bbox")
+
+
 def settle(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows with new columns, computed once: a one-row explode keeps the optimiser from writing them out wherever they are used."""
     made = rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("__made"))
@@ -101,10 +123,11 @@ def totals(scored: DataFrame) -> DataFrame:
     return long.groupBy("metric").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "gold")]).select("metric", "tp", "pred", "gold", *precision_recall(F.col("tp"), F.col("pred"), F.col("gold")))
 
 
-def by_type_and_role(scored: DataFrame, ignore_trigger: bool = False) -> DataFrame:
+def by_type_and_role(scored: DataFrame, ignore_trigger: bool = False, gated: bool = False) -> DataFrame:
     """(level, event_type, role, tp, pred, gold, ...) overall, by the gold type of samples, and by type and role: one grouping-sets aggregate.
 
-    Argument rows count under their sample's gold type, ``(missing)`` without one, whatever type was predicted."""
+    Argument rows count under their sample's gold type, ``(missing)`` without one, whatever type was predicted. ``gated`` leaves out samples of a wrong type."""
+    scored = scored.where("gate") if gated else scored
     key = lambda a: m.text_tuple(a, ignore_trigger)
     one = lambda a, tp, p, g: F.struct(a["role"].alias("role"), F.lit(tp).alias("tp"), F.lit(p).alias("pred"), F.lit(g).alias("gold"))
     spare_pred = m.leftovers(F.col("pred_text"), F.col("gold_text"), key)
@@ -148,3 +171,11 @@ def verb_metrics(rows: DataFrame) -> DataFrame:
         (F.sum("boxed") / F.sum("roles")).alias("value_bbox"), F.avg((F.col("boxed") == F.col("roles")).cast("int")).alias("value_all_bbox"),
     )
     return verb.agg((F.sum("verbs_right") / F.sum("images")).alias("verb"), *[F.avg(c).alias(c) for c in ("value", "value_all", "value_bbox", "value_all_bbox")])
+
+
+def verb_accuracy(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(image, top, accuracy): each image's k best verbs of (image, verb, scores map<string,double>), best first and ties by name, and the share of all images whose best is right."""
+    ranked = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("verb"))))
+    top = rows.select("image", "verb", F.transform(F.slice(ranked, 1, k), lambda e: e["verb"]).alias("top"))
+    share = top.agg(F.avg((F.try_element_at("top", F.lit(1)).eqNullSafe(F.col("verb"))).cast("int")).alias("accuracy"))
+    return top.select("image", "top").crossJoin(F.broadcast(share))  # one row

@@ -5,11 +5,12 @@ An index is a table (index_name, row, id, event_type, retrieval_text, embedding)
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,11 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return v.isNotNull() & ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+
+
 #: Rows of a corpus block and of a query block, on average.
 CORPUS_ROWS, QUERY_ROWS = 4096, 1024
 
@@ -55,14 +61,14 @@ def _cell(k: int):
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, query_vec: str, corpus_vec: str, where: Column | None = None) -> DataFrame:
     """(query_id, rank from 1, corpus_id, score): each query's k rows of the corpus with the largest inner products among those that
-    pass ``where``, ties to the smaller id.
+    pass ``where``, ties to the smaller id. Vectors that are null or hold null or non-finite components take no part on either side.
 
     The filter comes before the ranking and reaches the scan. Queries and corpus are dealt into blocks of bounded size; a pair of blocks is one
     matrix product that returns k rows a query at most, and one aggregation merges them. Nothing is broadcast or emitted pair by pair.
     """
     found = corpus if where is None else corpus.where(where)
-    found = found.where(F.col(corpus_vec).isNotNull()).select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
+    found = found.where(finite(F.col(corpus_vec))).select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("v"))
+    asked = queries.where(finite(F.col(query_vec))).select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
     spread = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_corpus, n_queries = found.count(), asked.count()
     g, h = max(1, -(-n_corpus // CORPUS_ROWS), min(spread, -(-n_corpus // 256))), max(1, -(-n_queries // QUERY_ROWS))
@@ -90,11 +96,10 @@ def merge_hits(hits: list[DataFrame], k: int, tie: list[str]) -> DataFrame:
 def check_index(vectors: DataFrame, dims: int, expected: int | None = None) -> DataFrame:
     """One row of what is wrong with an index: rows, wrong lengths, non-finite components, and whether the count is as expected."""
     v = F.col("embedding")
-    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.agg(
         F.count("*").alias("rows"),
         F.count_if(F.coalesce(F.size(v), F.lit(-1)) != dims).alias("wrong_length"),
-        F.count_if(F.coalesce(odd, F.lit(True))).alias("not_finite"),
+        F.count_if(~finite(v)).alias("not_finite"),
     ).withColumn("count_matches", F.lit(True) if expected is None else F.col("rows") == expected)
 
 
@@ -102,7 +107,12 @@ def with_metadata(hits: DataFrame, index_name: str) -> DataFrame:
     return hits.withColumn("retrieval", F.struct(F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"), F.lit(index_name).alias("index_name")))
 
 
-#: How each layer of a layered retrieval composes its query from the text and the image description.
+def event_or_none(event_type: str) -> Column:
+    """The demo layers' filter, for use after ranking: rows of a type or of none."""
+    return F.coalesce(F.col("event_type"), F.lit("")).isin("", event_type)
+
+
+#: How each layer of a layered retrieval composes its query from the text, the image description and the event type.
 LAYERS = {"text": ("text", "image_desc"), "image": ("image_desc", "text"), "bridge": ("text", "image_desc")}
 
 
@@ -113,3 +123,73 @@ def layered_queries(states: DataFrame, event_type: str = "event_type") -> DataFr
         parts = [F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("")) for c in (event_type, *fields) if c in states.columns]
         out = out.withColumn(f"{layer}_query", F.concat_ws(" ", *parts))
     return out
+
+
+def retrieval_queries(states: DataFrame) -> DataFrame:
+    """(query_id, event_type, text_query, image_query, bridge_query) of states (id, text, image_desc, event_type) for saved indexes.
+
+    The text layer asks for the text alone, or else the type, or else the image; the image layer for text, image and type; the bridge for type, text and
+    image. A state without any of them asks for nothing: its queries are null."""
+    text, image, kind = (F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("")) for c in ("text", "image_desc", "event_type"))
+    joined = lambda *parts: F.nullif(F.concat_ws(" ", *parts), F.lit(""))
+    return states.select(F.col("id").alias("query_id"), F.coalesce(kind, F.lit("")).alias("event_type"), F.coalesce(text, kind, image).alias("text_query"), joined(text, image, kind).alias("image_query"), joined(kind, text, image).alias("bridge_query"))
+
+
+#: The indexes that each layer searches, in the order in which their equal scores rank.
+LAYER_INDEXES = {"text": ("ace_text", "maven_text"), "image": ("swig_text", "swig_image"), "bridge": ("bridge",)}
+
+
+def typed_top_k(queries: DataFrame, index: DataFrame, name: str, k: int, id_col: str = "row") -> DataFrame:
+    """Hits (query_id, index_name, row, score, rank) of one index, of each query's own event type; of all types where the query has none.
+
+    The filter comes before the ranking: each type is searched by itself. ``queries`` are (query_id, event_type, embedding)."""
+    kinds = [r[0] for r in queries.select("event_type").distinct().collect()]  # event types of the ontology
+    found = []
+    for kind in kinds:
+        where = F.col("event_type") == kind if kind else None
+        found.append(top_k(queries.where(F.col("event_type") == kind), index, k, "query_id", id_col, "embedding", "embedding", where))
+    empty = queries.sparkSession.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
+    return reduce(DataFrame.unionByName, found, empty).withColumn("index_name", F.lit(name))
+
+
+def layered_retrieve(queries: dict[str, DataFrame], indexes: dict[str, DataFrame], k: dict[str, int] | int = 3) -> DataFrame:
+    """(layer, query_id, rank, index_name, row, score): the k best hits of each layer, whose indexes are merged and ranked anew.
+
+    ``queries`` has the encoded queries (query_id, event_type, embedding) of each index by its name, since image and text indexes take other encoders;
+    indexes that don't exist or aren't asked give nothing. ``k`` by layer is at least 1."""
+    out = []
+    for layer, names in LAYER_INDEXES.items():
+        n = max(1, (k.get(layer) or 3) if isinstance(k, dict) else k)
+        parts = [typed_top_k(queries[name], indexes[name], name, n) for name in names if name in indexes and name in queries]
+        if parts:
+            order = F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, range(len(names))) for x in pair]), F.col("index_name"))
+            hits = merge_hits([x.withColumn("__order", order) for x in parts], n, ["__order", "row"]).drop("__order")
+            out.append(hits.select(F.lit(layer).alias("layer"), "query_id", F.col("rank").cast("int").alias("rank"), "index_name", "row", "score"))
+    if not out:
+        raise ValueError("no index to search")
+    return reduce(DataFrame.unionByName, out)
+
+
+def layer_views(corpora: dict[str, DataFrame] | None, spark: SparkSession, prefix: str = "layer_") -> None:
+    """The in-memory layers of a demo: a cached view for each corpus; None drops them all."""
+    for layer in LAYERS:
+        name = prefix + layer
+        if spark.catalog.tableExists(name):
+            spark.catalog.uncacheTable(name)
+            spark.catalog.dropTempView(name)
+        if corpora and layer in corpora:
+            corpora[layer].createOrReplaceTempView(name)
+            spark.catalog.cacheTable(name)
+
+
+class IndexCache:
+    """Saved indexes by configuration: one that has been loaded with the same settings isn't loaded again."""
+
+    def __init__(self, load: Callable[..., DataFrame]):
+        self.load, self.known = load, {}
+
+    def get(self, spark: SparkSession, root: str, **settings: object) -> DataFrame:
+        key = (root, *sorted(settings.items()))
+        if key not in self.known:
+            self.known[key] = self.load(spark, root)
+        return self.known[key]

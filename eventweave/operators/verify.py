@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.functions.bbox import normalize_bbox
 from eventweave.functions.spans import align_arguments, preferred_spans, shrink_arguments, span_fits, span_matches, unique_span
-from eventweave.functions.text import truthy
+from eventweave.functions.text import json_object, let, truthy
 from eventweave.ontology import allowed_roles, is_supported, is_weak_place_label
+from eventweave.operators.matching import attach_grounding
+from eventweave.operators.scoring import settle
 
 DIAGNOSTIC = "struct<field_path:string,issue_type:string,suggested_action:string>"
 
@@ -31,13 +34,17 @@ def _each(arr: str, rules) -> Column:
 
 
 def with_diagnostics(events: DataFrame, tokens: str = "tokens", image_evidence: str | None = None, grounding: str | None = None) -> DataFrame:
-    """events with ``diagnostics``. ``image_evidence`` names a boolean column; ``grounding`` an array of {role, label, bbox, grounding_status} results."""
+    """events with ``diagnostics``. ``image_evidence`` names a boolean column; ``grounding`` an array of {role, label, bbox, grounding_status} results.
+
+    An event or a trigger of which all fields are null is no object; nothing else is said of it."""
     toks, supported = F.col(tokens), is_supported(truthy(F.col("event_type")))
     allowed = allowed_roles(truthy(F.col("event_type")))
     base = events.withColumn("__pref", preferred_spans(toks, F.transform(F.coalesce("text_arguments", F.array()), lambda a: F.struct(a["span"]["start"].alias("start"), a["span"]["end"].alias("end")))))
     span = F.col("trigger.span")
     fits = F.coalesce(span_fits(span["start"], span["end"], toks), F.lit(False))
-    has_trigger = F.col("trigger").isNotNull()
+    no_event = F.col("event_type").isNull() & F.col("trigger").isNull() & F.col("text_arguments").isNull() & F.col("image_arguments").isNull()
+    no_trigger = F.col("trigger").isNotNull() & F.col("trigger.text").isNull() & F.col("trigger.modality").isNull() & span.isNull()
+    has_trigger = F.col("trigger").isNotNull() & ~no_trigger
     role_rule = lambda x, at, i: [_issue(supported & (truthy(x["role"]) != "") & ~F.array_contains(allowed, truthy(x["role"])), at("role"), "invalid_role", "replace_or_drop")]
 
     def text_rules(x: Column, at, i: Column) -> list[Column]:
@@ -74,6 +81,7 @@ def with_diagnostics(events: DataFrame, tokens: str = "tokens", image_evidence:
         _each("text_arguments", role_rule),
         _each("image_arguments", role_rule),
         F.array(
+            _issue(no_trigger, "trigger", "invalid_object", "drop_or_rebuild"),
             _issue(has_trigger & (F.coalesce(F.col("trigger.modality"), F.lit("")) != "text"), "trigger.modality", "invalid_modality", "set_text_modality_or_drop"),
             _issue(has_trigger & span.isNotNull() & ~fits, "trigger.span", "invalid_span", "realign_or_drop"),
             _issue(has_trigger & span.isNotNull() & fits & ~span_matches(span["start"], span["end"], toks, F.col("trigger.text")), "trigger.span", "span_mismatch", "realign_or_drop"),
@@ -85,7 +93,8 @@ def with_diagnostics(events: DataFrame, tokens: str = "tokens", image_evidence:
         F.array(_issue((F.size(F.coalesce("image_arguments", F.array())) > 0) & ~seen, "image_arguments", "missing_image_evidence", "drop_or_rebuild")),
         _each("image_arguments", applied),
     ]
-    return base.withColumn("diagnostics", F.array_compact(F.concat(*parts))).drop("__pref")
+    found = F.when(no_event, F.array(_issue(F.lit(True), "event", "invalid_object", "drop_or_rebuild"))).otherwise(F.array_compact(F.concat(*parts)))
+    return base.withColumn("diagnostics", found).drop("__pref")
 
 
 def validation_error(events: DataFrame) -> DataFrame:
@@ -122,6 +131,35 @@ def verdict(answer: Column, issues: Column) -> Column:
     return (F.upper(truthy(answer)) == "YES") & (F.size(F.coalesce(issues, F.array())) == 0)
 
 
+_ANSWER = "verdict string, issues string, confidence string, reason string, diagnostics array<struct<field_path:string,issue_type:string,suggested_action:string>>"
+
+
+def with_verdict(events: DataFrame, answer: str = "answer", failure: str | None = None) -> DataFrame:
+    """events (with ``diagnostics`` and, of validation_error(), ``error``) with ``verified``, ``issues``, ``confidence``, ``reason`` and what a verifier's answer adds to their diagnostics.
+
+    The answer is text with a JSON object. Anything but YES is NO, YES clears the answer's own issues, and confidence is kept within 0 and 1. An event is verified by
+    YES if no rule and no validation found anything. An answer without an object, a failed validation and, named by a column, a failed call are diagnostics of the event."""
+    obj = json_object(F.col(answer))
+    parsed = F.from_json(obj, _ANSWER)
+    own = lambda when, kind, action: _issue(when, "event", kind, action)
+    rows = settle(events, {"__a": parsed, "__ok": obj.isNotNull()})
+    text, yes = F.trim(F.col("__a.issues")), F.upper(truthy(F.col("__a.verdict"))) == "YES"
+    said = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    said = F.when(yes | text.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(said))
+    confidence = F.coalesce(F.col("__a.confidence").try_cast("double"), F.lit(0.0))
+    failed = F.col(failure) if failure else F.lit(None).cast("string")
+    error = F.col("error") if "error" in events.columns else F.lit(None).cast("string")
+    told = F.filter(F.coalesce("__a.diagnostics", F.array().cast(f"array<{DIAGNOSTIC}>")), lambda d: (truthy(d["field_path"]) != "") & (truthy(d["issue_type"]) != "") & (truthy(d["suggested_action"]) != ""))
+    wrapper = F.array_compact(F.array(own(error.isNotNull(), "schema_validation_failed", "drop_or_rebuild"), own(failed.isNull() & ~F.col("__ok"), "invalid_verifier_output", "retry_or_repair")))
+    found = F.array_distinct(F.concat(F.coalesce("diagnostics", F.array().cast(f"array<{DIAGNOSTIC}>")), wrapper, F.when(yes, F.array().cast(f"array<{DIAGNOSTIC}>")).otherwise(told)))
+    found = F.when(failed.isNotNull(), F.array(own(F.lit(True), "verifier_failure", "retry_or_repair"))).otherwise(found)
+    rules = F.transform(F.coalesce("diagnostics", F.array().cast(f"array<{DIAGNOSTIC}>")), lambda d: F.concat_ws(": ", d["field_path"], d["issue_type"]))
+    issues = F.array_distinct(F.concat(rules, F.array_compact(F.array(error, F.when(~F.col("__ok"), "the verifier's answer holds no JSON object"))), said))
+    issues = F.when(failed.isNotNull(), F.array(failed)).otherwise(issues)
+    out = settle(rows, {"diagnostics": found, "issues": issues, "confidence": F.when(failed.isNotNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))), "reason": truthy(F.col("__a.reason")), "__yes": F.coalesce(yes, F.lit(False)) & failed.isNull()})
+    return out.withColumn("verified", F.col("__yes") & (F.size("issues") == 0)).drop("__a", "__ok", "__yes")
+
+
 def target_paths(diagnostics: Column) -> Column:
     """Field paths to repair, each once, in order."""
     return F.array_distinct(F.transform(diagnostics, lambda d: d["field_path"]))
@@ -147,6 +185,41 @@ def merge_by_paths(events: DataFrame, proposed: str, paths: str = "paths") -> Da
     return events.withColumns({"trigger": trigger, "text_arguments": merged("text_arguments", ("span", "role", "text")), "image_arguments": merged("image_arguments", ("bbox", "role", "label"))})
 
 
+def _targeted(arr: str, paths: str) -> Column:
+    """Places of an array that paths name, whole or a field of it."""
+    found = F.filter(F.transform(F.col(paths), lambda p: F.regexp_extract(p, rf"^{arr}\[(\d+)\]", 1)), lambda x: x != "")
+    return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+
+
+def reground(events: DataFrame, tokens: str = "tokens", paths: str = "paths") -> DataFrame:
+    """events with the spans that paths name found anew: where their text stands, if it does at one place only; a trigger or argument without such a place goes."""
+    toks = F.col(tokens)
+    hit = F.exists(paths, lambda p: (p == "trigger") | p.startswith("trigger."))
+    place = lambda text: unique_span(toks, text).cast("struct<start:int,end:int>")
+    trigger = F.when(place(F.col("trigger.text")).isNotNull(), F.struct(F.col("trigger.text").alias("text"), F.lit("text").alias("modality"), place(F.col("trigger.text")).alias("span")))
+    moved = F.transform("text_arguments", lambda a, i: F.when(F.array_contains("__at", i), a.withField("span", place(a["text"]))).otherwise(a))
+    kept = F.filter(moved, lambda a, i: ~F.array_contains("__at", i) | a["span"].isNotNull())
+    rows = settle(events, {"__at": F.coalesce(_targeted("text_arguments", paths), F.array().cast("array<int>"))})
+    return rows.withColumns({"trigger": F.when(hit, trigger).otherwise(F.col("trigger")), "text_arguments": kept}).drop("__at")
+
+
+def apply_grounding(events: DataFrame, grounding: str = "grounding_results", plan: str = "diagnostics") -> DataFrame:
+    """events with boxes of grounding results written back where a repair plan names image arguments or results that weren't applied."""
+    wanted = F.exists(F.coalesce(plan, F.array().cast(f"array<{DIAGNOSTIC}>")), lambda d: (d["issue_type"] == "grounding_result_not_applied") | d["field_path"].startswith("image_arguments["))
+    return events.withColumn("image_arguments", F.when(wanted & F.col(grounding).isNotNull(), attach_grounding(F.col("image_arguments"), F.col(grounding))).otherwise(F.col("image_arguments")))
+
+
+def restore_boxes(events: DataFrame, original: str) -> DataFrame:
+    """events with boxes that a repair lost put back: where the argument at the same place of the original (a column of image arguments) was grounded and now is unresolved
+    without a box."""
+    def one(a: Column, i: Column) -> Column:
+        was = F.try_element_at(original, i + 1)
+        lost = (F.size(was["bbox"]) == 4) & (was["grounding_status"] == "grounded") & a["bbox"].isNull() & (a["grounding_status"] == "unresolved")
+        return F.when(F.coalesce(lost, F.lit(False)), a.withField("bbox", was["bbox"]).withField("grounding_status", F.lit("grounded"))).otherwise(a)
+
+    return events.withColumn("image_arguments", F.transform("image_arguments", one))
+
+
 def drop_flagged_weak_places(events: DataFrame, diagnostics: str = "diagnostics") -> DataFrame:
     """Image arguments without those flagged as generic places."""
     flagged = F.transform(F.filter(diagnostics, lambda d: d["issue_type"] == "generic_weak_place"), lambda d: F.regexp_extract(d["field_path"], r"\[(\d+)\]", 1))
@@ -169,6 +242,30 @@ def grounding_requests(args: Column) -> Column:
     return F.transform(need, lambda a: F.struct(truthy(a["role"]).alias("role"), truthy(a["label"]).alias("label"), F.concat_ws(": ", truthy(a["role"]), truthy(a["label"])).alias("grounding_query")))
 
 
+_RESULT = "role string, label string, grounding_query string, bbox array<string>, score string, grounding_status string"
+
+
+def grounding_results(response: Column, requests: Column) -> Column:
+    """{role, label, grounding_query, bbox, score, grounding_status} of each request, from a detector's JSON answer ``{"results": [...]}`` by place.
+
+    What a result lacks comes from its request; a status that isn't grounded, failed or unresolved follows from the box; a request without a result has failed."""
+    results = F.coalesce(F.from_json(response, "results array<string>")["results"], F.array().cast("array<string>"))
+
+    def one(request: Column, i: Column) -> Column:
+        raw = F.try_element_at(results, i + 1)
+        result = F.when(F.trim(raw).startswith("{"), F.from_json(raw, _RESULT))
+
+        def made(r: Column) -> Column:
+            either = lambda n: F.coalesce(F.nullif(r[n], F.lit("")), request[n], F.lit(""))
+            box, status = normalize_bbox(r["bbox"]), F.lower(truthy(r["grounding_status"]))
+            status = F.when(status.isin("grounded", "failed", "unresolved"), status).when(box.isNotNull(), "grounded").otherwise("failed")
+            return F.struct(either("role").alias("role"), either("label").alias("label"), either("grounding_query").alias("grounding_query"), box.alias("bbox"), r["score"].try_cast("double").alias("score"), status.alias("grounding_status"))
+
+        return let(result, made)
+
+    return F.transform(requests, one)
+
+
 def candidate_queries(query: Column) -> Column:
     """Up to three phrases for a detector: parts between pipes, and what follows a colon; each once whatever its case."""
     parts = F.filter(F.transform(F.split(query, r"\|{1,2}"), lambda x: F.trim(x)), lambda x: x != "")
