@@ -13,27 +13,13 @@ from eventweave.functions import bbox, text
 from eventweave.operators import corpus, evidence, ordering, phrases, vectors
 from eventweave.operators import matching as m
 from eventweave.operators.scoring import precision_recall
+from eventweave.plans.registry import query
+from eventweave.plans.registry import table as _t
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 _WS = r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]"
 _TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?|[^\p{L}\p{N}_\p{Z}\x09-\x0d\x1c-\x1f\x85]"
 
 
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _clean(column: str) -> str:
     return f"regexp_replace(regexp_replace({column}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
 
@@ -320,18 +306,6 @@ def multiset_tp(spark, sf_dir):
     return rows.select("l_orderkey", m.multiset_tp(F.col("gold"), F.col("pred")).cast("long").alias("tp"))
 
 
-@query(f"SELECT lang AS event_type, CASE WHEN gold THEN 'good' ELSE 'bad' END AS gold_role, CASE WHEN pred THEN 'good' ELSE 'bad' END AS pred_role, count(*) AS n FROM ({_RATED}) WHERE gold <> pred GROUP BY 1, 2, 3")
-def role_confusion(spark, sf_dir):
-    name = lambda c: F.when(F.col(c), "good").otherwise("bad")
-    return _rated(spark, sf_dir).where("g != p").groupBy(F.col("lang").alias("event_type"), name("g").alias("gold_role"), name("p").alias("pred_role")).agg(F.count("*").alias("n"))
-
-
-@query(f"WITH v AS (SELECT source, avg(CASE WHEN gold = pred THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0 END) AS b FROM ({_RATED}) GROUP BY 1) SELECT round(avg(a), 9) AS value, round(avg(b), 9) AS clean FROM v")
-def macro_by_verb(spark, sf_dir):
-    by = _rated(spark, sf_dir).groupBy("source").agg(F.avg((F.col("g") == F.col("p")).cast("int")).alias("a"), F.avg((F.col("toxic") == 0).cast("int")).alias("b"))
-    return by.agg(F.round(F.avg("a"), 9).alias("value"), F.round(F.avg("b"), 9).alias("clean"))
-
-
 # boxes and spans: the lines of an order are gold boxes (odd numbers) and predicted ones (even numbers) --------------------------------
 
 _BOXES = """boxes AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line, role, x, y, x2) AS n FROM
@@ -372,27 +346,6 @@ def iou_best_match(spark, sf_dir):
     return rows.select("l_orderkey", F.col("p.n").alias("pred"), m.best_box(F.col("p"), F.col("gold"), same_role=True)["n"].alias("gold")).where("gold is not null")
 
 
-@query(None)
-def iou_greedy_match(spark, sf_dir):
-    """Ordered one-to-one matching; tested against a plain loop."""
-    rows = _orders_with_boxes(spark, sf_dir).withColumn("partners", m.greedy_iou(F.col("pred"), F.col("gold"), 0.3))
-    return rows.select("l_orderkey", F.transform("pred", lambda p: p["n"]).alias("pred"), F.transform("partners", lambda i: F.when(i >= 0, F.try_element_at("gold", i + 1)["n"])).alias("gold"))
-
-
-@query(f"""WITH {_BOXES}, q AS (SELECT {_QUALITY} AS quality FROM scored WHERE pred_role = gold_role)
-SELECT c.quality, count(q.quality) AS n FROM (VALUES ('matched'), ('no_overlap'), ('weak_overlap'), ('box_not_precise_enough_oversized'), ('box_not_precise_enough_undersized'), ('box_not_precise_enough_shifted'), ('never')) c(quality) LEFT JOIN q USING (quality) GROUP BY 1""")
-def error_counts_dense(spark, sf_dir):
-    names = [(c,) for c in ("matched", "no_overlap", "weak_overlap", "box_not_precise_enough_oversized", "box_not_precise_enough_undersized", "box_not_precise_enough_shifted", "never")]
-    found = _box_pairs(spark, sf_dir).where("pred_role = gold_role").groupBy("quality").agg(F.count("*").alias("n"))
-    return spark.createDataFrame(names, "quality string").join(found, "quality", "left").select("quality", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query(f"WITH {_BOXES} SELECT quality, k, l_orderkey, pred, gold FROM (SELECT *, CAST(row_number() OVER (PARTITION BY quality ORDER BY l_orderkey, pred, gold) AS INTEGER) AS k FROM (SELECT *, {_QUALITY} AS quality FROM scored)) WHERE k <= 5")
-def examples_per_bucket(spark, sf_dir):
-    first = Window.partitionBy("quality").orderBy("l_orderkey", "pred", "gold")
-    return _box_pairs(spark, sf_dir).withColumn("k", F.row_number().over(first)).where("k <= 5").select("quality", "k", "l_orderkey", "pred", "gold")
-
-
 _SPANS = """spans AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) AS n, l_returnflag AS role,
   CAST(l_quantity AS INTEGER) AS s, CAST(l_quantity AS INTEGER) + 3 * l_linenumber AS e FROM lineitem),
 near AS (SELECT g.l_orderkey, p.n AS pred, g.n AS gold, p.role = g.role AS same_role, p.s = g.s AND p.e = g.e AS same_span, p.s <= g.s AND p.e >= g.e AND (p.s < g.s OR p.e > g.e) AS longer
@@ -412,28 +365,6 @@ def span_overlap(spark, sf_dir):
     return _orders_with_spans(spark, sf_dir).select("l_orderkey", F.explode(made).alias("r")).select("l_orderkey", "r.*")
 
 
-@query(f"WITH {_SPANS} SELECT l_orderkey, gold, min(pred) AS pred FROM near WHERE same_role AND longer GROUP BY 1, 2")
-def span_overlong(spark, sf_dir):
-    made = F.transform("gold", lambda g: F.struct(g["n"].alias("gold"), F.array_min(F.transform(F.filter("pred", lambda p: m.same_trigger(g, p) & (p["role"] == g["role"]) & (p["start"] <= g["start"]) & (p["end"] >= g["end"]) & ~m.same_span(g, p)), lambda p: p["n"])).alias("pred")))
-    return _orders_with_spans(spark, sf_dir).select("l_orderkey", F.explode(made).alias("r")).select("l_orderkey", "r.*").where("pred is not null")
-
-
-@query("""
-WITH r AS (SELECT conv_id, turn, unnest([
-  CASE WHEN role NOT IN ('user', 'assistant') THEN 'invalid_role' END, CASE WHEN trim(text) = '' THEN 'missing_or_empty' END,
-  CASE WHEN length(text) > 500 THEN 'unnormalized_head_word' END, CASE WHEN regexp_matches(lower(text), '^(a|an|the|this|that|these|those) ') THEN 'contains_determiner' END]) AS issue_type FROM conversations)
-SELECT issue_type, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM r WHERE issue_type IS NOT NULL GROUP BY 1""")
-def diagnostics_rules(spark, sf_dir):
-    rules = [
-        F.when(~F.col("role").isin("user", "assistant"), "invalid_role"),
-        F.when(text.truthy(F.col("text")) == "", "missing_or_empty"),
-        F.when(F.length("text") > 500, "unnormalized_head_word"),
-        F.when(F.lower("text").rlike("^(a|an|the|this|that|these|those) "), "contains_determiner"),
-    ]
-    issues = _t(spark, sf_dir, "conversations").select("conv_id", F.explode(F.array_compact(F.array(*rules))).alias("issue_type"))
-    return issues.groupBy("issue_type").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
-
-
 @query("SELECT event_id, concat_ws(' ', event_type, props, CAST(user_id AS VARCHAR)) AS text_query, concat_ws(' ', event_type, CAST(user_id AS VARCHAR), props) AS image_query FROM events")
 def layered_query(spark, sf_dir):
     states = _t(spark, sf_dir, "events").select("event_id", "event_type", F.col("props").alias("text"), F.col("user_id").cast("string").alias("image_desc"))
