@@ -42,6 +42,7 @@ def test_boxes(spark):
     assert abs(row[0] - 81 / 119) < 1e-12 and row[1:4] == (0.0, True, True) and row[4] is None and row[5] == [1.0, 2.5, 3.0, 4.0]
     quality = [bbox.box_quality(box(*p), box(*g), 0.5, 0.1, 0.8, 0.6) for p, g in (((0, 0, 10, 10), (0, 0, 10, 10)), ((0, 0, 30, 30), (10, 10, 20, 20)), ((12, 12, 16, 16), (10, 10, 20, 20)), ((0, 0, 5, 5), (50, 50, 60, 60)))]
     assert tuple(one(spark, *quality)) == ("matched", "box_not_precise_enough_oversized", "box_not_precise_enough_undersized", "no_overlap")
+    assert tuple(one(spark, bbox.box_quality(box(0, 0, 30, 30), box(10, 10, 20, 20)), bbox.box_quality(box(0, 0, 16, 16), box(0, 0, 10, 10)))) == ("weak_overlap", "box_not_precise_enough_oversized")
     names = one(spark, bbox.quality_bucket(F.lit("matched"), "fp"), bbox.quality_bucket(F.lit("weak_overlap"), "fn"), bbox.rescale(F.lit(12.0), F.lit(2.0), F.lit(4.0)))
     assert tuple(names) == ("image.fp_spurious_argument", "image.fn_weak_overlap_same_role", 2)
 
@@ -54,9 +55,14 @@ def test_ontology_names(spark):
     assert o.event_roles(spark).count() == 29
 
 
-def test_preferred_boundaries():
-    cases = {"a man": (1, 2), "Two Chicago police officers": (3, 4), "President Barack Obama": (1, 3), "former President Barack Obama": (2, 4), "police officer John Smith": (2, 4), "the 17 men": (2, 3), "Barack Obama": (0, 2), "the": (0, 1), '" soldiers "': (1, 2), "officers": (0, 1), "Dr Ludwig van Beethoven": (1, 4)}
-    assert {k: spans.preferred_slice(k.split()) for k in cases} == cases
+def test_preferred_boundaries(spark):
+    cases = {"a man": (1, 2), "Two Chicago police officers": (3, 4), "President Barack Obama": (1, 3), "former President Barack Obama": (2, 4), "police officer John Smith": (2, 4), "the 17 men": (2, 3), "Barack Obama": (0, 2), "the": (0, 1), '" soldiers "': (1, 2), "officers": (0, 1), "Dr Ludwig van Beethoven": (1, 4), "the former coach": (2, 3), "police John Smith": (2, 3), "Mr . Smith": (2, 3), "General Police Officer Anna": (3, 4), "One Two": (0, 2), ", the": (0, 2), "Paris , France ,": (0, 3)}
+    df = spark.createDataFrame([(k, k.split()) for k in cases], "k string, w array<string>")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size("w").alias("end")))
+    got = {r.k: (r.s[0].start, r.s[0].end) for r in df.select("k", spans.preferred_spans(F.col("w"), whole).alias("s")).collect()}
+    assert got == cases
+    row = spark.sql("select split('a man saw President Barack Obama', ' ') as w").select(spans.preferred_spans(F.col("w"), F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 2), (3, 6), (4, 9), (2, 2))])).alias("s")).first()
+    assert [tuple(x) for x in row.s] == [(1, 2, True, False, False), (4, 6, False, False, True), (4, 9, False, False, False), (2, 2, False, False, False)]
 
 
 def test_spans_in_text(spark):
