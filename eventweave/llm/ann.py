@@ -3,11 +3,13 @@
 A vector of unit length is rotated at random and keeps the signs of its components: one bit for each dimension, with the scalar
 ``align``, the inner product of the rotated vector and its code. For a query q the inner product with the
 code, divided by ``align``, estimates the cosine without bias, with an error of at most
-``epsilon * sqrt((1 - align^2) / align^2 / (d - 1))`` but for a small chance. A candidate is reranked by its exact cosine unless its upper bound
-lies below the k-th best lower bound.
+``epsilon * sqrt((1 - align^2) / align^2 / (d - 1))`` but for a small chance. A rotated query is rounded to whole numbers of PLANES bits, so its inner product with a
+code is a weighted sum of population counts of the code's words and the query's bit planes.
 
-Candidates and queries are dealt into cells of a grid of bounded groups. Each cell holds one group of either and
-returns k rows for a query at most, and those are merged by one aggregation.
+The search passes over the index twice. The first pass reads codes and scalars only, and gives the candidates with the best
+estimates; their exact cosines make a bar for each query, below which its k nearest can't lie. The second pass reranks by exact cosine the candidates whose
+upper bound reaches the bar. Candidates and queries are dealt into cells of a grid of bounded groups; a cell returns k rows for a query at most, and those are
+merged by one aggregation.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from eventweave.llm.scratch import materialize, shuffle_partitions
 
-#: Rows of a candidate group and of a query group, on average.
-CANDIDATES, QUERIES = 4096, 1024
+#: Rows of a candidate group and of a query group, on average; bits of a rounded query; candidates of the first pass for each of the k asked for.
+CANDIDATES, QUERIES, PLANES, FIRST = 16384, 1024, 6, 4
 
 
 @lru_cache(maxsize=4)
@@ -67,62 +69,101 @@ def build_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return kept.mapInArrow(encode, "vec_id long, dims int, embedding array<double>, code binary, align double")
 
 
-def nearest_in_cell(cand: pa.Table, quer: pa.Table, k: int, epsilon: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, cosine) of each query's k nearest candidates in a cell."""
-    d = len(quer["embedding"][0])
-    c = matrix(cand["embedding"].combine_chunks())
+class Codes:
+    """Codes of a cell's candidates as 64-bit words, and the estimates of cosines with queries from them."""
+
+    def __init__(self, codes: list[bytes], align: np.ndarray, dims: int, epsilon: float, seed: int):
+        self.dims, self.seed = dims, seed
+        width = -(-dims // 64) * 8
+        packed = np.zeros((len(codes), width), np.uint8)
+        packed[:, : -(-dims // 8)] = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        self.words = packed.view("<u8")
+        self.ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int32)
+        self.scale = 1 / (align * math.sqrt(dims))
+        self.spread = np.maximum(0, 1 - align**2) / align**2 / max(1, dims - 1)
+        self.epsilon = epsilon
+
+    def estimates(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (rows) the estimated cosine of every candidate, and how far it may be off."""
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for q in unit @ rotation(self.dims, self.seed).T:
+            low = q.min()
+            step = max((q.max() - low) / ((1 << PLANES) - 1), 1e-12)
+            whole = np.rint((q - low) / step).astype(np.uint8)
+            inner = low * self.ones
+            for k in range(PLANES):
+                plane = np.zeros(self.words.shape[1] * 8, np.uint8)
+                bits = np.packbits((whole >> k) & 1, bitorder="little")
+                plane[: len(bits)] = bits
+                inner += step * (1 << k) * np.bitwise_count(self.words & plane.view("<u8")).sum(axis=1, dtype=np.int32)
+            # rounding spreads a component by step / sqrt(12), and as much the sum of all with signs over sqrt(dims)
+            rounded = step * step / 12 * self.dims * self.scale**2
+            yield (2 * inner - q.sum()) * self.scale, self.epsilon * np.sqrt(self.spread + rounded) + 1e-6
+
+
+def _codes(cand: pa.Table, dims: int, epsilon: float, seed: int) -> Codes:
+    return Codes(cand["code"].to_pylist(), cand["align"].to_numpy(), dims, epsilon, seed)
+
+
+def best_estimates(cand: pa.Table, quer: pa.Table, n: int, epsilon: float, seed: int) -> pa.Table:
+    """(query_id, vec_id, estimate) of the n candidates of a cell with each query's best estimates, by codes alone."""
     q = matrix(quer["embedding"].combine_chunks())
-    cid, qid = cand["vec_id"].to_numpy(), quer["vec_id"].to_numpy()
-    align = cand["align"].to_numpy()
-    codes = np.frombuffer(b"".join(cand["code"].to_pylist()), np.uint8).reshape(len(c), -1)
-    signs = np.unpackbits(codes, axis=1, count=d, bitorder="little").astype(np.float32) * 2 - 1
-    unit = q / np.abs(q).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    turned = (unit @ rotation(d, seed).T).astype(np.float32)
-    slack = (epsilon * np.sqrt(np.maximum(0, 1 - align**2)) / align / math.sqrt(max(1, d - 1))).astype(np.float32) + np.float32(1e-5)
-    scale = (1 / (align * math.sqrt(d))).astype(np.float32)
-    rows_q, rows_c = [], []
-    for lo in range(0, len(q), 256):
-        estimate = (turned[lo : lo + 256] @ signs.T) * scale
-        own = qid[lo : lo + 256, None] == cid[None, :]
-        low = np.where(own, -np.inf, estimate - slack)
-        bar = np.partition(low, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(low), -np.inf, np.float32)
-        a, b = np.nonzero((estimate + slack >= bar[:, None]) & ~own)
-        rows_q.append(a + lo)
-        rows_c.append(b)
-    rows_q, rows_c = np.concatenate(rows_q), np.concatenate(rows_c)
-    score = np.empty(len(rows_q))
-    norm_c, norm_q = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    for lo in range(0, len(score), 1 << 15):
-        a, b = rows_q[lo : lo + (1 << 15)], rows_c[lo : lo + (1 << 15)]
-        score[lo : lo + (1 << 15)] = (q[a] * c[b]).sum(axis=1) / (norm_q[a] * norm_c[b])
-    order = np.lexsort((cid[rows_c], -score, rows_q))
-    rows_q, rows_c, score = rows_q[order], rows_c[order], score[order]
-    first = np.searchsorted(rows_q, rows_q, side="left")
-    keep = np.arange(len(rows_q)) - first < k
-    return rows_q[keep], rows_c[keep], score[keep]
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 2.6, seed: int = 11) -> DataFrame:
+    codes, cid = _codes(cand, q.shape[1], epsilon, seed), cand["vec_id"].to_numpy()
+    out = []
+    for own, (guess, _) in zip(quer["vec_id"].to_numpy().tolist(), codes.estimates(q), strict=True):
+        guess = np.where(cid == own, -np.inf, guess)
+        top = np.argpartition(guess, -n)[-n:] if len(guess) > n else np.arange(len(guess))
+        top = top[guess[top] > -np.inf]
+        out.append((np.full(len(top), own), cid[top], guess[top]))
+    return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], ["query_id", "vec_id", "estimate"])
+
+
+def nearest_in_cell(cand: pa.Table, quer: pa.Table, k: int, epsilon: float, seed: int) -> tuple[pa.Table, int]:
+    """(query_id, vec_id, score) of each query's k nearest candidates of a cell among those that its ``bar`` lets through, and how many were reranked."""
+    q, c = (matrix(t["embedding"].combine_chunks()) for t in (quer, cand))
+    codes, cid = _codes(cand, q.shape[1], epsilon, seed), cand["vec_id"].to_numpy()
+    norm_c, out, reranked = np.sqrt((c * c).sum(axis=1)), [], 0
+    for own, bar, v, (guess, slack) in zip(quer["vec_id"].to_numpy().tolist(), quer["bar"].to_numpy().tolist(), q, codes.estimates(q), strict=True):
+        rows = np.flatnonzero((guess + slack >= bar) & (cid != own))
+        reranked += len(rows)
+        score = (c[rows] * v).sum(axis=1) / (norm_c[rows] * np.sqrt((v * v).sum()))
+        order = np.lexsort((cid[rows], -score))[:k]
+        out.append((np.full(len(order), own), cid[rows[order]], score[order]))
+    return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"]), reranked
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 1.9, seed: int = 11) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of each query's k nearest rows of the index by exact cosine; all if there are fewer.
 
     ``queries`` are rows of an index of the same seed. A query's own vec_id is no candidate; ties go to the smaller vec_id. Vectors are
-    compared with those of the same length only. Repeated rows of an id count as rows of their own. Nothing is broadcast: groups have bounded sizes at any scale.
+    compared with those of the same length only. Repeated rows of an id count as rows of their own; an empty table gives no rows. Nothing is broadcast: groups have bounded sizes at any scale.
     """
     spark = index.sparkSession
     n_cand, n_quer = index.count(), queries.count()
-    cand_groups = max(-(-n_cand // CANDIDATES), min(2 * shuffle_partitions(spark), -(-n_cand // 64)), 1)
+    cand_groups = max(-(-n_cand // CANDIDATES), min(shuffle_partitions(spark), -(-n_cand // 1024)), 1)
     query_groups = max(1, -(-n_quer // QUERIES))
-    cand = index.select("vec_id", "dims", "embedding", "code", "align", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(cand_groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("h"))
-    quer = queries.select("vec_id", "dims", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_groups)).cast("int").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cand_groups - 1).cast("long"))).alias("g"))
 
-    def cell(cand_table: pa.Table, query_table: pa.Table) -> pa.Table:
-        if len(cand_table) == 0 or len(query_table) == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b, score = nearest_in_cell(cand_table, query_table, k, epsilon, seed)
-        return pa.table({"query_id": query_table["vec_id"].to_numpy()[a], "vec_id": cand_table["vec_id"].to_numpy()[b], "score": score})
-
-    found = cand.groupBy("g", "h", "dims").cogroup(quer.groupBy("g", "h", "dims")).applyInArrow(cell, "query_id long, vec_id long, score double")
+    def cells(cand: DataFrame, quer: DataFrame, work, schema: str) -> DataFrame:
+        g, h = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(cand_groups)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_groups)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left, right = cand.select("*", g.alias("g"), every(query_groups).alias("h")), quer.select(*[F.col(c).alias(c) for c in quer.columns], every(cand_groups).alias("g"), h.alias("h"))
+        names = [x.split()[0] for x in schema.split(", ")]
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), names[2]: pa.array([], pa.float64())})
+        return left.groupBy("g", "h", "dims").cogroup(right.groupBy("g", "h", "dims")).applyInArrow(lambda a, b: work(a, b) if len(a) and len(b) else empty, schema)
+
+    asked = queries.select("vec_id", "dims", "embedding")
+    first = cells(index.select("vec_id", "dims", "code", "align"), asked, lambda a, b: best_estimates(a, b, FIRST * k, epsilon, seed), "query_id long, vec_id long, estimate double")
+    likely = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))).where(F.col("n") <= FIRST * k).select("query_id", "vec_id").distinct()
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
+    cosine = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x) / (norm(F.col("u")) * norm(F.col("v")))
+    vectors = index.select("vec_id", "dims", F.col("embedding").alias("v"))
+    known = likely.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "dims", F.col("embedding").alias("u")), ["query_id", "dims"])
+    each = known.select("query_id", "vec_id", cosine.alias("s")).groupBy("query_id", "vec_id").agg(F.min("s").alias("s"))
+    # the k-th best of some candidates is at most the k-th best of all
+    bars = materialize(each.groupBy("query_id").agg(F.sort_array(F.collect_list("s"), False).alias("s")).select(F.col("query_id").alias("vec_id"), F.try_element_at("s", F.lit(k)).alias("bar")), "bars")
+    barred = asked.join(bars, "vec_id", "left").select("vec_id", "dims", "embedding", (F.coalesce("bar", F.lit(-2.0)) - 1e-9).alias("bar"))
+    found = cells(index, barred, lambda a, b: nearest_in_cell(a, b, k, epsilon, seed)[0], "query_id long, vec_id long, score double")
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

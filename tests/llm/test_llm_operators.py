@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import sys
+import unicodedata
 from pathlib import Path
 
 import duckdb
@@ -56,6 +57,20 @@ def test_encoders_agree_with_the_library(name):
             assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_is_encoded_as_by_the_library(name):
+    path = queries.BYTE_BPE.replace("byte_bpe_50k.json", name)
+    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LMN"]
+    texts = [f"!{c}! x {c}a{c}'s 1{c}" for c in letters]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    fast = pretokens.fast_chars(path)
+    assert sum(map(fast.__getitem__, letters)) > 100_000
+    for encoder in [pretokens.library_encoder(path)] + ([bpe.own_encoder(path)] if name.startswith("byte") else []):
+        ids, bounds = encoder.encode(pa.array(texts))
+        wrong = [(hex(ord(c)), x.tolist(), y) for c, x, y in zip(letters, np.split(ids, bounds[1:-1]), want, strict=True) if x.tolist() != y]
+        assert wrong == []
+
+
 def test_overlapping_pairs_merge_from_the_left():
     own, library = bpe.vocabulary(queries.BYTE_BPE), Tokenizer.from_file(queries.BYTE_BPE)
     words = [b"aaaaaaa", b"!!!!!!!!!!!", b"", b"=====", b"ababababa", "ééééé".encode()]
@@ -250,11 +265,39 @@ def test_nearest_neighbours(spark):
     want = brute.nearest(documents("embeddings", "vec_id, embedding"), lambda i: i % 50 == 0)
     got = {}
     for r in sorted(queries.op3_one_bit_codes(spark, SF).collect()):
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(want)
+    hits = sum(len({i for i, _ in want[q]} & {i for _, i, _ in got[q]}) for q in want)
     assert hits >= 0.95 * sum(map(len, want.values()))
     exact = {(q, i): s for q, found in want.items() for i, s in found}
-    assert all(abs(exact[q, i] - s) < 1e-12 for q, found in got.items() for i, s in found if (q, i) in exact)
+    assert all(abs(exact[q, i] - s) < 1e-12 for q, found in got.items() for _, i, s in found if (q, i) in exact)
+    for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, len(want[q]) + 1))
+        assert found == sorted(found, key=lambda x: (-x[2], x[1]))
+        if {i for _, i, _ in found} == {i for i, _ in want[q]}:
+            assert [i for _, i, _ in found] == [i for i, _ in want[q]]
+
+
+def test_few_candidates_are_reranked():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((40_000, 64))
+    turned = v / np.linalg.norm(v, axis=1, keepdims=True) @ ann.rotation(64, 11).T
+    code, align = np.packbits(turned > 0, axis=1, bitorder="little"), np.abs(turned).sum(axis=1) / 8
+    cand = pa.table({"vec_id": np.arange(len(v)), "embedding": pa.array(list(v)), "code": [x.tobytes() for x in code], "align": align})
+    ask = np.arange(0, len(v), 2000)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = unit[ask] @ unit.T
+    cosine[np.arange(len(ask)), ask] = -2
+    nearest = np.argsort(-cosine, axis=1)[:, :5]
+    asked = cand.take(pa.array(ask))
+    first = ann.best_estimates(asked.take(pa.array([0])), asked, 20, 1.9, 11)
+    assert len(first) == len(ask) - 1  # a query is no candidate of its own
+    first = ann.best_estimates(cand, asked, 20, 1.9, 11).to_pandas()
+    bars = [np.sort(cosine[k, first.vec_id[first.query_id == q]])[-5] for k, q in enumerate(ask)]
+    found, reranked = ann.nearest_in_cell(cand, asked.append_column("bar", pa.array(bars)), 5, 1.9, 11)
+    found = found.to_pandas()
+    hits = sum(len(set(found.vec_id[found.query_id == q]) & set(nearest[k])) for k, q in enumerate(ask))
+    assert reranked < 0.1 * len(ask) * len(v) and hits >= 0.98 * nearest.size
 
 
 def test_nearest_of_awkward_vectors(spark):
@@ -343,6 +386,23 @@ def test_a_passage_in_all_documents_is_no_link(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute.near_duplicates(rows)
 
 
+def test_a_large_group_near_the_threshold(spark, monkeypatch):
+    for name, size in (("BLOCK", 16), ("CELL", 8), ("SPREAD", 32), ("TEXTS", 8), ("SHINGLES", 2000)):
+        monkeypatch.setattr(minhash, name, size)
+    rng = random.Random(13)
+    base = [f"v{k}" for k in range(200)]
+    rows = []
+    for i in range(240):  # copies of one text that are about 0.75 alike, some linked with few of the others
+        copy = list(base)
+        for _ in range(rng.choice([3, 5, 6, 7, 9])):
+            copy[rng.randrange(200)] = f"u{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    want = brute.near_duplicates(rows)
+    assert 1 < len({r[2] for r in want}) < 200
+    got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == want
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(awkward(spark)).collect()}
     assert {(0, 0, 0, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 2, None, True)} <= rows
@@ -473,6 +533,22 @@ def test_warc_of_awkward_pages(spark):
     assert warc.read_warc(spark, warc.write_warc(df.limit(0), scratch_path(spark, "w"))).count() == 0
 
 
+def test_warc_records_have_their_own_ids_and_are_fetched_by_page(spark):
+    rows = [(i, f"http://x/{i}", "shared" if i % 2 else f"page {i}", "clash") for i in range(60)] + [(5, "http://x/5b", "other", "clash"), (5, "http://x/5c", "shared", "clash"), (None, None, "", "clash"), (None, None, None, "clash")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    index = warc.write_warc(df, scratch_path(spark, "w"))
+    found = warc.read_warc(spark, index).collect()
+    assert sum(r.record_type == "revisit" for r in found) == 30 and {r.refers_to for r in found} == {None, 1}
+    names = []
+    for path in {r.path for r in index.collect()}:
+        with warc.BundleReader(path) as bundle:
+            names += [r["headers"]["warc-record-id"] for k in range(len(bundle.sizes)) for r in warc.parse_records(bundle.frame(k))]
+    assert len(names) == len(set(names)) == len(rows)
+    asked = spark.createDataFrame([(1,), (5,), (8,), (999,), (None,)], "page_id long")
+    got = sorted(((r.page_id, r.record_type, r.payload and bytes(r.payload)) for r in warc.fetch(index, asked).collect()), key=lambda x: x[:2])
+    assert got == sorted([(1, "response", b"shared"), (5, "revisit", None), (5, "response", b"other"), (5, "revisit", None), (8, "response", b"page 8")], key=lambda x: (x[0], x[1]))
+
+
 def test_warc_records_are_read_through_the_index(spark):
     df = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
     index = warc.write_warc(df, scratch_path(spark, "w"))
