@@ -2,7 +2,7 @@
 
 Keys are sampled with a chance in proportion to the size of their records, so quantiles of the sample cut the
 corpus into key ranges of about equal bytes. Exact totals of all ranges follow; a range that turns out overfull is
-subdivided by splitters from a denser sample of its own keys. There are many more ranges than shards. With the exact bytes before each range,
+subdivided by splitters from a denser sample of its own keys, until no range of several keys is overfull. There are many more ranges than shards. With the exact bytes before each range,
 a task that sorts its ranges knows the place of every record among all bytes, and the shard
 follows from that place: shards are consecutive key ranges of equal bytes to within one record.
 
@@ -12,16 +12,17 @@ The key is (text hash, doc_id): equal texts lie next to each other, and a group
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventweave.llm.scratch import materialize, small_batches
+from eventweave.llm.scratch import discard, materialize, small_batches
 
-#: Ranges for each shard at least, bytes of a range at most about, sampled keys for each range, and how often overfull ranges are subdivided at most.
-RANGES_PER_SHARD, RANGE_BYTES, KEYS_PER_RANGE, ROUNDS = 16, 128 << 20, 8, 4
+#: Ranges for each shard at least, bytes of a range at most about, and sampled keys for each range.
+RANGES_PER_SHARD, RANGE_BYTES, KEYS_PER_RANGE = 16, 128 << 20, 8
 #: A range is overfull beyond this multiple of an even share.
 OVERFULL = 2.0
 
@@ -34,14 +35,16 @@ def packed_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out.view("S16").ravel()
 
 
-def with_range(keyed: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """keyed with the number of splitters at or below its (k1, k2) as ``range``."""
+def with_range(keyed: DataFrame, splitters: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """keyed with the number of splitters at or below its (k1, k2) as ``range``; rows of the ranges ``only``, if given."""
     names = keyed.columns
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = packed_keys(batch.column("k1").to_numpy(zero_copy_only=False), batch.column("k2").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(splitters, keys, side="right").astype(np.int64))], [*names, "range"])
+            ranges = np.searchsorted(splitters, keys, side="right").astype(np.int64)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges)], [*names, "range"])
+            yield out if only is None else out.filter(pa.array(np.isin(ranges, only)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", range long"
     return keyed.mapInArrow(locate, schema)
@@ -68,33 +71,30 @@ def _quantiles(keys: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
 def splitters(keys: DataFrame, total: int, n_ranges: int, seed: int = 7) -> np.ndarray:
     """Boundaries of about n_ranges ranges of (k1, k2, size) rows with equal bytes.
 
-    The driver gets about n_ranges * KEYS_PER_RANGE keys of 24 bytes in each of at most ROUNDS rounds, whatever the number of rows: at 100 TB,
-    800,000 ranges and 6.4 million keys.
+    The driver gets about n_ranges * KEYS_PER_RANGE keys of 24 bytes in the first round, whatever the number of rows, and fewer in each one after it: at 100 TB,
+    800,000 ranges and 6.4 million keys. Rounds end when only ranges of a single key are overfull; each cuts every other overfull range.
     """
     share = max(1.0, total / n_ranges)
     found = _quantiles(*_sampled(keys, KEYS_PER_RANGE / share, seed), n_ranges)
-    for extra in range(1, ROUNDS):
+    for extra in count(1):
         sizes = with_range(keys, found).groupBy("range").agg(F.sum("size").alias("size"), F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
-        over = sizes.where((F.col("size") > OVERFULL * share) & (F.col("lo") != F.col("hi"))).collect()  # at most n_ranges / OVERFULL rows
-        if not over:
-            break
-        within = with_range(keys, found).where(F.col("range").isin([r["range"] for r in over]))
-        dense, weights = _sampled(within.select("k1", "k2", "size"), KEYS_PER_RANGE * 2 / share, seed + extra)
+        over = sizes.where((F.col("size") > OVERFULL * share) & (F.col("lo") != F.col("hi"))).select("range", "size", "hi.k1", "hi.k2").toArrow().sort_by("range")  # n_ranges / OVERFULL rows at most
+        if not len(over):
+            return found
+        ranges, high = over["range"].to_numpy(), packed_keys(over["k1"].to_numpy(), over["k2"].to_numpy())
+        dense, weights = _sampled(with_range(keys, found, ranges).select("k1", "k2", "size"), KEYS_PER_RANGE * 2 / share, seed + extra)
         place = np.searchsorted(found, dense, side="right")
-        ends = {r["range"]: np.searchsorted(place, [r["range"], r["range"] + 1]) for r in over}
-        new = [_quantiles(dense[slice(*ends[r["range"]])], weights[slice(*ends[r["range"]])], 1 + int(r["size"] / share)) for r in over]
-        grown = np.unique(np.concatenate([found, *new]))
-        if len(grown) == len(found):
-            break
-        found = grown
-    return found
+        begin, end = np.searchsorted(place, ranges), np.searchsorted(place, ranges, side="right")
+        # the largest key of a range parts it from the others if the sample doesn't
+        new = [_quantiles(dense[a:b], weights[a:b], 1 + int(size / share)) for a, b, size in zip(begin, end, over["size"].to_pylist(), strict=True)]
+        found = np.unique(np.concatenate([found, high, *new]))
 
 
 def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """docs with ``shard`` (0 to n_shards - 1), ``slot`` (gapless from 0 in each shard) and ``shard_bytes_at``, stored.
 
-    A record's size is its UTF-8 bytes (none for a null text) and ``overhead``. Shards differ in bytes by about one record at most. Null ids
-    sort first; rows that are equal in key are cut like others, since places and not keys decide. No rows: an empty result. Columns of
+    A record's size is its UTF-8 bytes (none for a null text, all of a very long one) and ``overhead``. Shards differ in bytes by about one record at most. Null ids
+    sort first; rows that are equal in key are cut like others, since places and not keys decide, but one task places them all. No rows: an empty result. Columns of
     docs that are named like the three new ones are replaced.
     """
     small_batches(docs.sparkSession)
@@ -107,19 +107,27 @@ def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", t
     cuts = splitters(keys, total, max(n_shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES)))
     sizes = with_range(keys, cuts).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = {r[0]: (r[1] or 0, r[2] or 0) for r in sizes.select("range", F.sum("bytes").over(before), F.sum("rows").over(before)).collect()}
+    # 24 bytes a range come to the driver and go to the tasks that place records
+    at = sizes.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("r")).toArrow()
+    first_byte, first_row = np.zeros(len(cuts) + 1, np.int64), np.zeros(len(cuts) + 1, np.int64)
+    discard(keys)
+    first_byte[at["range"].to_numpy()], first_row[at["range"].to_numpy()] = at["b"].to_numpy(), at["r"].to_numpy()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[int, tuple[int, int]] = {}
+        last, byte, row = -1, 0, 0  # the range at hand, and its bytes and rows so far
         for batch in batches:
-            ranges, sizes = batch.column("range").to_pylist(), batch.column("size").to_pylist()
-            begin, rank = [], []
-            for r, s in zip(ranges, sizes, strict=True):
-                b, k = at.get(r) or starts[r]
-                begin.append(b)
-                rank.append(k)
-                at[r] = (b + s, k + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(begin, pa.int64()), pa.array(rank, pa.int64()), batch.column("size")], ["record", "begin", "rank", "size"])
+            n = batch.num_rows
+            ranges, sizes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("range", "size"))
+            lead = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if n else np.zeros(0, np.int64)
+            upto = np.cumsum(sizes) - sizes
+            start = np.repeat(lead, np.diff(np.append(lead, n)))
+            begin, rank = first_byte[ranges] + upto - upto[start], first_row[ranges] + np.arange(n) - start
+            if n and ranges[0] == last:  # goes on from the batch before
+                begin[start == 0] += byte
+                rank[start == 0] += row
+            if n:
+                last, byte, row = int(ranges[-1]), int(begin[-1] + sizes[-1] - first_byte[ranges[-1]]), int(rank[-1] + 1 - first_row[ranges[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(begin), pa.array(rank), batch.column("size")], ["record", "begin", "rank", "size"])
 
     kind = record.schema["record"].dataType.simpleString()
     dealt = with_range(record, cuts).repartition("range").sortWithinPartitions("range", "k1", "k2")
