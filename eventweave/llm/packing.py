@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventweave.llm.pretokens import id_width, library_encoder
-from eventweave.llm.scratch import materialize, small_batches
+from eventweave.llm.scratch import discard, filesystem, materialize, scratch_path, small_batches
 from eventweave.llm.textbuf import binary_cells, text_chunks
 
 #: Shares are multiples of about 1 / 2**18; products with window numbers then fit 64 bits at 25e12 tokens.
@@ -90,23 +91,31 @@ class Schedule:
 
 
 class TwoLevels:
-    """The schedule of groups of sources, and inside each group that of its sources. A group of one source is served as that source."""
-
-    def __init__(self, groups: list, totals: np.ndarray, weights: np.ndarray, sizes: np.ndarray, window: int, grain: int):
-        """totals and weights of all sources, by group and rank in it; sizes: each group's number of sources."""
-        self.place = {g: k for k, g in enumerate(groups)}
-        self.totals, self.weights, self.grain, self.window = totals, weights, grain, window
-        self.first = np.append(0, np.cumsum(sizes)).astype(np.int64)
-        sums = [np.add.reduceat(x, self.first[:-1]) if len(groups) else x[:0] for x in (totals, weights)]
-        self.outer = Schedule(*sums, window, grain)
+    """The schedule of groups of sources, and inside each group that of its sources. A group of one source is served as that source.
+
+    Groups are in memory, GROUPS at most. The sources of groups with several are read from a stored table when a task comes to the group.
+    """
+
+    def __init__(self, groups: list, totals: np.ndarray, weights: np.ndarray, sizes: np.ndarray, path: str | None, window: int, grain: int):
+        """Tokens, weight and number of sources of each group; path: the table (queue, source, n, w) of the sources of groups with several."""
+        self.place, self.names = {g: k for k, g in enumerate(groups)}, groups
+        self.sizes, self.path, self.grain, self.window = sizes, path, grain, window
+        self.outer = Schedule(totals, weights, window, grain)
         self._inner: tuple[int, Schedule] | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_inner": None}
+
     def inner(self, group: int) -> Schedule:
         """The schedule inside a group; the last one is kept, since tasks read documents in the order of groups."""
         if self._inner is None or self._inner[0] != group:
-            own = slice(self.first[group], self.first[group + 1])
-            turn = min(self.window, self.grain * (own.stop - own.start))
-            self._inner = group, Schedule(self.totals[own], self.weights[own], turn, self.grain)
+            files, path = filesystem(self.path)
+            own = ds.dataset(path, filesystem=files, format="parquet", exclude_invalid_files=False).to_table(columns=["source", "n", "w"], filter=ds.field("queue") == self.names[group])
+            own = own.sort_by([("source", "ascending")])
+            # nulls first, as in the queues
+            order = np.argsort(~own["source"].is_null().to_numpy(zero_copy_only=False), kind="stable")
+            turn = min(self.window, self.grain * len(own))
+            self._inner = group, Schedule(own["n"].to_numpy()[order], own["w"].to_numpy()[order], turn, self.grain)
         return self._inner[1]
 
     def pieces(self, group: np.ndarray, rank: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +123,7 @@ class TwoLevels:
         found = []
         for g in np.unique(group):
             rows = np.flatnonzero(group == g)
-            if self.first[g + 1] - self.first[g] == 1:
+            if self.sizes[g] == 1:
                 found.append((rows, np.zeros(len(rows), np.int64), length[rows], start[rows]))
             else:
                 doc, a, size, at = self.inner(g).turns(rank[rows], start[rows], length[rows])
@@ -134,7 +143,8 @@ def queue_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, source_c
     """Encode whole texts and lay them out as queues: a stored table with each document's place in its queue's part.
 
     Rows are range-partitioned on (queue, source, id, text hash): a hot source is spread over many partitions. Every document ends with ``end_id``;
-    null and empty texts hold only that. A null source is a source of its own. At any number of sources each keeps its share and name. Only a caller
+    null and empty texts hold only that, and very long ones are cut by windows like others. Repeated rows are documents of their own, rows without an id come first, and other columns are
+    ignored, whatever their names. A null source is a source of its own. At any number of sources each keeps its share and name. Only a caller
     that gives ``max_queues`` has more sources than that merged by hash into that many, named 'queue N'; pack() then takes no targets by source.
     """
     small_batches(docs.sparkSession)
@@ -180,21 +190,35 @@ def queue_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, source_c
 
 
 def two_levels(tokens: DataFrame, window: int, grain: int, targets: dict | None) -> TwoLevels:
-    """The schedule of the sources in tokens: two numbers a source come to the driver."""
+    """The schedule of the sources in tokens: three numbers a group come to the driver, GROUPS groups at most unless the queues are the caller's own."""
     sums = tokens.groupBy("queue", "source").agg(F.sum("n_tokens").alias("n"))
     weight = F.col("n").cast("double")
     if targets:
         given = tokens.sparkSession.createDataFrame([(q, float(w)) for q, w in targets.items()], "target string, weight double")
         sums, weight = sums.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("target")), "left"), F.coalesce("weight", F.lit(0.0))
-    rows = sums.select("queue", "source", "n", weight.alias("w")).orderBy("queue", "source").select("queue", "n", "w").toArrow()
-    queues = rows["queue"].combine_chunks().dictionary_encode(null_encoding="encode")
-    if isinstance(queues, pa.ChunkedArray):
-        queues = queues.combine_chunks()
+    sums = materialize(sums.select("queue", "source", "n", weight.alias("w")), "sources")
+    rows = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("size")).orderBy("queue").toArrow()
     weights = rows["w"].to_numpy()
     if targets and len(weights) and not weights.sum() > 0:
         raise ValueError("no target has the name of a source of the documents and a weight")
-    sizes = np.bincount(queues.indices.to_numpy(), minlength=len(queues.dictionary))
-    return TwoLevels(queues.dictionary.to_pylist(), rows["n"].to_numpy().astype(np.int64), weights, sizes, window, grain)
+    sizes = rows["size"].to_numpy()
+    path = None
+    if len(sizes) and sizes.max() > 1:
+        path = scratch_path(tokens.sparkSession, "schedule")
+        sums.repartitionByRange("queue").sortWithinPartitions("queue", "source").write.parquet(path)
+    discard(sums)
+    return TwoLevels(rows["queue"].to_pylist(), rows["n"].to_numpy().astype(np.int64), weights, sizes, path, window, grain)
+
+
+def mixture(pieces: DataFrame, window: int = 2048) -> DataFrame:
+    """(sequence_id, source, tokens, share, off) of pieces from pack(): each source's tokens in each window, its share of all tokens, and by how much of the window the two differ.
+
+    Sources that a window lacks have no row there; the last window counts by what it holds."""
+    sums = pieces.groupBy("sequence_id", "source").agg(F.sum("length").alias("tokens"))
+    total = sums.groupBy("source").agg((F.sum("tokens") / F.sum(F.sum("tokens")).over(Window.partitionBy())).alias("share"))  # a row for each source
+    held = sums.groupBy("sequence_id").agg(F.sum("tokens").alias("held"))
+    both = sums.join(held, "sequence_id").join(total.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return both.select("sequence_id", "source", "tokens", "share", F.abs(F.col("tokens") / F.col("held") - F.col("share")).alias("off"))
 
 
 def pack(tokens: DataFrame, tokenizer_path: str, window: int = 2048, grain: int = 16, targets: dict | None = None) -> DataFrame:
@@ -202,6 +226,7 @@ def pack(tokens: DataFrame, tokenizer_path: str, window: int = 2048, grain: int
 
     ``targets`` gives token weights by source; without it each window has the corpus's own proportions, and all queues end together. With it,
     queues that run dry leave their turns to the others, and every token is still packed; targets of which none fits a source are an error. ``ids`` are little-endian unsigned 32-bit.
+    No documents give no pieces.
     """
     small_batches(tokens.sparkSession)
     width = id_width(tokenizer_path)
