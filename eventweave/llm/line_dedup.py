@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweave.llm.scratch import materialize
+from eventweave.llm.scratch import discard, materialize
 
 #: log2 of a sketch's registers: a relative error of 1.04 / 64 = 1.6 %.
 LG_REGISTERS = 12
@@ -29,7 +29,7 @@ def split_lines(text: F.Column) -> F.Column:
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(h1, h2) of lines on at least min_sites sites, from rows (h1, h2, site). Rows without a site count for no site."""
+    """(h1, h2), stored, of lines on at least min_sites sites, from rows (h1, h2, site). Rows without a site count for no site."""
     sited = lines.where(F.col("site").isNotNull())
     sketches = sited.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_REGISTERS).alias("sketch"), F.count("*").alias("n"))
     # a line on fewer rows than min_sites is on fewer sites
@@ -38,7 +38,9 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     clear = F.col("sites") > min_sites * (1 + MARGIN) + 1
     near = spread.where(~clear).select("h1", "h2")
     exact = sited.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    return spread.where(clear).select("h1", "h2").unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
+    out = materialize(spread.where(clear).select("h1", "h2").unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2")), "boilerplate")
+    discard(spread)
+    return out
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare: str = "share") -> DataFrame:
@@ -49,8 +51,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float =
     of the characters, copies or not. "copies": those whose lines, but for blank ones, are all boilerplate and whose whole text another document has too
     (another id, or another row without an id), so that deduplication still sees them; max_share then counts for nothing, and every
     other boilerplate line goes. Null texts stay null with no
-    lines; rows with a null id or site are treated like others, though a null site adds to no line's spread. Repeated rows get equal results.
-    Columns named like the new ones are replaced.
+    lines; rows with a null id or site are treated like others, though a null site adds to no line's spread. Repeated rows get equal results. A very long text is
+    rebuilt in proportion to its lines; an empty table gives no rows. Columns named like the new ones are replaced, others may have any name.
     """
     if spare not in ("share", "copies"):
         raise ValueError(f"spare must be 'share' or 'copies', not {spare!r}")
@@ -59,30 +61,47 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float =
     keys = [docs[id_col].cast("string").alias("k0"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
     exploded = docs.where(text.isNotNull()).select(*keys, docs[site_col].cast("string").alias("site"), F.posexplode(F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), (F.trim(x) != "").alias("full"), F.length(x).alias("size")))).alias("pos", "line"))
     rows = exploded.where("line.full").select("k0", "k1", "k2", "site", F.struct("pos", "line.size").alias("place"), F.col("line.h.h1").alias("h1"), F.col("line.h.h2").alias("h2"))
-    found = materialize(boilerplate_lines(rows.select("h1", "h2", "site"), min_sites), "boilerplate")
+    found = boilerplate_lines(rows.select("h1", "h2", "site"), min_sites)
     hits = rows.join(found, ["h1", "h2"], "left_semi").groupBy("k0", "k1", "k2").agg(F.collect_set("place").alias("removed"), F.count("*").alias("n"))
     if spare == "copies":
         # rows without an id share a group here but are documents of their own
         hits = materialize(hits.withColumn("n", F.when(F.col("k0").isNull(), F.expr("n div size(removed)")).otherwise(1)), "boilerplate-hits")
-        copied = hits.groupBy("k1", "k2").agg(F.sum("n").alias("documents")).where("documents > 1").select("k1", "k2", F.lit(True).alias("copied"))
-        hits = hits.join(copied, ["k1", "k2"], "left")
+        hits = with_copied(hits)
     else:
         hits = hits.withColumn("copied", F.lit(None).cast("boolean"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*[docs[c] for c in names], *keys).alias("d")
+    row = lambda c: F.col(f"d.row.`{c}`")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *keys).alias("d")
     on = F.col("d.k0").eqNullSafe(F.col("h.k0")) & (F.col("d.k1") == F.col("h.k1")) & (F.col("d.k2") == F.col("h.k2"))
-    joined = keyed.join(hits.alias("h"), on, "left").select("d.*", "removed", "copied")
-    split = split_lines(F.col(text_col).cast("string"))
-    gone = F.aggregate("removed", F.lit(0), lambda n, place: n + place["size"])
+    joined = keyed.join(hits.alias("h"), on, "left")
+    whole_text, removed = row(text_col).cast("string"), F.col("h.removed")
+    split = split_lines(whole_text)
+    gone = F.aggregate(removed, F.lit(0), lambda n, place: n + place["size"])
     if spare == "copies":
-        whole = F.coalesce("copied", F.lit(False)) & (F.size("removed") == F.size(F.filter(split, lambda x: F.trim(x) != "")))
+        whole = F.coalesce("h.copied", F.lit(False)) & (F.size(removed) == F.size(F.filter(split, lambda x: F.trim(x) != "")))
     else:
-        whole = gone > F.lit(max_share) * F.length(F.col(text_col).cast("string"))
-    act = F.col("removed").isNotNull() & ~whole
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("removed.pos"), i)), "\n")
+        whole = gone > F.lit(max_share) * F.length(whole_text)
+    act = removed.isNotNull() & ~whole
+    # what is left are the runs of lines between removed ones, so the work is in proportion to the lines
+    cuts = F.array_sort(F.transform(removed, lambda p: p["pos"]))
+    ends, begins = F.concat(cuts, F.array(F.size(split))), F.concat(F.array(F.lit(-1)), cuts)
+    runs = F.zip_with(begins, ends, lambda a, b: F.slice(split, a + 2, b - a - 1))
+    kept = F.array_join(F.flatten(runs), "\n")
     return joined.select(
-        *[F.when(act, kept).otherwise(F.col(c).cast("string")).alias(c) if c == text_col else F.col(c) for c in names],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
-        F.when(act, F.size("removed")).otherwise(0).alias("n_removed"),
+        *[F.when(act, kept).otherwise(whole_text).alias(c) if c == text_col else row(c).alias(c) for c in names],
+        F.when(whole_text.isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
+        F.when(act, F.size(removed)).otherwise(0).alias("n_removed"),
     )
+
+
+def with_copied(hits: DataFrame) -> DataFrame:
+    """Stored rows (k1, k2, n, ...) with ``copied``: whether the n of all rows of their text are more than one.
+
+    A text with more than a thousandth of the rows is looked up by broadcast, since its rows would meet in one task; there are a thousand such texts at most."""
+    texts = hits.groupBy("k1", "k2").agg(F.sum("n").alias("documents"), F.count("*").alias("rows")).where("documents > 1")
+    many = F.col("rows") > max(64, hits.count() // 1000)
+    hot = F.broadcast(texts.where(many).select("k1", "k2", F.lit(True).alias("hot")))
+    marked = hits.join(hot, ["k1", "k2"], "left")
+    rest = marked.where("hot is null").drop("hot").join(texts.where(~many).select("k1", "k2", F.lit(True).alias("copied")), ["k1", "k2"], "left")
+    return rest.unionByName(marked.where("hot").withColumnRenamed("hot", "copied"))
