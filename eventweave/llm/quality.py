@@ -151,7 +151,8 @@ def training_rows(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     """Features and grades of rated documents: all of them, or about max_rows drawn by a hash of their ids.
 
     ``ratings`` has (doc_id, grade). Only drawn ratings (12 bytes each, about max_rows of them) are joined with the documents, and only
-    features come to the driver.
+    features come to the driver, 4 bytes for each distinct word or shape of a text. Rows with a null id or grade, and ratings of no document, don't count; of documents that
+    repeat an id one text counts, always the same, once for each of its grades. Null and empty texts have no features.
     """
     small_batches(docs.sparkSession)
     rated = ratings.where("doc_id is not null and grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
@@ -167,12 +168,15 @@ def training_rows(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
 
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
-    rows = texts.join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text").mapInArrow(extract, f"doc_id {kind}, grade int, features binary")
+    # one text for each rated id and grade, so that repeated ids don't add to the rows
+    joined = texts.join(F.broadcast(rated.distinct()), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    rows = joined.select("doc_id", "grade", "x.text").mapInArrow(extract, f"doc_id {kind}, grade int, features binary")
     table = rows.toArrow().sort_by([("doc_id", "ascending"), ("features", "ascending")])
     return [np.frombuffer(x, "<i4") for x in table["features"].to_pylist()], table["grade"].to_numpy()
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, **columns) -> CumulativeLink:
+    """The model of training_rows(). Without any usable rating all weights are 0 and every grade is as likely as the others' thresholds say; it selects nothing."""
     rows, grades = training_rows(docs, ratings, **columns)
     return fit(rows, grades, n_grades)
 
@@ -188,18 +192,21 @@ def score(docs: DataFrame, model: CumulativeLink, min_tail: float = 0.5, text_co
     new = ["expected_grade", *(f"tail_{j}" for j in range(1, n_tails + 1)), "selected"]
     names = [c for c in docs.columns if c not in new]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    whole = "text_"
+    while whole in names:
+        whole += "_"
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = CumulativeLink(*shared.value)
         for batch in batches:
-            for part in text_chunks(batch, "__text"):
-                found = features(part.column("__text"))
+            for part in text_chunks(batch, whole):
+                found = features(part.column(whole))
                 tails = own.tails(found) if found else np.zeros((0, n_tails))
                 keep = (tails[:, -1] >= min_tail) & np.array([len(x) > 0 for x in found], bool)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(tails.sum(axis=1)), *(pa.array(tails[:, j]) for j in range(n_tails)), pa.array(keep)], [*names, *new])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "expected_grade double", *(f"{c} double" for c in new[1:-1]), "selected boolean"])
-    return docs.select(*[docs[c] for c in names], docs[text_col].cast("string").alias("__text")).mapInArrow(grade, schema)
+    return docs.select(*[docs[c] for c in names], docs[text_col].cast("string").alias(whole)).mapInArrow(grade, schema)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
