@@ -1,53 +1,13 @@
-"""Shared intermediate storage.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, which the driver and every
-executor can reach, so a lost executor never takes intermediate rows with it.
-"""
+"""Shared intermediate storage (of the session module), Arrow batches and file systems."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master without that setting."""
-    global _local_dir
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="eventweave-")
-    return _local_dir
-
+from pyspark.sql import SparkSession
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+from eventweave.session import discard, materialize, scratch_path, shared_dir
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later stages restart from the files."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized frame that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["discard", "filesystem", "materialize", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -66,15 +26,3 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:") :]
     return pafs.FileSystem.from_uri(uri)
-
-
-def write_file(uri: str, chunks) -> int:
-    """Write byte chunks to a new file; returns its size. Callers use a name of their own per task attempt."""
-    fs, path = filesystem(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    size = 0
-    with fs.open_output_stream(path, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    return size
