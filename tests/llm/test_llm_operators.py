@@ -238,10 +238,26 @@ def test_shards_are_even_and_gapless(spark):
     rows = queries.op5_sampled_splitters(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     assert all(r["size"] == len((texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == brute.crc((texts[r.doc_id] or "").encode()) for r in rows)
-    by = {}
+    by, size = {}, dict.fromkeys(range(40), 0)
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
+        size[r.shard] += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    even, most = sum(size.values()) / 40, max(r["size"] for r in rows)
+    assert all(abs(x - even) <= most for x in size.values())
+
+
+def test_rounds_go_on_until_only_single_keys_are_overfull(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "KEYS_PER_RANGE", 0.2)  # samples that miss most ranges
+    rng = random.Random(6)
+    rows = [(rng.randrange(-(2**62), 2**62), i, 10) for i in range(3000)] + [(5, i % 2, 400) for i in range(200)]
+    keys = spark.createDataFrame(rows, "k1 long, k2 long, size long")
+    total = sum(r[2] for r in rows)
+    cuts = sharding.splitters(keys, total, 50)
+    place = np.searchsorted(cuts, sharding.packed_keys(np.array([r[0] for r in rows]), np.array([r[1] for r in rows])), side="right")
+    for k in set(place.tolist()):
+        own = [r for r, p in zip(rows, place.tolist(), strict=True) if p == k]
+        assert sum(r[2] for r in own) <= sharding.OVERFULL * total / 50 or len({r[:2] for r in own}) == 1
 
 
 def test_hot_groups_are_cut_and_overfull_ranges_subdivided(spark, monkeypatch):
