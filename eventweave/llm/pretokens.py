@@ -7,10 +7,8 @@ equal pre-tokens are encoded once. Texts with characters outside the fast classe
 
 from __future__ import annotations
 
-import ctypes
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from eventweave.llm.textbuf import lowered, text_buffer
+from eventweave.llm.textbuf import lowered, release_freed_memory, text_buffer
 
 # Fixed value: the splitter of public lower-casing vocabularies with word ends.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -28,15 +26,6 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
 _CLASS[48:58] = DIGIT
 _CLASS[[32, *range(9, 14)]] = SPACE
 _CLASS[128:] = LETTER
-_stable = unicodedata.ucd_3_2_0
-
-
-@lru_cache(maxsize=1 << 16)
-def _fast_char(c: str) -> bool:
-    """ASCII, or a letter since Unicode 3.2: every library agrees on its class."""
-    return c < "\x80" or _stable.category(c)[0] == "L"
-
-
 @lru_cache(maxsize=8)
 def added_tokens(tokenizer_path: str) -> dict[str, int]:
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -52,10 +41,37 @@ def load(tokenizer_path: str) -> Tokenizer:
     return tokenizer
 
 
-def plain_rows(column: pa.Array, specials: tuple[str, ...]) -> np.ndarray:
+class FastChars(dict):
+    """Which characters the fast splitters may see: ASCII, and what this tokenizer's own normaliser and splitter treat as letters.
+
+    Each character is tried once: normalised, it must part from punctuation on both sides and stay in one piece with letters. That leaves out
+    letters that are normalised to a letter and a mark, and those that other Unicode versions class otherwise.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        super().__init__()
+        tokenizer = load(tokenizer_path)
+        self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, c: str) -> bool:
+        made = self.normalize(c)
+        n = len(made)
+        fast = n > 0 and all(self.normalize(x + c + x) == x + made + x for x in "!a")
+        fast = fast and [at for _, at in self.split(f"!{made}!")] == [(0, 1), (1, 1 + n), (1 + n, 2 + n)] and [at for _, at in self.split(f"a{made}a")] == [(0, 2 + n)]
+        self[c] = c < "\x80" or fast
+        return self[c]
+
+
+@lru_cache(maxsize=8)
+def fast_chars(tokenizer_path: str) -> FastChars:
+    return FastChars(tokenizer_path)
+
+
+def plain_rows(column: pa.Array, specials: tuple[str, ...], fast: FastChars) -> np.ndarray:
     """Which texts hold only fast characters and no added token."""
     texts = column.fill_null("").to_pylist()
-    return np.array([t.isascii() or all(map(_fast_char, set(t))) for t in texts], bool) & np.array([not any(s in t for s in specials) for t in texts], bool) if texts else np.zeros(0, bool)
+    return np.array([t.isascii() or all(map(fast.__getitem__, set(t))) for t in texts], bool) & np.array([not any(s in t for s in specials) for t in texts], bool) if texts else np.zeros(0, bool)
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,15 +170,6 @@ def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> t
     return values[at], bounds
 
 
-_libc = ctypes.CDLL(None)
-
-
-def release_freed_memory() -> None:
-    """Give memory that was freed back to the system, where the C library can: many small results of native code leave it in pieces."""
-    if hasattr(_libc, "malloc_trim"):
-        _libc.malloc_trim(0)
-
-
 class BatchEncoder:
     """Token ids of whole texts, each distinct slice of a batch encoded once.
 
@@ -172,7 +179,7 @@ class BatchEncoder:
     """
 
     def __init__(self, tokenizer_path: str, split, encode_words, encode_text, lower: bool = False, capacity: int = 200_000):
-        self.added = tuple(added_tokens(tokenizer_path))
+        self.added, self.fast = tuple(added_tokens(tokenizer_path)), fast_chars(tokenizer_path)
         self.split, self.encode_words, self.encode_text, self.lower, self.capacity = split, encode_words, encode_text, lower, capacity
         self.known, self.ids, self.bounds = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -196,7 +203,7 @@ class BatchEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end as uint32, and n + 1 bounds."""
         release_freed_memory()
-        fast = plain_rows(column, self.added)
+        fast = plain_rows(column, self.added, self.fast)
         if fast.all():
             return self._encode_fast(column)
         ids, sizes = [], np.zeros(len(column) + 1, np.int64)
