@@ -10,6 +10,7 @@ batches with array operations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.llm.scratch import small_batches
-from eventweave.llm.textbuf import U64, lowered, slice_hashes, text_buffer, text_chunks, words
+from eventweave.llm.textbuf import U64, is_space, lowered, slice_hashes, text_buffer, text_chunks, words
 
-#: Hashed dimensions, and the most labelled documents that are drawn for a fit.
-BITS, MAX_TRAIN = 18, 20_000
+#: Hashed dimensions, the most labelled documents that are drawn for a fit, and bytes of a text that are hashed at once.
+BITS, MAX_TRAIN, PART = 18, 20_000, 2 << 20
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = ord("A"), ord("a"), ord("9"), ord("a")
 _LETTERS = np.zeros(256, bool)
@@ -31,8 +32,48 @@ _SHAPE, _REPEAT = U64(0x51ED270B27220CA5), U64(0x2545F4914F6CDD1D)
 
 
 def features(column: pa.Array, bits: int = BITS) -> list[np.ndarray]:
-    """Sorted distinct feature numbers of each text. A text without words has none."""
+    """Sorted distinct feature numbers of each text. A text without words has none. A text longer than PART bytes is taken in parts that end between words."""
     data, offsets = text_buffer(column)
+    shift = U64(64 - bits)
+    out = []
+    if not (np.diff(offsets) > PART).any():
+        plain, shape, bounds = _hashes(data, offsets)
+        same = np.append(False, plain[1:] == plain[:-1]) if len(plain) else np.zeros(0, bool)
+        words_at, shapes_at = ((x >> shift).astype(np.int64) for x in (plain, shape))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            found = [words_at[lo:hi], shapes_at[lo:hi]]
+            out.append(_numbers(found, hi - lo, int(same[lo + 1 : hi].sum()), shift))
+        return out
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        found, n, repeats, last = [], 0, 0, None
+        while lo < hi:
+            part = data[lo : min(lo + PART, hi)]
+            spaces = np.flatnonzero(is_space(part)) if lo + PART < hi else []
+            if len(spaces):
+                part = part[: spaces[-1] + 1]
+            elif lo + PART < hi:  # a word of more than a part: up to where it ends
+                rest = np.flatnonzero(is_space(data[lo:hi]))
+                part = data[lo : lo + int(rest[0]) + 1] if len(rest) else data[lo:hi]
+            plain, shape, _ = _hashes(part, np.array([0, len(part)]))
+            if len(plain):
+                repeats += int((plain[1:] == plain[:-1]).sum()) + (last is not None and last == plain[0])
+                n, last = n + len(plain), plain[-1]
+                found = [np.unique(np.concatenate([*found, (plain >> shift).astype(np.int64), (shape >> shift).astype(np.int64)]))]
+            lo += len(part)
+        out.append(_numbers(found, n, repeats, shift))
+    return out
+
+
+def _numbers(found: list[np.ndarray], n: int, repeats: int, shift: np.uint64) -> np.ndarray:
+    """Feature numbers of a text of n words of which so many repeat the one before."""
+    if not n:
+        return np.zeros(0, np.int64)
+    level = np.arange(math.ceil(repeats / max(1, n - 1) * 5) + 1, dtype=np.uint64)
+    return np.unique(np.concatenate([*found, ((level * U64(0x9E3779B97F4A7C15) ^ _REPEAT) >> shift).astype(np.int64)]))
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie end to end, plain and by shape, and where each text's words begin."""
     starts, ends, bounds = words(data, offsets)
     low, solid = lowered(data), _LETTERS[data]
     # words without punctuation at their ends
@@ -55,21 +96,7 @@ def features(column: pa.Array, bits: int = BITS) -> list[np.ndarray]:
     np.subtract.at(inside, ends, 1)
     keep &= np.cumsum(inside[:n]) > 0
     upto = np.append(0, np.cumsum(keep))
-    shape = slice_hashes(kind[keep], upto[starts], upto[ends]) ^ _SHAPE
-    same = np.zeros(len(plain), bool)
-    same[1:] = plain[1:] == plain[:-1]
-    shift = U64(64 - bits)
-    words_at, shapes_at = ((x >> shift).astype(np.int64) for x in (plain, shape))
-    out = []
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if lo == hi:
-            out.append(np.zeros(0, np.int64))
-            continue
-        share = same[lo + 1 : hi].mean() if hi - lo > 1 else 0.0
-        level = np.arange(int(np.ceil(share * 5)) + 1, dtype=np.uint64)
-        extra = ((level * U64(0x9E3779B97F4A7C15) ^ _REPEAT) >> shift).astype(np.int64)
-        out.append(np.unique(np.concatenate([words_at[lo:hi], shapes_at[lo:hi], extra])))
-    return out
+    return plain, slice_hashes(kind[keep], upto[starts], upto[ends]) ^ _SHAPE, bounds
 
 
 @dataclass
@@ -86,6 +113,29 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
+def likelihood(params: np.ndarray, flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, decay: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood of grades, with half of decay times the squared weights, and its gradient.
+
+    ``params`` are the weights, the first threshold and the logarithms of the steps to the next ones; feature flat[i] is in text row[i].
+    """
+    n_used = len(params) - n_grades + 1
+    w, steps = params[:n_used], np.exp(params[n_used + 1 :])
+    theta = params[n_used] + np.append(0, np.cumsum(steps))
+    n, each = max(1, len(grades)), np.arange(len(grades))
+    score = np.bincount(row, w[flat], minlength=len(grades))
+    # P(y >= j) with j = 0 and n_grades added: 1 and 0
+    tail = np.concatenate([np.ones((len(grades), 1)), 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60))), np.zeros((len(grades), 1))], axis=1)
+    slope = tail * (1 - tail)
+    chance = np.maximum(tail[each, grades] - tail[each, grades + 1], 1e-12)
+    up, down = slope[each, grades] / chance, slope[each, grades + 1] / chance
+    by_theta = np.zeros(n_grades + 1)
+    np.add.at(by_theta, grades, up / n)
+    np.add.at(by_theta, grades + 1, -down / n)
+    by_theta = by_theta[1:n_grades]
+    by_weight = np.bincount(flat, ((down - up) / n)[row], minlength=n_used) + decay * w
+    return float(-np.log(chance).sum() / n + decay * (w * w).sum() / 2), np.concatenate([by_weight, [by_theta.sum()], steps * by_theta[::-1].cumsum()[::-1][1:]])
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = 300, rate: float = 0.1, decay: float = 1e-5, min_rows: int = 5, min_z: float | None = None) -> CumulativeLink:
     """Maximum likelihood by full-batch Adam, with a penalty on squared weights.
 
@@ -119,32 +169,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = B
     first, gaps = theta[0], np.log(np.maximum(np.diff(theta), 1e-2))
     params = np.concatenate([np.zeros(len(used)), [first], gaps])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    n = max(1, len(rows))
-
-    def thresholds(p: np.ndarray) -> np.ndarray:
-        return p[len(used)] + np.append(0, np.cumsum(np.exp(p[len(used) + 1 :])))
-
     for step in range(1, epochs + 1):
-        w, th = params[: len(used)], thresholds(params)
-        score = np.bincount(row, w[flat], minlength=len(rows))
-        # P(y >= j) with j = 0 and n_grades added: 1 and 0
-        tail = np.concatenate([np.ones((len(rows), 1)), 1 / (1 + np.exp(np.clip(th[None, :] - score[:, None], -60, 60))), np.zeros((len(rows), 1))], axis=1)
-        slope = tail * (1 - tail)
-        each = np.arange(len(rows))
-        chance = np.maximum(tail[each, grades] - tail[each, grades + 1], 1e-12)
-        up, down = slope[each, grades] / chance, slope[each, grades + 1] / chance
-        by_score = -(up - down) / n
-        by_theta = np.zeros(n_grades + 1)
-        np.add.at(by_theta, grades, up / n)
-        np.add.at(by_theta, grades + 1, -down / n)
-        by_theta = by_theta[1:n_grades]
-        grad = np.concatenate([np.bincount(flat, by_score[row], minlength=len(used)) + decay * w, [by_theta.sum()], np.exp(params[len(used) + 1 :]) * by_theta[::-1].cumsum()[::-1][1:]])
+        _, grad = likelihood(params, flat, row, grades, n_grades, decay)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << bits, np.float32)
     weights[used] = params[: len(used)]
-    return CumulativeLink(weights, thresholds(params), bits)
+    return CumulativeLink(weights, params[len(used)] + np.append(0, np.cumsum(np.exp(params[len(used) + 1 :]))), bits)
 
 
 def training_rows(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN) -> tuple[list[np.ndarray], np.ndarray]:

@@ -75,6 +75,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes stand between words."""
+    return _SPACES[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words ``[^\\x20\\x09-\\x0D]+`` and, for each text, where its words begin (n + 1 offsets)."""
     if len(data) == 0:

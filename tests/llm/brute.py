@@ -110,3 +110,42 @@ def warc_rows(rows) -> list[tuple]:
 
 def crc(raw: bytes) -> int:
     return zlib.crc32(raw)
+
+
+def ordinal_fit(rows, grades, n_grades, min_rows=5, epochs=300, rate=0.1, decay=1e-5):
+    """Weights by feature number and thresholds: full-batch Adam on a dense matrix, gradients by the chain rule one text at a time."""
+    names = sorted({x for r in rows for x in r.tolist()})
+    x = np.array([[name in own for name in names] for own in (set(r.tolist()) for r in rows)], float)
+    grades = np.asarray(grades)
+    often = x.sum(axis=0) >= min_rows
+    z = max(2.5, math.sqrt(2 * math.log(max(1.0, often.sum() / 60))))
+    telling = np.zeros(len(names), bool)
+    for j in range(1, n_grades):
+        off = (grades >= j) - (grades >= j).mean()
+        telling |= np.abs(off @ x) >= z * np.sqrt(np.maximum(x.sum(axis=0) * off.var(), 1e-12))
+    names, x = [n for n, k in zip(names, often & telling) if k], x[:, often & telling]
+    share = np.clip([(grades >= j).mean() for j in range(1, n_grades)], 1e-3, 1 - 1e-3)
+    theta = np.maximum.accumulate(-np.log(share / (1 - share)))
+    p = np.concatenate([np.zeros(len(names)), theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
+    m = v = np.zeros_like(p)
+    sigmoid = lambda t: 1 / (1 + math.exp(-t))
+    for step in range(1, epochs + 1):
+        w, th = p[: len(names)], p[len(names)] + np.append(0, np.cumsum(np.exp(p[len(names) + 1 :])))
+        grad, by_theta = decay * np.append(w, np.zeros(n_grades - 1)), np.zeros(n_grades - 1)
+        for text, g in zip(x, grades.tolist()):
+            s = float(text @ w)
+            above = 1.0 if g == 0 else sigmoid(s - th[g - 1])
+            below = 0.0 if g == n_grades - 1 else sigmoid(s - th[g])
+            chance = max(above - below, 1e-12)
+            up, down = above * (1 - above) / chance, below * (1 - below) / chance
+            grad[: len(names)] -= (up - down) / len(grades) * text
+            if g > 0:
+                by_theta[g - 1] += up / len(grades)
+            if g < n_grades - 1:
+                by_theta[g] -= down / len(grades)
+        grad[len(names)] = by_theta.sum()
+        for j in range(1, n_grades - 1):
+            grad[len(names) + j] = by_theta[j:].sum() * math.exp(p[len(names) + j])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return dict(zip(names, p[: len(names)])), p[len(names)] + np.append(0, np.cumsum(np.exp(p[len(names) + 1 :])))

@@ -448,6 +448,17 @@ def test_boilerplate_lines_go(spark):
     assert line_dedup.remove_boilerplate(df.limit(0), 10).count() == 0
 
 
+def test_boilerplate_query_spares_whole_copies_only(spark):
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in queries.op9_site_spread(spark, SF.replace("0.001", "0.01")).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF.replace('0.001', '0.01')}/documents.parquet'")
+    assert sorted(got) == sorted(con.execute(queries.ORACLE["op9_site_spread"]).fetchall())
+    names = "k0 k1 k2 row removed copied place h1".split()
+    odd = spark.createDataFrame([(i, f"menu line\nown {i}", f"s{i}", *names) for i in range(11)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = line_dedup.remove_boilerplate(odd, 10, spare="copies")
+    assert out.columns == [*odd.columns, "n_lines", "n_removed"] and {r.text for r in out.collect()} == {f"own {i}" for i in range(11)} and {tuple(r)[3:11] for r in out.collect()} == {tuple(names)}
+
+
 def test_pipeline_removes_boilerplate_whatever_its_share(spark):
     import corpus_pipeline
 
@@ -498,6 +509,17 @@ def test_features_count_words_shapes_and_repeats():
 
 
 def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    row, flat = np.repeat(np.arange(30), 4), rng.integers(0, 6, 120)
+    grades, params = rng.integers(0, 4, 30), rng.standard_normal(6 + 3)
+    _, grad = quality.likelihood(params, flat, row, grades, 4, 0.1)
+    for k in range(len(params)):
+        step = np.eye(len(params))[k] * 1e-6
+        slope = (quality.likelihood(params + step, flat, row, grades, 4, 0.1)[0] - quality.likelihood(params - step, flat, row, grades, 4, 0.1)[0]) / 2e-6
+        assert abs(slope - grad[k]) < 1e-6
+
+
+def test_fit_orders_grades():
     rows = [np.array([0, 1]), np.array([1]), np.array([0, 2]), np.array([2]), np.array([0, 1, 2]), np.array([1, 2])] * 20
     grades = np.array([2, 1, 0, 0, 2, 1] * 20)
     model = quality.fit(rows, grades, 3, bits=2, epochs=400, min_rows=1, min_z=0, decay=0)
@@ -506,6 +528,26 @@ def test_gradient_is_that_of_the_likelihood():
     assert (tails[:, 0] >= tails[:, 1]).all() and tails[0, 1] > 0.8 and tails[3, 0] < 0.2
 
 
+def test_quality_query_agrees_with_a_plain_fit(spark):
+    rated = {i: 0 if q == 0 else 1 if x else 2 for i, q, x in duckdb.sql(f"select doc_id, quality, toxic from '{SF}/labels.parquet'").fetchall()}
+    docs = dict(documents())
+    found = dict(zip(docs, quality.features(pa.array(list(docs.values()), pa.string())), strict=True))
+    ids = sorted(set(rated) & set(docs))
+    weights, theta = brute.ordinal_fit([found[i] for i in ids], [rated[i] for i in ids], 3)
+    for r in queries.op1_ordinal_quality(spark, SF).collect():
+        score = sum(weights.get(x, 0.0) for x in found[r.doc_id].tolist())
+        tails = [1 / (1 + math.exp(t - score)) for t in theta]
+        assert np.allclose([r.tail_1, r.tail_2, r.expected_grade], [*tails, sum(tails)], atol=1e-4)
+        assert r.selected == (len(found[r.doc_id]) > 0 and r.tail_2 >= 0.5)
+
+
+def test_long_texts_have_the_features_of_their_parts(monkeypatch):
+    texts = pa.array([LONG, None, "", "a a a b", " ".join(["x" * 500, "same", "same"] * 40), "y" * 3000])
+    whole = quality.features(texts)
+    monkeypatch.setattr(quality, "PART", 700)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, quality.features(texts), strict=True))
+
+
 def test_held_out_grades():
     found = duckdb.sql("select text, quality, toxic from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by doc_id").fetchall()
     rows = quality.features(pa.array([t for t, _, _ in found]))
