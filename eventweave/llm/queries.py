@@ -101,8 +101,8 @@ def op8_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without lines that stand on 10 sites or more."""
-    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), 10, 0.5).select("doc_id", "text", "n_lines", "n_removed")
+    """All documents without lines that stand on 10 sites or more; whole copies that hold no other lines are left to deduplication."""
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), 10, spare="copies").select("doc_id", "text", "n_lines", "n_removed")
 
 
 ORACLE["op9_site_spread"] = r"""
@@ -112,12 +112,11 @@ placed AS (SELECT row, source, unnest(lines) AS line, generate_subscripts(lines,
 common AS (SELECT trim(line, ' ') AS line FROM placed WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT p.row, p.pos, p.line, c.line IS NOT NULL AS common FROM placed p LEFT JOIN common c ON trim(p.line, ' ') = c.line),
 rebuilt AS (
-  SELECT row, count(*) AS n_lines, count(*) FILTER (common) AS n_removed, coalesce(sum(length(line)) FILTER (common), 0) AS gone,
+  SELECT row, count(*) AS n_lines, count(*) FILTER (common) AS n_common, count(*) FILTER (trim(line, ' ') <> '') AS n_full,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT common), '') AS kept
-  FROM marked GROUP BY row)
-SELECT n.doc_id,
-       CASE WHEN r.n_removed > 0 AND r.gone <= 0.5 * length(n.text) THEN r.kept ELSE n.text END AS text,
-       CAST(coalesce(r.n_lines, 0) AS INTEGER) AS n_lines,
-       CAST(CASE WHEN r.gone <= 0.5 * length(n.text) THEN r.n_removed ELSE 0 END AS INTEGER) AS n_removed
-FROM numbered n LEFT JOIN rebuilt r USING (row)
+  FROM marked GROUP BY row),
+copied AS (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) > 1),
+judged AS (SELECT n.doc_id, n.text, r.n_lines, r.kept, coalesce(r.n_common, 0) > 0 AND NOT (r.n_common = r.n_full AND c.text IS NOT NULL) AS act, r.n_common
+  FROM numbered n LEFT JOIN rebuilt r USING (row) LEFT JOIN copied c ON n.text = c.text)
+SELECT doc_id, CASE WHEN act THEN kept ELSE text END AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(CASE WHEN act THEN n_common ELSE 0 END AS INTEGER) AS n_removed FROM judged
 """
