@@ -19,19 +19,14 @@ def area(box: Column) -> Column:
 
 
 def intersection(a: Column, b: Column) -> Column:
-    wide = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
-    high = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
-    return F.when((wide <= 0) | (high <= 0), 0.0).otherwise(wide * high)
+    wide = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
+    return wide * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
 
 
 def iou(a: Column, b: Column) -> Column:
-    """Intersection over union with exclusive corners; 0 without overlap or area."""
-    def ratio(x: Column) -> Column:
-        union = area(x["a"]) + area(x["b"]) - x["both"]
-        return F.when(x["both"] > 0, F.coalesce(F.try_divide(x["both"], F.greatest(union, F.lit(0.0))), F.lit(0.0))).otherwise(0.0)
-
-    boxes = F.struct(a.alias("a"), b.alias("b"))
-    return let(let(boxes, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), intersection(x["a"], x["b"]).alias("both"))), ratio)
+    """Intersection over union with exclusive corners; 0 without overlap or area. Plain arithmetic: give boxes that are cheap to name."""
+    both = intersection(a, b)
+    return F.coalesce(F.try_divide(both, area(a) + area(b) - both), F.lit(0.0))
 
 
 def clamped_iou(a: Column, b: Column, least: float = 1e-8) -> Column:
@@ -62,11 +57,9 @@ def box_quality(pred: Column, gold: Column, matched: float = 0.5, low: float = 0
             .otherwise("box_not_precise_enough_shifted")
         )
 
-    def measure(x: Column) -> Column:
-        share = lambda own: F.coalesce(F.try_divide(intersection(x["p"], x["g"]), area(own)), F.lit(0.0))
-        return F.struct(iou(x["p"], x["g"]).alias("iou"), share(x["g"]).alias("cover"), share(x["p"]).alias("pure"))
-
-    return let(let(F.struct(pred.alias("p"), gold.alias("g")), measure), judge)
+    both = intersection(pred, gold)
+    share = lambda own: F.coalesce(F.try_divide(both, area(own)), F.lit(0.0))
+    return let(F.struct(iou(pred, gold).alias("iou"), share(gold).alias("cover"), share(pred).alias("pure")), judge)
 
 
 def quality_bucket(quality: Column, side: str) -> Column:

@@ -100,8 +100,9 @@ def greedy_iou(pred: Column, gold: Column, threshold: float) -> Column:
     numbered = _indexed(gold)
 
     def pick(chosen: Column, p: Column) -> Column:
-        fit = F.filter(numbered, lambda g: ~F.array_contains(chosen, g["i"]) & (g["x"]["event_type"] == p["event_type"]) & (g["x"]["role"] == p["role"]) & (iou(p["bbox"], g["x"]["bbox"]) > threshold))
-        best = F.array_max(F.transform(fit, lambda g: F.struct(iou(p["bbox"], g["x"]["bbox"]).alias("overlap"), (-g["i"]).alias("order"))))
+        fits = lambda g: ~F.array_contains(chosen, g["i"]) & (g["x"]["event_type"] == p["event_type"]) & (g["x"]["role"] == p["role"])
+        scored = F.transform(F.filter(numbered, fits), lambda g: F.struct(iou(p["bbox"], g["x"]["bbox"]).alias("overlap"), (-g["i"]).alias("order")))
+        best = F.array_max(F.filter(scored, lambda s: s["overlap"] > threshold))
         return F.concat(chosen, F.array(F.coalesce(-best["order"], F.lit(-1))))
 
     return F.aggregate(pred, F.array().cast("array<int>"), pick)
@@ -126,10 +127,10 @@ def best_box(item: Column, candidates: Column, same_role: bool, threshold: float
     """The candidate of the item's type with the largest IoU, of equal ones the first; of its role or of others only. Null if there is none."""
     def fits(c: Column) -> Column:
         role = (c["x"]["role"] == item["role"]) if same_role else (c["x"]["role"] != item["role"])
-        out = (c["x"]["event_type"] == item["event_type"]) & role
-        return out if threshold is None else out & (iou(c["x"]["bbox"], item["bbox"]) >= threshold)
+        return (c["x"]["event_type"] == item["event_type"]) & role
 
-    best = F.array_max(F.transform(F.filter(_indexed(candidates), fits), lambda c: F.struct(iou(c["x"]["bbox"], item["bbox"]).alias("o"), (-c["i"]).alias("n"))))
+    scored = F.transform(F.filter(_indexed(candidates), fits), lambda c: F.struct(iou(c["x"]["bbox"], item["bbox"]).alias("o"), (-c["i"]).alias("n")))
+    best = F.array_max(scored if threshold is None else F.filter(scored, lambda s: s["o"] >= threshold))
     return let(best, lambda b: F.when(b.isNotNull(), F.try_element_at(candidates, -b["n"] + 1)))
 
 
