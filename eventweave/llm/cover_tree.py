@@ -1,7 +1,7 @@
 """Exact threshold pairs of embeddings by dual traversal of cover trees.
 
-Vectors of a label are dealt into blocks of bounded size, near ones together where the data allow it, and each block gets a tree of
-nested levels whose radii halve. Two nodes whose centres are further apart than their covering radii and the threshold distance hold no pair;
+Vectors of a label are dealt to cells of near ones, and cells level by level into blocks of bounded size; each block gets a tree of
+nested levels whose radii halve. Cells and blocks have covering radii too and are the tree's upper levels. Two nodes whose centres are further apart than their covering radii and the threshold distance hold no pair;
 two nodes that lie within the threshold distance altogether hold nothing but pairs, which are counted without being listed. The same two bounds
 apply to whole blocks first, so that only the block pairs between them are traversed. What remains is compared exactly.
 
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from eventweave.llm.ann import matrix, usable
 from eventweave.llm.graph import components, smallest_reached
-from eventweave.llm.scratch import materialize
+from eventweave.llm.scratch import discard, materialize
 
-#: Vectors in a block at most about, and pivots in all at most.
-BLOCK_ROWS, MAX_PIVOTS = 1024, 8192
+#: Vectors in a block on average, pivots that a task holds at most, and rows of a part that share a copy of its pivots.
+BLOCK_ROWS, PIVOTS, SPREAD = 1024, 4096, 1 << 16
 #: Distances within this of a bound are left to the exact comparison.
 SLACK = 1e-6
 _DEPTH = 48
@@ -182,18 +182,18 @@ def dual_traversal(a: CoverTree, b: CoverTree, cosine: float, itself: bool) -> t
 
 
 def _pivots(kept: DataFrame, rows: int) -> dict[tuple, np.ndarray]:
-    """Sampled vectors by (label, dims): about one for each block, MAX_PIVOTS at most."""
+    """Sampled vectors by (label, dims): about one for each block, PIVOTS at most."""
     n = kept.count()
-    rate = min(1 / rows, MAX_PIVOTS / 2 / max(1, n))
-    drawn = kept.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 40)) < int(rate * (1 << 40))).select("label", "dims", "embedding").limit(MAX_PIVOTS).toArrow()
+    rate = min(1 / rows, PIVOTS / 2 / max(1, n))
+    drawn = kept.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 40)) < int(rate * (1 << 40))).select("label", "dims", "embedding").limit(PIVOTS).toArrow()
     found: dict[tuple, list] = {}
     for label, dims, vector in zip(drawn["label"].to_pylist(), drawn["dims"].to_pylist(), drawn["embedding"].to_pylist(), strict=True):
         found.setdefault((label, dims), []).append(vector)
     return {k: (m := np.array(sorted(v), np.float64)) / np.linalg.norm(m, axis=1, keepdims=True) for k, v in found.items()}
 
 
-def _blocks(kept: DataFrame, rows: int) -> DataFrame:
-    """A stored row for each block: (block, label, dims, n, seat, radius, ids, tree)."""
+def _cells(kept: DataFrame, rows: int) -> DataFrame:
+    """kept with ``cell``, stored: the nearest pivot of its label, -1 without any."""
     pivots = _pivots(kept, rows)
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,40 +209,122 @@ def _blocks(kept: DataFrame, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], [*batch.schema.names, "cell"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-    celled = materialize(kept.mapInArrow(cell, kinds + ", cell long"), "cells")
-    sizes = celled.groupBy("label", "dims", "cell").agg(F.count("*").alias("size"))
-    slice_ = F.pmod(F.xxhash64("vec_id", F.lit(6)), F.ceil(F.col("size") / F.lit(rows)).cast("long"))
-    dealt = celled.join(sizes, ["label", "dims", "cell"]).withColumn("slice", slice_)
+    return materialize(kept.mapInArrow(cell, kinds + ", cell long"), "cells")
+
+
+def _divided(celled: DataFrame, rows: int) -> DataFrame:
+    """celled with ``part``, the subdivision of its cell, level by level until parts have about ``rows`` rows.
+
+    On each level parts of more than twice that many sample pivots of their own, PIVOTS at most, and deal their rows to the nearest one. A large part's rows are spread over tasks,
+    each of which gets the pivots once, before the rows. Parts that pivots don't divide, since their vectors are all alike, are sliced by a hash.
+    """
+    by = ["label", "dims", "cell", "part"]
+    kind = dict(celled.dtypes)["label"]
+    now, level, before = celled.withColumn("part", F.lit(0).cast("long")), 0, None
+    while True:
+        sizes = now.groupBy(*by).agg(F.count("*").alias("size"))
+        largest = sizes.agg(F.max("size")).first()[0] or 0
+        sized = now.join(sizes, by)
+        if largest <= 2 * rows or before is not None and largest > 0.9 * before:
+            return sized.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(6)), F.ceil(F.col("size") / F.lit(2 * rows)).cast("long"))).drop("size")
+        before, level = largest, level + 1
+        spread = F.ceil(F.col("size") / F.lit(SPREAD)).cast("long")
+        large = sized.where(F.col("size") > 2 * rows)
+        chance = F.least(F.lit(1.0) / F.lit(rows), F.lit(float(PIVOTS)) / F.col("size"))
+        drawn = large.where(F.pmod(F.xxhash64("vec_id", F.lit(100 + level)), F.lit(1 << 40)) < chance * F.lit(float(1 << 40)))
+        pivots = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1))).withColumn("member", F.lit(False))
+        members = large.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(200 + level)), spread)).withColumn("member", F.lit(True))
+        columns = [*by, "salt", "member", "vec_id", "embedding"]
+        rows_ = pivots.select(columns).unionByName(members.select(columns)).repartition(*by, "salt").sortWithinPartitions(*by, "salt", "member", "vec_id")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, own = None, []
+            for batch in batches:
+                near = np.zeros(batch.num_rows, np.int64)
+                keys = list(zip(*(batch.column(c).to_pylist() for c in (*by, "salt")), strict=True))
+                member = batch.column("member").to_numpy(zero_copy_only=False)
+                lo = 0
+                while lo < len(keys):
+                    hi = lo + 1
+                    while hi < len(keys) and keys[hi] == keys[lo] and member[hi] == member[lo]:
+                        hi += 1
+                    part = matrix(batch.column("embedding").slice(lo, hi - lo))
+                    if not member[lo]:
+                        own = [*(own if at == keys[lo] else []), part / np.linalg.norm(part, axis=1, keepdims=True)]
+                    elif at == keys[lo] and own:
+                        near[lo:hi] = (part @ np.concatenate(own).T).argmax(axis=1)
+                    at = keys[lo]
+                    lo = hi
+                names = ["label", "dims", "cell", "part", "vec_id", "embedding"]
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(np.asarray(batch.column("part").to_numpy(zero_copy_only=False), np.int64) * PIVOTS + near), batch.column("vec_id"), batch.column("embedding")], names)
+                yield out.filter(pa.array(member.astype(bool)))
+
+        moved = rows_.mapInArrow(assign, f"label {kind}, dims int, cell long, part long, vec_id long, embedding array<double>")
+        # a part of level n is a number of n digits to the base PIVOTS; those that stay go on with a 0
+        stay = sized.where(F.col("size") <= 2 * rows).select("label", "dims", "cell", (F.col("part") * PIVOTS).alias("part"), "vec_id", "embedding")
+        then = materialize(moved.unionByName(stay), "parts")
+        if level > 1:
+            discard(now)
+        now = then
+
+
+def _blocks(kept: DataFrame, rows: int) -> DataFrame:
+    """A stored row for each block: (block, label, dims, cell, n, seat, radius, ids, tree)."""
+    celled = _cells(kept, rows)
+    dealt = _divided(celled, rows)
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         tree = CoverTree(matrix(table["embedding"].combine_chunks()))
         ids = table["vec_id"].to_pylist()
-        return pa.table({"label": table["label"].slice(0, 1), "dims": table["dims"].slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "seat": pa.array([tree.seats[0].tolist()], pa.list_(pa.float64())), "radius": [float(tree.radius[0])], "ids": pa.array([ids], pa.list_(pa.int64())), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        own = {c: table[c].slice(0, 1) for c in ("label", "dims", "cell")}
+        return pa.table(own | {"n": pa.array([len(ids)], pa.int64()), "seat": pa.array([tree.seats[0].tolist()], pa.list_(pa.float64())), "radius": [float(tree.radius[0])], "ids": pa.array([ids], pa.list_(pa.int64())), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     kind = dict(kept.dtypes)["label"]
-    built = dealt.select("label", "dims", "cell", "slice", "vec_id", "embedding").groupBy("label", "dims", "cell", "slice").applyInArrow(build, f"label {kind}, dims int, n long, seat array<double>, radius double, ids array<bigint>, tree binary")
+    built = dealt.select("label", "dims", "cell", "part", "slice", "vec_id", "embedding").groupBy("label", "dims", "cell", "part", "slice").applyInArrow(build, f"label {kind}, dims int, cell long, n long, seat array<double>, radius double, ids array<bigint>, tree binary")
     # equal ids may stand in two blocks of different lengths or cells, so a block is known by a hash of all it holds
-    return materialize(built.withColumn("block", F.xxhash64("label", "dims", "ids", "tree")), "blocks")
+    out = materialize(built.withColumn("block", F.xxhash64("label", "dims", "ids", "tree")), "blocks")
+    discard(celled)
+    return out
+
+
+def _apart(a: str, b: str) -> F.Column:
+    """The distance of two seats."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+
+
+def met_blocks(blocks: DataFrame, reach: float) -> DataFrame:
+    """Pairs of blocks that may hold a pair within reach, and of a block with itself, each once: (block_x, block_y, n_x, n_y, first_x, first_y, whole).
+
+    The top of the traversal: cells hold blocks and have covering radii of their own, PIVOTS cells at most, so pairs of cells are pruned first, and only cells that meet have their blocks
+    compared, dealt by cell. ``whole``: all pairs of both are within reach.
+    """
+    heads = blocks.select("block", "label", "dims", "cell", "n", "seat", "radius", F.col("ids")[0].alias("first"))
+    by = ["label", "dims", "cell"]
+    centres = heads.groupBy(*by).agg(F.min_by("seat", "block").alias("centre"))
+    balls = heads.join(centres, by).groupBy(*by).agg(F.first("centre").alias("centre"), F.max(_apart("centre", "seat") + F.col("radius")).alias("ball"))
+    side = lambda df, names, c: df.select("label", "dims", *[F.col(n).alias(f"{n}_{c}") for n in names])
+    cells = side(balls, ("cell", "centre", "ball"), "x").join(side(balls, ("cell", "centre", "ball"), "y"), ["label", "dims"]).where("cell_x <= cell_y")
+    cells = materialize(cells.where(_apart("centre_x", "centre_y") - F.col("ball_x") - F.col("ball_y") <= reach + SLACK).select("label", "dims", "cell_x", "cell_y"), "cell-pairs")
+    names = ("cell", "block", "n", "seat", "radius", "first")
+    x, y = side(heads, names, "x"), side(heads, names, "y")
+    pairs = cells.join(x, ["label", "dims", "cell_x"]).join(y, ["label", "dims", "cell_y"]).where("cell_x < cell_y or block_x <= block_y")
+    span = F.col("radius_x") + F.col("radius_y")
+    met = pairs.withColumn("apart", _apart("seat_x", "seat_y")).where(F.col("apart") - span <= reach + SLACK)
+    return materialize(met.select("block_x", "block_y", "n_x", "n_y", "first_x", "first_y", (F.col("apart") + span <= reach - SLACK).alias("whole")), "block-pairs")
 
 
 def threshold_links(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links are pairs of equal, non-null label with at least that cosine.
 
     Null and zero vectors, vectors with null or non-finite components and rows with a null label or id link with nothing; a null id has a null component and is
-    kept. Vectors of different lengths never link. Rows that repeat an id count as vectors of their own that link with each other if near, and share their sums. Other columns are ignored.
+    kept. Vectors of different lengths never link. Rows that repeat an id count as vectors of their own that link with each other if near, and share their sums. An empty table
+    gives no rows. Other columns are ignored, whatever their names.
     """
     named = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding"), vectors[label_col].alias("label"))
     kept = named.where(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "label", F.size("embedding").alias("dims"), "embedding")
     blocks = _blocks(kept, rows)
-    heads = blocks.select("block", "label", "dims", "n", "seat", "radius", F.col("ids")[0].alias("first"))
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    x = heads.select("label", "dims", *[F.col(c).alias(f"{c}_x") for c in ("block", "n", "seat", "radius", "first")])
-    y = heads.select("label", "dims", *[F.col(c).alias(f"{c}_y") for c in ("block", "n", "seat", "radius", "first")])
-    apart = F.sqrt(F.aggregate(F.zip_with("seat_x", "seat_y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    span = F.col("radius_x") + F.col("radius_y")
-    met = x.join(y, ["label", "dims"]).where("block_x <= block_y").withColumn("apart", apart).where(F.col("apart") - span <= reach + SLACK)
-    met = materialize(met.select("block_x", "block_y", "n_x", "n_y", "first_x", "first_y", (F.col("apart") + span <= reach - SLACK).alias("whole")), "block-pairs")
+    met = met_blocks(blocks, math.sqrt(max(0.0, 2 - 2 * cosine)))
 
     # block pairs within reach altogether: counts and edges by block
     whole = met.where("whole")

@@ -362,6 +362,19 @@ def test_links_of_awkward_vectors_and_many_blocks(spark):
 # documents ---------------------------------------------------------------------------------------------------------
 
 
+def test_blocks_of_several_levels_hold_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((6, 8))
+    rows = [(i, (centres[rng.integers(6)] + 0.4 * rng.standard_normal(8)).tolist() if i % 4 else centres[0].tolist(), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute.threshold_links(rows, 0.93)
+    assert len({r[2] for r in want}) > 20
+    for pivots in (4096, 4):
+        monkeypatch.setattr(cover_tree, "PIVOTS", pivots)
+        monkeypatch.setattr(cover_tree, "SPREAD", 50)
+        assert sorted(map(tuple, cover_tree.threshold_links(df, 0.93, rows=8).collect())) == want
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5100)]
@@ -643,6 +656,40 @@ def test_pipeline_stages_take_effect(spark):
     assert {r.doc_id for r in rows} == want
 
 
+def test_pipeline_stages_of_awkward_rows(spark):
+    import corpus_pipeline
+
+    extra = "row string, record string, component_id string, kept int, label double"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    none = docs.where("false")
+    for c in extra.split(", "):
+        name, kind = c.split()
+        docs, odd, none = (x.withColumn(name, F.lit("1").cast(kind)) for x in (docs, odd, none))
+    both = docs.unionByName(odd).unionByName(odd)
+    n_odd = odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, both, SF)
+        assert stage(spark, none, SF).count() == 0
+        if name == "packing":
+            rows = got.collect()
+            check_pieces(rows, 2048)
+            assert {r.doc_id for r in rows} == {r.doc_id for r in both.select("doc_id").collect()}
+            continue
+        assert got.columns == both.columns
+        rows = got.collect()
+        assert {(r.row, r.record, r.component_id, r.kept, r.label) for r in rows} == {("1", "1", "1", 1, 1.0)}
+        if name == "quality classifier":
+            assert not any(not (r.text or "").strip() for r in rows)
+        elif name == "line dedup":
+            assert len(rows) == both.count() and sum(r.text is None for r in rows) == 2
+        else:
+            assert sum(r.text is None for r in rows) == 1 and sum(r.doc_id is None for r in rows) == 2 and sum(r.text == LONG for r in rows) == 1
+    assert n_odd == len(TEXTS) + 2
+    short = docs.select("doc_id", "text", "source")
+    assert corpus_pipeline.drop_boilerplate(spark, short, SF).columns == short.columns
+
+
 def test_near_copies_go_by_row(spark):
     import corpus_pipeline
 
