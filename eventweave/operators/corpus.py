@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventweave.functions.text import clean_text, mapping_key, retrieval_text, skip_reason, text_part, truthy
 from eventweave.ontology import allowed_roles, is_supported, literal_map
 from eventweave.operators.scoring import settle
+from eventweave.settings import Settings
 
 _SPAN = "struct<start:int,end:int>"
 # Names of the corpora.
@@ -239,6 +240,31 @@ def bridge_examples(rows: DataFrame) -> DataFrame:
     return _example(rows, "bridge", ["event_type", "role", "note"], cues, [F.array("event_type", "role", "note"), F.col("text_cues"), F.col("visual_cues")])
 
 
+def agent_states(samples: DataFrame, settings: Settings, image_root: str = "") -> DataFrame:
+    """What a run begins with for each sample: its input alone, image paths below a root unless they are absolute, and nothing found yet."""
+    rows = model_input(samples)
+    text = lambda c: truthy(F.col(c)) if c in rows.columns else F.lit("")
+    image = F.nullif(text("image"), F.lit(""))
+    path = F.when(image.rlike("^(/|[a-z0-9]+:)"), image).otherwise(F.concat(F.lit(image_root.rstrip("/") + "/" if image_root else ""), image))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return rows.select(
+        "id", text("text").alias("text"), (F.coalesce("words", F.array()) if "words" in rows.columns else none("string")).alias("tokens"), path.alias("raw_image"),
+        F.lit(settings.event_type_mode).alias("event_type_mode"), F.lit(settings.run_mode).alias("run_mode"), F.lit(settings.search).alias("effective_search_enabled"), F.lit("").alias("image_desc"),
+        F.lit("").alias("perception_summary"), none("struct<title:string,snippet:string>").alias("evidence"), F.lit(False).alias("verified"), none("string").alias("issues"), F.lit(0).alias("repair_attempts"),
+    )
+
+
+def gold_annotations(samples: DataFrame) -> DataFrame:
+    """The gold fields of samples, for comparison only: the first event mention's type, trigger and arguments, or else the sample's type, and all annotations there are."""
+    mentions = next((F.col(c) for c in ("gold_event_mentions", "event_mentions", "events", "gold_events") if c in samples.columns), None)
+    first = F.try_element_at(mentions, F.lit(1)) if mentions is not None else None
+    own = F.col("event_type") if "event_type" in samples.columns else F.lit(None).cast("string")
+    rest = [c for c in ("text_event_mentions", "text_arguments_flat", "image_event", "image_arguments_flat", "ground_truth", "labels", "annotations") if c in samples.columns]
+    made = [F.coalesce(first["event_type"], own).alias("event_type"), first["trigger"].alias("trigger"), first["arguments"].alias("arguments")] if first is not None else [own.alias("event_type")]
+    ids = [F.nullif(truthy(F.col(c)), F.lit("")) for c in ("id", "sample_id", "sentence_id") if c in samples.columns]
+    return samples.select(F.coalesce(*ids).alias("sample_id"), *made, *rest)
+
+
 def select_sample(samples: DataFrame, sample_id: str | None = None) -> DataFrame:
     """The first sample, or the one with an id; an error if there is none."""
     found = samples.limit(1) if sample_id is None else samples.where(F.col("id") == sample_id).limit(1)

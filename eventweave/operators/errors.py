@@ -118,6 +118,16 @@ def examples(events: DataFrame, limit: int = 5, order: str = "sample_id") -> Dat
     return kept.groupBy("counter").agg(packed.alias("samples"))
 
 
+def joined(gold: DataFrame, pred: DataFrame, traces: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Every gold sample with its last prediction record, trace and metrics, as structs; null where there is none. Ids are ``id`` or ``sample_id``, of traces and metrics the latter first."""
+    sides = {"prediction_record": last_by_id(pred, "id", "sample_id"), "trace": last_by_id(traces, "sample_id", "id"), "metrics": last_by_id(metrics, "sample_id", "id")}
+    ids = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("id", "sample_id", "sentence_id") if c in gold.columns]
+    out = gold.select(F.coalesce(*ids).alias("sample_id"), F.struct(*[gold[c] for c in gold.columns]).alias("gold"))
+    for name, side in sides.items():
+        out = out.join(side.select("sample_id", F.struct(*[c for c in side.columns if c != "sample_id"]).alias(name)), "sample_id", "left")
+    return out
+
+
 _CANDIDATES = "array<struct<role:string,label:string>>"
 _GROUNDED = "array<struct<role:string,grounding_status:string>>"
 

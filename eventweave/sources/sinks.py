@@ -7,7 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.session import exists, put_text, remove
@@ -80,6 +80,12 @@ def progress(results: DataFrame, skipped: int = 0) -> DataFrame:
     return results.agg(F.count("*").alias("samples"), F.count_if("verified").alias("verified"), F.count_if(F.size("issues") > 0).alias("with_issues")).withColumn("skipped", F.lit(skipped).cast("long"))
 
 
+def recount(spark: SparkSession, root: str) -> DataFrame:
+    """progress() of what runs have written below root so far, for one that resumes."""
+    done = spark.read.schema("id string, verified boolean, issues array<string>").json(f"{root}/predictions")
+    return progress(done.withColumn("issues", F.coalesce("issues", F.array())))
+
+
 def write_analysis(summary: DataFrame, cases: DataFrame, root: str) -> None:
     """An error summary as one JSON file, and its cases a line each."""
     write_report(summary, f"{root}/error_summary")
