@@ -134,7 +134,7 @@ _LIST = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), l
 
 @query(f"""
 WITH n AS (SELECT count(*) AS n FROM benchmark), q AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS r, item_id AS query_id, text AS query FROM benchmark),
-items AS (SELECT d.doc_id, q.query_id, q.query, d.lang || ' ' || d.source AS source, substring(d.text, 1, 40) AS title, d.text AS snippet, (d.doc_id % 100) / 100.0 AS score,
+items AS (SELECT d.doc_id, q.query_id, q.query, d.lang || ' ' || d.source AS source, split_part(d.text, chr(10), 1) AS title, d.text AS snippet, (d.doc_id % 100) / 100.0 AS score,
   strftime(DATE '2024-01-01' + CAST(d.doc_id % 90 AS INTEGER), '%Y-%m-%d') AS published FROM documents d, n JOIN q ON d.doc_id % n.n = q.r),
 toks AS (SELECT *, {_LIST.format('query')} AS q, {_LIST.format('source')} AS s, {_LIST.format('title')} AS t, {_LIST.format('snippet')} AS p FROM items),
 joined AS (SELECT *, list_distinct(list_concat(t, p)) AS b FROM toks),
@@ -150,7 +150,7 @@ def evidence_rerank(spark, sf_dir):
     asked = ordering.dense_positions(bench, "item_id").select("position", F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = _t(spark, sf_dir, "documents").withColumn("position", F.col("doc_id") % n).join(asked, "position")
     published = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")), "yyyy-MM-dd")
-    items = docs.select("doc_id", "query_id", "query", F.concat_ws(" ", "lang", "source").alias("source"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("snippet"), ((F.col("doc_id") % 100) / 100.0).alias("score"), published.alias("published_at"), F.col("doc_id").alias("_pos"))
+    items = docs.select("doc_id", "query_id", "query", F.concat_ws(" ", "lang", "source").alias("source"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("snippet"), ((F.col("doc_id") % 100) / 100.0).alias("score"), published.alias("published_at"), F.col("doc_id").alias("_pos"))
     return evidence.rerank(items, F.lit("2024-03-31 00:00:00").cast("timestamp"), k=3).select("query_id", "rank", "doc_id", F.round("rank_score", 6).alias("rank_score"))
 
 

@@ -141,7 +141,6 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = ", ".join(f"'{w}'" for w in _WORDS)
 #: By hand, for spans of the sentence: where the part of a mention that stands for it begins and ends.
 _PREFERRED = """CASE WHEN e - s = 1 THEN s WHEN s = 0 AND e = 2 THEN 0 WHEN s = 0 AND e = 3 THEN 2 WHEN s = 4 THEN 5 WHEN s = 5 AND e = 7 THEN 5 ELSE e - 1 END"""
-_PEND = "e"
 _MATCH = "(q = 0 OR q = 1 AND s = 8)"  # one word on from the last one is the last one again
 _LABEL = "CASE v WHEN 1 THEN 'street' WHEN 2 THEN '' ELSE 'hall' END"
 
@@ -165,11 +164,12 @@ def diagnostics_rules(spark, sf_dir):
 
 
 @query(f"""WITH {_EVENT} f AS (SELECT *, {_PREFERRED} AS a FROM e)
-SELECT event_id, CASE WHEN q = 3 OR q IN (0, 1, 2) AND false THEN [] ELSE [a::INTEGER, e::INTEGER] END AS span, list_aggregate(([{_NAMES}])[a + 1 : e], 'string_agg', ' ') AS text FROM f WHERE q = 0""")
+SELECT event_id, CASE WHEN q < 2 THEN [a::INTEGER, e::INTEGER] WHEN q = 3 THEN [s::INTEGER, 10] END AS span, CASE WHEN q < 2 THEN list_aggregate(([{_NAMES}])[a + 1 : e], 'string_agg', ' ') END AS text FROM f""")
 def preferred_spans(spark, sf_dir):
-    """The part of each matching mention that stands for it, and its words."""
-    rows = _marked(spark, sf_dir).where("q = 0").withColumn("p", spans.preferred_spans(F.col("tokens"), F.transform("text_arguments", lambda a: a["span"]))[0])
-    return rows.select("event_id", F.array("p.start", "p.end").alias("span"), F.array_join(F.slice("tokens", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), " ").alias("text"))
+    """The part of each mention that stands for it, and its words; spans that don't fit stay."""
+    rows = _marked(spark, sf_dir).withColumn("p", spans.preferred_spans(F.col("tokens"), F.transform("text_arguments", lambda a: a["span"]))[0])
+    words = F.array_join(F.slice("tokens", F.col("p.start") + 1, F.greatest(F.col("p.end") - F.col("p.start"), F.lit(0))), " ")
+    return rows.select("event_id", F.when(F.col("p.start").isNotNull(), F.array("p.start", "p.end")).alias("span"), F.when(F.col("q") < 2, words).alias("text"))
 
 
 @query(f"""WITH {_EVENT} f AS (SELECT *, CASE WHEN q = 1 AND s < 8 THEN s + 1 ELSE s END AS s1 FROM e), g AS (SELECT event_id, z, q, s1 AS s, least(9, s1 + e - s) AS e FROM f), h AS (SELECT *, {_PREFERRED} AS a FROM g)
