@@ -275,3 +275,61 @@ def test_nodes_report_their_events(spark):
     assert rows.count() == 7
     made = event()
     assert (made["node"], made["rows"]) == ("seven", 7) and made["latency_ms"] >= 0
+
+
+def test_services_that_fail_give_nothing(spark):
+    rows = spark.createDataFrame([("a", "war"), ("b", " "), ("c", "odd")], "id string, query string").coalesce(1)
+
+    def post(values):
+        if values["query"] == "odd":
+            raise TimeoutError
+        return json.dumps({"results": [{"title": "t", "content": values["query"], "url": "u"}]})
+
+    assert [(r.id, r.snippet) for r in providers.search_evidence(rows, post).collect()] == [("a", "war")]
+    assert providers.search_evidence(rows, None).count() == 0
+    asks = spark.createDataFrame([("/a.png", [("P", "man", "P: man")]), ("/b.png", [("P", "man", "P: man"), ("T", "car", "T: car")])], "raw_image string, requests array<struct<role:string,label:string,grounding_query:string>>")
+    box = lambda v: json.dumps({"results": [{"bbox": [1, 2, 3, 4]}]}) if v["raw_image"] == "/a.png" else 1 / 0
+    got = {r.raw_image: [g.grounding_status for g in r.grounding_results] for r in providers.ground(asks, box).collect()}
+    assert got == {"/a.png": ["grounded"], "/b.png": ["failed", "failed"]}
+
+
+def test_vectors_and_descriptions_of_models(spark):
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(5)], "id long, text string").coalesce(1)
+    got = providers.encode(rows, lambda texts: [[len(t), 1.0, 9.0] for t in texts], "text", dims=2, batch_rows=2).collect()
+    assert [len(r.embedding) for r in got] == [2] * 5 and abs(got[3].embedding[0] - 3 / 10**0.5) < 1e-6
+    with pytest.raises(Exception, match="an encoder gave"):
+        providers.encode(rows, lambda texts: [1.0], "text").collect()
+    states = spark.createDataFrame([("/a.png", "t"), ("/b.png", "t")], "raw_image string, text string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def see(values):
+        calls.add(1)
+        return json.dumps({"image_desc": values["raw_image"]})
+
+    first = providers.perceive(states, see).collect()
+    assert [r.perception.image_desc for r in first] == ["/a.png", "/b.png"] and calls.value == 2
+    known = spark.createDataFrame([(first[0].key, first[0].answer)], "key string, answer string")
+    again = providers.perceive(states, see, known).collect()
+    assert sorted(r.perception.image_desc for r in again) == ["/a.png", "/b.png"] and calls.value == 3
+    assert [r.perception.image_desc for r in providers.perceive(states, None).collect()] == ["", ""]
+
+
+def test_staged_extraction(spark):
+    states = spark.createDataFrame([("1", "Justice:Arrest-Jail", True), ("2", "Party", True), ("3", "Life:Die", False)], "id string, kind string, seen boolean")
+    select = lambda d: d.withColumn("answer", F.concat(F.lit('{"event_type": "'), "kind", F.lit('"}')))
+    read = lambda d: d.withColumn("answer", F.lit('{"trigger": {"text": "t"}, "text_arguments": [{"role": "Person", "text": "man"}]}'))
+    look = lambda d: d.withColumn("answer", F.lit('Sure: {"image_arguments": [{"role": "Place", "label": "street", "bbox": [1]}, {"role": "Person", "label": "man"}]}'))
+    got = {r.id: r for r in providers.extract(states, select, read, look, image_evidence="seen").collect()}
+    assert [(a.role, a.label, a.bbox, a.grounding_status) for a in got["1"].image_arguments] == [("Person", "man", None, "unresolved")]
+    assert (got["1"].trigger.text, len(got["1"].text_arguments), got["3"].image_arguments) == ("t", 1, [])
+    assert (got["2"].event_type, got["2"].error, got["2"].text_arguments) == ("", "unsupported event_type: Party", [])
+    assert {r.id: (r.event_type, r.error) for r in providers.extract(states, select, read, look, "transfer").collect()}["2"] == ("Unsupported", None)
+
+
+def test_runs_begin_with_inputs_only(spark):
+    df = spark.createDataFrame([("1", " t ", ["t"], "i.jpg", "Conflict:Attack"), ("2", None, None, None, None), ("3", "t", [], "/abs.jpg", "x")], "id string, text string, words array<string>, image string, event_type string")
+    got = {r.id: r for r in corpus.agent_states(df, Settings(run_mode="open_world", enable_search=True), "/root/img/").collect()}
+    assert (got["1"].text, got["1"].raw_image, got["1"].effective_search_enabled, got["2"].raw_image, got["2"].tokens, got["3"].raw_image) == ("t", "/root/img/i.jpg", True, None, [], "/abs.jpg")
+    assert "event_type" not in got["1"].asDict()
+    gold = spark.createDataFrame([("", "s1", [(MEET, "t", ["a"])], None), ("g", None, None, ATTACK)], "id string, sentence_id string, event_mentions array<struct<event_type:string,trigger:string,arguments:array<string>>>, event_type string")
+    assert [(r.sample_id, r.event_type, r.arguments) for r in corpus.gold_annotations(gold).collect()] == [("s1", MEET, ["a"]), ("g", ATTACK, None)]
