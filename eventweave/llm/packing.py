@@ -1,16 +1,18 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Each source is a queue of tokens in document order. In every round a queue earns its share of one window,
-spends what it has earned in whole grains, and carries the rest as its deficit. A queue that runs dry leaves its
+spends the whole tokens of what it has earned, and carries the rest as its deficit. A queue that runs dry leaves its
 turns to the others. The served tokens follow each other without gaps and are cut into windows, so only the last
-window can need padding, and no window's mixture is further from the target than the grains carried.
+window can need padding. Documents are cut freely, so no queue is ever more than a token behind its share, and a window is off a round by what all queues
+carry: a token for each of them at most.
 
 What queue s has been given before round r is ``A_s(r) = min(T_s, g * floor(L * a_s * r / (b * g)))`` for a window of
-L tokens, share a_s / b, grain g and T_s tokens in all: the deficits up to any round are known without
+L tokens, share a_s / b, grain g (1 here) and T_s tokens in all: the deficits up to any round are known without
 replaying the rounds before it, so partitions place their own documents alone and still agree on every window.
 
 More than GROUPS sources are served in two levels: sources are dealt to GROUPS queues by hash, and inside its queue each source
-is a queue again, with its own share of what the queue is given and in rounds of about a grain a source.
+is a queue again, with its own share of what the queue is given, in whole grains of several tokens and in rounds of about a grain a source, so that documents
+aren't cut into single tokens.
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ class TwoLevels:
         """Tokens, weight and number of sources of each group; path: the table (queue, source, n, w) of the sources of groups with several."""
         self.place, self.names = {g: k for k, g in enumerate(groups)}, groups
         self.sizes, self.path, self.grain, self.window = sizes, path, grain, window
-        self.outer = Schedule(totals, weights, window, grain)
+        self.outer = Schedule(totals, weights, window, 1)
         self._inner: tuple[int, Schedule] | None = None
 
     def __getstate__(self) -> dict:
@@ -224,7 +226,7 @@ def mixture(pieces: DataFrame, window: int = 2048) -> DataFrame:
 def pack(tokens: DataFrame, tokenizer_path: str, window: int = 2048, grain: int = 16, targets: dict | None = None) -> DataFrame:
     """(doc_id, source, start, length, ids, doc_tokens, sequence_id, offset) for every piece of the queues from queue_tokens().
 
-    ``targets`` gives token weights by source; without it each window has the corpus's own proportions, and all queues end together. With it,
+    ``grain`` is what sources inside a group are served at once. ``targets`` gives token weights by source; without it each window has the corpus's own proportions, and all queues end together. With it,
     queues that run dry leave their turns to the others, and every token is still packed; targets of which none fits a source are an error. ``ids`` are little-endian unsigned 32-bit.
     No documents give no pieces.
     """
