@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventweave.llm.scratch import discard, materialize, small_batches
+from eventweave.llm.scratch import discard, materialize, shuffle_partitions, small_batches
 
-#: Ranges for each shard at least, bytes of a range at most about, and sampled keys for each range.
-RANGES_PER_SHARD, RANGE_BYTES, KEYS_PER_RANGE = 16, 128 << 20, 8
+#: Ranges for each shard at least, bytes of a range at most about, sampled keys for each range, and bytes that a task sorts on average at most.
+RANGES_PER_SHARD, RANGE_BYTES, KEYS_PER_RANGE, TASK_BYTES = 16, 128 << 20, 8, 128 << 20
 #: A range is overfull beyond this multiple of an even share.
 OVERFULL = 2.0
 
@@ -72,7 +72,7 @@ def splitters(keys: DataFrame, total: int, n_ranges: int, seed: int = 7) -> np.n
     """Boundaries of about n_ranges ranges of (k1, k2, size) rows with equal bytes.
 
     The driver gets about n_ranges * KEYS_PER_RANGE keys of 24 bytes in the first round, whatever the number of rows, and fewer in each one after it: at 100 TB,
-    800,000 ranges and 6.4 million keys. Rounds end when only ranges of a single key are overfull; each cuts every other overfull range.
+    800,000 ranges and 6.4 million keys, of which the splitters, 13 MB, go to the tasks. Rounds end when only ranges of a single key are overfull; each cuts every other overfull range.
     """
     share = max(1.0, total / n_ranges)
     found = _quantiles(*_sampled(keys, KEYS_PER_RANGE / share, seed), n_ranges)
@@ -130,7 +130,8 @@ def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(begin), pa.array(rank), batch.column("size")], ["record", "begin", "rank", "size"])
 
     kind = record.schema["record"].dataType.simpleString()
-    dealt = with_range(record, cuts).repartition("range").sortWithinPartitions("range", "k1", "k2")
+    tasks = max(shuffle_partitions(docs.sparkSession), -(-total // TASK_BYTES))
+    dealt = with_range(record, cuts).repartition(tasks, "range").sortWithinPartitions("range", "k1", "k2")
     placed = dealt.mapInArrow(place, f"record {kind}, begin long, rank long, size long")
     middle = F.col("begin") + F.expr("size div 2")
     shard = F.least(F.lit(n_shards - 1), (middle * F.lit(n_shards) / F.lit(float(max(1, total)))).cast("int")).alias("shard")
