@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventweave.functions.text import content_tokens, overlap_share, recency_score, truthy
+from eventweave.operators.scoring import settle
 
 # Weights of the ranking score.
 QUERY, SOURCE, TITLE, SCORE, RECENCY = 0.35, 0.25, 0.15, 0.15, 0.10
@@ -33,8 +34,8 @@ def search_hits(responses: DataFrame, response: str = "response") -> DataFrame:
     return valid_evidence(items)
 
 
-def rank_score(query: Column, source: Column, title: Column, snippet: Column, score: Column, recency: Column) -> Column:
-    both = F.array_union(title, snippet)
+def rank_score(query: Column, source: Column, title: Column, both: Column, score: Column, recency: Column) -> Column:
+    """The weighted sum for tokens of a query, its source, an item's title, and its title and snippet together."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.0))))
     return QUERY * overlap_share(query, both) + SOURCE * overlap_share(source, both) + TITLE * overlap_share(query, title) + SCORE * clamped + RECENCY * recency
 
@@ -42,14 +43,14 @@ def rank_score(query: Column, source: Column, title: Column, snippet: Column, sc
 def rerank(items: DataFrame, as_of: Column, min_relevance: float = 0.18, k: int = 2, by: str = "query_id") -> DataFrame:
     """Items (query_id, query, source, title, snippet, score, published_at, _pos) that share a token with the query or source and reach the
     threshold: the k best of each query by rank score, then by score, then by position."""
-    t = {c: content_tokens(F.col(c)) for c in ("query", "source", "title", "snippet")}
-    toks = items.withColumns({f"__{c}": v for c, v in t.items()})
-    q, s, ti, sn = (F.col(f"__{c}") for c in ("query", "source", "title", "snippet"))
-    both = F.array_union(ti, sn)
-    near = toks.where(F.arrays_overlap(q, both) | F.arrays_overlap(s, both))
-    scored = near.withColumn("rank_score", rank_score(q, s, ti, sn, F.col("score"), recency_score(F.col("published_at"), as_of))).where(F.col("rank_score") >= min_relevance)
+    q, s, ti, both = (F.col(f"__{c}") for c in ("query", "source", "title", "both"))
+    tokens = {f"__{c}": content_tokens(F.col(c)) for c in ("query", "source", "title", "snippet")}
+    rows = settle(settle(items, tokens), {"__both": F.array_union("__title", "__snippet")})
+    near = F.arrays_overlap(q, both) | F.arrays_overlap(s, both)
+    made = F.when(near, rank_score(q, s, ti, both, F.col("score"), recency_score(F.col("published_at"), as_of)))
+    scored = settle(rows, {"rank_score": made}).where(F.col("rank_score") >= min_relevance)
     order = Window.partitionBy(by).orderBy(F.desc("rank_score"), F.desc("score"), "_pos")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(*[f"__{c}" for c in t])
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop(*tokens, "__both")
 
 
 def has_external_support(event_surface: Column, evidence: Column) -> Column:

@@ -35,26 +35,28 @@ def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
 
 
-#: Rows of a corpus block and of a query block, on average.
-CORPUS_ROWS, QUERY_ROWS = 4096, 1024
+#: Rows of a corpus block and of a query block, on average, and of queries that are multiplied at once.
+CORPUS_ROWS, QUERY_ROWS, STEP = 4096, 8192, 512
 
 
 def _cell(k: int):
-    """Each query's k best corpus rows of a block pair, by one matrix product."""
+    """Each query's k best corpus rows of a block pair, by matrix products."""
 
     def best(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "corpus_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not len(corpus) or not len(queries):
-            return pa.table(empty)
-        rows = lambda t: np.array(t["v"].to_pylist(), np.float64)
-        ids, scores = corpus["id"].to_numpy(), rows(queries) @ rows(corpus).T
-        bar = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-        q, c = np.nonzero(scores >= bar[:, None])
-        order = np.lexsort((ids[c], -scores[q, c], q))
-        q, c = q[order], c[order]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-        q, c = q[keep], c[keep]
-        return pa.table({"query_id": queries["id"].to_numpy()[q], "corpus_id": ids[c], "score": scores[q, c]})
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(corpus) and len(queries):
+            rows = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            ids, names, vectors, asked = corpus["id"].to_numpy(), queries["id"].to_numpy(), rows(corpus).T, rows(queries)
+            for lo in range(0, len(asked), STEP):
+                scores = asked[lo : lo + STEP] @ vectors
+                bar = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                q, c = np.nonzero(scores >= bar[:, None])
+                order = np.lexsort((ids[c], -scores[q, c], q))
+                q, c = q[order], c[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, c = q[keep], c[keep]
+                found.append((names[lo + q], ids[c], scores[q, c]))
+        return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], ["query_id", "corpus_id", "score"])
 
     return best
 

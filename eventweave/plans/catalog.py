@@ -67,9 +67,9 @@ def multi_index_merge(spark, sf_dir):
 @query("""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, (embedding::DOUBLE[])[1:16] AS h FROM embeddings),
 n AS (SELECT *, sqrt(list_dot_product(e, e)) AS a, sqrt(list_dot_product(h, h)) AS b FROM v)
-SELECT vec_id, list_transform(e, lambda x: round(x / CASE WHEN a = 0 THEN 1 ELSE a END, 5)) AS unit, list_transform(h, lambda x: round(x / CASE WHEN b = 0 THEN 1 ELSE b END, 5)) AS cut FROM n""")
+SELECT vec_id, list_transform(e, lambda x: floor(x / CASE WHEN a = 0 THEN 1 ELSE a END * 100000 + 0.5) / 100000) AS unit, list_transform(h, lambda x: floor(x / CASE WHEN b = 0 THEN 1 ELSE b END * 100000 + 0.5) / 100000) AS cut FROM n""")
 def vector_normalize(spark, sf_dir):
-    short = lambda v: F.transform(v, lambda x: F.round(x, 5))
+    short = lambda v: F.transform(v, lambda x: F.floor(x * 100000 + 0.5) / 100000)
     return _t(spark, sf_dir, "embeddings").select("vec_id", short(vectors.l2_normalize(F.col("embedding"))).alias("unit"), short(vectors.truncate(F.col("embedding"), 16)).alias("cut"))
 
 
@@ -139,11 +139,11 @@ items AS (SELECT d.doc_id, q.query_id, q.query, d.lang || ' ' || d.source AS sou
 toks AS (SELECT *, {_LIST.format('query')} AS q, {_LIST.format('source')} AS s, {_LIST.format('title')} AS t, {_LIST.format('snippet')} AS p FROM items),
 joined AS (SELECT *, list_distinct(list_concat(t, p)) AS b FROM toks),
 ranked AS (SELECT doc_id, query_id, score,
-  0.35 * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q)::DOUBLE END + 0.25 * CASE WHEN len(s) = 0 THEN 0 ELSE len(list_intersect(s, b)) / len(s)::DOUBLE END
-  + 0.15 * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q)::DOUBLE END + 0.15 * score
-  + 0.10 * CASE WHEN DATE '2024-03-31' - published::DATE <= 3 THEN 1.0 WHEN DATE '2024-03-31' - published::DATE <= 14 THEN 0.7 WHEN DATE '2024-03-31' - published::DATE <= 60 THEN 0.3 ELSE 0.1 END AS rank_score
+  0.35::DOUBLE * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q)::DOUBLE END + 0.25::DOUBLE * CASE WHEN len(s) = 0 THEN 0 ELSE len(list_intersect(s, b)) / len(s)::DOUBLE END
+  + 0.15::DOUBLE * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q)::DOUBLE END + 0.15::DOUBLE * score
+  + 0.10::DOUBLE * (CASE WHEN DATE '2024-03-31' - published::DATE <= 3 THEN 1.0 WHEN DATE '2024-03-31' - published::DATE <= 14 THEN 0.7 WHEN DATE '2024-03-31' - published::DATE <= 60 THEN 0.3 ELSE 0.1 END)::DOUBLE AS rank_score
   FROM joined WHERE len(list_intersect(q, b)) > 0 OR len(list_intersect(s, b)) > 0)
-SELECT query_id, rank, doc_id, round(rank_score, 6) AS rank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rank_score, 9) DESC, score DESC, doc_id) AS INTEGER) AS rank FROM ranked WHERE rank_score >= 0.18) WHERE rank <= 3""")
+SELECT query_id, rank, doc_id, round(rank_score, 6) AS rank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, score DESC, doc_id) AS INTEGER) AS rank FROM ranked WHERE rank_score >= 0.18) WHERE rank <= 3""")
 def evidence_rerank(spark, sf_dir):
     bench = _t(spark, sf_dir, "benchmark")
     n = bench.count()
