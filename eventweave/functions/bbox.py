@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from eventweave.functions.text import let
 
 
-def normalize_bbox(box: Column) -> Column:
-    """Four numbers as doubles (numeric strings too), else null."""
-    cast = F.transform(box, lambda v: v.cast("string").try_cast("double"))
+def normalize_bbox(box: Column, numbers: bool = False) -> Column:
+    """Four numbers as doubles (numeric strings too), else null. ``numbers`` says that the elements are of a numeric type."""
+    cast = F.transform(box, lambda v: v.cast("double") if numbers else v.cast("string").try_cast("double"))
     return let(cast, lambda c: F.when((F.size(c) == 4) & ~F.exists(c, lambda v: v.isNull()), c))
 
 

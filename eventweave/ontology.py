@@ -59,15 +59,25 @@ def allowed_roles(event_type: Column) -> Column:
     return case
 
 
+#: All role names; none of them is another name of a role in every event.
+ROLE_NAMES = tuple(sorted({r for roles in ROLES.values() for r in roles}))
+
+
 def canonical_type(value: Column) -> Column:
-    """An event type by its name, an alias, or either without punctuation and case; else as it is. Null is empty."""
+    """An event type by its name, an alias, or either without punctuation and case; else as it is. Null is empty. A type's own name takes no pattern matching."""
     loose = {_squeezed(t): t for t in ROLES} | {_squeezed(a): t for a, t in TYPE_ALIASES.items()}
-    return let(trim_ws(F.coalesce(value, F.lit(""))), lambda raw: F.coalesce(_look_up(TYPE_ALIASES, raw), F.when(is_supported(raw), raw), _look_up(loose, squeeze_key(raw)), raw))
+    return F.when(value.isNull(), "").when(is_supported(value), value).otherwise(let(trim_ws(F.coalesce(value, F.lit(""))), lambda raw: F.coalesce(_look_up(TYPE_ALIASES, raw), F.when(is_supported(raw), raw), _look_up(loose, squeeze_key(raw)), raw)))
 
 
 def canonical_role(value: Column) -> Column:
+    """A role by its name, an alias, or that without punctuation and case; else as it is. Null is empty."""
     loose = {_squeezed(a): r for a, r in ROLE_ALIASES.items()}
-    return let(trim_ws(F.coalesce(value, F.lit(""))), lambda raw: F.coalesce(_look_up(ROLE_ALIASES, raw), _look_up(loose, squeeze_key(raw)), raw))
+    return F.when(value.isin(*ROLE_NAMES), value).otherwise(let(trim_ws(F.coalesce(value, F.lit(""))), lambda raw: F.coalesce(_look_up(ROLE_ALIASES, raw), _look_up(loose, squeeze_key(raw)), raw)))
+
+
+def plain_role(value: Column) -> Column:
+    """A role as it is written, without white space at its ends; null is empty."""
+    return F.when(value.isin(*ROLE_NAMES), value).otherwise(trim_ws(F.coalesce(value, F.lit(""))))
 
 
 def canonical_role_for(event_type: Column, value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweave.functions.text import clean_text, mapping_key, retrieval_text, skip_reason, text_part, truthy
-from eventweave.ontology import allowed_roles, is_supported, literal_map
+from eventweave.ontology import ROLES, allowed_roles, literal_map
 from eventweave.operators.scoring import settle
 from eventweave.settings import Settings
 
@@ -75,20 +75,22 @@ def flatten_swig(images: DataFrame) -> DataFrame:
     return images.select("image_id", truthy(F.col("verb")).alias("verb"), frame.alias("frame"), F.transform(pairs, lambda kv: F.struct(kv["key"].alias("role"), kv["value"].alias("label"))).alias("arguments"))
 
 
-def _last(pairs: DataFrame, key: Column, value: str) -> DataFrame:
-    """(key, value) with the last value of each key, in the order of ``_pos`` or else of the rows."""
+def _last(pairs: DataFrame, key: Column, value: str) -> dict[str, str]:
+    """The last value of each key, in the order of ``_pos`` or else of the rows. Mappings are as small as the ontology."""
     pos = F.col("_pos") if "_pos" in pairs.columns else F.monotonically_increasing_id()
-    return pairs.select(key.alias("__key"), value, pos.alias("__at")).groupBy("__key").agg(F.max_by(value, "__at").alias(value))
+    return {r[0]: r[1] for r in sorted(pairs.select(key, value, pos).collect(), key=lambda r: r[2])}
 
 
 def map_event_types(rows: DataFrame, type_map: DataFrame, dataset: str, raw: str = "raw_type") -> DataFrame:
-    """rows with ``event_type`` by (dataset, lower-case raw type); null without a mapping, an error if a mapping leaves the ontology.
+    """rows with ``event_type`` by (dataset, lower-case raw type); null without a mapping, an error if a mapping that is used leaves the ontology.
 
-    ``type_map`` is (dataset, raw_type, event_type), the size of an ontology mapping; of equal keys the last counts, and Spark broadcasts it by its own threshold."""
-    own = _last(type_map.where(F.col("dataset") == dataset), mapping_key(F.col("raw_type")), "event_type")
-    out = rows.drop("event_type").withColumn("__key", mapping_key(F.col(raw))).join(own, "__key", "left").drop("__key")
-    bad = F.col("event_type").isNotNull() & ~is_supported(F.col("event_type"))
-    return out.withColumn("event_type", F.when(bad, F.raise_error(F.concat(F.lit("mapping to an unsupported event type: "), F.col("event_type"))).cast("string")).otherwise(F.col("event_type")))
+    ``type_map`` (dataset, raw_type, event_type), the size of an ontology mapping, becomes a literal map, so types are mapped without a join; of equal keys the last counts."""
+    pairs = _last(type_map.where(F.col("dataset") == dataset), mapping_key(F.col("raw_type")), "event_type")
+    found = F.try_element_at(literal_map(pairs), mapping_key(F.col(raw))) if pairs else F.lit(None).cast("string")
+    odd = sorted({v for v in pairs.values() if v not in ROLES})
+    if odd:
+        found = F.when(found.isin(*odd), F.raise_error(F.concat(F.lit("mapping to an unsupported event type: "), found)).cast("string")).otherwise(found)
+    return rows.withColumn("event_type", found)
 
 
 def map_roles(rows: DataFrame, role_map: DataFrame, dataset: str, value: str = "text") -> DataFrame:
@@ -97,7 +99,7 @@ def map_roles(rows: DataFrame, role_map: DataFrame, dataset: str, value: str = "
     ``role_map`` (dataset, event_type, raw_role, role), the size of an ontology mapping, becomes a literal map, so arguments are rewritten in place without a join;
     of equal keys the last counts."""
     key = F.concat_ws("|", "event_type", mapping_key(F.col("raw_role")))
-    pairs = {r[0]: r[1] for r in _last(role_map.where(F.col("dataset") == dataset), key, "role").collect()}
+    pairs = _last(role_map.where(F.col("dataset") == dataset), key, "role")
     known = literal_map(pairs) if pairs else F.create_map().cast("map<string,string>")
     role = lambda a: F.try_element_at(known, F.concat_ws("|", F.col("event_type"), mapping_key(a["role"])))
     named = F.transform(F.coalesce("arguments", F.array()), lambda a: a.withField("role", role(a)))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from eventweave.functions.bbox import iou, normalize_bbox
-from eventweave.functions.text import let, trim_ws
-from eventweave.ontology import canonical_role_for, canonical_type
+from eventweave.functions.text import let
+from eventweave.ontology import canonical_role_for, canonical_type, plain_role
 from eventweave.operators import matching as m
 
 
@@ -28,22 +29,28 @@ def gold_type(s: str = "") -> Column:
     return F.coalesce(F.nullif(_first_type(F.col(f"{s}meta.crossmedia_event_type"), F.col(f"{s}event_type")), F.lit("")), mention, _first_type(F.col(f"{s}image_event.event_type")))
 
 
+def _numeric(rows: DataFrame, array: str, field: str) -> bool:
+    """Whether the arrays in a field of a column's structs hold numbers."""
+    kind = rows.schema[array].dataType.elementType[field].dataType
+    return isinstance(getattr(kind, "elementType", None), NumericType)
+
+
 def gold_arguments(gold: DataFrame) -> DataFrame:
     """(sample_id, gold_type, gold_text, gold_image) of gold samples. Boxes come from the flat list, or from the role map if that yields none."""
     base = settle(gold, {"__type": gold_type()})
 
     def text(mention: Column) -> Column:
         kind = let(canonical_type(mention["event_type"]), lambda t: F.when(t != "", t).otherwise(F.col("__type")))
-        return let(kind, lambda own: F.transform(F.coalesce(mention["arguments"], F.array()), lambda a: F.struct(own.alias("event_type"), mention["trigger"]["start"].alias("trigger_start"), mention["trigger"]["end"].alias("trigger_end"), canonical_role_for(own, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end"))))
+        return let(kind, lambda own: F.transform(F.coalesce(mention["arguments"], F.array()), lambda a: F.struct(own.alias("event_type"), mention["trigger"]["start"].alias("trigger_start"), mention["trigger"]["end"].alias("trigger_end"), canonical_role_for(own, a["role"]).alias("role"), plain_role(a["role"]).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end"))))
 
-    def box(type_: Column, role: Column, bbox: Column) -> Column:
+    def box(type_: Column, role: Column, bbox: Column, numbers: bool) -> Column:
         kind = let(canonical_type(type_), lambda t: F.when(t != "", t).otherwise(F.col("__type")))
-        return let(kind, lambda own: F.struct(own.alias("event_type"), canonical_role_for(own, role).alias("role"), trim_ws(F.coalesce(role, F.lit(""))).alias("raw_role"), normalize_bbox(bbox).alias("bbox")))
+        return let(kind, lambda own: F.struct(own.alias("event_type"), canonical_role_for(own, role).alias("role"), plain_role(role).alias("raw_role"), normalize_bbox(bbox, numbers).alias("bbox")))
 
     texts = F.filter(F.flatten(F.transform(F.coalesce("text_event_mentions", F.array()), text)), lambda a: (a["role"] != "") & a["start"].isNotNull() & a["end"].isNotNull())
-    flat = F.filter(F.transform(F.coalesce("image_arguments_flat", F.array()), lambda a: box(a["event_type"], a["role"], a["bbox"])), lambda a: (a["role"] != "") & a["bbox"].isNotNull())
+    flat = F.filter(F.transform(F.coalesce("image_arguments_flat", F.array()), lambda a: box(a["event_type"], a["role"], a["bbox"], _numeric(gold, "image_arguments_flat", "bbox"))), lambda a: (a["role"] != "") & a["bbox"].isNotNull())
     pairs = F.map_entries(F.coalesce(F.col("image_event.role"), F.create_map().cast("map<string,array<struct<image_ref:string,bbox:array<double>>>>")))
-    mapped = F.filter(F.flatten(F.transform(pairs, lambda kv: F.transform(F.coalesce(kv["value"], F.array()), lambda b: box(F.col("image_event.event_type"), kv["key"], b["bbox"])))), lambda a: a["bbox"].isNotNull())
+    mapped = F.filter(F.flatten(F.transform(pairs, lambda kv: F.transform(F.coalesce(kv["value"], F.array()), lambda b: box(F.col("image_event.event_type"), kv["key"], b["bbox"], False)))), lambda a: a["bbox"].isNotNull())
     made = settle(base.withColumns({"sample_id": F.col("id"), "gold_type": F.col("__type")}), {"gold_text": texts, "flat": flat, "mapped": mapped})
     return made.select("sample_id", "gold_type", "gold_text", F.when(F.size("flat") > 0, F.col("flat")).otherwise(F.col("mapped")).alias("gold_image"))
 
@@ -69,8 +76,8 @@ def predicted_arguments(pred: DataFrame) -> DataFrame:
     }
     base = settle(one.select(F.col("id").alias("sample_id"), *[v.alias(k) for k, v in fields.items()]), {"__type": canonical_type(F.col("__kind"))})
     t = F.col("__type")
-    text = F.transform(F.coalesce("__texts", F.array()), lambda a: F.struct(t.alias("event_type"), F.col("__trigger.start").alias("trigger_start"), F.col("__trigger.end").alias("trigger_end"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
-    image = F.transform(F.coalesce("__images", F.array()), lambda a: F.struct(t.alias("event_type"), canonical_role_for(t, a["role"]).alias("role"), trim_ws(F.coalesce(a["role"], F.lit(""))).alias("raw_role"), normalize_bbox(a["bbox"]).alias("bbox")))
+    text = F.transform(F.coalesce("__texts", F.array()), lambda a: F.struct(t.alias("event_type"), F.col("__trigger.start").alias("trigger_start"), F.col("__trigger.end").alias("trigger_end"), canonical_role_for(t, a["role"]).alias("role"), plain_role(a["role"]).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
+    image = F.transform(F.coalesce("__images", F.array()), lambda a: F.struct(t.alias("event_type"), canonical_role_for(t, a["role"]).alias("role"), plain_role(a["role"]).alias("raw_role"), normalize_bbox(a["bbox"], _numeric(base, "__images", "bbox")).alias("bbox")))
     base = settle(base, {"__text": text, "__image": image})
     text, image = F.col("__text"), F.col("__image")
     return base.select(
