@@ -136,12 +136,12 @@ def likelihood(params: np.ndarray, flat: np.ndarray, row: np.ndarray, grades: np
     return float(-np.log(chance).sum() / n + decay * (w * w).sum() / 2), np.concatenate([by_weight, [by_theta.sum()], steps * by_theta[::-1].cumsum()[::-1][1:]])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = 300, rate: float = 0.1, decay: float = 1e-5, min_rows: int = 5, min_z: float | None = None) -> CumulativeLink:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = BITS, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4, min_rows: int = 5, min_z: float | None = None) -> CumulativeLink:
     """Maximum likelihood by full-batch Adam, with a penalty on squared weights.
 
     Features of fewer than min_rows texts keep the weight 0, and so do those with which the mean grade moves by less than min_z standard
     errors, for each cut between grades: words that tell nothing about the grade can't add up to noise in long texts. By default
-    min_z is what the largest of a sixtieth of these features would reach by chance, 2.5 at least. Thresholds are a first one and positive steps, so they stay ordered.
+    min_z is what the largest of all these features would reach by chance, 2.5 at least. Thresholds are a first one and positive steps, so they stay ordered.
     """
     grades = np.asarray(grades, np.int64)
     sizes = np.array([len(x) for x in rows], np.int64)
@@ -151,7 +151,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int = B
     row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     count = np.bincount(flat, minlength=len(used))
     if min_z is None:
-        min_z = max(2.5, float(np.sqrt(2 * np.log(max(1.0, (count >= min_rows).sum() / 60)))))
+        min_z = max(2.5, float(np.sqrt(2 * np.log(max(1, (count >= min_rows).sum())))))
     telling = np.zeros(len(used), bool)
     for j in range(1, n_grades):
         off = (grades >= j) - (grades >= j).mean() if len(grades) else np.zeros(0)
@@ -242,6 +242,9 @@ def score(docs: DataFrame, model: CumulativeLink, min_tail: float = 0.5, text_co
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from quality and toxicity labels: 0 for low quality, 1 for good but toxic, 2 for good."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    """(doc_id, grade) from quality and toxicity labels: 0 for toxic, 1 for low quality, 2 for good. Without the labels that decide, the grade is null.
+
+    Toxic is lowest: a toxic word then only ever speaks for a lower grade, and one of them is enough. Between the others, toxic documents would have to keep above those of low
+    quality however many such words they hold."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     return labels.select("doc_id", grade.alias("grade"))

@@ -112,13 +112,13 @@ def crc(raw: bytes) -> int:
     return zlib.crc32(raw)
 
 
-def ordinal_fit(rows, grades, n_grades, min_rows=5, epochs=300, rate=0.1, decay=1e-5):
+def ordinal_fit(rows, grades, n_grades, min_rows=5, epochs=300, rate=0.1, decay=1e-4):
     """Weights by feature number and thresholds: full-batch Adam on a dense matrix, gradients by the chain rule one text at a time."""
     names = sorted({x for r in rows for x in r.tolist()})
     x = np.array([[name in own for name in names] for own in (set(r.tolist()) for r in rows)], float)
     grades = np.asarray(grades)
     often = x.sum(axis=0) >= min_rows
-    z = max(2.5, math.sqrt(2 * math.log(max(1.0, often.sum() / 60))))
+    z = max(2.5, math.sqrt(2 * math.log(max(1, often.sum()))))
     telling = np.zeros(len(names), bool)
     for j in range(1, n_grades):
         off = (grades >= j) - (grades >= j).mean()
