@@ -35,18 +35,19 @@ def packed_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out.view("S16").ravel()
 
 
-def with_range(keyed: DataFrame, splitters: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
-    """keyed with the number of splitters at or below its (k1, k2) as ``range``; rows of the ranges ``only``, if given."""
-    names = keyed.columns
+def with_range(keyed: DataFrame, splitters: np.ndarray, only: np.ndarray | None = None, task: np.ndarray | None = None) -> DataFrame:
+    """keyed with the number of splitters at or below its (k1, k2) as ``range``; rows of the ranges ``only``, if given, and with what ``task`` holds for their range."""
+    names, new = keyed.columns, ["range"] if task is None else ["range", "task"]
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = packed_keys(batch.column("k1").to_numpy(zero_copy_only=False), batch.column("k2").to_numpy(zero_copy_only=False))
             ranges = np.searchsorted(splitters, keys, side="right").astype(np.int64)
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges)], [*names, "range"])
+            made = [pa.array(ranges)] if task is None else [pa.array(ranges), pa.array(task[ranges])]
+            out = pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, *new])
             yield out if only is None else out.filter(pa.array(np.isin(ranges, only)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", range long"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema), "range long", "task int"][: len(names) + len(new)])
     return keyed.mapInArrow(locate, schema)
 
 
@@ -130,8 +131,10 @@ def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(begin), pa.array(rank), batch.column("size")], ["record", "begin", "rank", "size"])
 
     kind = record.schema["record"].dataType.simpleString()
+    # each task gets ranges that follow each other and have even bytes together
     tasks = max(shuffle_partitions(docs.sparkSession), -(-total // TASK_BYTES))
-    dealt = with_range(record, cuts).repartition(tasks, "range").sortWithinPartitions("range", "k1", "k2")
+    task = np.minimum(first_byte.astype(np.float64) * tasks / max(1, total), tasks - 1).astype(np.int32)
+    dealt = with_range(record, cuts, task=task).repartitionById(tasks, "task").sortWithinPartitions("range", "k1", "k2")
     placed = dealt.mapInArrow(place, f"record {kind}, begin long, rank long, size long")
     middle = F.col("begin") + F.expr("size div 2")
     shard = F.least(F.lit(n_shards - 1), (middle * F.lit(n_shards) / F.lit(float(max(1, total)))).cast("int")).alias("shard")
