@@ -17,7 +17,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes of the Arrow batches that this session sends to Python; a row of more bytes is a batch of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > size:
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= size:
         spark.conf.set(key, str(size))
 
 

@@ -735,3 +735,15 @@ def test_near_copies_go_by_row(spark):
     got = corpus_pipeline.drop_near_copies(spark, df, SF)
     want = [(5, a), (3, b), (7, c), (6, d + " tail"), (8, e), (None, e), (None, e), (9, None), (None, None)]
     assert got.columns == df.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_batches_are_bounded_whatever_the_setting(spark):
+    from eventweave.llm.scratch import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for given, then in (("64m", {"4194304", "4194304b"}), ("1m", {"1m", "1048576b"})):
+        spark.conf.set(key, given)
+        small_batches(spark)
+        assert spark.conf.get(key) in then
+    spark.conf.set(key, before)
