@@ -102,12 +102,13 @@ def breakdown_events(scored: DataFrame, threshold: float = 0.5, low: float = 0.2
 
 
 def counts(events: DataFrame) -> DataFrame:
-    """(counter, n) of all counters, 0 where nothing was counted, and the totals of false positives and negatives."""
-    names = events.sparkSession.createDataFrame([(c,) for c in COUNTERS], "counter string")
-    dense = names.join(events.groupBy("counter").agg(F.sum("n").alias("n")), "counter", "left").select("counter", F.coalesce("n", F.lit(0)).alias("n"))
+    """(counter, n) of all counters, 0 where nothing was counted, and the totals of false positives and negatives; one pass over events."""
+    totals = [f"{m}.total_{k}" for m in ("text", "image") for k in ("fp", "fn")]
+    names = events.sparkSession.createDataFrame([(c,) for c in (*COUNTERS, *totals)], "counter string")
     kind = F.regexp_extract("counter", r"\.(f[pn])_", 1)
-    total = dense.where(kind != "").groupBy(F.concat(F.substring_index("counter", ".", 1), F.lit(".total_"), kind).alias("counter")).agg(F.sum("n").alias("n"))
-    return dense.unionByName(total)
+    total = F.when(kind != "", F.concat(F.substring_index("counter", ".", 1), F.lit(".total_"), kind))
+    found = events.groupBy("counter").agg(F.sum("n").alias("n")).select(F.explode(F.array_compact(F.array("counter", total))).alias("counter"), "n")
+    return names.join(found.groupBy("counter").agg(F.sum("n").alias("n")), "counter", "left").select("counter", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def examples(events: DataFrame, limit: int = 5, order: str = "sample_id") -> DataFrame:

@@ -46,7 +46,7 @@ def _alias(x):
 
 def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gold samples, prediction records, traces)."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders").repartition("o_orderkey")  # dealt like the lines that join it
     rows = orders.join(_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("all", F.coalesce("all", F.array()))
     rows = scoring.settle(rows.select("o_orderkey", "o_custkey", "o_orderstatus", "all"), {"id": F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), "odd": F.filter("all", lambda x: x["n"] % 2 == 1), "even": F.filter("all", lambda x: x["n"] % 2 == 0)})
     named = F.when(F.col("o_orderstatus") == "F", "Justice:ArrestJail").when(F.col("o_orderstatus") == "O", " contact MEET").when(F.col("o_orderkey") % 4 == 0, "").otherwise("Conflict:Attack")
