@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm import ann, bpe, cover_tree, elias_fano, line_dedup, minhash, packing, quality, sharding, warc
+from eventweave.llm import ann, block_max, bpe, collocations, cover_tree, elias_fano, line_dedup, minhash, packing, quality, sharding, vector_codes, warc
 from eventweave.llm.scratch import scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -120,3 +120,78 @@ judged AS (SELECT n.doc_id, n.text, r.n_lines, r.kept, coalesce(r.n_common, 0) >
   FROM numbered n LEFT JOIN rebuilt r USING (row) LEFT JOIN copied c ON n.text = c.text)
 SELECT doc_id, CASE WHEN act THEN kept ELSE text END AS text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(CASE WHEN act THEN n_common ELSE 0 END AS INTEGER) AS n_removed FROM judged
 """
+
+
+@query
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors with the largest integer inner products for every vec_id that 50 divides, among all vectors."""
+    return block_max.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_block_max"] = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by 8 codebooks of 16 entries."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(rounds: int) -> str:
+    """Each round's assignments (a0 onwards) and entries (c1 onwards), then the codes by the last entries."""
+    near = """a{n} AS MATERIALIZED (SELECT vec_id, part, entry, d FROM (
+      SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) AS i FROM (
+        SELECT x.vec_id, x.part, c.entry, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{n} c USING (part, pos) GROUP BY ALL)) WHERE i = 1)"""
+    move = """c{m} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (
+      SELECT part, entry, pos, (s - ((s % n) + n) % n) // n AS x FROM (
+        SELECT part, entry, pos, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM x JOIN a{n} USING (vec_id, part) GROUP BY ALL)) m USING (part, entry, pos))"""
+    steps = [part.format(n=n, m=n + 1) for n in range(rounds) for part in (near, move)] + [near.format(n=rounds)]
+    return f"""
+WITH kept AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // (size // 8) AS part, (i - 1) % (size // 8) AS pos, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS HUGEINT) AS x
+  FROM (SELECT vec_id, embedding, len(embedding) AS size, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT part, entry, pos, x FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 16),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+ORACLE["op12_vector_codes"] = _codes_sql(6)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 3 words by how far their parts belong together."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH lowered AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?
+-]')) AS piece FROM lowered),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, len(w) AS size, unnest(range(1, len(w) + 1)) AS i FROM split),
+found AS (SELECT lang, unnest(list_transform(range(1, least(3, size - i + 1) + 1), lambda m: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM placed),
+counted AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM found GROUP BY lang, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE len(w) = 1 GROUP BY lang),
+cand AS (SELECT lang, phrase, w, f AS a FROM counted WHERE len(w) > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM scored) WHERE i = 1),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cand WHERE len(w) = 3),
+around AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase),
+left_over AS (SELECT lowest.* FROM lowest LEFT JOIN around USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
