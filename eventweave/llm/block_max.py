@@ -43,7 +43,7 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
             packed = [pack(whole(flat[a:b], scale)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("dims"), pa.array(packed, pa.binary())], ["row", "vec_id", "dims", "v"])
 
-    kept = vectors.where(finite(vector_col) & F.col(id_col).isNotNull())
+    kept = vectors.where(finite(vector_col) & (F.size(vector_col) > 0) & F.col(id_col).isNotNull())
     named = kept.select(F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dims"), F.col(vector_col).cast("array<double>").alias("embedding"))
     return named.withColumn("row", F.monotonically_increasing_id()).mapInArrow(convert, "row long, vec_id long, dims int, v binary")
 
@@ -73,11 +73,11 @@ def leaves(v: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
 
 def dealt(rows: DataFrame, n: int, size: int) -> DataFrame:
     """rows with (leaf, slice): vectors that the same cuts separate stand together, in as many slices as ``size`` vectors (or COMPONENTS components) each need."""
-    levels = min(LEVELS, max(0, (-(-n // size) - 1).bit_length()))
+    levels = min(LEVELS, (max(1, -(-n // size)) - 1).bit_length())
     cuts, common = [], -1
     if levels:
         drawn = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * (1 << 30)).limit(2 * SAMPLE).select("dims", "v").collect()
-        lengths = np.unique([r.dims for r in drawn if r.dims], return_counts=True)
+        lengths = np.unique([r.dims for r in drawn], return_counts=True)
         if len(lengths[0]):
             common = int(lengths[0][lengths[1].argmax()])
             cuts = halves(stacked([r.v for r in drawn if r.dims == common], common), levels)
@@ -91,7 +91,7 @@ def dealt(rows: DataFrame, n: int, size: int) -> DataFrame:
             yield batch.append_column("leaf", pa.array(leaf))
 
     placed = rows.mapInArrow(place, "row long, vec_id long, dims int, v binary, leaf int")
-    most = F.least(F.lit(size), F.greatest(F.lit(BLOCK), F.expr(f"{COMPONENTS} div greatest(dims, 1)")))
+    most = F.least(F.lit(size), F.greatest(F.lit(BLOCK), F.expr(f"{COMPONENTS} div dims")))
     # of such parts there are 2^LEVELS and one for each other length at most
     large = placed.groupBy("dims", "leaf").count().withColumn("slices", F.ceil(F.col("count") / most)).where("slices > 1").select("dims", "leaf", "slices")
     parts = placed.join(F.broadcast(large), ["dims", "leaf"], "left")
@@ -121,7 +121,7 @@ def blocks_of(shard: pa.Table) -> pa.Table:
     """A row for each block of a shard, and one (block -1) with the bounds of all."""
     dims, leaf, part = (shard[c][0].as_py() for c in ("dims", "leaf", "slice"))
     v = stacked(shard["v"].to_pylist(), dims)
-    order = ranges(v) if dims else np.arange(len(v))
+    order = ranges(v)
     v, ids, rows = v[order], shard["vec_id"].to_numpy()[order], shard["row"].to_numpy()[order]
     out = [(dims, leaf, part, -1, b"", b"", b"", pack(v.max(axis=0)), pack(v.min(axis=0)))]
     for block, a in enumerate(range(0, len(v), BLOCK)):
@@ -160,11 +160,8 @@ def search_shard(shard: pa.Table, asked: pa.Table, k: int) -> tuple[pa.Table, in
     shard = shard.filter(pa.compute.greater_equal(shard["block"], 0)).sort_by("block")
     dims = asked["dims"][0].as_py()
     queries = stacked(asked["v"].to_pylist(), dims)
-    vectors, upper, lower = (stacked(shard[c].to_pylist(), dims) if dims else np.zeros((0, 0), np.int64) for c in ("forward", "upper", "lower"))
+    vectors, upper, lower = (stacked(shard[c].to_pylist(), dims) for c in ("forward", "upper", "lower"))
     ids, rows = (np.concatenate([np.frombuffer(x, np.int64) for x in shard[c].to_pylist()]) for c in ("ids", "rows"))
-    if not dims:
-        vectors, queries = np.zeros((len(ids), 1), np.int64), np.zeros((len(queries), 1), np.int64)
-        upper = lower = np.zeros((len(shard), 1), np.int64)
     kind = exact_type(queries, vectors)
     short = len(shard) * BLOCK - len(ids)
     forward = np.concatenate([vectors, np.zeros((short, vectors.shape[1]), vectors.dtype)]).astype(kind).reshape(len(shard), BLOCK, -1)
@@ -193,7 +190,7 @@ def search(rows: DataFrame, shards: DataFrame, is_query: F.Column, k: int = 5) -
     """(query_id, rank from 1, vec_id, score) of the k rows with each query's largest inner products; all, if there are fewer.
 
     Queries are the ``rows`` that ``is_query`` picks; a query's own row is no candidate, another row of its id is. Ties go to the smaller vec_id. Vectors are compared
-    with those of the same length only, and vectors without components have products of 0. Scores beyond a long are its ends. Repeated rows are rows of their own, as queries too.
+    with those of the same length only. Scores beyond a long are its ends. Repeated rows are rows of their own, as queries too.
     An empty table gives no rows.
     """
     spark = rows.sparkSession
@@ -207,7 +204,7 @@ def search(rows: DataFrame, shards: DataFrame, is_query: F.Column, k: int = 5) -
 
     def tables_of(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, pa.Table, pa.Table]:
         dims = a["dims"][0].as_py()
-        q, upper, lower = (stacked(x.to_pylist(), dims) for x in (b["v"], a["upper"], a["lower"])) if dims else (np.zeros((n, 1), np.int64) for n in (len(b), len(a), len(a)))
+        q, upper, lower = (stacked(x.to_pylist(), dims) for x in (b["v"], a["upper"], a["lower"]))
         return bounds_of(q, upper, lower), a.select(["leaf", "slice"]), b
 
     def first_choice(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -255,6 +252,6 @@ def search(rows: DataFrame, shards: DataFrame, is_query: F.Column, k: int = 5) -
 def top_products(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Index all vectors and search for those that ``is_query`` (over vec_id) picks.
 
-    Vectors that are null or hold null or non-finite components, and rows without an id, take no part; zero vectors do. Other columns may have any name."""
+    Vectors that are null or hold null or non-finite components or none at all, and rows without an id, take no part; zero vectors do. Other columns may have any name."""
     rows, shards = build_index(vectors, id_col, vector_col, scale)
     return search(rows, shards, is_query, k)
