@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.functions.images import image_fault
 from eventweave.functions.text import clean_text, mapping_key, retrieval_text, skip_reason, text_part, truthy
 from eventweave.ontology import ROLES, allowed_roles, literal_map
 from eventweave.operators.scoring import settle
@@ -185,15 +186,12 @@ def with_retrieval_text(records: DataFrame) -> DataFrame:
 
 
 def checked_manifest(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """manifest rows with ``error``: NO_PATH, NOT_FOUND, or BAD_IMAGE:... ; null for an image that can be read.
+    """manifest rows with ``error``: NO_PATH, NOT_FOUND, or BAD_IMAGE:... (UnidentifiedImage, Truncated or Damaged); null for a whole image.
 
-    ``images`` (path, content) are the files that were found, as of read_images(); a file is an image if it begins like one and is whole enough to tell its size."""
+    ``images`` (path, content) are the files that were found, as of read_images(). They are walked through where they are read, and only what is wrong with them is joined. Of files with
+    one path any counts."""
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    head = F.hex(F.substring("content", 1, 12))
-    kind = F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head.startswith("424D"), "bmp").when(head.startswith("52494646") & head.endswith("57454250"), "webp")
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in {"png": 33, "jpeg": 20, "gif": 14, "bmp": 26, "webp": 30}.items() for x in kv]), kind)
-    fault = F.when(kind.isNull(), "BAD_IMAGE:UnidentifiedImage").when(F.octet_length("content") < least, "BAD_IMAGE:Truncated")
-    found = images.select(plain(F.col("path")).alias("__path"), fault.alias("__fault"), F.lit(True).alias("__there")).dropDuplicates(["__path"])
+    found = images.select(plain(F.col("path")).alias("__path"), F.concat(F.lit("BAD_IMAGE:"), image_fault(F.col("content"))).alias("__fault"), F.lit(True).alias("__there")).dropDuplicates(["__path"])
     rows = manifest.withColumn("path", truthy(F.col("path"))).join(found, plain(F.col("path")) == F.col("__path"), "left")
     error = F.when(F.col("path") == "", "NO_PATH").when(F.col("__there").isNull(), "NOT_FOUND").otherwise(F.col("__fault"))
     return rows.withColumn("error", error).drop("__path", "__fault", "__there")

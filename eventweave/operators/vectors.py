@@ -141,17 +141,40 @@ def retrieval_queries(states: DataFrame) -> DataFrame:
 LAYER_INDEXES = {"text": ("ace_text", "maven_text"), "image": ("swig_text", "swig_image"), "bridge": ("bridge",)}
 
 
+def _sized(rows: DataFrame, most: int, least: int, name: str) -> DataFrame:
+    """(scope, name): into how many blocks each scope is dealt, of ``most`` rows at most; of ``least`` where that gives all the session's partitions work."""
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = F.count("*")
+    return rows.groupBy("scope").agg(F.greatest(F.ceil(n / most), F.least(F.lit(spread), F.ceil(n / least))).cast("int").alias(name))
+
+
+def scoped_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, corpus_id: str, query_vec: str, corpus_vec: str, scope: str) -> DataFrame:
+    """(query_id, rank from 1, corpus_id, score): like top_k(), each query among the rows of its own ``scope`` only; among all rows where its scope is null or empty.
+
+    One search for all scopes: cells are keyed by scope and block, a row of the corpus is in its scope's cells and, if any query asks for all rows, in those of the whole corpus.
+    Blocks are counted by aggregation, so a scope of any size has cells of bounded ones, and rows in scopes that nobody asks for go nowhere. A cell gives k rows a query at most;
+    the window that merges them keeps k rows a query and task before it shuffles."""
+    named = lambda df: F.nullif(F.trim(df[scope].cast("string")), F.lit(""))
+    scoped = lambda c: F.concat(F.lit("="), c)
+    asked = queries.where(finite(F.col(query_vec))).select(F.col(query_id).cast("long").alias("id"), F.coalesce(scoped(named(queries)), F.lit("*")).alias("scope"), F.col(query_vec).cast("array<double>").alias("v"))
+    found = corpus.where(finite(F.col(corpus_vec))).select(F.col(corpus_id).cast("long").alias("id"), F.explode(F.array_compact(F.array(scoped(named(corpus)), F.lit("*")))).alias("scope"), F.col(corpus_vec).cast("array<double>").alias("v"))
+    cells = _sized(found.select("scope"), CORPUS_ROWS, 256, "gs").join(_sized(asked.select("scope"), QUERY_ROWS, QUERY_ROWS, "hs"), "scope")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    size = F.size("v").alias("d")
+    left = found.join(cells, "scope").select("id", "v", "scope", own("gs").alias("g"), every("hs").alias("h"), size)
+    right = asked.join(cells, "scope").select("id", "v", "scope", every("gs").alias("g"), own("hs").alias("h"), size)
+    hits = left.groupBy("scope", "g", "h", "d").cogroup(right.groupBy("scope", "g", "h", "d")).applyInArrow(_cell(k), "query_id long, corpus_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("corpus_id").alias(corpus_id), "score")
+
+
 def typed_top_k(queries: DataFrame, index: DataFrame, name: str, k: int, id_col: str = "row") -> DataFrame:
     """Hits (query_id, index_name, row, score, rank) of one index, of each query's own event type; of all types where the query has none.
 
-    The filter comes before the ranking: each type is searched by itself. ``queries`` are (query_id, event_type, embedding)."""
-    kinds = [r[0] for r in queries.select("event_type").distinct().collect()]  # event types of the ontology
-    found = []
-    for kind in kinds:
-        where = F.col("event_type") == kind if kind else None
-        found.append(top_k(queries.where(F.col("event_type") == kind), index, k, "query_id", id_col, "embedding", "embedding", where))
-    empty = queries.sparkSession.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
-    return reduce(DataFrame.unionByName, found, empty).withColumn("index_name", F.lit(name))
+    The filter comes before the ranking. ``queries`` are (query_id, event_type, embedding)."""
+    return scoped_top_k(queries, index, k, "query_id", id_col, "embedding", "embedding", "event_type").withColumn("index_name", F.lit(name))
 
 
 def layered_retrieve(queries: dict[str, DataFrame], indexes: dict[str, DataFrame], k: dict[str, int] | int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from eventweave.functions import spans, text
@@ -35,13 +37,17 @@ def wrapped_json(spark, sf_dir):
     return files.read_json_documents(spark, path, "c_custkey bigint, c_name string")
 
 
-@query("SELECT vec_id AS row, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 2 = 0")
+@query("SELECT vec_id AS row, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id + 2000000, label FROM embeddings WHERE vec_id % 3 = 0")
 def index_round_trip(spark, sf_dir):
-    """A saved index, with more vectors added, loaded again; a refused one leaves it as it is."""
+    """A saved index, with more vectors added, its parts joined, and more added by two writers that began with the same snapshot; a refused one leaves it as it is."""
     root = scratch_path(spark, "index")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), "label", "embedding")
     sinks.save_index(rows, root, kind="text")
     sinks.add_to_index(rows.where("row % 2 = 0").withColumn("row", F.col("row") + 1000000), root)
+    assert sinks.compact_index(spark, root)
+    with ThreadPoolExecutor(2) as writers:
+        more = [rows.where(f"row % 3 = 0 and row % 2 = {k}").withColumn("row", F.col("row") + 2000000) for k in (0, 1)]
+        list(writers.map(lambda v: sinks.add_to_index(v, root), more))
     try:
         sinks.save_index(rows.where("false"), root)
     except ValueError:
@@ -49,17 +55,56 @@ def index_round_trip(spark, sf_dir):
     raise AssertionError("an empty index was saved")
 
 
-@query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY 1")
 def stream_resumed(spark, sf_dir):
-    """Events that come in two batches of files, the second after a stop, each seen once."""
+    """Events that come in files of two batches, the second after a stop. Many come twice, in other files of a batch or in both, and some are among another run's results or errors; each of the rest is seen once."""
     src, out, ck = (scratch_path(spark, n) for n in ("in", "out", "checkpoint"))
     rows = table(spark, sf_dir, "events").select("event_id", "user_id")
-    for part in (0, 1):
-        rows.where(F.col("event_id") % 2 == part).write.mode("append").json(src)
-        resume.evaluate_new(spark, src, "event_id bigint, user_id bigint", lambda d: d, out, ck).awaitTermination()
-    done = spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    done = [rows.where("event_id % 7 = 0").select("event_id"), rows.where("event_id % 11 = 0").select("event_id")]
+    for part in ("event_id % 2 = 0", "event_id % 10 = 0", "event_id % 2 = 1 or event_id % 6 = 0", "event_id % 15 = 0"):
+        rows.where(part).write.mode("append").json(src)
+        if part[-3:] != "= 1":
+            resume.evaluate_new(spark, src, "event_id bigint, user_id bigint", lambda d: d, out, ck, key="event_id", done=done).awaitTermination()
+    seen = spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
     remove(spark, src)
-    return done
+    return seen
+
+
+def _mixed(spark, sf_dir):
+    """Customers in a folder of files of different formats: by c_custkey % 6 an object that wraps records, lines, an array, lines of which some are broken, one record a file (under 60),
+    and files that are cut off. Every file has its records in the order of their keys."""
+    path = scratch_path(spark, "mixed")
+    key = F.col("c_custkey")
+    record = F.to_json(F.struct("c_custkey", "c_name"))
+    form = (key % 6).cast("int")
+    line = F.when((form == 3) & (key % 5 == 0), F.concat(F.lit("{"), F.col("c_name"))).when((form == 1) & (key % 7 == 0), F.concat(F.lit("["), key.cast("string"), F.lit("]"))).otherwise(record)
+    rows = table(spark, sf_dir, "customer").where("c_custkey % 6 <> 4 or c_custkey < 60").select(form.alias("form"), F.when(form == 4, key).otherwise(key % 64).alias("g"), F.struct(key.alias("k"), line.alias("line")).alias("x"))
+    each = rows.groupBy("form", "g").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("x"))
+    many = F.array_join("x", ", ")
+    text = (
+        F.when(F.col("form") == 0, F.concat(F.lit('{"records": [3, '), many, F.lit("]}"))).when(F.col("form") == 2, F.concat(F.lit("[\n"), many, F.lit(', "text"]')))
+        .when(F.col("form") == 5, F.concat(F.lit("["), many)).when(F.col("form") == 3, F.concat(F.lit("\n"), F.array_join("x", "\n\n"))).otherwise(F.array_join("x", "\n"))
+    )
+    each.select("form", "g", text.alias("value")).write.partitionBy("form", "g").text(path)
+    return files.read_with_quarantine(spark, path, "c_custkey bigint, c_name string", "corpus")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE CASE c_custkey % 6 WHEN 1 THEN c_custkey % 7 <> 0 WHEN 3 THEN c_custkey % 5 <> 0 WHEN 4 THEN c_custkey < 60 WHEN 5 THEN false ELSE true END")
+def mixed_corpus(spark, sf_dir):
+    """The sound records of a folder of files of six formats, each file read by its own."""
+    return _mixed(spark, sf_dir)[0]
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name, c_custkey % 6 AS form, c_custkey % 64 AS g, row_number() OVER (PARTITION BY c_custkey % 6, c_custkey % 64 ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_custkey % 6, c_custkey % 64) AS n FROM customer)
+SELECT form::INTEGER AS form, g::BIGINT AS g, i::BIGINT AS line, 'not an object' AS reason FROM c WHERE form = 1 AND k % 7 = 0 UNION ALL SELECT form, g, 2 * i, 'not JSON' FROM c WHERE form = 3 AND k % 5 = 0
+UNION ALL SELECT DISTINCT form, g, 1, 'not an object' FROM c WHERE form = 0 UNION ALL SELECT DISTINCT form, g, n + 1, 'not an object' FROM c WHERE form = 2 UNION ALL SELECT DISTINCT form, g, 1, 'not JSON' FROM c WHERE form = 5""")
+def mixed_corpus_quarantined(spark, sf_dir):
+    """Where the broken records of such a folder stand, and what is wrong with them; as they were written aside."""
+    path = scratch_path(spark, "quarantine")
+    sinks.write_quarantine(_mixed(spark, sf_dir)[1], path)
+    bad = spark.read.option("sep", "\t").option("header", "true").schema("file string, line bigint, reason string, value string").csv(path)
+    part = lambda name: F.regexp_extract("file", f"/{name}=(\\d+)/", 1)
+    return bad.select(part("form").cast("int").alias("form"), part("g").cast("bigint").alias("g"), "line", "reason")
 
 
 @query("SELECT count(*) AS samples, count(*) FILTER (quality = 1) AS verified, count(*) FILTER (toxic = 1) AS with_issues, 0::BIGINT AS skipped FROM labels")

@@ -93,13 +93,29 @@ def image_manifest(spark, sf_dir):
     return manifest.select("id", "path", "event_type", F.size("image_arguments").alias("n_arguments"))
 
 
-@query("""SELECT image_id, CASE WHEN path = '' THEN 'NO_PATH' WHEN found IS NULL THEN 'NOT_FOUND' WHEN found = 1 THEN 'BAD_IMAGE:UnidentifiedImage' WHEN found = 2 THEN 'BAD_IMAGE:Truncated' END AS error FROM
-(SELECT p_partkey::VARCHAR AS image_id, CASE WHEN p_size % 6 = 0 THEN '' ELSE '/img/' || p_partkey END AS path, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 4 END AS found FROM part)""")
+# Images of one pixel: PNG, JPEG, GIF, WebP and BMP.
+_PIXELS = (
+    "89504e470d0a1a0a0000000d4948445200000001000000010800000000" + "3a7e9b550000000a49444154789c636000000002000148afa4710000000049454e44ae426082",
+    "ffd8ffe000104a46494600010100000100010000ffdb004300" + "01" * 64 + "ffc0000b080001000101011100ffc40014" + "0001" + "00" * 16 + "ffda0008010100003f00" + "37ff00ff" + "d9",
+    "47494638396101000100800000000000ffffff21f90401000000002c00000000010001000002024401003b",
+    "524946461a000000574542505650384c0d0000002f00000010071011118888fe0700",
+    "424d3a000000000000003600000028000000010000000100000001001800000000000400000000000000000000000000000000000000" + "ffffff00",
+)
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_partkey % 5 AS kind, CASE WHEN p_size % 6 = 0 THEN '' ELSE '/img/' || p_partkey END AS path, p_partkey // 5 % 5 AS state FROM part)
+SELECT k::VARCHAR AS image_id, CASE WHEN path = '' THEN 'NO_PATH' WHEN state = 0 THEN 'NOT_FOUND' WHEN state = 1 THEN 'BAD_IMAGE:UnidentifiedImage' WHEN state = 2 THEN 'BAD_IMAGE:Truncated' WHEN state = 3 THEN 'BAD_IMAGE:Damaged' END AS error FROM r""")
 def manifest_check(spark, sf_dir):
-    part, png = table(spark, sf_dir, "part"), "89504E470D0A1A0A"
-    content = F.unhex(F.when(F.col("p_partkey") % 4 == 1, "00").when(F.col("p_partkey") % 4 == 2, png).otherwise(F.concat(F.lit(png), F.repeat(F.lit("00"), 64))))
-    images = part.where("p_partkey % 4 != 0").select(F.concat(F.lit("file:/img/"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content"))
-    rows = part.select(F.col("p_partkey").cast("string").alias("image_id"), F.when(F.col("p_size") % 6 != 0, F.concat(F.lit("/img/"), F.col("p_partkey").cast("string"))).alias("path"))
+    """Images of five kinds, whole, cut short, damaged inside, or of no known kind."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    kinds, state = F.array(*[F.unhex(F.lit(x)) for x in _PIXELS]), F.floor(k / 5) % 5
+    image = F.element_at(kinds, (k % 5 + 1).cast("int"))
+    # a byte of the pixels under a checksum, of a width, of a block's kind, of a signature, of a depth
+    at = F.element_at(F.array(*[F.lit(n) for n in (48, 97, 19, 20, 28)]), (k % 5 + 1).cast("int"))
+    broken = F.concat(F.substring(image, F.lit(1), at), F.unhex(F.lit("00")), F.substring(image, at + 2, F.lit(1 << 20)))
+    content = F.when(state == 1, F.concat(F.unhex(F.lit("00")), image)).when(state == 2, F.substring(image, F.lit(1), F.octet_length(image) - 2)).when(state == 3, broken).otherwise(image)
+    images = part.where(state != 0).select(F.concat(F.lit("file:/img/"), k.cast("string")).alias("path"), content.alias("content"))
+    rows = part.select(k.cast("string").alias("image_id"), F.when(F.col("p_size") % 6 != 0, F.concat(F.lit("/img/"), k.cast("string"))).alias("path"))
     return corpus.checked_manifest(rows, images).select("image_id", "error")
 
 

@@ -61,18 +61,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file in one go, replacing one of that name; readers see the old or the new one."""
-    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = files.create(aside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    files.delete(target, True)
-    files.rename(aside, target)
-
-
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from the place where the driver found it."""
     root = str(Path(__file__).resolve().parents[1])

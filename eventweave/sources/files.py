@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eventweave.session import exists
+from eventweave.session import scratch_path
+from eventweave.sources import snapshots
 
 Schema = StructType | str
 _WRAPPERS = {"samples": ("samples", "data", "items"), "corpus": ("records", "data", "examples")}
@@ -23,15 +26,21 @@ def _row_type(schema: Schema) -> str:
     return row if row.startswith("struct<") else f"struct<{', '.join(row.split(', '))}>"
 
 
+def _is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. The parser stops after a value, so the text is tried in brackets of two kinds: what closes one early breaks the other."""
+    whole = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"a":', "}"))]
+    return F.coalesce(whole[0] & whole[1], F.lit(False))
+
+
 def _is_object(text: Column) -> Column:
     """Whether a text is one JSON object."""
-    return F.coalesce(F.trim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))
+    return F.coalesce(F.trim(text).startswith("{"), F.lit(False)) & _is_json(text)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     """One object a line. Blank lines and lines that hold another JSON value are dropped; a malformed line fails the read."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    bad = F.try_parse_json(F.col("value")).isNull()
+    bad = ~_is_json(F.col("value"))
     sound = lines.where(F.when(bad, F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 80))).cast("boolean")).otherwise(_is_object(F.col("value"))))
     return sound.select(F.from_json("value", _row_type(schema)).alias("r")).select("r.*")
 
@@ -51,32 +60,103 @@ def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(F.broadcast(starts), "p").select("value", (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("_pos"))
 
 
-def _is_lines(text: Column) -> Column:
-    """Whether a text is several lines of which the first is an object by itself."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    first = F.try_element_at(lines, F.lit(1))
-    return (F.size(lines) > 1) & first.startswith("{") & first.endswith("}") & F.try_parse_json(first).isNotNull()
+#: Why a line, an element or a file gives no record.
+NOT_JSON, NOT_AN_OBJECT = "not JSON", "not an object"
+
+
+def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, block, place, value): ``place`` orders the lines of a block, ``block`` (where it begins in the file) those of a file."""
+    meta = F.col("_metadata")
+    return spark.read.text(paths).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def line_files(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Each file below a path that has text, and whether it is one of JSON lines: by its name, or because its first line is an object and more follow.
+
+    The names come to the driver, which lists them for every read."""
+    lines = _numbered_lines(spark, path).where(F.trim("value") != "")
+    each = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "place")).alias("first"), F.count("*").alias("n"))
+    by_lines = F.lower("file").endswith(".jsonl") | ((F.col("n") > 1) & _is_object(F.col("first")))
+    return {r.file: r.by_lines for r in each.select("file", by_lines.alias("by_lines")).collect()}
+
+
+def _literal(file: str) -> str:
+    """A file's name as a path without patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file))
+
+
+def _fault(value: Column) -> Column:
+    return F.when(~_is_json(value), NOT_JSON).when(~_is_object(value), NOT_AN_OBJECT)
+
+
+_PARSED = "file string, block bigint, place bigint, item int, value string, fault string"
+
+
+def parsed_records(spark: SparkSession, path: str, kind: str = "samples", fall_back: bool = True) -> DataFrame:
+    """(file, block, place, item, value, fault): every line of files of JSON lines (blank ones with a null value), and every element of files that are one JSON value, with what is wrong with it.
+
+    Each file is read by its own format. Files of lines are split like any text. Other files are an array, an object that wraps one (``samples``: under samples, data or items;
+    ``corpus``: under records, data or examples), or one record. ``item`` numbers elements from 1, and is 0 where the file as a whole is no JSON. Corpora that are not one JSON value are read by lines too, and ``item`` is then the line;
+    so are, with ``fall_back`` alone, lines in a file that isn't named ``.jsonl``."""
+    found = line_files(spark, path)
+    named = {f for f in found if f.lower().endswith(".jsonl")}
+    lines = sorted(f for f, by_lines in found.items() if by_lines and (f in named or kind == "corpus" and fall_back))
+    others = sorted(set(found) - set(lines))
+    out = spark.createDataFrame([], _PARSED)
+    if lines:
+        rows = _numbered_lines(spark, [_literal(f) for f in lines])
+        blank = F.trim("value") == ""
+        out = out.unionByName(rows.select("file", "block", "place", F.lit(None).cast("int").alias("item"), F.when(~blank, F.col("value")).alias("value"), F.when(~blank, _fault(F.col("value"))).alias("fault")))
+    if others:
+        whole = spark.read.text([_literal(f) for f in others], wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        text = F.col("text")
+        broken = ~_is_json(text)
+        # an element that is no string is its JSON text
+        elements = lambda array: F.from_json(array, "array<string>")
+        fields = F.from_json(text, "map<string,string>")
+        wrapped = F.coalesce(*[F.when(F.trim(F.try_element_at(fields, F.lit(key))).startswith("["), elements(F.try_element_at(fields, F.lit(key)))) for key in _WRAPPERS[kind]], F.array(text))
+        sound = F.when(F.trim(text).startswith("["), elements(text)).otherwise(wrapped)
+        by_line = F.split(text, "\n") if kind == "corpus" and fall_back else F.array(text)
+        items = whole.select("file", broken.alias("broken"), F.posexplode(F.when(broken, by_line).otherwise(sound)).alias("at", "value"))
+        first = 1 if kind == "corpus" and fall_back else 0
+        fault = F.when(F.col("broken"), _fault(F.col("value")) if first else F.lit(NOT_JSON)).otherwise(F.when(~_is_object(F.col("value")), NOT_AN_OBJECT))
+        kept = items.where(~F.col("broken") | (F.trim(F.coalesce("value", F.lit(""))) != ""))
+        none = F.lit(None).cast("bigint")
+        out = out.unionByName(kept.select("file", none.alias("block"), none.alias("place"), (F.col("at") + F.when(F.col("broken"), first).otherwise(1)).alias("item"), "value", fault.alias("fault")))
+    return out
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: Schema, kind: str = "samples", fall_back: bool = True) -> DataFrame:
-    """Records of JSON files: an array, an object that wraps an array, or one record; each file by itself. Elements that are no objects are dropped.
+    """Records of JSON files, each file by its own format as in parsed_records(). Elements that are no objects are dropped.
 
-    A ``.jsonl`` path is read by lines. So is, for corpora and unless ``fall_back`` is off, a path of which a file isn't one JSON value."""
+    A malformed line fails the read, and a file that is neither JSON nor may be read by lines is an error. A ``.jsonl`` path is read by lines."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    whole, item = spark.read.text(path, wholetext=True), _row_type(schema)
-    broken = F.try_parse_json(F.col("value")).isNull() | _is_lines(F.trim("value"))
-    if not whole.where(broken).isEmpty():
-        if kind == "corpus" and fall_back:
-            return read_jsonl(spark, path, schema)
-        raise ValueError(f"{path} is not JSON")
-    text = F.col("value")
-    # an element that is no string is its JSON text
-    elements = lambda array: F.from_json(array, "array<string>")
-    fields = F.from_json(text, "map<string,string>")
-    wrapped = F.coalesce(*[F.when(F.trim(F.try_element_at(fields, F.lit(key))).startswith("["), elements(F.try_element_at(fields, F.lit(key)))) for key in _WRAPPERS[kind]], F.array(text))
-    rows = whole.select(F.explode(F.when(F.trim(text).startswith("["), elements(text)).otherwise(wrapped)).alias("x"))
-    return rows.where(_is_object(F.col("x"))).select(F.from_json("x", item).alias("r")).select("r.*")
+    parsed, value = parsed_records(spark, path, kind, fall_back), F.col("value")
+    if not (kind == "corpus" and fall_back) and (bad := parsed.where(F.col("fault") == NOT_JSON).select("file").first()):
+        raise ValueError(f"{bad['file']} is not JSON")
+    failed = F.raise_error(F.concat(F.lit("not JSON: "), F.substring(value, 1, 80))).cast("boolean")
+    sound = parsed.where(F.when(F.col("fault") == NOT_JSON, failed).otherwise(value.isNotNull() & F.col("fault").isNull()))
+    return sound.select(F.from_json(value, _row_type(schema)).alias("r")).select("r.*")
+
+
+def read_with_quarantine(spark: SparkSession, path: str, schema: Schema, kind: str = "samples", fall_back: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, bad): what parsed_records() finds, split in one pass over the files. ``bad`` is (file, line, reason, value) for write_quarantine().
+
+    ``line`` counts lines from 1 in files of lines, blank ones too, and elements elsewhere; it is 0 for a file that is no JSON at all. The pass is stored in the shared folder, sound
+    and bad rows apart, so neither side reads the other's."""
+    root = scratch_path(spark, "parsed")
+    parsed = parsed_records(spark, path, kind, fall_back)
+    parsed.withColumn("bad", F.col("fault").isNotNull()).write.partitionBy("bad").parquet(root)
+    stored = spark.read.schema(f"{_PARSED}, bad boolean").parquet(root)
+    records = stored.where("not bad and value is not null").select(F.from_json("value", _row_type(schema)).alias("r")).select("r.*")
+    # lines before a block: the sizes of the file's blocks before it; a task may hold several blocks, one after the other
+    blocks = stored.where("block is not null").groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("from"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    line = F.coalesce(F.col("item").cast("bigint"), F.col("start") + F.col("place") - F.col("from") + 1)
+    bad = stored.where("bad").join(starts, ["file", "block"], "left").select("file", line.alias("line"), F.col("fault").alias("reason"), "value")
+    return records, bad
 
 
 def read_keyed_objects(spark: SparkSession, path: str, record: str, key: str = "image_id") -> DataFrame:
@@ -108,7 +188,7 @@ def read_vectors(spark: SparkSession, *paths: str) -> DataFrame:
 
 def existing_indexes(spark: SparkSession, roots: dict[str, str]) -> dict[str, DataFrame]:
     """The saved indexes that exist, by name; others are left out."""
-    return {name: load_index(spark, root) for name, root in roots.items() if exists(spark, f"{root}/build_info.json")}
+    return {name: load_index(spark, root) for name, root in roots.items() if snapshots.numbers(spark, root)}
 
 
 def index_name(path: str) -> str:
@@ -119,13 +199,16 @@ def index_name(path: str) -> str:
 
 
 def read_manifest(spark: SparkSession, root: str) -> dict:
-    """A saved index's manifest."""
-    return json.loads(spark.read.text(f"{root}/build_info.json", wholetext=True).first()[0])
+    """A saved index's newest manifest."""
+    _, manifest = snapshots.latest(spark, root)
+    if manifest is None:
+        raise ValueError(f"{root} is no index")
+    return manifest
 
 
-def load_index(spark: SparkSession, root: str) -> DataFrame:
-    """A saved index; an error unless its rows are as many as its manifest says."""
-    manifest = read_manifest(spark, root)
+def load_index(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """A saved index, or an earlier snapshot of it that is still there; an error unless its rows are as many as its manifest says."""
+    manifest = read_manifest(spark, root) if number is None else snapshots.read(spark, root, number)
     vectors = spark.read.parquet(*[f"{root}/{part}" for part in manifest["parts"]])
     if (n := vectors.count()) != manifest["record_count"]:
         raise ValueError(f"{root}: {n} rows, {manifest['record_count']} in the manifest")
@@ -166,6 +249,17 @@ def with_image_bytes(rows: DataFrame, reference: str, files: DataFrame | None =
     return out
 
 
+def read_situations(spark: SparkSession, path: str) -> DataFrame:
+    """(image, verb, frame_length, roles) of a file of annotations by image, ``{image: {verb, frames, bb}}``: the roles of the first frame with their first noun, and whether any has a box.
+
+    The image is named without its ending, ``frame_length`` is one less than the frame's roles, and a box that begins with -1 is none."""
+    rows = read_keyed_objects(spark, path, "verb: string, frames: array<map<string,string>>, bb: map<string,array<double>>", "image")
+    frame = F.coalesce(F.try_element_at("frames", F.lit(1)), F.create_map().cast("map<string,string>"))
+    left = lambda role: F.try_element_at(F.try_element_at("bb", role), F.lit(1))
+    roles = F.transform(F.array_sort(F.map_keys(frame)), lambda r: F.struct(r.alias("role"), F.try_element_at(frame, r).alias("noun"), F.coalesce(left(r) != -1, F.lit(False)).alias("boxed")))
+    return rows.select(F.substring_index("image", ".", 1).alias("image"), "verb", (F.size(frame) - 1).alias("frame_length"), roles.alias("roles"))
+
+
 def read_class_list(spark: SparkSession, path: str) -> DataFrame:
     """(name, index) of a class list in CSV."""
     return spark.read.schema("name string, index int").csv(path)

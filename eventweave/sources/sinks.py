@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable
@@ -10,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.session import exists, put_text, remove
+from eventweave.session import remove
+from eventweave.sources import snapshots
 from eventweave.sources.files import read_manifest
 
 
@@ -19,8 +19,9 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_quarantine(rows: DataFrame, path: str) -> None:
-    """Bad rows as tab-separated text with a header."""
-    rows.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
+    """Bad rows, as of read_with_quarantine(), as tab-separated text with a header; tabs and line ends in them are escaped."""
+    plain = [F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes]
+    rows.select(*plain).write.mode("overwrite").option("sep", "\t").option("header", "true").option("quote", "\u0000").csv(path)
 
 
 def _checked(vectors: DataFrame, root: str, dims: int | None) -> tuple[str, int, int]:
@@ -36,24 +37,57 @@ def _checked(vectors: DataFrame, root: str, dims: int | None) -> tuple[str, int,
     return part, n, low
 
 
-def save_index(vectors: DataFrame, root: str, dims: int | None = None, **info: object) -> None:
-    """A new index: vectors and a manifest. Refuses an empty index, vectors of another length than dims (or each other) and components that aren't finite.
+def save_index(vectors: DataFrame, root: str, dims: int | None = None, keep: int = 1, **info: object) -> None:
+    """A new index: vectors and a snapshot that names them. Refuses an empty index, vectors of another length than dims (or each other) and components that aren't finite.
 
-    The vectors are written aside and checked; only then the manifest names them, and those of an older index go."""
+    The vectors are written aside and checked; only then a snapshot names them. Of older snapshots ``keep - 1`` stay for readers that are still at work, the vectors of the others go."""
     spark = vectors.sparkSession
-    old = read_manifest(spark, root) if exists(spark, f"{root}/build_info.json") else {}
     part, n, dims = _checked(vectors, root, dims)
-    put_text(spark, f"{root}/build_info.json", json.dumps({"record_count": n, "embedding_dim": dims} | info | {"parts": [part]}))
-    for gone in old.get("parts", []):
-        remove(spark, f"{root}/{gone}")
+    snapshots.commit(spark, root, lambda now: {"record_count": n, "embedding_dim": dims} | info | {"parts": [part]})
+    snapshots.expire(spark, root, keep)
 
 
 def add_to_index(vectors: DataFrame, root: str) -> None:
-    """More vectors for a saved index, of its length; those that are there stay as they are."""
+    """More vectors for a saved index, of its length; those that are there stay as they are. Of several writers at once each adds its own."""
     spark = vectors.sparkSession
+    part, n, dims = _checked(vectors, root, read_manifest(spark, root)["embedding_dim"])
+
+    def grown(now: dict | None) -> dict:
+        if now is None or now["embedding_dim"] != dims:
+            remove(spark, f"{root}/{part}")
+            raise ValueError(f"{root}: the index changed to {now and now['embedding_dim']} dimensions, {dims} were to be added")
+        return now | {"record_count": now["record_count"] + n, "parts": [*now["parts"], part]}
+
+    snapshots.commit(spark, root, grown)
+
+
+def compact_index(spark: SparkSession, root: str, rows_per_file: int = 1 << 20, keep: int = 1) -> bool:
+    """Write the parts of an index as one; what other writers add meanwhile stays beside it. False, and no change, if there is nothing to join or the index was replaced meanwhile."""
     manifest = read_manifest(spark, root)
-    part, n, _ = _checked(vectors, root, manifest["embedding_dim"])
-    put_text(spark, f"{root}/build_info.json", json.dumps(manifest | {"record_count": manifest["record_count"] + n, "parts": [*manifest["parts"], part]}))
+    old = manifest["parts"]
+    if len(old) < 2:
+        return False
+    rows = spark.read.parquet(*[f"{root}/{part}" for part in old])
+    part, n, _ = _checked(rows.repartition(max(1, -(-manifest["record_count"] // rows_per_file))), root, manifest["embedding_dim"])
+    if n != manifest["record_count"]:
+        remove(spark, f"{root}/{part}")
+        raise ValueError(f"{root}: {n} rows, {manifest['record_count']} in the manifest")
+
+    class Replaced(Exception):
+        """The parts that were joined are no longer part of the index."""
+
+    def joined(now: dict | None) -> dict:
+        if now is None or not set(old) <= set(now["parts"]):
+            raise Replaced
+        return now | {"parts": [part, *(p for p in now["parts"] if p not in old)]}
+
+    try:
+        snapshots.commit(spark, root, joined)
+    except Replaced:
+        remove(spark, f"{root}/{part}")
+        return False
+    snapshots.expire(spark, root, keep)
+    return True
 
 
 def write_report(report: DataFrame, path: str) -> None:

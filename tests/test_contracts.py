@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventweave.functions import bbox, spans, text
 from eventweave.operators import corpus, errors, evidence, matching, ordering, providers, records, scoring, vectors, verify
+from eventweave.plans.corpora import _PIXELS
 from eventweave.settings import Settings
 from eventweave.sources import files, sinks
 from test_scoring import ATTACK, MEET, PRED, gold, pred, scored
@@ -136,14 +137,14 @@ def test_layer_examples_and_manifests(spark):
     image = corpus.image_examples(spark.createDataFrame([("i", "seen", [("Place", "hall")])], "id string, image_desc string, image_roles array<struct<role:string,label:string>>")).first()
     assert (image.modality, image.retrieval_text) == ("image_semantics", "seen Place hall")
     assert corpus.bridge_examples(spark.createDataFrame([("b", "Place", ["in"], None)], "id string, role string, text_cues array<string>, visual_cues array<string>")).first().retrieval_text == "Place in"
-    png = bytes.fromhex("89504E470D0A1A0A") + b"x" * 40
-    images = spark.createDataFrame([("file:/a.png", png), ("file:/b.png", b"junk"), ("file:/c.jpg", bytes.fromhex("FFD8FF00"))], "path string, content binary")
+    png = bytes.fromhex(_PIXELS[0])
+    images = spark.createDataFrame([("file:/a.png", png), ("file:/b.png", b"junk"), ("file:/c.jpg", bytes.fromhex("FFD8FFE0"))], "path string, content binary")
     rows = spark.createDataFrame([("1", "/a.png"), ("2", "/b.png"), ("3", "/c.jpg"), ("4", "/d.png"), ("5", None)], "image_id string, path string")
     got = {r.image_id: r.error for r in corpus.checked_manifest(rows, images).collect()}
     assert got == {"1": None, "2": "BAD_IMAGE:UnidentifiedImage", "3": "BAD_IMAGE:Truncated", "4": "NOT_FOUND", "5": "NO_PATH"}
     assert [r.skip_reason for r in corpus.with_retrieval_text(spark.createDataFrame([(" ",), ("x",)], "retrieval_text string")).collect()] == ["missing_retrieval_text", None]
     bytes_ = files.with_image_bytes(spark.createDataFrame([("data:image/gif;base64,AAAA",), ("/a.png",), ("http://x/y",), ("z",)], "ref string"), "ref", files=images.withColumn("mime", F.lit("image/png")), fetched=spark.createDataFrame([("http://x/y", b"1", "image/bmp")], "reference string, content binary, mime string"))
-    assert {r.ref: (r.mime, r.content and len(r.content)) for r in bytes_.collect()} == {"data:image/gif;base64,AAAA": ("image/gif", 3), "/a.png": ("image/png", 48), "http://x/y": ("image/bmp", 1), "z": (None, None)}
+    assert {r.ref: (r.mime, r.content and len(r.content)) for r in bytes_.collect()} == {"data:image/gif;base64,AAAA": ("image/gif", 3), "/a.png": ("image/png", 67), "http://x/y": ("image/bmp", 1), "z": (None, None)}
     with pytest.raises(ValueError):
         corpus.select_sample(rows.withColumnRenamed("image_id", "id"), "9")
     assert corpus.select_sample(rows.withColumnRenamed("image_id", "id"), "2").first().path == "/b.png"
