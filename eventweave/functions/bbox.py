@@ -45,21 +45,24 @@ def pixel_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(F.try_divide(both, union) > threshold)
 
 
+def judged(iou_: Column, cover: Column, pure: Column, matched: float = 0.5, low: float = 0.2, cover_high: float = 0.8, purity_low: float = 0.6) -> Column:
+    """How a predicted box misses, by the overlap and its shares of the gold box (``cover``) and the predicted one (``pure``)."""
+    return (
+        F.when(iou_ >= matched, "matched")
+        .when(iou_ <= 0, "no_overlap")
+        .when(iou_ < low, "weak_overlap")
+        .when((cover >= cover_high) & (pure < purity_low), "box_not_precise_enough_oversized")
+        .when((pure >= cover_high) & (cover < purity_low), "box_not_precise_enough_undersized")
+        .otherwise("box_not_precise_enough_shifted")
+    )
+
+
 def box_quality(pred: Column, gold: Column, matched: float = 0.5, low: float = 0.2, cover_high: float = 0.8, purity_low: float = 0.6) -> Column:
     """How a predicted box misses: no or weak overlap, too large, too small, or shifted; ``matched`` at the threshold or above."""
-    def judge(x: Column) -> Column:
-        return (
-            F.when(x["iou"] >= matched, "matched")
-            .when(x["iou"] <= 0, "no_overlap")
-            .when(x["iou"] < low, "weak_overlap")
-            .when((x["cover"] >= cover_high) & (x["pure"] < purity_low), "box_not_precise_enough_oversized")
-            .when((x["pure"] >= cover_high) & (x["cover"] < purity_low), "box_not_precise_enough_undersized")
-            .otherwise("box_not_precise_enough_shifted")
-        )
-
     both = intersection(pred, gold)
     share = lambda own: F.coalesce(F.try_divide(both, area(own)), F.lit(0.0))
-    return let(F.struct(iou(pred, gold).alias("iou"), share(gold).alias("cover"), share(pred).alias("pure")), judge)
+    made = F.struct(iou(pred, gold).alias("iou"), share(gold).alias("cover"), share(pred).alias("pure"))
+    return let(made, lambda x: judged(x["iou"], x["cover"], x["pure"], matched, low, cover_high, purity_low))
 
 
 def quality_bucket(quality: Column, side: str) -> Column:

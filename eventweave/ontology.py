@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +37,15 @@ def _squeezed(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum())
 
 
+def _quoted(value: str | list[str]) -> str:
+    if isinstance(value, list):
+        return f"array({', '.join(map(_quoted, value))})"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(pairs: dict) -> Column:
-    return F.create_map(*map(F.lit, chain.from_iterable(pairs.items())))
+    """A map of texts to texts (or lists of them), as one expression."""
+    return F.expr(f"map({', '.join(_quoted(x) for pair in pairs.items() for x in pair)})")
 
 
 def _look_up(pairs: dict, key: Column) -> Column:
@@ -53,10 +58,7 @@ def is_supported(event_type: Column) -> Column:
 
 def allowed_roles(event_type: Column) -> Column:
     """Roles of a type, none for other types."""
-    case = F.array().cast("array<string>")
-    for name, roles in ROLES.items():
-        case = F.when(event_type == name, F.array(*map(F.lit, roles))).otherwise(case)
-    return case
+    return F.coalesce(F.try_element_at(literal_map({name: list(roles) for name, roles in ROLES.items()}), event_type), F.expr("cast(array() as array<string>)"))
 
 
 #: All role names; none of them is another name of a role in every event.

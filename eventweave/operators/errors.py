@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventweave.functions.bbox import box_quality, iou, quality_bucket
-from eventweave.functions.text import let
+from eventweave.functions.bbox import iou, judged, quality_bucket
 from eventweave.ontology import allowed_roles, canonical_role, mentions_weak_place
+from eventweave.operators import flat
 from eventweave.operators import matching as m
-from eventweave.operators.scoring import settle
+from eventweave.operators.flat import GOLD, PRED
+from eventweave.operators.scoring import PLACE, Scored, settle
 
 # Counters of the breakdown and categories of the summary.
 TEXT_COUNTERS = (
@@ -19,8 +20,11 @@ TEXT_COUNTERS = (
     "fp_role_outside_schema", "fp_spurious_argument", "fn_due_to_missing_event_type", "fn_wrong_role_same_span", "fn_boundary_error_same_role", "fn_wrong_role_and_boundary",
     "fn_missing_argument", "pred_role_illegal_under_pred_event", "pred_role_outside_gold_schema_union",
 )
-_BOX = ("wrong_role_correct_box", "box_not_precise_enough_oversized", "box_not_precise_enough_undersized", "box_not_precise_enough_shifted", "weak_overlap_same_role", "no_overlap_same_role")
-IMAGE_COUNTERS = ("true_positive", "event_type_mismatch_samples", "fp_due_to_wrong_event_type", *(f"fp_{b}" for b in _BOX), "fp_spurious_argument", "fn_due_to_missing_event_type", *(f"fn_{b}" for b in _BOX), "fn_missing_argument")
+IMAGE_COUNTERS = (
+    "true_positive", "event_type_mismatch_samples", "fp_due_to_wrong_event_type", "fp_wrong_role_correct_box", "fp_box_not_precise_enough_oversized", "fp_box_not_precise_enough_undersized",
+    "fp_box_not_precise_enough_shifted", "fp_weak_overlap_same_role", "fp_no_overlap_same_role", "fp_spurious_argument", "fn_due_to_missing_event_type", "fn_wrong_role_correct_box",
+    "fn_box_not_precise_enough_oversized", "fn_box_not_precise_enough_undersized", "fn_box_not_precise_enough_shifted", "fn_weak_overlap_same_role", "fn_no_overlap_same_role", "fn_missing_argument",
+)
 COUNTERS = [*(f"text.{c}" for c in TEXT_COUNTERS), *(f"image.{c}" for c in IMAGE_COUNTERS)]
 CATEGORIES = (
     "event_type_mismatch", "text_arg_missing", "text_arg_extra", "text_arg_boundary_overlong", "text_arg_role_mismatch", "image_arg_missing", "image_arg_extra", "image_arg_iou_low",
@@ -35,70 +39,63 @@ CAUSES = {
 }
 
 
-def _whole(a: Column) -> Column:
-    return m.text_tuple(a, False)
-
-
-def _span_bucket(item: Column, others: Column, side: str) -> Column:
-    """Same span, then an overlap with the same role, then any overlap; null without."""
-    near = F.filter(others, lambda o: m.same_trigger(o, item))
-    has = lambda f: F.exists(near, lambda o: F.coalesce(f(o), F.lit(False)))
-    return (
-        F.when(has(lambda o: m.same_span(o, item)), f"text.{side}_wrong_role_same_span")
-        .when(has(lambda o: (o["role"] == item["role"]) & m.spans_overlap(o, item)), f"text.{side}_boundary_error_same_role")
-        .when(has(lambda o: m.spans_overlap(o, item)), f"text.{side}_wrong_role_and_boundary")
-    )
-
-
-def breakdown_events(scored: DataFrame, threshold: float = 0.5, low: float = 0.2, cover_high: float = 0.8, purity_low: float = 0.6) -> DataFrame:
+def _text_events(scored: Scored, differ: Column, untyped: Column) -> DataFrame:
+    """Text arguments without a partner: of several faults the first counts, from a span that the other side has under another role to one that is nowhere."""
+    spare = flat.same_places(scored.exact_text().where("not exact"), PLACE, "there")
+    spare = flat.swept_overlaps(flat.swept_overlaps(spare, [*PLACE, "role"], "as_role"), PLACE, "near")
+    rows = spare.select("*", allowed_roles(F.col("gold_type")).alias("gold_roles"), allowed_roles(F.col("pred_type")).alias("pred_roles"))
+    outside = (F.size("gold_roles") > 0) & ~F.array_contains("gold_roles", F.col("role"))
+    found = lambda side: F.when(F.col("there"), f"text.{side}_wrong_role_same_span").when(F.col("as_role"), f"text.{side}_boundary_error_same_role").when(F.col("near"), f"text.{side}_wrong_role_and_boundary")
+    fp = F.when(differ, "text.fp_due_to_wrong_event_type").otherwise(F.coalesce(found("fp"), F.when(outside, "text.fp_role_outside_schema"), F.lit("text.fp_spurious_argument")))
+    fn = F.when(untyped, "text.fn_due_to_missing_event_type").otherwise(F.coalesce(found("fn"), F.lit("text.fn_missing_argument")))
+    illegal = (F.col("pred_type") != "") & ~F.array_contains("pred_roles", F.col("role"))
+    pred = F.col("side") == PRED
+    names = F.array(F.when(pred, fp).otherwise(fn), F.when(pred & illegal, "text.pred_role_illegal_under_pred_event"), F.when(pred & outside, "text.pred_role_outside_gold_schema_union"))
+    return _events(rows, F.explode(F.array_compact(names)))
+
+
+def _image_events(scored: Scored, differ: Column, untyped: Column, threshold: float, low: float, cover_high: float, purity_low: float) -> DataFrame:
+    """Boxes without a partner: a box of another role in their place, else how they miss the box of their role that they share most with."""
+    loose = scored.image.where("partner is null")
+    pairs = flat.overlapping_boxes(loose, ["sample_id", "event_type"], ["n", "role"])
+    ends = [F.struct(F.col(f"{own}_n").alias("n"), F.col(f"{other}_n").alias("other")) for own, other in (("gold", "pred"), ("pred", "gold"))]
+    each = pairs.select("sample_id", F.explode(F.array(*ends)).alias("e"), (F.col("gold_role") == F.col("pred_role")).alias("same"), "iou", "cover", "purity")
+    best = F.max(F.when(F.col("same"), F.struct("iou", (-F.col("e.other")).alias("order"), "cover", "purity")))
+    met = each.groupBy("sample_id", F.col("e.n").alias("n")).agg(F.bool_or(~F.col("same") & (F.col("iou") >= threshold)).alias("wrong"), best.alias("best"))
+    kind = Window.partitionBy("sample_id", "event_type", "role")
+    others = flat.other_side(F.count_if(F.col("side") == GOLD).over(kind), F.count_if(F.col("side") == PRED).over(kind))
+    rows = loose.withColumn("others", others).join(met, ["sample_id", "n"], "left")
+    quality = F.when(F.col("others") > 0, judged(*[F.coalesce(F.col(f"best.{c}"), F.lit(0.0)) for c in ("iou", "cover", "purity")], threshold, low, cover_high, purity_low))
+
+    def bucket(side: str, none: str) -> Column:
+        return F.when(F.coalesce("wrong", F.lit(False)), f"image.{side}_wrong_role_correct_box").when(quality.isNull(), none).otherwise(quality_bucket(quality, side))
+
+    fp = F.when(differ, "image.fp_due_to_wrong_event_type").otherwise(bucket("fp", "image.fp_spurious_argument"))
+    fn = F.when(untyped, "image.fn_due_to_missing_event_type").otherwise(bucket("fn", "image.fn_missing_argument"))
+    return _events(rows, F.when(F.col("side") == PRED, fp).otherwise(fn))
+
+
+def _events(rows: DataFrame, counter: Column) -> DataFrame:
+    role = lambda side: F.when(F.col("side") == side, F.col("role"))
+    return rows.select("sample_id", counter.alias("counter"), F.lit(1).alias("n"), role(GOLD).alias("gold_role"), role(PRED).alias("pred_role"))
+
+
+def breakdown_events(scored: Scored, threshold: float = 0.5, low: float = 0.2, cover_high: float = 0.8, purity_low: float = 0.6) -> DataFrame:
     """(sample_id, counter, n, gold_role, pred_role): what each sample adds to each counter."""
     differ = (F.col("gold_type") != "") & (F.col("pred_type") != "") & (F.col("gold_type") != F.col("pred_type"))
     untyped = (F.col("gold_type") != "") & (F.col("pred_type") == "")
-    one = lambda c, n=None, g=None, p=None: F.struct(c.alias("counter"), (F.lit(1) if n is None else n).cast("int").alias("n"), (F.lit(None) if g is None else g).cast("string").alias("gold_role"), (F.lit(None) if p is None else p).cast("string").alias("pred_role"))
-    base = settle(
-        scored,
-        {
-            "spare_gold": m.leftovers(F.col("gold_text"), F.col("pred_text"), _whole),
-            "spare_pred": m.leftovers(F.col("pred_text"), F.col("gold_text"), _whole),
-            "loose_pred": m.unmatched(F.col("pred_image"), F.col("partners")),
-            "loose_gold": m.not_chosen(F.col("gold_image"), F.col("partners")),
-            "gold_roles": allowed_roles(F.col("gold_type")),
-            "pred_roles": allowed_roles(F.col("pred_type")),
-        },
-    )
-    outside = lambda p: (F.size("gold_roles") > 0) & ~F.array_contains("gold_roles", p["role"])
-
-    def text_fp(p: Column) -> Column:
-        bucket = F.coalesce(_span_bucket(p, F.col("spare_gold"), "fp"), F.when(outside(p), "text.fp_role_outside_schema"), F.lit("text.fp_spurious_argument"))
-        return one(F.when(differ, "text.fp_due_to_wrong_event_type").otherwise(bucket), p=p["role"])
-
-    def text_fn(g: Column) -> Column:
-        bucket = F.coalesce(_span_bucket(g, F.col("spare_pred"), "fn"), F.lit("text.fn_missing_argument"))
-        return one(F.when(untyped, "text.fn_due_to_missing_event_type").otherwise(bucket), g=g["role"])
-
-    def image(item: Column, others: str, side: str) -> Column:
-        none = "image.fp_spurious_argument" if side == "fp" else "image.fn_missing_argument"
-
-        def bucket_of(same: Column) -> Column:
-            pred, gold = (item["bbox"], same["bbox"]) if side == "fp" else (same["bbox"], item["bbox"])
-            return F.when(same.isNull(), none).otherwise(quality_bucket(box_quality(pred, gold, threshold, low, cover_high, purity_low), side))
-
-        wrong = m.best_box(item, F.col(others), same_role=False, threshold=threshold)
-        bucket = F.when(wrong.isNotNull(), f"image.{side}_wrong_role_correct_box").otherwise(let(m.best_box(item, F.col(others), same_role=True), bucket_of))
-        if side == "fp":
-            return one(F.when(differ, "image.fp_due_to_wrong_event_type").otherwise(bucket), p=item["role"])
-        return one(F.when(untyped, "image.fn_due_to_missing_event_type").otherwise(bucket), g=item["role"])
-
+    none = F.lit(None).cast("string")
+    whole = lambda rows, counter, n: rows.select("sample_id", counter.alias("counter"), n.cast("int").alias("n"), none.alias("gold_role"), none.alias("pred_role"))
+    count = lambda rows, counter: whole(rows.groupBy("sample_id").agg(F.count("*").alias("k")), F.lit(counter), F.col("k"))
     parts = [
-        F.array(one(F.lit("text.true_positive"), F.size("gold_text") - F.size("spare_gold")), one(F.lit("image.true_positive"), F.col("image_tp")), one(F.lit("text.event_type_mismatch_samples"), differ), one(F.lit("image.event_type_mismatch_samples"), differ), one(F.lit("image.fp_spurious_argument"), F.col("invalid_image"))),
-        F.transform(F.filter("spare_pred", lambda p: (F.col("pred_type") != "") & ~F.array_contains("pred_roles", p["role"])), lambda p: one(F.lit("text.pred_role_illegal_under_pred_event"), p=p["role"])),
-        F.transform(F.filter("spare_pred", outside), lambda p: one(F.lit("text.pred_role_outside_gold_schema_union"), p=p["role"])),
-        F.transform("spare_pred", text_fp),
-        F.transform("spare_gold", text_fn),
-        F.transform("loose_pred", lambda p: image(p, "loose_gold", "fp")),
-        F.transform("loose_gold", lambda g: image(g, "loose_pred", "fn")),
+        _text_events(scored, differ, untyped),
+        _image_events(scored, differ, untyped, threshold, low, cover_high, purity_low),
+        count(scored.exact_text().where((F.col("side") == GOLD) & F.col("exact")), "text.true_positive"),
+        count(scored.image.where((F.col("side") == GOLD) & F.col("partner").isNotNull()), "image.true_positive"),
+        count(scored.invalid, "image.fp_spurious_argument"),
+        whole(scored.samples.where(differ), F.explode(F.array(F.lit("text.event_type_mismatch_samples"), F.lit("image.event_type_mismatch_samples"))), F.lit(1)),
     ]
-    return base.select("sample_id", F.explode(F.concat(*parts)).alias("r")).select("sample_id", "r.*").where("n > 0")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def counts(events: DataFrame) -> DataFrame:
@@ -169,20 +166,16 @@ def _with_words(rows: DataFrame, samples: DataFrame | None) -> DataFrame:
     return rows.join(own.select("sample_id", "words", first.alias("gold_values")), "sample_id", "left")
 
 
-def error_categories(scored: DataFrame, traces: DataFrame | None = None, image_iou: float = 0.5, samples: DataFrame | None = None) -> DataFrame:
+def error_categories(scored: Scored, traces: DataFrame | None = None, image_iou: float = 0.5, samples: DataFrame | None = None) -> DataFrame:
     """(sample_id, gold_type, categories, causes, roles, notes) of every sample.
 
     Traces (sample_id, stage_b_output, stage_c_output, grounding_results, verifier_output) tell causes by stage; of several traces of a sample the last counts.
     ``causes`` are the stages that categories point to. ``notes`` name two things that are no errors: a broader text that a stage proposed and the prediction
     narrowed to the gold span (``broader_text:ROLE``; needs the gold samples), and a weak place that was proposed and dropped (``weak_place_dropped``)."""
-    rows = _with_words(_traced(scored, traces), samples)
+    rows = _with_words(_traced(scored.by_sample(), traces), samples)
     rows = settle(
         rows,
         {
-            "spare_gold": m.leftovers(F.col("gold_text"), F.col("pred_text"), _whole),
-            "spare_pred": m.leftovers(F.col("pred_text"), F.col("gold_text"), _whole),
-            "loose_pred": m.unmatched(F.col("pred_image"), F.col("partners")),
-            "loose_gold": m.not_chosen(F.col("gold_image"), F.col("partners")),
             "gold_box_roles": F.array_distinct(F.transform("gold_image", lambda a: a["role"])),
             "candidates": F.coalesce("candidates", F.array().cast(_CANDIDATES)),
             "grounded": F.coalesce("grounded", F.array().cast(_GROUNDED)),

@@ -1,6 +1,6 @@
 """Matching of gold and predicted arguments within a sample.
 
-A sample's arguments are arrays of a few structs, so all matching is expressions over arrays in one row: nothing is exploded, shuffled or joined.
+Expressions over arrays of a few structs in one row; matching of whole samples, of any size, is in ``flat``.
 Ordered one-to-one assignments are folds whose state is the list of partners chosen so far.
 """
 
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from eventweave.functions.bbox import iou, normalize_bbox
 from eventweave.functions.text import let, truthy
 
-TEXT_ARG = "struct<event_type:string,trigger_start:int,trigger_end:int,role:string,raw_role:string,start:int,end:int>"
-IMAGE_ARG = "struct<event_type:string,role:string,raw_role:string,bbox:array<double>>"
 Pair = Callable[[Column, Column], Column]
 
 
@@ -38,12 +36,6 @@ def pending(samples: DataFrame, *done: DataFrame, key: str = "id") -> DataFrame:
     return out
 
 
-def text_tuple(arg: Column, ignore_trigger: bool) -> Column:
-    """What two text arguments must share to be the same."""
-    fields = ["event_type", "role", "start", "end"] if ignore_trigger else ["event_type", "trigger_start", "trigger_end", "role", "start", "end"]
-    return F.struct(*[arg[f].alias(f) for f in fields])
-
-
 def same_trigger(g: Column, p: Column) -> Column:
     return (g["event_type"] == p["event_type"]) & g["trigger_start"].eqNullSafe(p["trigger_start"]) & g["trigger_end"].eqNullSafe(p["trigger_end"])
 
@@ -61,23 +53,6 @@ def overlong(g: Column, p: Column) -> Column:
     return same_trigger(g, p) & (g["role"] == p["role"]) & (p["start"] <= g["start"]) & (p["end"] >= g["end"]) & ((p["start"] < g["start"]) | (p["end"] > g["end"]))
 
 
-def multiset_tp(gold: Column, pred: Column) -> Column:
-    """The size of the multiset intersection of two arrays."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y.eqNullSafe(x)))
-    return F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, x: n + F.least(count(gold, x), count(pred, x)))
-
-
-def leftovers(own: Column, other: Column, key: Callable[[Column], Column]) -> Column:
-    """Items of ``own`` without a partner of equal key in ``other``: of duplicates the first ones are matched."""
-    other_keys = F.transform(other, key)
-
-    def spare(x: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(own, 1, i + 1), lambda y: key(y).eqNullSafe(key(x))))
-        return before > F.size(F.filter(other_keys, lambda k: k.eqNullSafe(key(x))))
-
-    return F.filter(own, spare)
-
-
 def _indexed(arr: Column) -> Column:
     return F.transform(arr, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
 
@@ -93,31 +68,6 @@ def greedy_first(left: Column, right: Column, fits: Pair) -> Column:
     return F.aggregate(left, F.array().cast("array<int>"), pick)
 
 
-def greedy_iou(pred: Column, gold: Column, threshold: float) -> Column:
-    """For each predicted box in order the index of the free gold box of its type and role with the largest IoU above threshold, or -1.
-
-    Of equal overlaps the first gold box counts."""
-    numbered = _indexed(gold)
-
-    def pick(chosen: Column, p: Column) -> Column:
-        fits = lambda g: ~F.array_contains(chosen, g["i"]) & (g["x"]["event_type"] == p["event_type"]) & (g["x"]["role"] == p["role"])
-        scored = F.transform(F.filter(numbered, fits), lambda g: F.struct(iou(p["bbox"], g["x"]["bbox"]).alias("overlap"), (-g["i"]).alias("order")))
-        best = F.array_max(F.filter(scored, lambda s: s["overlap"] > threshold))
-        return F.concat(chosen, F.array(F.coalesce(-best["order"], F.lit(-1))))
-
-    return F.aggregate(pred, F.array().cast("array<int>"), pick)
-
-
-def unmatched(items: Column, partners: Column) -> Column:
-    """Items whose own entry in partners is -1."""
-    return F.filter(items, lambda x, i: F.element_at(partners, i + 1) == -1)
-
-
-def not_chosen(items: Column, partners: Column) -> Column:
-    """Items whose index is nobody's partner."""
-    return F.filter(items, lambda x, i: ~F.array_contains(partners, i))
-
-
 def pairs_where(left: Column, right: Column, fits: Pair, make: Pair) -> Column:
     """make(l, r) of every pair that fits."""
     return F.flatten(F.transform(left, lambda a: F.transform(F.filter(right, lambda b: F.coalesce(fits(a, b), F.lit(False))), lambda b: make(a, b))))
@@ -135,13 +85,12 @@ def best_box(item: Column, candidates: Column, same_role: bool, threshold: float
 
 
 def rescues(gold: Column, pred: Column) -> Column:
-    """Text arguments that match only by role aliases: each prediction takes the first free gold argument with equal raw role,
-    else with equal canonical role; (event_type, gold_role, pred_role) of the latter where raw roles differ."""
+    """Text arguments that match only by role aliases, of arrays (n, event_type, raw_role) that are equal but for their raw roles: each prediction takes the first free gold argument with
+    its raw role, else the first free one; (event_type, gold_role, pred_role) of the latter where raw roles differ."""
     numbered = _indexed(gold)
-    whole = lambda a: text_tuple(a, False)
 
     def pick(chosen: Column, p: Column) -> Column:
-        free = F.filter(numbered, lambda g: ~F.array_contains(chosen, g["i"]) & whole(g["x"]).eqNullSafe(whole(p)))
+        free = F.filter(numbered, lambda g: ~F.array_contains(chosen, g["i"]))
         exact = F.filter(free, lambda g: g["x"]["raw_role"] == p["raw_role"])
         return F.concat(chosen, F.array(F.coalesce(F.try_element_at(exact, F.lit(1))["i"], F.try_element_at(free, F.lit(1))["i"], F.lit(-1))))
 

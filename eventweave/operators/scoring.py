@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from eventweave.functions.bbox import iou, normalize_bbox
-from eventweave.functions.text import let
+from eventweave.functions.bbox import normalize_bbox
+from eventweave.functions.text import let, truthy
 from eventweave.ontology import canonical_role_for, canonical_type, plain_role
+from eventweave.operators import flat
 from eventweave.operators import matching as m
+from eventweave.operators.flat import GOLD, PRED
 
 
 def precision_recall(tp: Column, pred: Column, gold: Column) -> list[Column]:
@@ -35,24 +39,32 @@ def _numeric(rows: DataFrame, array: str, field: str) -> bool:
     return isinstance(getattr(kind, "elementType", None), NumericType)
 
 
-def gold_arguments(gold: DataFrame) -> DataFrame:
-    """(sample_id, gold_type, gold_text, gold_image) of gold samples. Boxes come from the flat list, or from the role map if that yields none."""
-    base = settle(gold, {"__type": gold_type()})
+def _box(bbox: Column, numbers: bool) -> Column:
+    return bbox.cast("array<double>") if numbers else F.transform(bbox, lambda v: v.cast("string").try_cast("double"))
+
+
+_ITEM = "array<struct<side:int,medium:string,kind:string,trigger_start:int,trigger_end:int,role:string,start:int,end:int,box:array<double>>>"
+
 
-    def text(mention: Column) -> Column:
-        kind = let(canonical_type(mention["event_type"]), lambda t: F.when(t != "", t).otherwise(F.col("__type")))
-        return let(kind, lambda own: F.transform(F.coalesce(mention["arguments"], F.array()), lambda a: F.struct(own.alias("event_type"), mention["trigger"]["start"].alias("trigger_start"), mention["trigger"]["end"].alias("trigger_end"), canonical_role_for(own, a["role"]).alias("role"), plain_role(a["role"]).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end"))))
+def _item(side: int, medium: str, kind: Column | None = None, role: Column | None = None, trigger: Column | None = None, span: Column | None = None, box: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit(side).alias("side"), F.lit(medium).alias("medium"), (none if kind is None else kind).cast("string").alias("kind"),
+        (none if trigger is None else trigger["start"]).cast("int").alias("trigger_start"), (none if trigger is None else trigger["end"]).cast("int").alias("trigger_end"),
+        (none if role is None else role).cast("string").alias("role"), *[(none if span is None else span[f]).cast("int").alias(f) for f in ("start", "end")], (none if box is None else box).cast("array<double>").alias("box"),
+    )
 
-    def box(type_: Column, role: Column, bbox: Column, numbers: bool) -> Column:
-        kind = let(canonical_type(type_), lambda t: F.when(t != "", t).otherwise(F.col("__type")))
-        return let(kind, lambda own: F.struct(own.alias("event_type"), canonical_role_for(own, role).alias("role"), plain_role(role).alias("raw_role"), normalize_bbox(bbox, numbers).alias("bbox")))
 
-    texts = F.filter(F.flatten(F.transform(F.coalesce("text_event_mentions", F.array()), text)), lambda a: (a["role"] != "") & a["start"].isNotNull() & a["end"].isNotNull())
-    flat = F.filter(F.transform(F.coalesce("image_arguments_flat", F.array()), lambda a: box(a["event_type"], a["role"], a["bbox"], _numeric(gold, "image_arguments_flat", "bbox"))), lambda a: (a["role"] != "") & a["bbox"].isNotNull())
+def gold_items(gold: DataFrame) -> DataFrame:
+    """(sample_id, gold_type, gold_items): each sample's text arguments by mention, and boxes from the flat list, or from the role map if that yields none."""
+    empty = F.array().cast(_ITEM)
+    texts = F.flatten(F.transform(F.coalesce("text_event_mentions", F.array()), lambda x: F.transform(F.coalesce(x["arguments"], F.array()), lambda a: _item(GOLD, "text", x["event_type"], a["role"], x["trigger"], a))))
+    flat = F.transform(F.coalesce("image_arguments_flat", F.array()), lambda a: _item(GOLD, "image", a["event_type"], a["role"], box=_box(a["bbox"], _numeric(gold, "image_arguments_flat", "bbox"))))
     pairs = F.map_entries(F.coalesce(F.col("image_event.role"), F.create_map().cast("map<string,array<struct<image_ref:string,bbox:array<double>>>>")))
-    mapped = F.filter(F.flatten(F.transform(pairs, lambda kv: F.transform(F.coalesce(kv["value"], F.array()), lambda b: box(F.col("image_event.event_type"), kv["key"], b["bbox"], False)))), lambda a: a["bbox"].isNotNull())
-    made = settle(base.withColumns({"sample_id": F.col("id"), "gold_type": F.col("__type")}), {"gold_text": texts, "flat": flat, "mapped": mapped})
-    return made.select("sample_id", "gold_type", "gold_text", F.when(F.size("flat") > 0, F.col("flat")).otherwise(F.col("mapped")).alias("gold_image"))
+    mapped = F.flatten(F.transform(pairs, lambda kv: F.transform(F.coalesce(kv["value"], F.array()), lambda b: _item(GOLD, "image", F.col("image_event.event_type"), kv["key"], box=b["bbox"].cast("array<double>")))))
+    usable = lambda x: (truthy(x["role"]) != "") & (F.size(x["box"]) == 4) & ~F.exists(x["box"], lambda v: v.isNull())
+    boxes = let(flat, lambda given: F.when(F.exists(given, lambda x: F.coalesce(usable(x), F.lit(False))), given).otherwise(mapped))
+    return gold.select(F.col("id").alias("sample_id"), gold_type().alias("gold_type"), F.concat(F.coalesce(texts, empty), F.coalesce(boxes, empty)).alias("gold_items"))
 
 
 def _prediction(pred: DataFrame, field: str, kind: str) -> Column:
@@ -64,29 +76,35 @@ def _prediction(pred: DataFrame, field: str, kind: str) -> Column:
     return own if nested is None else F.when(F.col("prediction").isNotNull(), nested).otherwise(own)
 
 
-def predicted_arguments(pred: DataFrame) -> DataFrame:
-    """(sample_id, pred_type, pred_text, pred_image, invalid_image) of prediction records, their fields in ``prediction`` or in the record itself;
-    of records with one id the last counts (``_pos``)."""
+def predicted_items(pred: DataFrame) -> DataFrame:
+    """(sample_id, pred_type, pred_items) of prediction records, their fields in ``prediction`` or in the record itself; of records with one id the last counts (``_pos``)."""
     one = m.last_wins(pred, "id") if "_pos" in pred.columns else pred
     fields = {
-        "__kind": _prediction(pred, "event_type", "string"),
         "__trigger": _prediction(pred, "trigger", "struct<text:string,start:int,end:int>"),
         "__texts": _prediction(pred, "text_arguments", "array<struct<role:string,text:string,start:int,end:int>>"),
         "__images": _prediction(pred, "image_arguments", "array<struct<role:string,bbox:array<double>>>"),
     }
-    base = settle(one.select(F.col("id").alias("sample_id"), *[v.alias(k) for k, v in fields.items()]), {"__type": canonical_type(F.col("__kind"))})
-    t = F.col("__type")
-    text = F.transform(F.coalesce("__texts", F.array()), lambda a: F.struct(t.alias("event_type"), F.col("__trigger.start").alias("trigger_start"), F.col("__trigger.end").alias("trigger_end"), canonical_role_for(t, a["role"]).alias("role"), plain_role(a["role"]).alias("raw_role"), a["start"].alias("start"), a["end"].alias("end")))
-    image = F.transform(F.coalesce("__images", F.array()), lambda a: F.struct(t.alias("event_type"), canonical_role_for(t, a["role"]).alias("role"), plain_role(a["role"]).alias("raw_role"), normalize_bbox(a["bbox"], _numeric(base, "__images", "bbox")).alias("bbox")))
-    base = settle(base, {"__text": text, "__image": image})
-    text, image = F.col("__text"), F.col("__image")
-    return base.select(
-        "sample_id",
-        t.alias("pred_type"),
-        F.filter(text, lambda a: (a["role"] != "") & a["start"].isNotNull() & a["end"].isNotNull()).alias("pred_text"),
-        F.filter(image, lambda a: (a["role"] != "") & a["bbox"].isNotNull()).alias("pred_image"),
-        F.size(F.filter(image, lambda a: a["bbox"].isNull())).alias("invalid_image"),
-    )
+    base = one.select(F.col("id").alias("sample_id"), canonical_type(_prediction(pred, "event_type", "string")).alias("pred_type"), *[v.alias(k) for k, v in fields.items()])
+    texts = F.transform(F.coalesce("__texts", F.array()), lambda a: _item(PRED, "text", None, a["role"], F.col("__trigger"), a))
+    boxes = F.transform(F.coalesce("__images", F.array()), lambda a: _item(PRED, "image", None, a["role"], box=_box(a["bbox"], _numeric(base, "__images", "bbox"))))
+    return base.select("sample_id", "pred_type", F.concat(texts, boxes).alias("pred_items"))
+
+
+def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """A row for each sample (medium ``sample``) and each argument of gold samples and their predictions, by sample: (sample_id, gold_type, pred_type, gate, n, side, medium, event_type, role,
+    raw_role, trigger_start, trigger_end, start, end, x1, y1, x2, y2). Arguments without a role, span or box of four numbers are left out; predicted boxes that aren't are there with medium ``invalid``."""
+    both = gold_items(gold).join(predicted_items(pred), "sample_id", "left")
+    items = F.concat(F.array(_item(GOLD, "sample")), "gold_items", F.coalesce("pred_items", F.array().cast(_ITEM)))
+    rows = both.select("sample_id", "gold_type", F.coalesce("pred_type", F.lit("")).alias("pred_type"), F.posexplode(items).alias("n", "i")).select("sample_id", "gold_type", "pred_type", "n", "i.*")
+    own = F.when(F.col("side") == PRED, F.col("pred_type")).when(F.col("kind").isNull(), F.col("gold_type")).otherwise(let(canonical_type(F.col("kind")), lambda t: F.when(t != "", t).otherwise(F.col("gold_type"))))
+    named = rows.withColumn("event_type", own)
+    corners = [F.get("box", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    boxed = F.coalesce((F.size("box") == 4) & ~F.exists("box", lambda v: v.isNull()), F.lit(False))
+    medium = F.when((F.col("medium") == "image") & (F.col("side") == PRED) & ~boxed, "invalid").otherwise(F.col("medium"))
+    gate = (F.col("gold_type") != "") & (F.col("gold_type") == F.col("pred_type"))
+    out = named.select("sample_id", "gold_type", "pred_type", gate.alias("gate"), "n", "side", medium.alias("medium"), "event_type", canonical_role_for(F.col("event_type"), F.col("role")).alias("role"), plain_role(F.col("role")).alias("raw_role"), "trigger_start", "trigger_end", "start", "end", boxed.alias("boxed"), *corners)
+    whole = F.when(F.col("medium") == "text", (F.col("role") != "") & F.col("start").isNotNull() & F.col("end").isNotNull()).when(F.col("medium") == "image", (F.col("role") != "") & F.col("boxed")).otherwise(True)
+    return out.where(whole).drop("boxed")
 
 
 def invalid_boxes(pred: DataFrame) -> DataFrame:
@@ -101,71 +119,113 @@ def settle(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return made.select(*[made[c] for c in rows.columns if c not in columns], *[F.col(f"__made.{k}").alias(k) for k in columns])
 
 
-def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Every gold sample with its prediction, or with an empty one."""
-    joined = gold_arguments(gold).join(predicted_arguments(pred), "sample_id", "left")
-    empty = {"pred_type": F.lit(""), "pred_text": F.array().cast(f"array<{m.TEXT_ARG}>"), "pred_image": F.array().cast(f"array<{m.IMAGE_ARG}>"), "invalid_image": F.lit(0)}
-    return settle(joined, {c: F.coalesce(F.col(c), v) for c, v in empty.items()})
-
-
-def score_samples(pairs: DataFrame, image_iou: float = 0.5, ignore_trigger: bool = False) -> DataFrame:
-    """pairs with event_tp, gate, text_tp, partners (of predicted boxes) and image_tp."""
-    tuples = lambda c: F.transform(c, lambda a: m.text_tuple(a, ignore_trigger))
-    gate = (F.col("gold_type") != "") & (F.col("gold_type") == F.col("pred_type"))
-    out = settle(pairs, {"gate": gate, "event_tp": gate.cast("int"), "text_tp": m.multiset_tp(tuples("gold_text"), tuples("pred_text")), "partners": m.greedy_iou(F.col("pred_image"), F.col("gold_image"), image_iou)})
-    return out.withColumn("image_tp", F.size(F.filter("partners", lambda g: g >= 0)))
+#: What text arguments share that are compared by role and span.
+PLACE = ["sample_id", "event_type", "trigger_start", "trigger_end"]
+
+
+@dataclass(frozen=True)
+class Scored:
+    """Arguments of samples, matched: ``text`` rows have ``matched``, ``image`` rows ``partner`` (the other box's n, or null); ``samples`` has a row a sample and ``invalid`` the boxes that are none."""
+
+    samples: DataFrame
+    text: DataFrame
+    image: DataFrame
+    invalid: DataFrame
+    image_iou: float
+    ignore_trigger: bool
+
+    def exact_text(self) -> DataFrame:
+        """``text`` with ``exact``: whether an argument has a partner of its own trigger too, whether or not scores ignore triggers."""
+        return flat.numbered_matches(self.text, [*PLACE, "role", "start", "end"], "exact") if self.ignore_trigger else self.text.withColumn("exact", F.col("matched"))
+
+    def by_sample(self) -> DataFrame:
+        """Each sample in one row: types, gate, event_tp, text_tp, image_tp, and its arguments as arrays: gold_text, pred_text, gold_image, pred_image, those without a partner (spare_gold, spare_pred,
+        loose_gold, loose_pred), and partners, the place in gold_image that each predicted box took, or -1."""
+        span = F.struct("n", "event_type", "trigger_start", "trigger_end", "role", "raw_role", "start", "end")
+        box = F.struct("n", "event_type", "role", "raw_role", F.array("x1", "y1", "x2", "y2").alias("bbox"), "partner")
+        of = lambda item, where: F.array_sort(F.collect_list(F.when(where, item)))
+        gold, pred = F.col("side") == GOLD, F.col("side") == PRED
+        spare = ~F.col("exact")
+        text = self.exact_text().groupBy("sample_id").agg(of(span, gold).alias("gold_text"), of(span, pred).alias("pred_text"), of(span, gold & spare).alias("spare_gold"), of(span, pred & spare).alias("spare_pred"), F.count_if(gold & F.col("matched")).cast("int").alias("text_tp"))
+        alone = F.col("partner").isNull()
+        image = self.image.groupBy("sample_id").agg(of(box, gold).alias("gold_image"), of(box, pred).alias("pred_image"), of(box, gold & alone).alias("loose_gold"), of(box, pred & alone).alias("loose_pred"), F.count_if(gold & ~alone).cast("int").alias("image_tp"))
+        invalid = self.invalid.groupBy("sample_id").agg(F.count("*").cast("int").alias("invalid_image"))
+        rows = self.samples.join(text, "sample_id", "left").join(image, "sample_id", "left").join(invalid, "sample_id", "left")
+        arrays = {c: F.coalesce(c, F.array()) for side in (text, image) for c, kind in side.dtypes if kind.startswith("array")}
+        counts = {c: F.coalesce(c, F.lit(0)) for c in ("text_tp", "image_tp", "invalid_image")}
+        place = lambda p: F.coalesce(F.array_position(F.transform("gold_image", lambda g: g["n"]), p["partner"]).cast("int") - 1, F.lit(-1))
+        return rows.withColumns(arrays | counts).withColumn("event_tp", F.col("gate").cast("int")).withColumn("partners", F.transform("pred_image", place))
+
+
+def score_samples(pairs: DataFrame, image_iou: float = 0.5, ignore_trigger: bool = False) -> Scored:
+    """The arguments of paired(), matched: texts one to one by type, trigger (unless ignored), role and span; boxes by type, role and more than image_iou in common, in order of the predictions."""
+    place = ["sample_id", "event_type"] if ignore_trigger else PLACE
+    columns = lambda medium, names: pairs.where(F.col("medium") == medium).select("sample_id", "gold_type", "pred_type", "gate", "n", "side", *names)
+    text = flat.numbered_matches(columns("text", ["event_type", "trigger_start", "trigger_end", "role", "raw_role", "start", "end"]), [*place, "role", "start", "end"])
+    boxes = columns("image", ["event_type", "role", "raw_role", "x1", "y1", "x2", "y2"])
+    kind = ["sample_id", "event_type", "role"]
+    taken = flat.greedy_pairs(flat.overlapping_boxes(boxes, kind, ["n"]).where(F.col("iou") > image_iou), kind)
+    partner = taken.select("sample_id", F.explode(F.array(F.struct(F.col("pred_n").alias("n"), F.col("gold_n").alias("partner")), F.struct(F.col("gold_n").alias("n"), F.col("pred_n").alias("partner")))).alias("p")).select("sample_id", "p.*")
+    samples = pairs.where("medium = 'sample'").select("sample_id", "gold_type", "pred_type", "gate")
+    return Scored(samples, text, boxes.join(partner, ["sample_id", "n"], "left"), columns("invalid", []), image_iou, ignore_trigger)
+
+
+def _counted(scored: Scored) -> DataFrame:
+    """(medium, gold_type, gate, role, tp, pred, gold) of every argument; a prediction with a partner is a true positive."""
+    gold, pred = F.col("side") == GOLD, F.col("side") == PRED
+    one = lambda rows, medium, hit: rows.select(F.lit(medium).alias("medium"), "gold_type", "gate", "role", (pred & hit).cast("int").alias("tp"), pred.cast("int").alias("pred"), gold.cast("int").alias("gold"))
+    return one(scored.text, "text", F.col("matched")).unionByName(one(scored.image, "image", F.col("partner").isNotNull()))
+
+
+def totals(scored: Scored) -> DataFrame:
+    """(metric, tp, pred, gold, precision, recall, f1): events, text, image and both together, and the last three over type-correct samples."""
+    event = scored.samples.select(F.lit("event").alias("medium"), F.lit(False).alias("gate"), F.col("gate").cast("int").alias("tp"), (F.col("pred_type") != "").cast("int").alias("pred"), (F.col("gold_type") != "").cast("int").alias("gold"))
+    each = _counted(scored).select("medium", "gate", "tp", "pred", "gold").unionByName(event).groupBy("medium", "gate").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "gold")])
+    argument = F.col("medium") != "event"
+    names = F.array_compact(F.array(F.col("medium"), F.when(argument, "overall"), F.when(argument & F.col("gate"), F.concat(F.lit("gated_"), F.col("medium"))), F.when(argument & F.col("gate"), "gated_overall")))
+    every = each.sparkSession.createDataFrame([(x,) for x in ("event", "text", "image", "overall", "gated_text", "gated_image", "gated_overall")], "metric string")
+    long = each.select(F.explode(names).alias("metric"), "tp", "pred", "gold").groupBy("metric").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "gold")])
+    full = every.join(long, "metric", "left").select("metric", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "pred", "gold")])
+    return full.select("metric", "tp", "pred", "gold", *precision_recall(F.col("tp"), F.col("pred"), F.col("gold")))
 
 
-def totals(scored: DataFrame) -> DataFrame:
-    """(metric, tp, pred, gold, precision, recall, f1): events, text, image and both together, and the last three over type-correct samples."""
-    sizes = {"text": ("text_tp", F.size("pred_text"), F.size("gold_text")), "image": ("image_tp", F.size("pred_image"), F.size("gold_image"))}
-    rows = [F.struct(F.lit("event").alias("metric"), F.col("event_tp").alias("tp"), (F.col("pred_type") != "").cast("int").alias("pred"), (F.col("gold_type") != "").cast("int").alias("gold"))]
-    for gated in (False, True):
-        on = F.col("gate").cast("int") if gated else F.lit(1)
-        for name in ("text", "image"):
-            tp, pred, gold = sizes[name]
-            for metric in (name, "overall"):
-                rows.append(F.struct(F.lit(("gated_" if gated else "") + metric).alias("metric"), (F.col(tp) * on).alias("tp"), (pred * on).alias("pred"), (gold * on).alias("gold")))
-    long = scored.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return long.groupBy("metric").agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "gold")]).select("metric", "tp", "pred", "gold", *precision_recall(F.col("tp"), F.col("pred"), F.col("gold")))
-
-
-def by_type_and_role(scored: DataFrame, ignore_trigger: bool = False, gated: bool = False) -> DataFrame:
+def by_type_and_role(scored: Scored, gated: bool = False) -> DataFrame:
     """(level, event_type, role, tp, pred, gold, ...) overall, by the gold type of samples, and by type and role: one grouping-sets aggregate.
 
     Argument rows count under their sample's gold type, ``(missing)`` without one, whatever type was predicted. ``gated`` leaves out samples of a wrong type."""
-    scored = scored.where("gate") if gated else scored
-    key = lambda a: m.text_tuple(a, ignore_trigger)
-    one = lambda a, tp, p, g: F.struct(a["role"].alias("role"), F.lit(tp).alias("tp"), F.lit(p).alias("pred"), F.lit(g).alias("gold"))
-    spare_pred = m.leftovers(F.col("pred_text"), F.col("gold_text"), key)
-    parts = [
-        F.transform("pred_text", lambda a: one(a, 1, 1, 0)), F.transform(spare_pred, lambda a: one(a, -1, 0, 0)), F.transform("gold_text", lambda a: one(a, 0, 0, 1)),
-        F.transform("pred_image", lambda a: one(a, 1, 1, 0)), F.transform(m.unmatched(F.col("pred_image"), F.col("partners")), lambda a: one(a, -1, 0, 0)), F.transform("gold_image", lambda a: one(a, 0, 0, 1)),
-    ]
-    long = scored.select(F.when(F.col("gold_type") == "", "(missing)").otherwise(F.col("gold_type")).alias("event_type"), F.explode(F.concat(*parts)).alias("r")).select("event_type", "r.*")
+    rows = _counted(scored)
+    long = (rows.where("gate") if gated else rows).select(F.when(F.col("gold_type") == "", "(missing)").otherwise(F.col("gold_type")).alias("event_type"), "role", "tp", "pred", "gold")
     sets = long.groupingSets([[], ["event_type"], ["event_type", "role"]], "event_type", "role")
     sums = sets.agg(F.grouping_id("event_type", "role").alias("__g"), *[F.sum(c).alias(c) for c in ("tp", "pred", "gold")])
     level = F.when(F.col("__g") == 3, "all").when(F.col("__g") == 1, "type").otherwise("role")
     return sums.select(level.alias("level"), "event_type", "role", "tp", "pred", "gold", *precision_recall(F.col("tp"), F.col("pred"), F.col("gold")))
 
 
-def role_confusions(scored: DataFrame, normalized: bool = True, image_iou: float = 0.5, ignore_trigger: bool = False) -> DataFrame:
-    """(kind, event_type, gold_role, pred_role, n): pairs at one place with different roles, not one to one."""
+def role_confusions(scored: Scored, normalized: bool = True) -> DataFrame:
+    """(kind, event_type, gold_role, pred_role, n): pairs at one place with different roles, not one to one.
+
+    Texts of a place are counted by role first, so a place with many arguments makes a row for each pair of roles and not of arguments."""
     role = "role" if normalized else "raw_role"
-    make = lambda kind: lambda g, p: F.struct(F.lit(kind).alias("kind"), g["event_type"].alias("event_type"), g[role].alias("gold_role"), p[role].alias("pred_role"))
-    differ = lambda g, p: (g[role] != "") & (p[role] != "") & (g[role] != p[role])
-    at = (lambda g, p: (g["event_type"] == p["event_type"]) & m.same_span(g, p)) if ignore_trigger else (lambda g, p: m.same_trigger(g, p) & m.same_span(g, p))
-    text = m.pairs_where(F.col("gold_text"), F.col("pred_text"), lambda g, p: at(g, p) & differ(g, p), make("text"))
-    image = m.pairs_where(F.col("gold_image"), F.col("pred_image"), lambda g, p: (g["event_type"] == p["event_type"]) & (iou(g["bbox"], p["bbox"]) > image_iou) & differ(g, p), make("image"))
-    return scored.select(F.explode(F.concat(text, image)).alias("r")).select("r.*").groupBy("kind", "event_type", "gold_role", "pred_role").agg(F.count("*").alias("n"))
+    place = [*(["sample_id", "event_type"] if scored.ignore_trigger else PLACE), "start", "end"]
+    counted = scored.text.where(F.col(role) != "").groupBy(*place, role).agg(F.count_if(F.col("side") == GOLD).alias("g"), F.count_if(F.col("side") == PRED).alias("p"))
+    found = counted.groupBy(*place).agg(F.collect_list(F.struct(F.col(role).alias("role"), "g", "p")).alias("r")).where(F.size("r") > 1)
+    pairs = found.select("event_type", F.explode("r").alias("x"), "r").where("x.g > 0").select("event_type", "x", F.explode("r").alias("y")).where("y.p > 0 and x.role != y.role")
+    text = pairs.groupBy("event_type", F.col("x.role").alias("gold_role"), F.col("y.role").alias("pred_role")).agg(F.sum(F.col("x.g") * F.col("y.p")).alias("n"))
+    near = flat.overlapping_boxes(scored.image.where(F.col(role) != ""), ["sample_id", "event_type"], [role]).where((F.col("iou") > scored.image_iou) & (F.col(f"gold_{role}") != F.col(f"pred_{role}")))
+    image = near.groupBy("event_type", F.col(f"gold_{role}").alias("gold_role"), F.col(f"pred_{role}").alias("pred_role")).agg(F.count("*").alias("n"))
+    return text.select(F.lit("text").alias("kind"), "*").unionByName(image.select(F.lit("image").alias("kind"), "*"))
 
 
-def alias_rescues(scored: DataFrame) -> DataFrame:
+def alias_rescues(scored: Scored) -> DataFrame:
     """(kind, event_type, gold_role, pred_role, n): matches that hold only because roles have aliases."""
-    image = F.filter(F.transform("pred_image", lambda p, i: F.when(F.element_at("partners", i + 1) >= 0, F.struct(p["event_type"].alias("event_type"), F.try_element_at("gold_image", F.element_at("partners", i + 1) + 1)["raw_role"].alias("gold_role"), p["raw_role"].alias("pred_role")))), lambda r: r.isNotNull() & (r["gold_role"] != r["pred_role"]))
-    text = m.rescues(F.col("gold_text"), F.col("pred_text"))
-    rows = [scored.select(F.lit(kind).alias("kind"), F.explode(arr).alias("r")).select("kind", "r.*") for kind, arr in (("text", text), ("image", image))]
-    return rows[0].unionByName(rows[1]).groupBy("kind", "event_type", "gold_role", "pred_role").agg(F.count("*").alias("n"))
+    item = F.struct("n", "event_type", "raw_role")
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, item)))
+    met = scored.text.groupBy(*PLACE, "role", "start", "end").agg(side(GOLD).alias("g"), side(PRED).alias("p")).where((F.size("g") > 0) & (F.size("p") > 0))
+    text = met.select(F.lit("text").alias("kind"), F.explode(m.rescues(F.col("g"), F.col("p"))).alias("r")).select("kind", "r.*")
+    own = scored.image.where(F.col("partner").isNotNull())
+    gold = own.where(F.col("side") == GOLD).select("sample_id", F.col("partner").alias("n"), F.col("raw_role").alias("gold_role"))
+    image = own.where(F.col("side") == PRED).join(gold, ["sample_id", "n"]).where("gold_role != raw_role").select(F.lit("image").alias("kind"), "event_type", "gold_role", F.col("raw_role").alias("pred_role"))
+    return text.unionByName(image).groupBy("kind", "event_type", "gold_role", "pred_role").agg(F.count("*").alias("n"))
 
 
 def verb_metrics(rows: DataFrame) -> DataFrame:

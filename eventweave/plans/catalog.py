@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventweave import ontology as o
 from eventweave.functions import bbox, text
-from eventweave.operators import corpus, evidence, ordering, phrases, vectors
+from eventweave.operators import corpus, evidence, flat, ordering, phrases, vectors
 from eventweave.operators import matching as m
 from eventweave.operators.scoring import precision_recall
 from eventweave.plans.registry import query
@@ -73,10 +73,14 @@ def vector_normalize(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", short(vectors.l2_normalize(F.col("embedding"))).alias("unit"), short(vectors.truncate(F.col("embedding"), 16)).alias("cut"))
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_length, 0::BIGINT AS not_finite, true AS count_matches FROM embeddings")
+@query("""SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64 OR vec_id % 7 = 0) AS wrong_length, count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 11 = 0) AS not_finite,
+count(*) = (SELECT count(*) FROM embeddings) AS count_matches FROM embeddings WHERE vec_id % 13 <> 0""")
 def vector_index_check(spark, sf_dir):
+    """An index in which some vectors are cut short, some hold a component that is no number, and some are missing."""
     rows = _t(spark, sf_dir, "embeddings")
-    return vectors.check_index(rows, 64, rows.count())
+    v = F.col("embedding").cast("array<double>")
+    odd = F.when(F.col("vec_id") % 7 == 0, F.slice(v, 1, 32)).when(F.col("vec_id") % 11 == 0, F.concat(F.slice(v, 1, 63), F.array(F.lit(float("nan"))))).otherwise(v)
+    return vectors.check_index(rows.where("vec_id % 13 != 0").select(odd.alias("embedding")), 64, rows.count())
 
 
 # text ----------------------------------------------------------------------------------------------------------------
@@ -188,13 +192,20 @@ def role_map_semi(spark, sf_dir):
     return corpus.map_roles(typed, role_map, "web").select("event_id", "event_type", F.transform("arguments", lambda a: a["role"]).alias("roles"))
 
 
-@query("""SELECT r.event_type, count(*) AS n_roles, count(*) FILTER (visibility = 'strong') AS strong FROM (VALUES
+_KINDS = "CASE event_id % 9 WHEN 0 THEN 'Movement:Transport' WHEN 1 THEN 'Conflict:Attack' WHEN 2 THEN 'Conflict:Demonstrate' WHEN 3 THEN 'Justice:Arrest-Jail' WHEN 4 THEN 'Contact:Phone-Write' WHEN 5 THEN 'Contact:Meet' WHEN 6 THEN 'Life:Die' WHEN 7 THEN 'Transaction:Transfer-Money' ELSE event_type END"
+
+
+@query(f"""WITH r AS (SELECT event_type, count(*) AS n_roles, count(*) FILTER (visibility = 'strong') AS strong FROM (VALUES
 ('Movement:Transport','strong'),('Movement:Transport','strong'),('Movement:Transport','weak'),('Movement:Transport','weak'),('Movement:Transport','weak'),
 ('Conflict:Attack','strong'),('Conflict:Attack','strong'),('Conflict:Attack','strong'),('Conflict:Attack','weak'),('Conflict:Demonstrate','strong'),('Conflict:Demonstrate','strong'),('Conflict:Demonstrate','strong'),('Conflict:Demonstrate','weak'),
 ('Justice:Arrest-Jail','strong'),('Justice:Arrest-Jail','strong'),('Justice:Arrest-Jail','strong'),('Justice:Arrest-Jail','weak'),('Contact:Phone-Write','strong'),('Contact:Phone-Write','weak'),('Contact:Phone-Write','weak'),
-('Contact:Meet','strong'),('Contact:Meet','weak'),('Life:Die','strong'),('Life:Die','strong'),('Life:Die','weak'),('Life:Die','weak'),('Transaction:Transfer-Money','strong'),('Transaction:Transfer-Money','weak'),('Transaction:Transfer-Money','weak')) r(event_type, visibility) GROUP BY 1""")
+('Contact:Meet','strong'),('Contact:Meet','weak'),('Life:Die','strong'),('Life:Die','strong'),('Life:Die','weak'),('Life:Die','weak'),('Transaction:Transfer-Money','strong'),('Transaction:Transfer-Money','weak'),('Transaction:Transfer-Money','weak')) v(event_type, visibility) GROUP BY 1),
+e AS (SELECT event_id, {_KINDS} AS event_type FROM events) SELECT e.event_type, count(*) AS events, sum(coalesce(n_roles, 0))::BIGINT AS roles, sum(coalesce(strong, 0))::BIGINT AS strong FROM e LEFT JOIN r USING (event_type) GROUP BY 1""")
 def ontology_roles(spark, sf_dir):
-    return o.event_roles(spark).groupBy("event_type").agg(F.count("*").alias("n_roles"), F.count_if(F.col("visibility") == "strong").alias("strong"))
+    """How many roles events of each type may have, and how many of them images show well; none where the ontology doesn't know the type."""
+    events = _t(spark, sf_dir, "events").select("event_id", F.expr(_KINDS).alias("event_type"))
+    rows = events.join(o.event_roles(spark), "event_type", "left")
+    return rows.groupBy("event_type").agg(F.count_distinct("event_id").alias("events"), F.count("role").alias("roles"), F.count_if(F.col("visibility") == "strong").alias("strong"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'Justice:Arrest-Jail' WHEN 'purchase' THEN 'Transaction:Transfer-Money' WHEN 'signup' THEN 'Contact:Phone-Write' WHEN 'view' THEN 'Life:Die' ELSE 'error' END AS canonical,
@@ -302,8 +313,9 @@ def prf_grouping_sets(spark, sf_dir):
 @query("""SELECT l_orderkey, CAST(sum(least(g, p)) AS BIGINT) AS tp FROM (SELECT l_orderkey, v, count(*) FILTER (s = 0) AS g, count(*) FILTER (s = 1) AS p FROM
 (SELECT l_orderkey, l_returnflag AS v, 0 AS s FROM lineitem UNION ALL SELECT l_orderkey, CASE l_linestatus WHEN 'O' THEN 'N' ELSE 'A' END, 1 FROM lineitem) GROUP BY 1, 2) GROUP BY 1""")
 def multiset_tp(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("gold"), F.collect_list(F.when(F.col("l_linestatus") == "O", "N").otherwise("A")).alias("pred"))
-    return rows.select("l_orderkey", m.multiset_tp(F.col("gold"), F.col("pred")).cast("long").alias("tp"))
+    sides = F.array(F.struct(F.lit(flat.GOLD).alias("side"), F.col("l_returnflag").alias("v")), F.struct(F.lit(flat.PRED).alias("side"), F.when(F.col("l_linestatus") == "O", "N").otherwise("A").alias("v")))
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.explode(sides).alias("i")).select("l_orderkey", "i.*")
+    return flat.shared_counts(items, "l_orderkey", ["v"])
 
 
 # boxes and spans: the lines of an order are gold boxes (odd numbers) and predicted ones (even numbers) --------------------------------

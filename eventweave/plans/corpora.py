@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.functions import spans
@@ -280,10 +280,10 @@ def fusion_contexts(spark, sf_dir):
     return records.fusion_context(states).select("id", c["raw_text"].alias("raw_text"), c["raw_image_desc"].alias("raw_image_desc"), F.size(c["patterns"]["text"]).alias("n_text"), F.size(c["patterns"]["bridge"]).alias("n_bridge"), F.size(c["evidence"]).alias("n_evidence"))
 
 
-@query("SELECT user_id, list(event_type ORDER BY event_id) AS history FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 2 GROUP BY 1")
+@query("SELECT user_id, list(event_type ORDER BY event_id) AS history FROM events GROUP BY 1")
 def trace_append(spark, sf_dir):
-    """Each user's history: the first event's, and the second's appended."""
-    first = table(spark, sf_dir, "events").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("r <= 2")
-    one, two = (first.where(F.col("r") == r).select("user_id", F.col("event_type").alias(f"e{r}")) for r in (1, 2))
-    both = one.join(two, "user_id", "left").withColumn("history", records.appended(F.lit(None).cast("array<string>"), F.col("e1")))
-    return both.select("user_id", F.when(F.col("e2").isNotNull(), records.appended(F.col("history"), F.col("e2"))).otherwise(F.col("history")).alias("history"))
+    """Each user's whole history, every event appended to what came before it."""
+    event = F.struct("event_id", "event_type")
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(event)).alias("x"))
+    grown = F.aggregate("x", F.lit(None).cast("array<string>"), lambda history, x: records.appended(history, x["event_type"]))
+    return users.select("user_id", grown.alias("history"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventweave.operators import corpus, errors, scoring, verify
+from eventweave.operators import corpus, errors, flat, scoring, verify
 from eventweave.operators import matching as m
 from eventweave.plans.registry import query, table
 
@@ -70,7 +70,7 @@ def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return gold, pred.unionByName(first), traces
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str) -> scoring.Scored:
     gold, pred, _ = samples(spark, sf_dir)
     return scoring.score_samples(scoring.paired(gold, pred))
 
@@ -153,8 +153,11 @@ SELECT 'o' || p.k AS sample_id, list(p.n ORDER BY p.n) AS pred, list(coalesce(on
 def iou_greedy_match(spark, sf_dir):
     """Places of gold boxes that predicted ones take, in order; places are line numbers: the nth predicted line is line 2n, the nth gold line 2n - 1."""
     rows = _lines(spark, sf_dir).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("sample_id"), F.transform(F.filter("all", lambda x: (x["n"] % 2 == 0) & (x["l_partkey"] % 7 != 0)), lambda x: x["n"].cast("long")).alias("pred"))
-    found = scored(spark, sf_dir).select("sample_id", F.transform("partners", lambda i: F.when(i >= 0, 2 * i.cast("long") + 1).otherwise(-1)).alias("gold"))
-    return rows.join(found, "sample_id").where(F.size("gold") > 0)
+    image = scored(spark, sf_dir).image
+    first = F.min(F.when(F.col("side") == flat.GOLD, F.col("n"))).over(Window.partitionBy("sample_id"))
+    place = F.coalesce(2 * (F.col("partner") - F.col("first")).cast("long") + 1, F.lit(-1))
+    boxes = image.withColumn("first", first).where(F.col("side") == flat.PRED).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("n", place.alias("line")))).alias("x"))
+    return rows.join(boxes.select("sample_id", F.col("x.line").alias("gold")), "sample_id")
 
 
 # errors ---------------------------------------------------------------------------------------------------------------
@@ -257,11 +260,9 @@ _OVER = "sp.t = sg.t AND sp.trig AND sp.role = sg.role AND sp.s <= sg.s AND sp.e
 @query(f"{_SPARE} SELECT 'o' || sg.k AS sample_id, count(DISTINCT sg.n) AS gold, count(DISTINCT sp.n) AS pred FROM sg JOIN sp ON sp.k = sg.k AND {_OVER} GROUP BY 1")
 def span_overlong(spark, sf_dir):
     """How many unmatched gold spans lie in longer predicted ones of their role, and in how many."""
-    spare = lambda own, other: m.leftovers(F.col(own), F.col(other), lambda a: m.text_tuple(a, False))
-    rows = scoring.settle(scored(spark, sf_dir), {"sg": spare("gold_text", "pred_text"), "sp": spare("pred_text", "gold_text")})
-    held = F.size(F.filter("sg", lambda g: F.exists("sp", lambda p: m.overlong(g, p)))).cast("long")
-    hold = F.size(F.filter("sp", lambda p: F.exists("sg", lambda g: m.overlong(g, p)))).cast("long")
-    return rows.select("sample_id", held.alias("gold"), hold.alias("pred")).where("gold > 0")
+    spare = flat.swept_containments(scored(spark, sf_dir).exact_text().where("not exact"), [*scoring.PLACE, "role"], "longer")
+    count = lambda side: F.count_if((F.col("side") == side) & F.col("longer"))
+    return spare.groupBy("sample_id").agg(count(flat.GOLD).alias("gold"), count(flat.PRED).alias("pred")).where("gold > 0")
 
 
 @query("""WITH r AS (SELECT doc_id, source AS verb, CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE source END AS said, quality = 1 AS noun, toxic = 0 AS box FROM labels JOIN documents USING (doc_id)),

@@ -97,10 +97,10 @@ def test_records_without_a_prediction_field_are_read(spark):
     flat = pred("a", ATTACK, [("Target", 2, 3)], [("Target", [0, 0, 9, 9])])
     own = PRED.replace("prediction struct<", "").replace(">>>, _pos int", ">>, _pos int").replace("event_type:string,trigger:", "event_type string, trigger ").replace(",text_arguments:", ", text_arguments ").replace(",image_arguments:", ", image_arguments ")
     df = spark.createDataFrame([{"id": "a", "_pos": 0, **flat["prediction"]}], own)
-    rows = scoring.score_samples(scoring.paired(scored_gold(spark, [gold("a", ATTACK, [("Target", 2, 3)], [("Target", [0, 0, 9, 9])])]), df)).first()
+    rows = scoring.score_samples(scoring.paired(scored_gold(spark, [gold("a", ATTACK, [("Target", 2, 3)], [("Target", [0, 0, 9, 9])])]), df)).by_sample().first()
     assert (rows.event_tp, rows.text_tp, rows.image_tp) == (1, 1, 1)
     mixed = spark.createDataFrame([{"id": "b", "_pos": 0, "prediction": None, "event_type": ATTACK}], PRED + ", event_type string")
-    assert scoring.predicted_arguments(mixed).first().pred_type == ATTACK
+    assert scoring.predicted_items(mixed).first().pred_type == ATTACK
     bad = scoring.invalid_boxes(spark.createDataFrame([pred("a", ATTACK, image=[("Target", [0, 0, 9, 9]), ("Place", None), ("Place", [1, 2])])], PRED))
     assert [(r.sample_id, r["index"], r.role) for r in bad.orderBy("index").collect()] == [("a", 1, "Place"), ("a", 2, "Place")]
 

@@ -46,15 +46,15 @@ def test_exact_arguments_gate_and_missing_predictions(spark):
 def test_null_triggers_are_equal_and_can_be_ignored(spark):
     g = gold("a", ATTACK, [("Target", 2, 3)])
     g["text_event_mentions"][0]["trigger"] = None
-    assert scored(spark, [g], [pred("a", ATTACK, [("Target", 2, 3)], trigger=None)]).first().text_tp == 1
+    assert scored(spark, [g], [pred("a", ATTACK, [("Target", 2, 3)], trigger=None)]).by_sample().first().text_tp == 1
     far = pred("a", ATTACK, [("Target", 2, 3)], trigger=(7, 8))
-    assert scored(spark, [g], [far]).first().text_tp == 0
-    assert scored(spark, [g], [far], ignore_trigger=True).first().text_tp == 1
+    assert scored(spark, [g], [far]).by_sample().first().text_tp == 0
+    assert scored(spark, [g], [far], ignore_trigger=True).by_sample().first().text_tp == 1
 
 
 def test_meeting_roles_have_aliases_in_meetings_only(spark):
     rows = scored(spark, [gold("a", MEET, [("Participant", 2, 3)]), gold("b", "Conflict:Demonstrate", [("Participant", 2, 3)])], [pred("a", MEET, [("Entity", 2, 3)]), pred("b", "Conflict:Demonstrate", [("Entity", 2, 3)])])
-    assert {r.sample_id: r.text_tp for r in rows.collect()} == {"a": 1, "b": 0}
+    assert {r.sample_id: r.text_tp for r in rows.by_sample().collect()} == {"a": 1, "b": 0}
     assert [tuple(r) for r in scoring.alias_rescues(rows).collect()] == [("text", MEET, "Participant", "Entity", 1)]
     raw = [tuple(r) for r in scoring.role_confusions(rows, normalized=False).orderBy("event_type").collect()]
     assert raw == [("text", "Conflict:Demonstrate", "Participant", "Entity", 1), ("text", MEET, "Participant", "Entity", 1)]
@@ -63,7 +63,7 @@ def test_meeting_roles_have_aliases_in_meetings_only(spark):
 
 def test_boxes_of_the_role_map_are_used_without_a_flat_list(spark):
     g = gold("a", ATTACK) | {"image_event": {"event_type": ATTACK, "role": {"Target": [{"image_ref": "x", "bbox": [0.0, 0.0, 10.0, 10.0]}]}}}
-    row = scored(spark, [g], [pred("a", ATTACK, image=[("Target", [1, 1, 11, 11])])]).first()
+    row = scored(spark, [g], [pred("a", ATTACK, image=[("Target", [1, 1, 11, 11])])]).by_sample().first()
     assert row.image_tp == 1 and len(row.gold_image) == 1
 
 
@@ -100,7 +100,7 @@ def test_greedy_boxes_agree_with_a_plain_loop(spark):
     items = lambda: [(rng.choice(["Target", "Place"]), box()) for _ in range(rng.randint(0, 6))]
     samples = [(str(i), items(), items()) for i in range(300)]
     rows = scored(spark, [gold(i, ATTACK, image=g) for i, g, _ in samples], [pred(i, ATTACK, image=p) for i, _, p in samples], image_iou=0.3)
-    got = {r.sample_id: r.partners for r in rows.collect()}
+    got = {r.sample_id: r.partners for r in rows.by_sample().collect()}
     assert got == {i: plain_greedy(p, g, 0.3) for i, g, p in samples}
 
 
