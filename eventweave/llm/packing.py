@@ -30,8 +30,10 @@ from eventweave.llm.pretokens import id_width, library_encoder
 from eventweave.llm.scratch import discard, filesystem, materialize, scratch_path, small_batches
 from eventweave.llm.textbuf import binary_cells, text_chunks
 
-#: Shares are multiples of about 1 / 2**18; products with window numbers then fit 64 bits at 25e12 tokens.
+#: Shares are multiples of about 1 / 2**18.
 SHARE_UNITS = 1 << 18
+#: Tokens in all that 64 bits hold places of, with products taken in parts.
+MOST_TOKENS = 1 << 52
 #: Queues of the outer level, whose schedule every task holds.
 GROUPS = 4096
 _TOKENS = "doc_id long, queue string, source string, ids binary, n_tokens long, local_start long, local_rank long, part long"
@@ -46,17 +48,24 @@ class Schedule:
         self.units = np.maximum(1, np.rint(share * SHARE_UNITS)).astype(np.int64)
         self.base = int(self.units.sum())
         self.window, self.grain = window, grain
+        tokens = sum(map(int, self.total))
+        if tokens > MOST_TOKENS or window * int(self.units.max(initial=1)) * self.base * grain >= 1 << 62:
+            raise ValueError(f"a schedule of {tokens} tokens, {len(self.total)} queues and windows of {window} doesn't fit 64 bits")
 
     def served(self, rounds: np.ndarray) -> np.ndarray:
         """A_s(r) for all queues (columns) and the given rounds (rows)."""
-        earned = self.window * self.units[None, :] * rounds[:, None] // (self.base * self.grain) * self.grain
+        gain, need = self.window * self.units[None, :], self.base * self.grain
+        # gain * rounds // need, the rounds in whole multiples of need and a rest
+        many, rest = np.divmod(rounds[:, None], need)
+        many = np.minimum(many, self.total[None, :] // (gain * self.grain) + 1)  # beyond that a queue is dry
+        earned = (gain * many + gain * rest // need) * self.grain
         return np.minimum(self.total[None, :], earned)
 
     def round_of(self, queue: np.ndarray, position: np.ndarray) -> np.ndarray:
         """The round in which a queue's token is served."""
-        need = self.base * self.grain * (position // self.grain + 1)
-        gain = self.window * self.units[queue]
-        return -(-need // gain) - 1
+        need, gain = self.base * self.grain, self.window * self.units[queue]
+        many, rest = np.divmod(position // self.grain + 1, gain)
+        return need * many - (-need * rest // gain) - 1
 
     def turns(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For documents at the given places of their queues: (document, start in it, length, position among all that is served) of what each round takes."""
