@@ -137,7 +137,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 1.
     """(query_id, rank from 1, vec_id, score) of each query's k nearest rows of the index by exact cosine; all if there are fewer.
 
     ``queries`` are rows of an index of the same seed. A query's own vec_id is no candidate; ties go to the smaller vec_id. Vectors are
-    compared with those of the same length only. Repeated rows of an id count as rows of their own; an empty table gives no rows. Nothing is broadcast: groups have bounded sizes at any scale.
+    compared with those of the same length only. Null, zero and non-finite vectors and rows without an id are in no index. At least as many rows come back as the first pass has candidates for (FIRST * k), whatever
+    epsilon is. Repeated rows of an id count as rows of their own; an empty table gives no rows. Nothing is broadcast: groups have bounded sizes at any scale.
     """
     spark = index.sparkSession
     n_cand, n_quer = index.count(), queries.count()
@@ -159,11 +160,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 1.
     cosine = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x) / (norm(F.col("u")) * norm(F.col("v")))
     vectors = index.select("vec_id", "dims", F.col("embedding").alias("v"))
     known = likely.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "dims", F.col("embedding").alias("u")), ["query_id", "dims"])
-    each = known.select("query_id", "vec_id", cosine.alias("s")).groupBy("query_id", "vec_id").agg(F.min("s").alias("s"))
+    each = materialize(known.select("query_id", "vec_id", cosine.alias("s")).groupBy("query_id", "vec_id").agg(F.min("s").alias("s")), "first-pass")
     # the k-th best of some candidates is at most the k-th best of all
     bars = materialize(each.groupBy("query_id").agg(F.sort_array(F.collect_list("s"), False).alias("s")).select(F.col("query_id").alias("vec_id"), F.try_element_at("s", F.lit(k)).alias("bar")), "bars")
     barred = asked.join(bars, "vec_id", "left").select("vec_id", "dims", "embedding", (F.coalesce("bar", F.lit(-2.0)) - 1e-9).alias("bar"))
-    found = cells(index, barred, lambda a, b: nearest_in_cell(a, b, k, epsilon, seed)[0], "query_id long, vec_id long, score double")
+    found = materialize(cells(index, barred, lambda a, b: nearest_in_cell(a, b, k, epsilon, seed)[0], "query_id long, vec_id long, score double"), "second-pass")
+    # the first pass's own scores count too, so that a query gets its rows whatever the bounds let through
+    found = found.unionByName(each.join(found, ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id", F.col("s").alias("score")))
     ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
