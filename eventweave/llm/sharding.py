@@ -91,6 +91,11 @@ def splitters(keys: DataFrame, total: int, n_ranges: int, seed: int = 7) -> np.n
         found = np.unique(np.concatenate([found, high, *new]))
 
 
+def shard_at(total: int, n_shards: int) -> F.Column:
+    """The shard of the record whose middle is ``begin`` + ``size`` / 2 of total bytes. Products of places and shards can pass 64 bits, so they are decimals."""
+    return F.least(F.lit(n_shards - 1), F.expr(f"cast(cast(begin + size div 2 as decimal(19,0)) * cast({n_shards} as decimal(10,0)) div cast({max(1, total)} as decimal(19,0)) as int)"))
+
+
 def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """docs with ``shard`` (0 to n_shards - 1), ``slot`` (gapless from 0 in each shard) and ``shard_bytes_at``, stored.
 
@@ -136,8 +141,7 @@ def shard_by_splitters(docs: DataFrame, n_shards: int, id_col: str = "doc_id", t
     task = np.minimum(first_byte.astype(np.float64) * tasks / max(1, total), tasks - 1).astype(np.int32)
     dealt = with_range(record, cuts, task=task).repartitionById(tasks, "task").sortWithinPartitions("range", "k1", "k2")
     placed = dealt.mapInArrow(place, f"record {kind}, begin long, rank long, size long")
-    middle = F.col("begin") + F.expr("size div 2")
-    shard = F.least(F.lit(n_shards - 1), (middle * F.lit(n_shards) / F.lit(float(max(1, total)))).cast("int")).alias("shard")
+    shard = shard_at(total, n_shards).alias("shard")
     stored = materialize(placed.select("record", shard, "rank", "begin"), "shards")
     first = stored.groupBy("shard").agg(F.min("rank").alias("first_rank"))  # n_shards rows
     return stored.join(F.broadcast(first), "shard").select("record.*", "shard", (F.col("rank") - F.col("first_rank")).alias("slot"), F.col("begin").alias("shard_bytes_at"))
