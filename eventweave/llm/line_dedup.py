@@ -43,19 +43,17 @@ def boilerplate_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return out
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare: str = "share") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", spare: str = "copies") -> DataFrame:
     """docs with ``text`` rid of boilerplate lines, and ``n_lines`` and ``n_removed``.
 
     A line (its text up to line feeds, without spaces at its ends) is boilerplate when it stands in documents of at least min_sites distinct sites;
-    blank lines never are. ``spare`` says which documents are left whole all the same. "share": those of which boilerplate makes up more than max_share
-    of the characters, copies or not. "copies": those whose lines, but for blank ones, are all boilerplate and whose whole text another document has too
-    (another id, or another row without an id), so that deduplication still sees them; max_share then counts for nothing, and every
-    other boilerplate line goes. Null texts stay null with no
+    blank lines never are. ``spare`` says which documents are left whole all the same. "copies": those whose lines, but for blank ones, are all boilerplate and whose whole text another
+    document has too (another id, or another row without an id), so that deduplication still sees them. "none": no document. Null texts stay null with no
     lines; rows with a null id or site are treated like others, though a null site adds to no line's spread. Repeated rows get equal results. A very long text is
     rebuilt in proportion to its lines; an empty table gives no rows. Columns named like the new ones are replaced, others may have any name.
     """
-    if spare not in ("share", "copies"):
-        raise ValueError(f"spare must be 'share' or 'copies', not {spare!r}")
+    if spare not in ("copies", "none"):
+        raise ValueError(f"spare must be 'copies' or 'none', not {spare!r}")
     text, lines = docs[text_col].cast("string"), split_lines(docs[text_col].cast("string"))
     # all that is decided about a row follows from its text, so rows are known by their id and text hashes
     keys = [docs[id_col].cast("string").alias("k0"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
@@ -77,11 +75,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, max_share: float =
     joined = keyed.join(hits.alias("h"), on, "left")
     whole_text, removed = row(text_col).cast("string"), F.col("h.removed")
     split = split_lines(whole_text)
-    gone = F.aggregate(removed, F.lit(0), lambda n, place: n + place["size"])
-    if spare == "copies":
-        whole = F.coalesce("h.copied", F.lit(False)) & (F.size(removed) == F.size(F.filter(split, lambda x: F.trim(x) != "")))
-    else:
-        whole = gone > F.lit(max_share) * F.length(whole_text)
+    whole = F.coalesce("h.copied", F.lit(False)) & (F.size(removed) == F.size(F.filter(split, lambda x: F.trim(x) != "")))
     act = removed.isNotNull() & ~whole
     # what is left are the runs of lines between removed ones, so the work is in proportion to the lines
     cuts = F.array_sort(F.transform(removed, lambda p: p["pos"]))

@@ -22,7 +22,10 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a URI and the path in it; ``file:/x`` and ``file:///x`` are both accepted."""
+    """The Arrow file system of a URI and the path in it; ``file:/x`` and ``file:///x`` are both accepted, and Spark's other names of S3."""
+    for name in ("s3a://", "s3n://"):
+        if uri.startswith(name):
+            uri = "s3://" + uri[len(name) :]
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:") :]
     return pafs.FileSystem.from_uri(uri)

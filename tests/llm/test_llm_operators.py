@@ -489,7 +489,7 @@ def test_boilerplate_lines_go(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, n_removed string")
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_boilerplate(df, 10).collect()}
     assert got[3] == ("own line 3\nmore own words 3", 3, 1)
-    assert got[50] == ("menu", 1, 0) and got[51] == (None, 0, 0) and got[52] == ("", 1, 0)
+    assert got[50] == ("", 1, 1) and got[51] == (None, 0, 0) and got[52] == ("", 1, 0)
     assert got[53] == ("\nfour five six seven", 3, 1) and got[None] == ("null id and its own line", 2, 1)
     assert got[60] == ("rare\nwords of its own", 2, 0)
     assert line_dedup.remove_boilerplate(df.limit(0), 10).count() == 0
@@ -517,8 +517,10 @@ def test_pipeline_removes_boilerplate_whatever_its_share(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_boilerplate(spark, df, SF).collect()]
     want = [(i, f"own {i}") for i in range(12)] + [(20, menu + "\n"), (21, menu + "\n"), (22, "\n"), (30, ""), (30, ""), (None, menu + " "), (None, menu + " ")]
     assert sorted(got, key=str) == sorted(want, key=str)
+    bare = [r.text for r in line_dedup.remove_boilerplate(df, spare="none").where("doc_id is null").collect()]
+    assert bare == ["", ""]
     with pytest.raises(ValueError):
-        line_dedup.remove_boilerplate(df, spare="none")
+        line_dedup.remove_boilerplate(df, spare="share")
 
 
 def test_spread_is_exact_at_the_threshold(spark):
