@@ -83,15 +83,23 @@ def plain_role(value: Column) -> Column:
 
 
 def canonical_role_for(event_type: Column, value: Column) -> Column:
-    """A role by global aliases and then those of its (canonical) event type."""
+    """A role by global aliases and then those of its (canonical) event type. Names that are spelled as they are known take a look-up and no pattern matching."""
+    loose = {_squeezed(a): r for a, r in ROLE_ALIASES.items()}
+    spelled = {*ROLE_NAMES, *ROLE_ALIASES, *(a for aliases in EVENT_ROLE_ALIASES.values() for a in aliases)}
+    plain = {name: ROLE_ALIASES.get(name) or loose.get(_squeezed(name)) or name for name in sorted(spelled)}
+    known = F.when(~event_type.isin(*EVENT_ROLE_ALIASES), _look_up(plain, value))
+
     def own(role: Column) -> Column:
         out = role
         for name, aliases in EVENT_ROLE_ALIASES.items():
-            loose = {_squeezed(a): r for a, r in aliases.items()}
-            out = F.when(event_type == name, F.coalesce(_look_up(aliases, role), _look_up(loose, squeeze_key(role)), role)).otherwise(out)
+            near = {_squeezed(a): r for a, r in aliases.items()}
+            out = F.when(event_type == name, F.coalesce(_look_up(aliases, role), _look_up(near, squeeze_key(role)), role)).otherwise(out)
         return out
 
-    return let(canonical_role(value), own)
+    for name, aliases in EVENT_ROLE_ALIASES.items():
+        near = {_squeezed(a): r for a, r in aliases.items()}
+        known = known.when(event_type == name, _look_up({k: aliases.get(v) or near.get(_squeezed(v)) or v for k, v in plain.items()}, value))
+    return F.coalesce(known, let(canonical_role(value), own))
 
 
 def visibility(event_type: Column, role: Column) -> Column:

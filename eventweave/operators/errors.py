@@ -40,18 +40,21 @@ CAUSES = {
 
 
 def _text_events(scored: Scored, differ: Column, untyped: Column) -> DataFrame:
-    """Text arguments without a partner: of several faults the first counts, from a span that the other side has under another role to one that is nowhere."""
-    spare = flat.same_places(scored.exact_text().where("not exact"), PLACE, "there")
-    spare = flat.swept_overlaps(flat.swept_overlaps(spare, [*PLACE, "role"], "as_role"), PLACE, "near")
-    rows = spare.select("*", allowed_roles(F.col("gold_type")).alias("gold_roles"), allowed_roles(F.col("pred_type")).alias("pred_roles"))
+    """Text arguments with a partner (gold ones), and those without: of several faults the first counts, from a span that the other side has under another role to one that is nowhere."""
+    spare = ~F.col("exact")
+    text = flat.same_places(scored.exact_text(), PLACE, "there", spare)
+    text = flat.swept_overlaps(flat.swept_overlaps(text, [*PLACE, "role"], "as_role", spare), PLACE, "near", spare)
+    rows = text.where(spare | (F.col("side") == GOLD)).select("*", allowed_roles(F.col("gold_type")).alias("gold_roles"), allowed_roles(F.col("pred_type")).alias("pred_roles"))
     outside = (F.size("gold_roles") > 0) & ~F.array_contains("gold_roles", F.col("role"))
     found = lambda side: F.when(F.col("there"), f"text.{side}_wrong_role_same_span").when(F.col("as_role"), f"text.{side}_boundary_error_same_role").when(F.col("near"), f"text.{side}_wrong_role_and_boundary")
     fp = F.when(differ, "text.fp_due_to_wrong_event_type").otherwise(F.coalesce(found("fp"), F.when(outside, "text.fp_role_outside_schema"), F.lit("text.fp_spurious_argument")))
     fn = F.when(untyped, "text.fn_due_to_missing_event_type").otherwise(F.coalesce(found("fn"), F.lit("text.fn_missing_argument")))
     illegal = (F.col("pred_type") != "") & ~F.array_contains("pred_roles", F.col("role"))
     pred = F.col("side") == PRED
-    names = F.array(F.when(pred, fp).otherwise(fn), F.when(pred & illegal, "text.pred_role_illegal_under_pred_event"), F.when(pred & outside, "text.pred_role_outside_gold_schema_union"))
-    return _events(rows, F.explode(F.array_compact(names)))
+    names = F.array(F.when(F.col("exact"), "text.true_positive").when(pred, fp).otherwise(fn), F.when(pred & illegal, "text.pred_role_illegal_under_pred_event"), F.when(pred & outside, "text.pred_role_outside_gold_schema_union"))
+    found = _events(rows, F.explode(F.array_compact(names)))
+    hit = F.col("counter") == "text.true_positive"
+    return found.withColumn("gold_role", F.when(~hit, F.col("gold_role")))
 
 
 def _image_events(scored: Scored, differ: Column, untyped: Column, threshold: float, low: float, cover_high: float, purity_low: float) -> DataFrame:
@@ -90,7 +93,6 @@ def breakdown_events(scored: Scored, threshold: float = 0.5, low: float = 0.2, c
     parts = [
         _text_events(scored, differ, untyped),
         _image_events(scored, differ, untyped, threshold, low, cover_high, purity_low),
-        count(scored.exact_text().where((F.col("side") == GOLD) & F.col("exact")), "text.true_positive"),
         count(scored.image.where((F.col("side") == GOLD) & F.col("partner").isNotNull()), "image.true_positive"),
         count(scored.invalid, "image.fp_spurious_argument"),
         whole(scored.samples.where(differ), F.explode(F.array(F.lit("text.event_type_mismatch_samples"), F.lit("image.event_type_mismatch_samples"))), F.lit(1)),

@@ -30,19 +30,20 @@ def shared_counts(items: DataFrame, group: str, key: list[str], name: str = "tp"
     return each.groupBy(group).agg(F.sum("both").alias(name))
 
 
-def same_places(items: DataFrame, group: list[str], name: str) -> DataFrame:
-    """items and whether the other side has one with the same span in the group."""
-    at = Window.partitionBy(*group, "start", "end")
-    return items.withColumn(name, other_side(F.count_if(F.col("side") == GOLD).over(at), F.count_if(F.col("side") == PRED).over(at)) > 0)
+def same_places(items: DataFrame, group: list[str], name: str, among: Column | None = None) -> DataFrame:
+    """items and whether the other side has one with the same span in the group; ``among`` says which items count as such."""
+    at, there = Window.partitionBy(*group, "start", "end"), F.lit(True) if among is None else among
+    return items.withColumn(name, other_side(*[F.count_if((F.col("side") == s) & there).over(at) for s in (GOLD, PRED)]) > 0)
 
 
-def swept_overlaps(items: DataFrame, group: list[str], name: str) -> DataFrame:
-    """items and whether a span of the other side in the group overlaps theirs; empty spans overlap nothing.
+def swept_overlaps(items: DataFrame, group: list[str], name: str, among: Column | None = None) -> DataFrame:
+    """items and whether a span of the other side in the group overlaps theirs; empty spans overlap nothing. ``among`` says which items count for others.
 
     Two sweeps: the furthest end of the spans that begin no later, and the nearest start of those that begin no earlier."""
     full = F.col("start") < F.col("end")
     up, down = (Window.partitionBy(*group).orderBy(order) for order in (F.asc("start"), F.desc("start")))
-    of = lambda side, c: F.when((F.col("side") == side) & full, F.col(c))
+    there = full if among is None else full & among
+    of = lambda side, c: F.when((F.col("side") == side) & there, F.col(c))
     furthest = other_side(*[F.max(of(s, "end")).over(up) for s in (GOLD, PRED)])
     nearest = other_side(*[F.min(of(s, "start")).over(down) for s in (GOLD, PRED)])
     return items.withColumn(name, full & (F.coalesce(furthest > F.col("start"), F.lit(False)) | F.coalesce(nearest < F.col("end"), F.lit(False))))

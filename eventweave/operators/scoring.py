@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from eventweave.ontology import canonical_role_for, canonical_type, plain_role
 from eventweave.operators import flat
 from eventweave.operators import matching as m
 from eventweave.operators.flat import GOLD, PRED
+from eventweave.session import materialize
 
 
 def precision_recall(tp: Column, pred: Column, gold: Column) -> list[Column]:
@@ -91,7 +93,7 @@ def predicted_items(pred: DataFrame) -> DataFrame:
 
 
 def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """A row for each sample (medium ``sample``) and each argument of gold samples and their predictions, by sample: (sample_id, gold_type, pred_type, gate, n, side, medium, event_type, role,
+    """A stored row for each sample (medium ``sample``) and each argument of gold samples and their predictions, by sample: (sample_id, gold_type, pred_type, gate, n, side, medium, event_type, role,
     raw_role, trigger_start, trigger_end, start, end, x1, y1, x2, y2). Arguments without a role, span or box of four numbers are left out; predicted boxes that aren't are there with medium ``invalid``."""
     both = gold_items(gold).join(predicted_items(pred), "sample_id", "left")
     items = F.concat(F.array(_item(GOLD, "sample")), "gold_items", F.coalesce("pred_items", F.array().cast(_ITEM)))
@@ -104,7 +106,7 @@ def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
     gate = (F.col("gold_type") != "") & (F.col("gold_type") == F.col("pred_type"))
     out = named.select("sample_id", "gold_type", "pred_type", gate.alias("gate"), "n", "side", medium.alias("medium"), "event_type", canonical_role_for(F.col("event_type"), F.col("role")).alias("role"), plain_role(F.col("role")).alias("raw_role"), "trigger_start", "trigger_end", "start", "end", boxed.alias("boxed"), *corners)
     whole = F.when(F.col("medium") == "text", (F.col("role") != "") & F.col("start").isNotNull() & F.col("end").isNotNull()).when(F.col("medium") == "image", (F.col("role") != "") & F.col("boxed")).otherwise(True)
-    return out.where(whole).drop("boxed")
+    return materialize(out.where(whole).drop("boxed"), "arguments")
 
 
 def invalid_boxes(pred: DataFrame) -> DataFrame:
@@ -123,16 +125,41 @@ def settle(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 PLACE = ["sample_id", "event_type", "trigger_start", "trigger_end"]
 
 
-@dataclass(frozen=True)
+@dataclass
 class Scored:
-    """Arguments of samples, matched: ``text`` rows have ``matched``, ``image`` rows ``partner`` (the other box's n, or null); ``samples`` has a row a sample and ``invalid`` the boxes that are none."""
+    """The arguments of paired(), matched: texts one to one by type, trigger (unless ignored), role and span; boxes by type, role and more than image_iou in common, in order of the predictions."""
 
-    samples: DataFrame
-    text: DataFrame
-    image: DataFrame
-    invalid: DataFrame
-    image_iou: float
-    ignore_trigger: bool
+    pairs: DataFrame
+    image_iou: float = 0.5
+    ignore_trigger: bool = False
+
+    def _of(self, medium: str, *columns: str) -> DataFrame:
+        return self.pairs.where(F.col("medium") == medium).select("sample_id", "gold_type", "pred_type", "gate", "n", "side", *columns)
+
+    @property
+    def samples(self) -> DataFrame:
+        """A row for each sample: its types, and whether they are equal (``gate``)."""
+        return self.pairs.where("medium = 'sample'").select("sample_id", "gold_type", "pred_type", "gate")
+
+    @property
+    def invalid(self) -> DataFrame:
+        """Predicted boxes that are none."""
+        return self._of("invalid")
+
+    @cached_property
+    def text(self) -> DataFrame:
+        """Text arguments with ``matched``."""
+        place = ["sample_id", "event_type"] if self.ignore_trigger else PLACE
+        return flat.numbered_matches(self._of("text", "event_type", "trigger_start", "trigger_end", "role", "raw_role", "start", "end"), [*place, "role", "start", "end"])
+
+    @cached_property
+    def image(self) -> DataFrame:
+        """Boxes with ``partner``, the other box's n, or null; stored when first asked for."""
+        boxes, kind = self._of("image", "event_type", "role", "raw_role", "x1", "y1", "x2", "y2"), ["sample_id", "event_type", "role"]
+        taken = flat.greedy_pairs(flat.overlapping_boxes(boxes, kind, ["n"]).where(F.col("iou") > self.image_iou), kind)
+        ends = [F.struct(F.col(f"{own}_n").alias("n"), F.col(f"{other}_n").alias("partner")) for own, other in (("pred", "gold"), ("gold", "pred"))]
+        partner = taken.select("sample_id", F.explode(F.array(*ends)).alias("p")).select("sample_id", "p.*")
+        return materialize(boxes.join(partner, ["sample_id", "n"], "left"), "boxes")
 
     def exact_text(self) -> DataFrame:
         """``text`` with ``exact``: whether an argument has a partner of its own trigger too, whether or not scores ignore triggers."""
@@ -158,16 +185,7 @@ class Scored:
 
 
 def score_samples(pairs: DataFrame, image_iou: float = 0.5, ignore_trigger: bool = False) -> Scored:
-    """The arguments of paired(), matched: texts one to one by type, trigger (unless ignored), role and span; boxes by type, role and more than image_iou in common, in order of the predictions."""
-    place = ["sample_id", "event_type"] if ignore_trigger else PLACE
-    columns = lambda medium, names: pairs.where(F.col("medium") == medium).select("sample_id", "gold_type", "pred_type", "gate", "n", "side", *names)
-    text = flat.numbered_matches(columns("text", ["event_type", "trigger_start", "trigger_end", "role", "raw_role", "start", "end"]), [*place, "role", "start", "end"])
-    boxes = columns("image", ["event_type", "role", "raw_role", "x1", "y1", "x2", "y2"])
-    kind = ["sample_id", "event_type", "role"]
-    taken = flat.greedy_pairs(flat.overlapping_boxes(boxes, kind, ["n"]).where(F.col("iou") > image_iou), kind)
-    partner = taken.select("sample_id", F.explode(F.array(F.struct(F.col("pred_n").alias("n"), F.col("gold_n").alias("partner")), F.struct(F.col("gold_n").alias("n"), F.col("pred_n").alias("partner")))).alias("p")).select("sample_id", "p.*")
-    samples = pairs.where("medium = 'sample'").select("sample_id", "gold_type", "pred_type", "gate")
-    return Scored(samples, text, boxes.join(partner, ["sample_id", "n"], "left"), columns("invalid", []), image_iou, ignore_trigger)
+    return Scored(pairs, image_iou, ignore_trigger)
 
 
 def _counted(scored: Scored) -> DataFrame:
