@@ -131,6 +131,18 @@ def phrase_starts(tokens: Column, phrase: Column) -> Column:
     return F.filter(places, lambda i: F.slice(tokens, i + 1, F.size(phrase)) == phrase)
 
 
+def phrase_places(docs: DataFrame, phrases: DataFrame, key: str, tokens: str, phrase: str) -> DataFrame:
+    """(key, phrase, start) of every place where a document's tokens hold one of its phrases, overlaps included; phrases (key, phrase) are arrays of tokens.
+
+    A document's runs of tokens are listed once for each length that its phrases have and looked up for all of them, so its work is its positions for each length, not for each
+    phrase. Empty and null phrases are nowhere, and a phrase that is given twice counts once."""
+    asked = phrases.select(key, F.col(phrase).alias("phrase")).where(F.size("phrase") > 0).distinct()
+    lengths = asked.select(key, F.size("phrase").alias("n")).distinct()
+    held = docs.select(key, F.col(tokens).alias("tokens")).join(lengths, key).where(F.size("tokens") >= F.col("n"))
+    runs = held.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1), lambda i: F.slice("tokens", i, F.col("n")))).alias("start", "phrase"))
+    return runs.join(asked, [key, "phrase"]).select(key, "phrase", "start")
+
+
 def choose_nearest(spans: Column, anchors: Column) -> Column:
     """The span whose middle is nearest to any anchor's; the only span without anchors; null if two are equally near or anchors lack."""
     middle = lambda s: s["start"] + s["end"]

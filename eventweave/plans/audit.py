@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from eventweave.plans.registry import query, table
 from eventweave.session import remove, scratch_path
 from eventweave.sources import files, sinks
 from eventweave.streaming import resume
+from eventweave.streaming.events import EVENT, NodeLog
 
 # round trips ------------------------------------------------------------------------------------------------------------
 
@@ -132,6 +134,35 @@ def phrase_starts(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", "l_quantity", m.phrase_starts(F.col("w"), F.array("l_returnflag", "l_linestatus")).alias("starts"), spans.unique_span(F.col("w"), number).isNotNull().alias("single"))
 
 
+@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+one AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS start FROM t),
+two AS (SELECT doc_id, start, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM one WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+g AS (SELECT doc_id, start, 1 AS size, x AS phrase FROM two UNION ALL SELECT doc_id, start, 2, x || ' ' || y FROM two WHERE y IS NOT NULL UNION ALL SELECT doc_id, start, 3, x || ' ' || y || ' ' || z FROM two WHERE z IS NOT NULL),
+p AS (SELECT DISTINCT doc_id, phrase, size FROM g WHERE start % 40 = 0 AND size = start % 3 + 1)
+SELECT doc_id, phrase, count(*) AS n, CAST(min(start) AS INTEGER) AS first FROM g JOIN p USING (doc_id, phrase, size) GROUP BY ALL""")
+def phrase_places(spark, sf_dir):
+    """How often, and where first, each document holds phrases of one to three of its own words, taken at every 40th place."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(40)), lambda i: F.slice("w", i + 1, i % 3 + 1))
+    taken = docs.select("doc_id", F.posexplode(cut).alias("k", "phrase")).where(F.size("phrase") == F.col("k") * 40 % 3 + 1)
+    found = m.phrase_places(docs, taken, "doc_id", "w", "phrase")
+    return found.groupBy("doc_id", F.array_join("phrase", " ").alias("phrase")).agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS node, c_nationkey % 4 <> 0 AS success, CASE WHEN c_nationkey % 4 <> 0 THEN count(*) END AS rows, CASE WHEN c_nationkey % 4 <> 0 THEN sum(c_custkey)::BIGINT END AS keys FROM customer GROUP BY c_nationkey")
+def node_events(spark, sf_dir):
+    """A node for each nation's customers; every fourth one fails. The events as they were written aside."""
+    rows, path, log = table(spark, sf_dir, "customer"), scratch_path(spark, "events"), NodeLog()
+    for nation in [r[0] for r in rows.select("c_nationkey").distinct().collect()]:  # 25 at most
+        with suppress(ArithmeticError), log.node(str(nation)) as count:
+            own = rows.where(F.col("c_nationkey") == nation)
+            if nation % 4 == 0:
+                raise ArithmeticError(f"nation {nation}")
+            count(own.select(F.col("c_custkey").alias("k")), keys=F.sum("k")).write.format("noop").mode("overwrite").save()
+    log.write(spark, path)
+    return spark.read.schema(EVENT).json(path).select("node", "success", "rows", F.col("metrics.keys").alias("keys"))
+
+
 @query("""WITH s AS (SELECT event_id, [event_id % 7, event_id % 5 + 9, event_id % 3 + 20] AS st, event_id % 23 AS a FROM events),
 d AS (SELECT event_id, list_sort(list_transform(st, lambda x: {'d': abs(2 * x + 2 - (2 * a + 1)), 's': x})) AS far FROM s)
 SELECT event_id, CASE WHEN far[1].d <> far[2].d THEN CAST(far[1].s AS INTEGER) END AS nearest FROM d""")

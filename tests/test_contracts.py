@@ -271,13 +271,6 @@ def test_gated_counts_leave_out_wrong_types(spark):
     assert got == {("all", None): (1, 1, 1), ("type", ATTACK): (1, 1, 1)}
 
 
-def test_nodes_report_their_events(spark):
-    rows, event = sinks.observed(spark.range(7), "seven")
-    assert rows.count() == 7
-    made = event()
-    assert (made["node"], made["rows"]) == ("seven", 7) and made["latency_ms"] >= 0
-
-
 def test_services_that_fail_give_nothing(spark):
     rows = spark.createDataFrame([("a", "war"), ("b", " "), ("c", "odd")], "id string, query string").coalesce(1)
 
