@@ -84,22 +84,28 @@ def encode(rows: DataFrame, encoder: Callable[[list], np.ndarray], column: str,
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
-def ask(rows: DataFrame, post: Callable[[dict], str | None] | None, fields: list[str], out: str = "response") -> DataFrame:
-    """rows with a service's answer to their fields as text; null where it fails, gives none, or there is no service."""
+def ask(rows: DataFrame, post: Callable[[dict], str | None] | None, fields: list[str], out: str = "response", tries: int = 1, error: str | None = None) -> DataFrame:
+    """rows with a service's answer to their fields as text; null where it fails, gives none, or there is no service.
+
+    A request that fails is sent ``tries`` times; ``error`` names a column for what the last one failed with. Services with a rate, and requests that repeat, are for sources.fetching."""
     if post is None:
-        return rows.withColumn(out, F.lit(None).cast("string"))
+        return rows.withColumns({c: F.lit(None).cast("string") for c in (out, error) if c})
+
+    def one(values: dict) -> tuple[str | None, str | None]:
+        failed = None
+        for _ in range(tries):
+            try:
+                return post(values), None
+            except Exception as e:
+                failed = f"{type(e).__name__}: {e}"
+        return None, failed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = []
-            for values in batch[fields].to_dict("records"):
-                try:
-                    answers.append(post(values))
-                except Exception:
-                    answers.append(None)
-            yield batch.assign(**{out: pd.Series(answers, batch.index, dtype=object)})
+            answers = [one(values) for values in batch[fields].to_dict("records")]
+            yield batch.assign(**{c: pd.Series([a[k] for a in answers], batch.index, dtype=object) for k, c in enumerate((out, error)) if c})
 
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, *[StructField(c, StringType()) for c in (out, error) if c]]))
 
 
 def search_evidence(queries: DataFrame, post: Callable[[dict], str | None] | None, query: str = "query") -> DataFrame:
