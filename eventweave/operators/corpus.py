@@ -76,10 +76,18 @@ def flatten_swig(images: DataFrame) -> DataFrame:
     return images.select("image_id", truthy(F.col("verb")).alias("verb"), frame.alias("frame"), F.transform(pairs, lambda kv: F.struct(kv["key"].alias("role"), kv["value"].alias("label"))).alias("arguments"))
 
 
+#: Pairs of a mapping that may become a literal in the plan; those of the corpora have some thousand.
+MOST_PAIRS = 1 << 15
+
+
 def _last(pairs: DataFrame, key: Column, value: str) -> dict[str, str]:
-    """The last value of each key, in the order of ``_pos`` or else of the rows. Mappings are as small as the ontology."""
+    """The last value of each key, in the order of ``_pos`` or else of the rows. A mapping of more than MOST_PAIRS keys is an error."""
     pos = F.col("_pos") if "_pos" in pairs.columns else F.monotonically_increasing_id()
-    return {r[0]: r[1] for r in sorted(pairs.select(key, value, pos).collect(), key=lambda r: r[2])}
+    last = pairs.select(key.alias("k"), F.col(value).alias("v"), pos.alias("p")).groupBy("k").agg(F.max_by("v", "p").alias("v"))
+    found = last.limit(MOST_PAIRS + 1).collect()
+    if len(found) > MOST_PAIRS:
+        raise ValueError(f"a mapping has more than {MOST_PAIRS} keys")
+    return {r.k: r.v for r in found}
 
 
 def map_event_types(rows: DataFrame, type_map: DataFrame, dataset: str, raw: str = "raw_type") -> DataFrame:
