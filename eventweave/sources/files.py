@@ -26,6 +26,10 @@ def _row_type(schema: Schema) -> str:
     return row if row.startswith("struct<") else f"struct<{', '.join(row.split(', '))}>"
 
 
+def _blank(text: Column) -> Column:
+    return text.rlike(r"^\s*$")
+
+
 def _is_json(text: Column) -> Column:
     """Whether a text is one JSON value and nothing else. The parser stops after a value, so the text is tried in brackets of two kinds: what closes one early breaks the other."""
     whole = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"a":', "}"))]
@@ -34,12 +38,12 @@ def _is_json(text: Column) -> Column:
 
 def _is_object(text: Column) -> Column:
     """Whether a text is one JSON object."""
-    return F.coalesce(F.trim(text).startswith("{"), F.lit(False)) & _is_json(text)
+    return F.coalesce(text.rlike(r"^\s*\{"), F.lit(False)) & _is_json(text)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     """One object a line. Blank lines and lines that hold another JSON value are dropped; a malformed line fails the read."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(~_blank(F.col("value")))
     bad = ~_is_json(F.col("value"))
     sound = lines.where(F.when(bad, F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 80))).cast("boolean")).otherwise(_is_object(F.col("value"))))
     return sound.select(F.from_json("value", _row_type(schema)).alias("r")).select("r.*")
@@ -74,7 +78,7 @@ def line_files(spark: SparkSession, path: str) -> dict[str, bool]:
     """Each file below a path that has text, and whether it is one of JSON lines: by its name, or because its first line is an object and more follow.
 
     The names come to the driver, which lists them for every read."""
-    lines = _numbered_lines(spark, path).where(F.trim("value") != "")
+    lines = _numbered_lines(spark, path).where(~_blank(F.col("value")))
     each = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "place")).alias("first"), F.count("*").alias("n"))
     by_lines = F.lower("file").endswith(".jsonl") | ((F.col("n") > 1) & _is_object(F.col("first")))
     return {r.file: r.by_lines for r in each.select("file", by_lines.alias("by_lines")).collect()}
@@ -105,7 +109,7 @@ def parsed_records(spark: SparkSession, path: str, kind: str = "samples", fall_b
     out = spark.createDataFrame([], _PARSED)
     if lines:
         rows = _numbered_lines(spark, [_literal(f) for f in lines])
-        blank = F.trim("value") == ""
+        blank = _blank(F.col("value"))
         out = out.unionByName(rows.select("file", "block", "place", F.lit(None).cast("int").alias("item"), F.when(~blank, F.col("value")).alias("value"), F.when(~blank, _fault(F.col("value"))).alias("fault")))
     if others:
         whole = spark.read.text([_literal(f) for f in others], wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
@@ -114,13 +118,13 @@ def parsed_records(spark: SparkSession, path: str, kind: str = "samples", fall_b
         # an element that is no string is its JSON text
         elements = lambda array: F.from_json(array, "array<string>")
         fields = F.from_json(text, "map<string,string>")
-        wrapped = F.coalesce(*[F.when(F.trim(F.try_element_at(fields, F.lit(key))).startswith("["), elements(F.try_element_at(fields, F.lit(key)))) for key in _WRAPPERS[kind]], F.array(text))
-        sound = F.when(F.trim(text).startswith("["), elements(text)).otherwise(wrapped)
+        wrapped = F.coalesce(*[F.when(F.try_element_at(fields, F.lit(key)).rlike(r"^\s*\["), elements(F.try_element_at(fields, F.lit(key)))) for key in _WRAPPERS[kind]], F.array(text))
+        sound = F.when(text.rlike(r"^\s*\["), elements(text)).otherwise(wrapped)
         by_line = F.split(text, "\n") if kind == "corpus" and fall_back else F.array(text)
         items = whole.select("file", broken.alias("broken"), F.posexplode(F.when(broken, by_line).otherwise(sound)).alias("at", "value"))
         first = 1 if kind == "corpus" and fall_back else 0
         fault = F.when(F.col("broken"), _fault(F.col("value")) if first else F.lit(NOT_JSON)).otherwise(F.when(~_is_object(F.col("value")), NOT_AN_OBJECT))
-        kept = items.where(~F.col("broken") | (F.trim(F.coalesce("value", F.lit(""))) != ""))
+        kept = items.where(~F.col("broken") | ~_blank(F.coalesce("value", F.lit(""))))
         none = F.lit(None).cast("bigint")
         out = out.unionByName(kept.select("file", none.alias("block"), none.alias("place"), (F.col("at") + F.when(F.col("broken"), first).otherwise(1)).alias("item"), "value", fault.alias("fault")))
     return out

@@ -27,8 +27,8 @@ def folder(tmp_path, **texts):
 
 
 def test_each_file_is_read_by_its_own_format(spark, tmp_path):
-    path = folder(tmp_path, a_json='{"records":[{"x":1},{"x":2}]}', b_json='{"x":3}\n{"x":4}\n', c_json='[{"x":5}]', d_jsonl='\n{"x":6}', e_json='{\n"records": [\n{"x":7}]\n}', f_json="")
-    assert sorted(r.x for r in files.read_json_documents(spark, path, "x int", "corpus").collect()) == [1, 2, 3, 4, 5, 6, 7]
+    path = folder(tmp_path, a_json='{"records":[{"x":1},{"x":2}]}', b_json='{"x":3}\n{"x":4}\n', c_json='[{"x":5}]', d_jsonl='\n{"x":6}', e_json='\n\t{\n"records": \n[\n{"x":7}]\n}', f_json="", g_json='\n{"x":8}\n', h_json='\t\n [ {"x":9}]', i_json='\t{"x":10}\n\t\n {"x":11}')
+    assert sorted(r.x for r in files.read_json_documents(spark, path, "x int", "corpus").collect()) == list(range(1, 12))
     with pytest.raises(ValueError):
         files.read_json_documents(spark, path, "x int", "corpus", fall_back=False)
 
