@@ -92,9 +92,10 @@ def predicted_items(pred: DataFrame) -> DataFrame:
     return base.select("sample_id", "pred_type", F.concat(texts, boxes).alias("pred_items"))
 
 
-def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """A stored row for each sample (medium ``sample``) and each argument of gold samples and their predictions, by sample: (sample_id, gold_type, pred_type, gate, n, side, medium, event_type, role,
-    raw_role, trigger_start, trigger_end, start, end, x1, y1, x2, y2). Arguments without a role, span or box of four numbers are left out; predicted boxes that aren't are there with medium ``invalid``."""
+def paired(gold: DataFrame, pred: DataFrame, store: bool = True) -> DataFrame:
+    """A row for each sample (medium ``sample``) and each argument of gold samples and their predictions, by sample: (sample_id, gold_type, pred_type, gate, n, side, medium, event_type, role,
+    raw_role, trigger_start, trigger_end, start, end, x1, y1, x2, y2). Arguments without a role, span or box of four numbers are left out; predicted boxes that aren't are there with medium ``invalid``.
+    The rows are stored, unless only one kind of them is read once."""
     both = gold_items(gold).join(predicted_items(pred), "sample_id", "left")
     items = F.concat(F.array(_item(GOLD, "sample")), "gold_items", F.coalesce("pred_items", F.array().cast(_ITEM)))
     rows = both.select("sample_id", "gold_type", F.coalesce("pred_type", F.lit("")).alias("pred_type"), F.posexplode(items).alias("n", "i")).select("sample_id", "gold_type", "pred_type", "n", "i.*")
@@ -106,7 +107,8 @@ def paired(gold: DataFrame, pred: DataFrame) -> DataFrame:
     gate = (F.col("gold_type") != "") & (F.col("gold_type") == F.col("pred_type"))
     out = named.select("sample_id", "gold_type", "pred_type", gate.alias("gate"), "n", "side", medium.alias("medium"), "event_type", canonical_role_for(F.col("event_type"), F.col("role")).alias("role"), plain_role(F.col("role")).alias("raw_role"), "trigger_start", "trigger_end", "start", "end", boxed.alias("boxed"), *corners)
     whole = F.when(F.col("medium") == "text", (F.col("role") != "") & F.col("start").isNotNull() & F.col("end").isNotNull()).when(F.col("medium") == "image", (F.col("role") != "") & F.col("boxed")).otherwise(True)
-    return materialize(out.where(whole).drop("boxed"), "arguments")
+    kept = out.where(whole).drop("boxed")
+    return materialize(kept, "arguments") if store else kept
 
 
 def invalid_boxes(pred: DataFrame) -> DataFrame:

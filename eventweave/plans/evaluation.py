@@ -70,9 +70,9 @@ def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return gold, pred.unionByName(first), traces
 
 
-def scored(spark: SparkSession, sf_dir: str) -> scoring.Scored:
+def scored(spark: SparkSession, sf_dir: str, store: bool = True) -> scoring.Scored:
     gold, pred, _ = samples(spark, sf_dir)
-    return scoring.score_samples(scoring.paired(gold, pred))
+    return scoring.score_samples(scoring.paired(gold, pred, store))
 
 
 _TYPED = """base AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus = 'F' THEN 'Justice:Arrest-Jail' WHEN o_orderstatus = 'O' THEN 'Contact:Meet' WHEN o_orderkey % 4 = 0 THEN '' ELSE 'Conflict:Attack' END AS gt FROM orders),
@@ -260,7 +260,7 @@ _OVER = "sp.t = sg.t AND sp.trig AND sp.role = sg.role AND sp.s <= sg.s AND sp.e
 @query(f"{_SPARE} SELECT 'o' || sg.k AS sample_id, count(DISTINCT sg.n) AS gold, count(DISTINCT sp.n) AS pred FROM sg JOIN sp ON sp.k = sg.k AND {_OVER} GROUP BY 1")
 def span_overlong(spark, sf_dir):
     """How many unmatched gold spans lie in longer predicted ones of their role, and in how many."""
-    spare = flat.swept_containments(scored(spark, sf_dir).exact_text().where("not exact"), [*scoring.PLACE, "role"], "longer")
+    spare = flat.swept_containments(scored(spark, sf_dir, store=False).exact_text().where("not exact"), [*scoring.PLACE, "role"], "longer")
     count = lambda side: F.count_if((F.col("side") == side) & F.col("longer"))
     return spare.groupBy("sample_id").agg(count(flat.GOLD).alias("gold"), count(flat.PRED).alias("pred")).where("gold > 0")
 
