@@ -33,6 +33,13 @@ def test_each_file_is_read_by_its_own_format(spark, tmp_path):
         files.read_json_documents(spark, path, "x int", "corpus", fall_back=False)
 
 
+def test_a_whole_file_is_not_parsed_again_for_each_element(spark, tmp_path):
+    path = folder(tmp_path, a_json='{"records":[{"x":1},{"x":2}]}', b_json='{"records":[{"x":3}')
+    plan = files.parsed_records(spark, path, "corpus")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    listed = next(i for i, line in enumerate(plan) if "Generate posexplode" in line)
+    assert not [line for line in plan[:listed] if "text#" in line]
+
+
 def test_bad_rows_are_set_aside_with_their_places(spark, tmp_path):
     texts = {"a_json": '{"records":[{"x":1}, 7, "s"]}', "b_json": '[8]\n{"x":2}\n\nbad\t{\n{"x":3} {"x":4}\n', "c_json": "[1, 2", "d_jsonl": 'x\n{"x":5}\n5\n', "e_json": '{"x":6} trailing', "f_json": "1, 2", "g_json": "1], [2"}
     path = folder(tmp_path, **texts)
