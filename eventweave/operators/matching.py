@@ -15,6 +15,8 @@ from eventweave.functions.bbox import iou, normalize_bbox
 from eventweave.functions.text import let, truthy
 
 Pair = Callable[[Column, Column], Column]
+#: Bits of a bitmap that Spark aggregates.
+BITS = 32768
 
 
 def last_wins(rows: DataFrame, key: str, pos: str = "_pos") -> DataFrame:
@@ -135,12 +137,15 @@ def phrase_places(docs: DataFrame, phrases: DataFrame, key: str, tokens: str, ph
     """(key, phrase, start) of every place where a document's tokens hold one of its phrases, overlaps included; phrases (key, phrase) are arrays of tokens.
 
     A document's runs of tokens are listed once for each length that its phrases have and looked up for all of them, so its work is its positions for each length, not for each
-    phrase. Empty and null phrases are nowhere, and a phrase that is given twice counts once."""
+    phrase. Only runs whose hash is in a bitmap of the document's phrases leave their task to be compared. Empty and null phrases are nowhere, and a phrase that is given twice counts once."""
     asked = phrases.select(key, F.col(phrase).alias("phrase")).where(F.size("phrase") > 0).distinct()
-    lengths = asked.select(key, F.size("phrase").alias("n")).distinct()
-    held = docs.select(key, F.col(tokens).alias("tokens")).join(lengths, key).where(F.size("tokens") >= F.col("n"))
-    runs = held.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1), lambda i: F.slice("tokens", i, F.col("n")))).alias("start", "phrase"))
-    return runs.join(asked, [key, "phrase"]).select(key, "phrase", "start")
+    bit = F.pmod(F.xxhash64("phrase"), F.lit(BITS))
+    marks = asked.groupBy(key).agg(F.collect_set(F.size("phrase")).alias("lengths"), F.bitmap_construct_agg(bit).alias("marks"))
+    held = docs.select(key, F.col(tokens).alias("tokens")).join(marks, key).select(key, "tokens", "marks", F.explode("lengths").alias("n")).where(F.size("tokens") >= F.col("n"))
+    runs = held.select(key, "marks", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1), lambda i: F.slice("tokens", i, F.col("n")))).alias("start", "phrase"))
+    byte = F.conv(F.hex(F.substring("marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = runs.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(key, "start", "phrase")
+    return likely.join(asked, [key, "phrase"]).select(key, "phrase", "start")
 
 
 def choose_nearest(spans: Column, anchors: Column) -> Column:

@@ -57,3 +57,22 @@ def test_phrases_are_found_in_all_their_places(spark):
     own = dict(docs)
     want = sorted({(i, tuple(p), k) for i, p in phrases if p and own.get(i) for k in range(len(own[i]) - len(p) + 1) if own[i][k : k + len(p)] == p})
     assert got == want
+
+
+def shuffled_rows(spark):
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_runs_of_tokens_that_no_phrase_can_be_stay_where_they_are(spark):
+    words = [str(k) for k in range(20_000)]
+    docs = spark.createDataFrame([(1, words)], "id int, w array<string>")
+    phrases = spark.createDataFrame([(1, ["7", "8"]), (1, ["19998", "19999"])], "id int, p array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        found = matching.phrase_places(docs, phrases, "id", "w", "p").select("start").collect()
+        assert sorted(r.start for r in found) == [7, 19998]
+        assert shuffled_rows(spark) - before < 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
