@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from eventweave.llm.scratch import discard, materialize, small_batches
 
 #: Bytes of text of a bundle; entries of first words' bitmaps that are extended together.
-BUNDLE, BATCH = 16 << 20, 1 << 18
+BUNDLE, BATCH = 12 << 20, 1 << 16
 #: log2 of the filter's bits: least and most (32 MB), and bits for each pair below that.
 FILTER_BITS, BITS_EACH = (15, 28), 16
 #: Candidates of a language are ranked in so many parts before they meet.
@@ -66,13 +66,15 @@ class Bitmaps:
 
     def __init__(self, words: pa.ChunkedArray, begins: np.ndarray):
         coded = words.combine_chunks().dictionary_encode()
-        self.words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.words, ids = coded.dictionary, coded.indices.to_numpy()
         place = np.arange(len(ids)) + np.cumsum(begins)
-        key = (place >> 3) * len(self.words) + ids
+        key, bit = (place >> 3) * len(self.words) + ids, np.left_shift(np.uint8(1), (place & 7).astype(np.uint8))
+        del coded, place
         order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        self.mask = np.bitwise_or.reduceat((1 << (place & 7)).astype(np.uint8)[order], first)
-        self.byte, self.word = np.divmod(key[order][first], len(self.words))
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.mask = np.bitwise_or.reduceat(bit[order], first)
+        self.byte, self.word = np.divmod(key[first], len(self.words))
         self.start = np.searchsorted(self.byte, np.arange(self.byte[-1] + 3))
         self.counts = np.bincount(ids, minlength=len(self.words))
 
@@ -95,7 +97,8 @@ class Bitmaps:
         at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[byte], size)
         both = mask[row] & self.mask[at]
         hit = np.flatnonzero(both)
-        return owner[row[hit]], self.word[at[hit]], byte[row[hit]], both[hit]
+        both, row, at = both[hit], row[hit], at[hit]
+        return owner[row], self.word[at], byte[row], both
 
     def phrases(self, longest: int, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(words, counts) of phrases of 2 to ``longest`` words, depth first; ``allowed`` tells which pairs (left, right) may stand in one."""

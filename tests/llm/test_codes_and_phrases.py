@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -260,3 +261,17 @@ def test_batches_of_first_words_lose_nothing(monkeypatch):
     whole = count()
     monkeypatch.setattr(collocations, "BATCH", 50)
     assert count() == whole == sum(len(words) - n + 1 for n in (2, 3))
+
+
+def test_a_bundle_takes_little_memory_while_its_phrases_are_counted():
+    words = pa.array([b"%d" % k for k in np.random.default_rng(5).zipf(1.3, 400_000) % 50_000], pa.large_binary())
+    begins = np.zeros(len(words), bool)
+    begins[::12] = True
+    tracemalloc.start()
+    try:
+        maps = collocations.Bitmaps(pa.chunked_array([words]), begins)
+        assert sum(int(n.sum()) for _, n in maps.phrases(2, lambda left, right: np.ones(len(left), bool))) == (~begins[1:]).sum()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
