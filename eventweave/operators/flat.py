@@ -19,9 +19,9 @@ def other_side(gold: Column, pred: Column) -> Column:
 
 def numbered_matches(items: DataFrame, key: list[str], name: str = "matched") -> DataFrame:
     """items and whether each has a partner of equal key on the other side, one to one: of equal items the first ones, by ``n``, are matched. Null parts of keys are equal."""
-    same, own = Window.partitionBy(*key), Window.partitionBy(*key, "side").orderBy("n")
-    there = other_side(F.count_if(F.col("side") == GOLD).over(same), F.count_if(F.col("side") == PRED).over(same))
-    return items.withColumn(name, F.row_number().over(own) <= there)
+    own = Window.partitionBy(*key).orderBy("side", "n")  # one order for numbers and counts: gold items come first
+    gold, pred = (F.count_if(F.col("side") == s).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for s in (GOLD, PRED))
+    return items.withColumn(name, F.row_number().over(own) <= F.when(F.col("side") == GOLD, pred).otherwise(2 * gold))
 
 
 def shared_counts(items: DataFrame, group: str, key: list[str], name: str = "tp") -> DataFrame:
@@ -72,7 +72,9 @@ def overlapping_boxes(items: DataFrame, group: list[str], keep: list[str]) -> Da
     first strip that both are in. Boxes with corners that aren't finite numbers share nothing."""
     wide = F.col("x2") - F.col("x1")
     sound = (wide > 0) & (F.col("y2") > F.col("y1")) & (wide < float("inf")) & (F.abs("x1") < float("inf"))
-    sized = items.where(sound).select(*group, "side", *keep, *_BOX, F.max(wide).over(Window.partitionBy(*group)).alias("w"))
+    of = Window.partitionBy(*group)
+    # boxes of groups that have one side only meet nothing
+    sized = items.where(sound).select(*group, "side", *keep, *_BOX, F.max(wide).over(of).alias("w"), (F.min("side").over(of) != F.max("side").over(of)).alias("met")).where("met").drop("met")
     strip = lambda c: F.floor(F.col(c) / F.col("w"))
     dealt = sized.select("*", strip("x1").alias("first"), F.explode(F.sequence(strip("x1"), strip("x2"))).alias("strip")).drop("w")
     sides = [dealt.where(F.col("side") == s).select(*group, "strip", *[F.col(c).alias(f"{name}_{c}") for c in (*keep, *_BOX, "first")]) for s, name in ((GOLD, "gold"), (PRED, "pred"))]
@@ -89,7 +91,7 @@ def greedy_pairs(pairs: DataFrame, group: list[str]) -> DataFrame:
     """(group, pred_n, gold_n): predictions in order each take the free gold item with the largest ``iou``, of equal ones the first.
 
     ``pairs`` (group, pred_n, gold_n, iou) are those that may be taken. Only a group's pairs meet in a row, in the order in which they are tried."""
-    tried = F.array_sort(F.collect_list(F.struct(F.col("pred_n").alias("p"), (-F.col("iou")).alias("o"), F.col("gold_n").alias("g"))))
+    tried = F.sort_array(F.collect_list(F.struct(F.col("pred_n").alias("p"), (-F.col("iou")).alias("o"), F.col("gold_n").alias("g"))))
     taken = "array<struct<p:int,g:int>>"
 
     def take(done: Column, x: Column) -> Column:
