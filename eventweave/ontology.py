@@ -79,11 +79,13 @@ def canonical_role(value: Column) -> Column:
 
 def plain_role(value: Column) -> Column:
     """A role as it is written, without white space at its ends; null is empty."""
+    value = F.trim(value)  # spaces go without a pattern
     return F.when(value.isin(*ROLE_NAMES), value).otherwise(trim_ws(F.coalesce(value, F.lit(""))))
 
 
 def canonical_role_for(event_type: Column, value: Column) -> Column:
     """A role by global aliases and then those of its (canonical) event type. Names that are spelled as they are known take a look-up and no pattern matching."""
+    value = F.trim(value)
     loose = {_squeezed(a): r for a, r in ROLE_ALIASES.items()}
     spelled = {*ROLE_NAMES, *ROLE_ALIASES, *(a for aliases in EVENT_ROLE_ALIASES.values() for a in aliases)}
     plain = {name: ROLE_ALIASES.get(name) or loose.get(_squeezed(name)) or name for name in sorted(spelled)}

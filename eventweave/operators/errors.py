@@ -233,7 +233,6 @@ def category_counts(found: DataFrame, by: list[str] | None = None) -> DataFrame:
 def summary(found: DataFrame) -> DataFrame:
     """(kind, name, category, n) of samples: all of them (``samples``) and those with a category (``cases``), by category (0 where there is none), by category of each gold
     type and of each role involved, and by cause."""
-    problem = found.where(F.size("categories") > 0)
     one = lambda kind, name, category: F.struct(F.lit(kind).alias("kind"), name.alias("name"), category.alias("category"))
     none = F.lit("")
     gold = F.coalesce(F.nullif(F.col("gold_type"), F.lit("")), F.lit("(missing)"))
@@ -246,10 +245,9 @@ def summary(found: DataFrame) -> DataFrame:
         F.transform("causes", lambda c: one("cause", c, none)),
     )
     counted = found.select(F.explode(rows).alias("r")).select("r.*").groupBy("kind", "name", "category").agg(F.count("*").alias("n"))
-    spark = found.sparkSession
-    dims = {"category": spark.createDataFrame([("category", "")], "kind string, name string")}
-    dims["type"] = problem.select(F.lit("type").alias("kind"), gold.alias("name")).distinct()
-    dims["role"] = problem.select(F.lit("role").alias("kind"), F.explode("roles").alias("name")).distinct()
-    dense = reduce(DataFrame.unionByName, dims.values()).crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in CATEGORIES], "category string")))
-    filled = dense.join(counted, ["kind", "name", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return filled.unionByName(counted.where(~F.col("kind").isin("category", "type", "role")))
+    # a type or role of samples with a category has a count, so what has none is filled in from the counts alone
+    zeros = found.sparkSession.createDataFrame([("category", "", CATEGORIES[0], 0)], "kind string, name string, category string, n long")
+    named = counted.unionByName(zeros).groupBy("kind", "name").agg(F.collect_list(F.struct("category", "n")).alias("found"))
+    every = F.when(F.col("kind").isin("category", "type", "role"), F.array(*map(F.lit, CATEGORIES))).otherwise(F.transform("found", lambda x: x["category"]))
+    total = lambda c: F.aggregate(F.filter("found", lambda x: x["category"] == c), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return named.select("kind", "name", F.explode(F.transform(every, lambda c: F.struct(c.alias("category"), total(c).alias("n")))).alias("r")).select("kind", "name", "r.*")
