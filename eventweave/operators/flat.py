@@ -62,7 +62,7 @@ def swept_containments(items: DataFrame, group: list[str], name: str) -> DataFra
     return items.withColumn(name, F.when(F.col("side") == GOLD, either(inside)).otherwise(either(around)))
 
 
-_BOX = ["x1", "y1", "x2", "y2"]
+CORNERS = ["x1", "y1", "x2", "y2"]
 
 
 def overlapping_boxes(items: DataFrame, group: list[str], keep: list[str]) -> DataFrame:
@@ -74,10 +74,10 @@ def overlapping_boxes(items: DataFrame, group: list[str], keep: list[str]) -> Da
     sound = (wide > 0) & (F.col("y2") > F.col("y1")) & (wide < float("inf")) & (F.abs("x1") < float("inf"))
     of = Window.partitionBy(*group)
     # boxes of groups that have one side only meet nothing
-    sized = items.where(sound).select(*group, "side", *keep, *_BOX, F.max(wide).over(of).alias("w"), (F.min("side").over(of) != F.max("side").over(of)).alias("met")).where("met").drop("met")
+    sized = items.where(sound).select(*group, "side", *keep, *CORNERS, F.max(wide).over(of).alias("w"), (F.min("side").over(of) != F.max("side").over(of)).alias("met")).where("met").drop("met")
     strip = lambda c: F.floor(F.col(c) / F.col("w"))
     dealt = sized.select("*", strip("x1").alias("first"), F.explode(F.sequence(strip("x1"), strip("x2"))).alias("strip")).drop("w")
-    sides = [dealt.where(F.col("side") == s).select(*group, "strip", *[F.col(c).alias(f"{name}_{c}") for c in (*keep, *_BOX, "first")]) for s, name in ((GOLD, "gold"), (PRED, "pred"))]
+    sides = [dealt.where(F.col("side") == s).select(*group, "strip", *[F.col(c).alias(f"{name}_{c}") for c in (*keep, *CORNERS, "first")]) for s, name in ((GOLD, "gold"), (PRED, "pred"))]
     c = lambda name: F.col(name)
     both = sides[0].join(sides[1], [*group, "strip"]).where(c("strip") == F.greatest("gold_first", "pred_first"))
     inter = (F.least("gold_x2", "pred_x2") - F.greatest("gold_x1", "pred_x1")) * (F.least("gold_y2", "pred_y2") - F.greatest("gold_y1", "pred_y1"))

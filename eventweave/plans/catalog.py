@@ -334,9 +334,13 @@ def _numbered(item):
     return F.transform(F.array_sort(F.collect_list(item)), lambda x, i: x.withField("n", (i + 1).cast("long")))
 
 
-def _orders_with_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corners() -> list:
     x, y = F.col("l_quantity"), F.floor(F.col("l_discount") * 100) * 2
-    box = F.array(x, y.cast("double"), x + 20 + F.floor(F.col("l_tax") * 100), (y + 15).cast("double"))
+    return [x, y.cast("double"), x + 20 + F.floor(F.col("l_tax") * 100), (y + 15).cast("double")]
+
+
+def _orders_with_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.array(*_corners())
     item = F.struct(F.col("l_linenumber").alias("n"), F.lit("t").alias("event_type"), F.col("l_returnflag").alias("role"), F.col("l_returnflag").alias("raw_role"), box.alias("bbox"))
     rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(_numbered(item).alias("all"))
     return rows.select("l_orderkey", F.filter("all", lambda b: b["n"] % 2 == 1).alias("gold"), F.filter("all", lambda b: b["n"] % 2 == 0).alias("pred"))
@@ -349,7 +353,14 @@ def _box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BOXES} SELECT l_orderkey, pred, gold, round(iou, 9) AS iou, {_QUALITY} AS quality FROM scored WHERE iou > 0.5 OR iou > 0 AND pred_role = gold_role")
 def iou_pairs(spark, sf_dir):
-    return _box_pairs(spark, sf_dir).where("iou > 0.5 or iou > 0 and pred_role = gold_role").select("l_orderkey", "pred", "gold", F.round("iou", 9).alias("iou"), "quality")
+    """Boxes that share some area, met in strips; judged pair by pair in plain columns."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "role", *flat.CORNERS)
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("role"), *[v.alias(c) for c, v in zip(flat.CORNERS, _corners(), strict=True)])
+    numbered = lines.withColumn("n", F.row_number().over(order).cast("long"))
+    boxes = numbered.withColumn("side", F.when(F.col("n") % 2 == 1, flat.GOLD).otherwise(flat.PRED))
+    pairs = flat.overlapping_boxes(boxes, ["l_orderkey"], ["n", "role"]).where("iou > 0.5 or pred_role = gold_role")
+    quality = bbox.judged(F.col("iou"), F.col("cover"), F.col("purity"), 0.5, 0.2, 0.8, 0.6)
+    return pairs.select("l_orderkey", F.col("pred_n").alias("pred"), F.col("gold_n").alias("gold"), F.round("iou", 9).alias("iou"), quality.alias("quality"))
 
 
 @query(f"WITH {_BOXES} SELECT l_orderkey, pred, gold FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, pred ORDER BY iou DESC, gold) AS r FROM scored WHERE pred_role = gold_role) WHERE r = 1")
