@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,5 +123,4 @@ def is_weak_place_label(label: Column) -> Column:
 
 
 def mentions_weak_place(label: Column) -> Column:
-    value = F.lower(trim_ws(F.coalesce(label, F.lit(""))))
-    return F.exists(F.array(*map(F.lit, WEAK_PLACE_TERMS)), lambda t: value.contains(t))
+    return let(F.lower(trim_ws(F.coalesce(label, F.lit("")))), lambda value: reduce(Column.__or__, [value.contains(t) for t in WEAK_PLACE_TERMS]))

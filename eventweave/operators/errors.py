@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventweave.functions.bbox import iou, judged, quality_bucket
+from eventweave.functions.text import let
 from eventweave.ontology import allowed_roles, canonical_role, mentions_weak_place
 from eventweave.operators import flat
 from eventweave.operators import matching as m
@@ -175,38 +176,33 @@ def error_categories(scored: Scored, traces: DataFrame | None = None, image_iou:
     ``causes`` are the stages that categories point to. ``notes`` name two things that are no errors: a broader text that a stage proposed and the prediction
     narrowed to the gold span (``broader_text:ROLE``; needs the gold samples), and a weak place that was proposed and dropped (``weak_place_dropped``)."""
     rows = _with_words(_traced(scored.by_sample(), traces), samples)
-    rows = settle(
-        rows,
-        {
-            "gold_box_roles": F.array_distinct(F.transform("gold_image", lambda a: a["role"])),
-            "candidates": F.coalesce("candidates", F.array().cast(_CANDIDATES)),
-            "grounded": F.coalesce("grounded", F.array().cast(_GROUNDED)),
-        },
-    )
-    swapped = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), lambda g, p: m.same_trigger(g, p) & m.same_span(g, p) & (g["role"] != p["role"]))
-    longer = m.greedy_first(F.col("spare_gold"), F.col("spare_pred"), m.overlong)
-    low = F.filter("loose_gold", lambda g: F.exists("loose_pred", lambda p: (g["event_type"] == p["event_type"]) & (g["role"] == p["role"]) & (iou(g["bbox"], p["bbox"]) > 0) & (iou(g["bbox"], p["bbox"]) < image_iou)))
+    arrays = {"candidates": F.coalesce("candidates", F.array().cast(_CANDIDATES)), "grounded": F.coalesce("grounded", F.array().cast(_GROUNDED))}
     count = lambda arr, role: F.size(F.filter(arr, lambda a: a["role"] == role))
-    gold_n, pred_n = (lambda r: count(F.col("gold_image"), r)), (lambda r: count(F.col("pred_image"), r))
-    short = F.filter("gold_box_roles", lambda r: (gold_n(r) > 1) & (pred_n(r) < gold_n(r)))
-    cand_n = lambda r: count(F.col("candidates"), r)
     ground_n = lambda r: F.size(F.filter("grounded", lambda a: (a["role"] == r) & (a["grounding_status"] == "grounded")))
-    missed = F.filter("gold_box_roles", lambda r: F.col("traced") & (pred_n(r) < gold_n(r)) & (cand_n(r) < gold_n(r)))
-    lost = F.filter("gold_box_roles", lambda r: F.col("traced") & (pred_n(r) < gold_n(r)) & (cand_n(r) >= gold_n(r)) & (ground_n(r) < F.least(cand_n(r), gold_n(r))))
+    kinds = lambda r: F.struct(r.alias("role"), count("gold_image", r).alias("gold"), count("pred_image", r).alias("pred"), count("candidates", r).alias("cand"), ground_n(r).alias("ground"))
+    rows = settle(settle(rows, arrays), {"by_role": F.transform(F.array_distinct(F.transform("gold_image", lambda a: a["role"])), kinds)})
+    any_pair = lambda left, right, fits: F.exists(left, lambda g: F.exists(right, lambda p: F.coalesce(fits(g, p), F.lit(False))))
+    swapped = any_pair("spare_gold", "spare_pred", lambda g, p: m.same_span(g, p) & (g["role"] != p["role"]) & m.same_trigger(g, p))
+    longer = any_pair("spare_gold", "spare_pred", m.overlong)
+    low = any_pair("loose_gold", "loose_pred", lambda g, p: (g["role"] == p["role"]) & (g["event_type"] == p["event_type"]) & let(iou(g["bbox"], p["bbox"]), lambda o: (o > 0) & (o < image_iou)))
+    roles_where = lambda holds: F.transform(F.filter("by_role", holds), lambda k: k["role"])
+    short = roles_where(lambda k: (k["gold"] > 1) & (k["pred"] < k["gold"]))
+    missed = roles_where(lambda k: F.col("traced") & (k["pred"] < k["gold"]) & (k["cand"] < k["gold"]))
+    lost = roles_where(lambda k: F.col("traced") & (k["pred"] < k["gold"]) & (k["cand"] >= k["gold"]) & (k["ground"] < F.least(k["cand"], k["gold"])))
     place = F.lit("Place")
     proposed_weak = F.exists("candidates", lambda c: (c["role"] == place) & mentions_weak_place(c["label"]))
     right = (F.size("spare_gold") == 0) & (F.size("spare_pred") == 0) & (F.col("image_tp") == F.size("gold_image")) & (F.col("image_tp") == F.size("pred_image")) & F.col("gate")
-    rows = settle(rows, {"swapped": swapped, "longer": longer, "low": low, "short": short, "missed": missed, "lost": lost, "weak": proposed_weak, "more_places": pred_n(place) > gold_n(place), "right": right})
+    rows = settle(rows, {"swapped": swapped, "longer": longer, "low": low, "short": short, "missed": missed, "lost": lost, "weak": proposed_weak, "more_places": count("pred_image", place) > count("gold_image", place), "right": right})
     weak = F.col("weak") & F.col("more_places")
     flags = {
         "event_type_mismatch": (F.col("gold_type") != "") & (F.col("gold_type") != F.col("pred_type")),
         "text_arg_missing": F.size("spare_gold") > 0,
         "text_arg_extra": F.size("spare_pred") > 0,
-        "text_arg_boundary_overlong": F.exists("longer", lambda k: k >= 0),
-        "text_arg_role_mismatch": F.exists("swapped", lambda k: k >= 0),
+        "text_arg_boundary_overlong": F.col("longer"),
+        "text_arg_role_mismatch": F.col("swapped"),
         "image_arg_missing": F.size("loose_gold") > 0,
         "image_arg_extra": F.size("loose_pred") > 0,
-        "image_arg_iou_low": F.size("low") > 0,
+        "image_arg_iou_low": F.col("low"),
         "image_arg_generic_weak_place": weak,
         "image_arg_same_role_instance_shortfall": F.size("short") > 0,
         "grounding_failed_after_stage_c_candidate": F.size("lost") > 0,
@@ -244,7 +240,8 @@ def summary(found: DataFrame) -> DataFrame:
         F.flatten(F.transform("roles", lambda r: F.transform("categories", lambda c: one("role", r, c)))),
         F.transform("causes", lambda c: one("cause", c, none)),
     )
-    counted = found.select(F.explode(rows).alias("r")).select("r.*").groupBy("kind", "name", "category").agg(F.count("*").alias("n"))
+    alike = found.groupBy("gold_type", "categories", "roles", "causes").agg(F.count("*").alias("k"))  # before their pairs are written out
+    counted = alike.select(F.explode(rows).alias("r"), "k").select("r.*", "k").groupBy("kind", "name", "category").agg(F.sum("k").alias("n"))
     # a type or role of samples with a category has a count, so what has none is filled in from the counts alone
     zeros = found.sparkSession.createDataFrame([("category", "", CATEGORIES[0], 0)], "kind string, name string, category string, n long")
     named = counted.unionByName(zeros).groupBy("kind", "name").agg(F.collect_list(F.struct("category", "n")).alias("found"))

@@ -62,3 +62,10 @@ def test_a_summary_reads_its_samples_once(spark):
     one = {(k, n, c): 1 for k, n in (("category", ""), ("type", "(missing)"), ("role", "Place")) for c in ("text_arg_missing", "text_arg_extra")}
     assert got == dense | one | {("samples", "", ""): 2, ("cases", "", ""): 1, ("cause", "c1", ""): 1}
     assert len(made.collect()) == len(got)
+
+
+def test_boxes_of_an_order_meet_in_strips_and_not_in_arrays(spark):
+    from eventweave.plans import catalog
+
+    plan = catalog.iou_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "strip" in plan
