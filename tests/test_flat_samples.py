@@ -69,3 +69,8 @@ def test_boxes_of_an_order_meet_in_strips_and_not_in_arrays(spark):
 
     plan = catalog.iou_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "strip" in plan
+
+
+def test_examples_are_limited_before_they_are_shuffled(spark):
+    plan = evaluation.examples_per_bucket(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [counter" in plan and "dense_rank(sample_id" in plan and ", Partial" in plan
