@@ -24,10 +24,14 @@ def numbered_matches(items: DataFrame, key: list[str], name: str = "matched") ->
     return items.withColumn(name, F.row_number().over(own) <= F.when(F.col("side") == GOLD, pred).otherwise(2 * gold))
 
 
+def side_counts(items: DataFrame, key: list[str]) -> DataFrame:
+    """(key, gold, pred): how many items of a key each side has."""
+    return items.groupBy(*key).agg(*[F.count_if(F.col("side") == s).alias(name) for s, name in ((GOLD, "gold"), (PRED, "pred"))])
+
+
 def shared_counts(items: DataFrame, group: str, key: list[str], name: str = "tp") -> DataFrame:
     """(group, name): how many items of a group's two sides are equal, one to one."""
-    each = items.groupBy(group, *key).agg(F.least(F.count_if(F.col("side") == GOLD), F.count_if(F.col("side") == PRED)).alias("both"))
-    return each.groupBy(group).agg(F.sum("both").alias(name))
+    return side_counts(items, [group, *key]).groupBy(group).agg(F.sum(F.least("gold", "pred")).alias(name))
 
 
 def same_places(items: DataFrame, group: list[str], name: str, among: Column | None = None) -> DataFrame:
@@ -65,6 +69,12 @@ def swept_containments(items: DataFrame, group: list[str], name: str) -> DataFra
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
+def facing(items: DataFrame, group: list[str]) -> DataFrame:
+    """The items of groups that have both sides."""
+    of = Window.partitionBy(*group)
+    return items.withColumn("met", F.min("side").over(of) != F.max("side").over(of)).where("met").drop("met")
+
+
 def overlapping_boxes(items: DataFrame, group: list[str], keep: list[str]) -> DataFrame:
     """(group, gold_..., pred_..., inter, iou, cover, purity) of every gold and predicted box of a group that share some area, with the columns ``keep`` of both.
 
@@ -87,17 +97,17 @@ def overlapping_boxes(items: DataFrame, group: list[str], keep: list[str]) -> Da
     return made.select("*", (c("inter") / (c("ga") + c("pa") - c("inter"))).alias("iou"), (c("inter") / c("ga")).alias("cover"), (c("inter") / c("pa")).alias("purity")).drop("ga", "pa")
 
 
-def greedy_pairs(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """(group, pred_n, gold_n): predictions in order each take the free gold item with the largest ``iou``, of equal ones the first.
+def greedy_pairs(pairs: DataFrame, group: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(group, pred_n, gold_n, keep): predictions in order each take the free gold item with the largest ``iou``, of equal ones the first.
 
-    ``pairs`` (group, pred_n, gold_n, iou) are those that may be taken. Only a group's pairs meet in a row, in the order in which they are tried."""
-    tried = F.sort_array(F.collect_list(F.struct(F.col("pred_n").alias("p"), (-F.col("iou")).alias("o"), F.col("gold_n").alias("g"))))
-    taken = "array<struct<p:int,g:int>>"
+    ``pairs`` (group, pred_n, gold_n, iou, keep) are those that may be taken. Only a group's pairs meet in a row, in the order in which they are tried."""
+    keep = keep or []
+    tried = F.sort_array(F.collect_list(F.struct(F.col("pred_n").alias("p"), (-F.col("iou")).alias("o"), F.col("gold_n").alias("g"), *keep)))
+    grouped = pairs.groupBy(*group).agg(tried.alias("t"))
+    taken = grouped.schema["t"].dataType.simpleString()
 
     def take(done: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["p"].alias("p"), x["g"].alias("g")))
-        return F.when(F.exists(done, lambda d: (d["p"] == x["p"]) | (d["g"] == x["g"])), done).otherwise(F.concat(done, one))
+        return F.when(F.exists(done, lambda d: (d["p"] == x["p"]) | (d["g"] == x["g"])), done).otherwise(F.concat(done, F.array(x)))
 
-    grouped = pairs.groupBy(*group).agg(tried.alias("t"))
-    chosen = F.when(F.size("t") == 1, F.transform("t", lambda x: F.struct(x["p"].alias("p"), x["g"].alias("g")))).otherwise(F.aggregate("t", F.array().cast(taken), take))
-    return grouped.select(*group, F.explode(chosen).alias("c")).select(*group, F.col("c.p").alias("pred_n"), F.col("c.g").alias("gold_n"))
+    chosen = F.when(F.size("t") == 1, F.col("t")).otherwise(F.aggregate("t", F.array().cast(taken), take))
+    return grouped.select(*group, F.explode(chosen).alias("c")).select(*group, F.col("c.p").alias("pred_n"), F.col("c.g").alias("gold_n"), *[f"c.{k}" for k in keep])

@@ -22,7 +22,7 @@ BITS = 32768
 def last_wins(rows: DataFrame, key: str, pos: str = "_pos") -> DataFrame:
     """The last row of each key by position; empty and null keys go."""
     order = Window.partitionBy(key).orderBy(F.desc(pos))
-    return rows.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return rows.where(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
 def first_wins(rows: DataFrame, key: str, pos: str = "_pos") -> DataFrame:
