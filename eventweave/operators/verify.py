@@ -24,11 +24,11 @@ def _issue(when: Column, path: Column | str, kind: str, action: str) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.struct(path.alias("field_path"), F.lit(kind).alias("issue_type"), F.lit(action).alias("suggested_action")).cast(DIAGNOSTIC))
 
 
-def _each(arr: str, rules) -> Column:
-    """Issues of each element in order; rules(element, path) gives columns."""
+def _each(arr: str, rules, facts) -> Column:
+    """Issues of each element in order; rules(element, path, facts) gives columns, facts(element, i) a struct of what several of them use, made once."""
     def one(x: Column, i: Column) -> Column:
         at = F.concat(F.lit(f"{arr}["), i.cast("string"), F.lit("]"))
-        return F.array(*rules(x, lambda field: F.concat(at, F.lit(f".{field}" if field else "")), i))
+        return let(facts(x, i), lambda f: F.array(*rules(x, lambda field: F.concat(at, F.lit(f".{field}" if field else "")), f)))
 
     return F.flatten(F.transform(F.coalesce(F.col(arr), F.array()), one))
 
@@ -37,20 +37,26 @@ def with_diagnostics(events: DataFrame, tokens: str = "tokens", image_evidence:
     """events with ``diagnostics``. ``image_evidence`` names a boolean column; ``grounding`` an array of {role, label, bbox, grounding_status} results.
 
     An event or a trigger of which all fields are null is no object; nothing else is said of it."""
-    toks, supported = F.col(tokens), is_supported(truthy(F.col("event_type")))
-    allowed = allowed_roles(truthy(F.col("event_type")))
-    base = events.withColumn("__pref", preferred_spans(toks, F.transform(F.coalesce("text_arguments", F.array()), lambda a: F.struct(a["span"]["start"].alias("start"), a["span"]["end"].alias("end")))))
+    toks, supported, allowed = F.col(tokens), F.col("__supported"), F.col("__allowed")
+    given = F.transform(F.coalesce("text_arguments", F.array()), lambda a: F.struct(a["span"]["start"].alias("start"), a["span"]["end"].alias("end")))
+    kind = truthy(F.col("event_type"))
+    base = settle(events, {"__pref": preferred_spans(toks, given), "__supported": is_supported(kind), "__allowed": allowed_roles(kind)})
     span = F.col("trigger.span")
     fits = F.coalesce(span_fits(span["start"], span["end"], toks), F.lit(False))
     no_event = F.col("event_type").isNull() & F.col("trigger").isNull() & F.col("text_arguments").isNull() & F.col("image_arguments").isNull()
     no_trigger = F.col("trigger").isNotNull() & F.col("trigger.text").isNull() & F.col("trigger.modality").isNull() & span.isNull()
     has_trigger = F.col("trigger").isNotNull() & ~no_trigger
-    role_rule = lambda x, at, i: [_issue(supported & (truthy(x["role"]) != "") & ~F.array_contains(allowed, truthy(x["role"])), at("role"), "invalid_role", "replace_or_drop")]
+    named = lambda x, i: F.struct(truthy(x["role"]).alias("role"), truthy(x["label"]).alias("label"))
+    role_only = lambda x, i: F.struct(truthy(x["role"]).alias("role"))
+    role_rule = lambda x, at, f: [_issue(supported & (f["role"] != "") & ~F.array_contains(allowed, f["role"]), at("role"), "invalid_role", "replace_or_drop")]
 
-    def text_rules(x: Column, at, i: Column) -> list[Column]:
-        s, pref = x["span"], F.try_element_at("__pref", i + 1)
+    def placed(x: Column, i: Column) -> Column:
+        s = x["span"]
         valid = F.coalesce(span_fits(s["start"], s["end"], toks), F.lit(False))
-        match = span_matches(s["start"], s["end"], toks, x["text"])
+        return F.struct(valid.alias("valid"), span_matches(s["start"], s["end"], toks, x["text"]).alias("match"), F.try_element_at("__pref", i + 1).alias("pref"))
+
+    def text_rules(x: Column, at, f: Column) -> list[Column]:
+        s, valid, match, pref = x["span"], f["valid"], f["match"], f["pref"]
         broad = match & ((pref["start"] != s["start"]) | (pref["end"] != s["end"]))
         return [
             _issue(s.isNotNull() & ~valid, at("span"), "invalid_span", "realign_or_drop"),
@@ -61,25 +67,25 @@ def with_diagnostics(events: DataFrame, tokens: str = "tokens", image_evidence:
             _issue(broad, at("span"), "unnormalized_head_word", "shrink_to_head_word"),
         ]
 
-    def image_rules(x: Column, at, i: Column) -> list[Column]:
+    def image_rules(x: Column, at, f: Column) -> list[Column]:
         status = F.coalesce(x["grounding_status"], F.lit(""))
         return [
             _issue(x.isNull(), at(""), "invalid_object", "drop_or_rebuild"),
-            _issue(x.isNotNull() & (truthy(x["role"]) == ""), at("role"), "missing_or_empty", "fill_or_drop"),
-            _issue(x.isNotNull() & (truthy(x["label"]) == ""), at("label"), "missing_or_empty", "fill_or_drop"),
-            _issue((truthy(x["role"]) == "Place") & is_weak_place_label(x["label"]), at("label"), "generic_weak_place", "drop_or_replace_with_directly_visible_place"),
+            _issue(x.isNotNull() & (f["role"] == ""), at("role"), "missing_or_empty", "fill_or_drop"),
+            _issue(x.isNotNull() & (f["label"] == ""), at("label"), "missing_or_empty", "fill_or_drop"),
+            _issue((f["role"] == "Place") & is_weak_place_label(f["label"]), at("label"), "generic_weak_place", "drop_or_replace_with_directly_visible_place"),
             _issue(x.isNotNull() & x["bbox"].isNull() & (status != "unresolved"), at("grounding_status"), "invalid_grounding_status", "mark_unresolved_or_drop"),
             _issue(x["bbox"].isNotNull() & (status != "grounded"), at("grounding_status"), "invalid_grounding_status", "mark_grounded_or_drop_bbox"),
             _issue(x["bbox"].isNotNull() & ((F.size(x["bbox"]) != 4) | F.exists(x["bbox"], lambda v: v.isNull())), at("bbox"), "invalid_bbox_format", "fix_or_drop"),
         ]
 
     results = F.col(grounding) if grounding else F.lit(None).cast("array<struct<role:string,label:string,bbox:array<double>,grounding_status:string>>")
-    applied = lambda x, at, i: [_issue((truthy(x["grounding_status"]) == "unresolved") & F.exists(results, lambda r: (truthy(r["role"]) == truthy(x["role"])) & (truthy(r["label"]) == truthy(x["label"])) & (truthy(r["role"]) != "") & (truthy(r["label"]) != "") & (r["grounding_status"] == "grounded") & (F.size(r["bbox"]) == 4)), at("grounding_status"), "grounding_result_not_applied", "upgrade_from_grounding")]
+    applied = lambda x, at, f: [_issue((truthy(x["grounding_status"]) == "unresolved") & (f["role"] != "") & (f["label"] != "") & F.exists(results, lambda r: (r["grounding_status"] == "grounded") & (F.size(r["bbox"]) == 4) & (truthy(r["role"]) == f["role"]) & (truthy(r["label"]) == f["label"])), at("grounding_status"), "grounding_result_not_applied", "upgrade_from_grounding")]
     seen = F.coalesce(F.col(image_evidence), F.lit(False)) if image_evidence else F.lit(True)
     parts = [
         F.array(_issue(~supported, "event_type", "unsupported_event_type", "set_supported_event_type")),
-        _each("text_arguments", role_rule),
-        _each("image_arguments", role_rule),
+        _each("text_arguments", role_rule, role_only),
+        _each("image_arguments", role_rule, role_only),
         F.array(
             _issue(no_trigger, "trigger", "invalid_object", "drop_or_rebuild"),
             _issue(has_trigger & (F.coalesce(F.col("trigger.modality"), F.lit("")) != "text"), "trigger.modality", "invalid_modality", "set_text_modality_or_drop"),
@@ -87,14 +93,14 @@ def with_diagnostics(events: DataFrame, tokens: str = "tokens", image_evidence:
             _issue(has_trigger & span.isNotNull() & fits & ~span_matches(span["start"], span["end"], toks, F.col("trigger.text")), "trigger.span", "span_mismatch", "realign_or_drop"),
             _issue(F.col("text_arguments").isNull(), "text_arguments", "invalid_list", "drop_or_rebuild"),
         ),
-        _each("text_arguments", lambda x, at, i: [_issue(x.isNull(), at(""), "invalid_object", "drop_or_rebuild"), *text_rules(x, at, i)]),
+        _each("text_arguments", lambda x, at, f: [_issue(x.isNull(), at(""), "invalid_object", "drop_or_rebuild"), *text_rules(x, at, f)], placed),
         F.array(_issue(F.col("image_arguments").isNull(), "image_arguments", "invalid_list", "drop_or_rebuild")),
-        _each("image_arguments", image_rules),
+        _each("image_arguments", image_rules, named),
         F.array(_issue((F.size(F.coalesce("image_arguments", F.array())) > 0) & ~seen, "image_arguments", "missing_image_evidence", "drop_or_rebuild")),
-        _each("image_arguments", applied),
+        _each("image_arguments", applied, named),
     ]
     found = F.when(no_event, F.array(_issue(F.lit(True), "event", "invalid_object", "drop_or_rebuild"))).otherwise(F.array_compact(F.concat(*parts)))
-    return base.withColumn("diagnostics", found).drop("__pref")
+    return base.withColumn("diagnostics", found).drop("__pref", "__supported", "__allowed")
 
 
 def validation_error(events: DataFrame) -> DataFrame:
