@@ -139,7 +139,8 @@ _EVENT = """e AS (SELECT event_id, user_id % 9 AS s, least(9, user_id % 9 + 1 +
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with tokens: a text argument whose text is that of its span, or of a span one word on; a trigger; an image argument."""
-    ev = table(spark, sf_dir, "events").repartition("event_id")  # rows are few bytes and much work, so files make too few tasks
+    # rows are few bytes and much work, so files make too few tasks, and so would partitions that are joined by their bytes
+    ev = table(spark, sf_dir, "events").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     start = (F.col("user_id") % 9).cast("int")
     rows = settle(ev, {"s": start, "e": F.least(F.lit(9), start + 1 + (F.col("event_id") % 3).cast("int")), "tokens": F.array(*map(F.lit, _WORDS)), "q": F.col("event_id") % 4, "z": F.col("event_id") % 5, "w": F.col("event_id") % 7, "v": F.col("event_id") % 11})
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
