@@ -63,12 +63,13 @@ def _image_events(scored: Scored, differ: Column, untyped: Column, threshold: fl
     loose = scored.image.where("partner is null")
     pairs = flat.overlapping_boxes(loose, ["sample_id", "event_type"], ["n", "role"])
     ends = [F.struct(F.col(f"{own}_n").alias("n"), F.col(f"{other}_n").alias("other")) for own, other in (("gold", "pred"), ("pred", "gold"))]
-    each = pairs.select("sample_id", F.explode(F.array(*ends)).alias("e"), (F.col("gold_role") == F.col("pred_role")).alias("same"), "iou", "cover", "purity")
+    said = pairs.withColumn("same", F.col("gold_role") == F.col("pred_role")).where(F.col("same") | (F.col("iou") >= threshold))
+    each = said.select("sample_id", F.explode(F.array(*ends)).alias("e"), "same", "iou", "cover", "purity")
     best = F.max(F.when(F.col("same"), F.struct("iou", (-F.col("e.other")).alias("order"), "cover", "purity")))
     met = each.groupBy("sample_id", F.col("e.n").alias("n")).agg(F.bool_or(~F.col("same") & (F.col("iou") >= threshold)).alias("wrong"), best.alias("best"))
     kind = Window.partitionBy("sample_id", "event_type", "role")
     others = flat.other_side(F.count_if(F.col("side") == GOLD).over(kind), F.count_if(F.col("side") == PRED).over(kind))
-    rows = loose.withColumn("others", others).join(met, ["sample_id", "n"], "left")
+    rows = flat.attached(loose.withColumn("others", others), met, "sample_id", "n")
     quality = F.when(F.col("others") > 0, judged(*[F.coalesce(F.col(f"best.{c}"), F.lit(0.0)) for c in ("iou", "cover", "purity")], threshold, low, cover_high, purity_low))
 
     def bucket(side: str, none: str) -> Column:

@@ -66,6 +66,22 @@ def swept_containments(items: DataFrame, group: list[str], name: str) -> DataFra
     return items.withColumn(name, F.when(F.col("side") == GOLD, either(inside)).otherwise(either(around)))
 
 
+def attached(items: DataFrame, facts: DataFrame, group: str, key: str) -> DataFrame:
+    """items with the columns of facts (group, key, ...), of which an item has one row or none (nulls).
+
+    A join by both keys would deal items anew that are dealt by the group. Here only facts are: the first item of a group gets them as a list, they are written out beside it and meet
+    their items in a window, so work stays in proportion to both."""
+    own = [c for c in facts.columns if c not in (group, key)]
+    listed = facts.groupBy(F.col(group).alias("__of")).agg(F.collect_list(F.struct(key, *own)).alias("__facts"))
+    first = items.withColumn("__first", F.row_number().over(Window.partitionBy(group).orderBy(key)) == 1)
+    met = first.join(listed, (F.col(group) == F.col("__of")) & F.col("__first"), "left")
+    item = F.array(F.lit(None).cast(listed.schema["__facts"].dataType.elementType))
+    rows = met.select(*items.columns, F.explode(F.concat(item, F.coalesce("__facts", F.slice(item, 1, 0)))).alias("__f"))
+    at = Window.partitionBy(group, key)
+    told = rows.withColumn(key, F.coalesce(f"__f.{key}", key)).withColumns({c: F.max(f"__f.{c}").over(at) for c in own})
+    return told.where("__f is null").drop("__f")
+
+
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
