@@ -43,8 +43,8 @@ CAUSES = {
 def _text_events(scored: Scored, differ: Column, untyped: Column) -> DataFrame:
     """Text arguments with a partner (gold ones), and those without: of several faults the first counts, from a span that the other side has under another role to one that is nowhere."""
     spare = ~F.col("exact")
-    text = flat.same_places(scored.exact_text(), PLACE, "there", spare)
-    text = flat.swept_overlaps(flat.swept_overlaps(text, [*PLACE, "role"], "as_role", spare), PLACE, "near", spare)
+    text = flat.same_places(flat.swept_overlaps(scored.exact_text(), PLACE, "near", spare), PLACE, "there", spare)  # both by one sort
+    text = flat.swept_overlaps(text, [*PLACE, "role"], "as_role", spare)
     rows = text.where(spare | (F.col("side") == GOLD)).select("*", allowed_roles(F.col("gold_type")).alias("gold_roles"), allowed_roles(F.col("pred_type")).alias("pred_roles"))
     outside = (F.size("gold_roles") > 0) & ~F.array_contains("gold_roles", F.col("role"))
     found = lambda side: F.when(F.col("there"), f"text.{side}_wrong_role_same_span").when(F.col("as_role"), f"text.{side}_boundary_error_same_role").when(F.col("near"), f"text.{side}_wrong_role_and_boundary")
@@ -69,7 +69,7 @@ def _image_events(scored: Scored, differ: Column, untyped: Column, threshold: fl
     met = each.groupBy("sample_id", F.col("e.n").alias("n")).agg(F.bool_or(~F.col("same") & (F.col("iou") >= threshold)).alias("wrong"), best.alias("best"))
     kind = Window.partitionBy("sample_id", "event_type", "role")
     others = flat.other_side(F.count_if(F.col("side") == GOLD).over(kind), F.count_if(F.col("side") == PRED).over(kind))
-    rows = flat.attached(loose.withColumn("others", others), met, "sample_id", "n")
+    rows = scored.told(loose.withColumn("others", others), met, ["event_type", "role"])
     quality = F.when(F.col("others") > 0, judged(*[F.coalesce(F.col(f"best.{c}"), F.lit(0.0)) for c in ("iou", "cover", "purity")], threshold, low, cover_high, purity_low))
 
     def bucket(side: str, none: str) -> Column:

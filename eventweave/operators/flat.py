@@ -43,14 +43,16 @@ def same_places(items: DataFrame, group: list[str], name: str, among: Column | N
 def swept_overlaps(items: DataFrame, group: list[str], name: str, among: Column | None = None) -> DataFrame:
     """items and whether a span of the other side in the group overlaps theirs; empty spans overlap nothing. ``among`` says which items count for others.
 
-    Two sweeps: the furthest end of the spans that begin no later, and the nearest start of those that begin no earlier."""
+    One order for two sweeps: the furthest end of the spans before, which begin no later, and the start of the next one, since those after begin no earlier."""
     full = F.col("start") < F.col("end")
-    up, down = (Window.partitionBy(*group).orderBy(order) for order in (F.asc("start"), F.desc("start")))
+    order = Window.partitionBy(*group).orderBy("start", "end")
     there = full if among is None else full & among
     of = lambda side, c: F.when((F.col("side") == side) & there, F.col(c))
-    furthest = other_side(*[F.max(of(s, "end")).over(up) for s in (GOLD, PRED)])
-    nearest = other_side(*[F.min(of(s, "start")).over(down) for s in (GOLD, PRED)])
-    return items.withColumn(name, full & (F.coalesce(furthest > F.col("start"), F.lit(False)) | F.coalesce(nearest < F.col("end"), F.lit(False))))
+    rows = items.withColumns({f"__start_{s}": of(s, "start") for s in (GOLD, PRED)})
+    furthest = other_side(*[F.max(of(s, "end")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for s in (GOLD, PRED)])
+    nearest = other_side(*[F.expr(f"lead(__start_{s}) IGNORE NULLS").over(order) for s in (GOLD, PRED)])
+    found = full & (F.coalesce(furthest > F.col("start"), F.lit(False)) | F.coalesce(nearest < F.col("end"), F.lit(False)))
+    return rows.withColumn(name, found).drop(*[f"__start_{s}" for s in (GOLD, PRED)])
 
 
 def swept_containments(items: DataFrame, group: list[str], name: str) -> DataFrame:
@@ -66,14 +68,16 @@ def swept_containments(items: DataFrame, group: list[str], name: str) -> DataFra
     return items.withColumn(name, F.when(F.col("side") == GOLD, either(inside)).otherwise(either(around)))
 
 
-def attached(items: DataFrame, facts: DataFrame, group: str, key: str) -> DataFrame:
-    """items with the columns of facts (group, key, ...), of which an item has one row or none (nulls).
+def attached(items: DataFrame, facts: DataFrame, group: str, key: str, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """items with the columns of facts (group, key, ...), of which an item has one row or none (nulls). ``order`` names an order that items have within their group already, ``parts`` the
+    number of partitions that they are dealt to.
 
     A join by both keys would deal items anew that are dealt by the group. Here only facts are: the first item of a group gets them as a list, they are written out beside it and meet
     their items in a window, so work stays in proportion to both."""
     own = [c for c in facts.columns if c not in (group, key)]
-    listed = facts.groupBy(F.col(group).alias("__of")).agg(F.collect_list(F.struct(key, *own)).alias("__facts"))
-    first = items.withColumn("__first", F.row_number().over(Window.partitionBy(group).orderBy(key)) == 1)
+    there = facts.withColumnRenamed(group, "__of")
+    listed = (there.repartition(parts, "__of") if parts else there).groupBy("__of").agg(F.collect_list(F.struct(key, *own)).alias("__facts"))
+    first = items.withColumn("__first", F.row_number().over(Window.partitionBy(group).orderBy(*(order or [key]))) == 1)
     met = first.join(listed, (F.col(group) == F.col("__of")) & F.col("__first"), "left")
     item = F.array(F.lit(None).cast(listed.schema["__facts"].dataType.elementType))
     rows = met.select(*items.columns, F.explode(F.concat(item, F.coalesce("__facts", F.slice(item, 1, 0)))).alias("__f"))

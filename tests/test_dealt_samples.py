@@ -34,7 +34,7 @@ def keys(df):
 
 def test_what_is_dealt_by_a_key_is_stored_so(merging):
     rows = merging.range(1000).select((F.col("id") % 37).alias("s"), F.col("id").alias("n"), F.lit("x").alias("t"))
-    kept = materialize(dealt(rows.repartition("s"), "s"), "rows")
+    kept = materialize(dealt(rows.repartition("s"), "s", 2), "rows")
     over = kept.withColumn("k", F.count("*").over(Window.partitionBy("s", "t")))
     assert not shuffles(over) and sorted(over.select("s", "n", "t").collect()) == sorted(rows.collect())
     assert {r.k for r in over.collect()} == {27, 28}
@@ -44,10 +44,10 @@ def test_what_is_dealt_by_a_key_is_stored_so(merging):
 def test_facts_meet_items_that_are_not_dealt_anew(merging):
     items = [(s, n, f"{s}{n}") for s in ("a", "b", "c") for n in (3, 1, 2)] + [(None, 1, "none"), ("d", 7, None)]
     facts = [("a", 2, 5, 0.5), ("a", 3, None, 1.0), ("c", 1, 6, None), ("d", 7, 1, 2.0), ("e", 1, 9, 9.0)]
-    own = materialize(dealt(merging.createDataFrame(items, "s string, n int, t string").repartition("s"), "s"), "items")
+    own = materialize(dealt(merging.createDataFrame(items, "s string, n int, t string").repartition("s"), "s", 3), "items")
     told = merging.createDataFrame(facts, "s string, n int, p int, x double")
-    made = flat.attached(own, told, "s", "n")
-    assert keys(made) == ["s"]
+    made = flat.attached(own, told, "s", "n", parts=3)
+    assert keys(made) == ["__of"]  # facts alone
     want = own.join(told, ["s", "n"], "left").select(made.columns)
     assert sorted(map(repr, made.collect())) == sorted(map(repr, want.collect())) and made.count() == len(items)
 
@@ -68,3 +68,8 @@ def test_pairs_of_boxes_count_as_before_where_many_meet(merging):
     joined = found.boxes.join(found.taken.select("sample_id", F.col("pred_n").alias("n"), F.col("gold_n").alias("partner")).unionByName(found.taken.select("sample_id", F.col("gold_n").alias("n"), F.col("pred_n").alias("partner"))), ["sample_id", "n"], "left")
     assert sorted(map(repr, found.image.select(joined.columns).collect())) == sorted(map(repr, joined.collect()))
     assert found.image.where("partner is not null").count() > 0
+
+
+def test_boxes_that_face_others_are_not_dealt_anew_before_they_meet(merging):
+    made = keys(evaluation.scored(merging, SF, F.col).taken)
+    assert sum("strip" in k for k in made) == 2 and sum("strip" not in k for k in made) == 1  # sides of strips, and groups of the pairs that are found
